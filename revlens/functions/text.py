@@ -103,3 +103,20 @@ def is_spam(c) -> Column:
 
 def py_lower(c) -> Column:
     return F.lower(col_(c))
+
+
+def spark_stop_words(language: str = "english") -> list[str]:
+    """Spark ML's default stop-word list (``StopWordsRemover.loadDefaultStopWords``), read
+    from the Spark ML jar so no JVM is needed (e.g. when building SQL text)."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    if jars:
+        with zipfile.ZipFile(jars[0]) as z:
+            raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
+        return [w for w in raw.split("\n") if w.strip()]
+    from pyspark.ml.feature import StopWordsRemover
+    return list(StopWordsRemover.loadDefaultStopWords(language))

@@ -106,7 +106,11 @@ def validation_stats(before: DataFrame, after: DataFrame, scope: Sequence[str] =
         F.count(F.lit(1)).alias("total_after"),
         F.avg(nan_to_null(F.col("stars").cast("double"))).alias("avg_stars_after"),
         F.avg(F.length("text").cast("double")).alias("avg_text_length"))
-    j = b.join(a, scope, "full_outer") if scope else b.crossJoin(a)  # global: two 1-row frames
+    if scope:
+        j = b.join(a, scope, "full_outer")
+    else:  # global: two one-row aggregates
+        from .profile import attach_one_row
+        j = attach_one_row(b, a)
     return j.select(
         *scope,
         F.coalesce("total_before", F.lit(0)).alias("total_before"),
