@@ -141,3 +141,74 @@ FX_MODEL_RAW_SQL = """fx_model_raw AS (
 
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+# --- raw topic answers of a model, one per batch ---------------------------------------
+TOPIC_NAMES = ["food_quality", "service", "price", "ambiance"]
+_SENT4 = ["positive", "negative", "neutral", "excellent"]
+
+
+def fx_topic_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic answers with the usual defects: missing topics, invalid sentiment, scores out
+    of range or not numbers, negative or fractional mentions, keywords not a list, blank
+    summaries; some answers fail outright (a topic without mentions, a topic that is a
+    string, no JSON at all)."""
+    c = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    seg = F.col("c_mktsegment")
+    parts = []
+    for i, t in enumerate(TOPIC_NAMES):
+        ki = k + i
+        x = (k * 7 + i) % 13
+        sent = F.element_at(F.array(*[F.lit(s) for s in _SENT4]), (ki % 4 + 1).cast("int"))
+        score = F.when(ki % 11 == 0, F.lit('"high"')).otherwise(
+            F.concat((x / 2).cast("long").cast("string"), F.when(x % 2 == 1, F.lit(".5")).otherwise(F.lit(".0"))))
+        ment = F.when(ki % 7 == 0, F.lit("2.0")).otherwise(((k * 3 + i) % 9 - 2).cast("string"))
+        kws = F.when(ki % 6 == 0, F.lit('"tasty"')).otherwise(
+            F.concat(F.lit('["'), F.lower(seg), F.lit('", "ok", "the"]')))
+        summ = F.when(ki % 8 == 0, F.lit('" "')).otherwise(F.concat(F.lit('"'), seg, F.lit(' note"')))
+        body = F.concat(F.lit(f'"{t}": {{"sentiment": "'), sent, F.lit('", "score": '), score,
+                        F.when(k % 23 == 0, F.lit("")).otherwise(F.concat(F.lit(', "mentions": '), ment)),
+                        F.lit(', "keywords": '), kws, F.lit(', "summary": '), summ, F.lit("}"))
+        if t == "service":
+            body = F.when(k % 29 == 0, F.lit('"service": "good"')).otherwise(body)
+        parts.append(F.when(ki % 5 != 0, body))
+    raw = F.when(k % 31 == 0, F.lit("sorry, no answer")).otherwise(
+        F.concat(F.lit("```json\n{"), F.concat_ws(", ", *parts), F.lit("}\n```")))
+    return c.select(k.alias("batch_id"), F.col("c_nationkey").alias("scope"), raw.alias("raw"))
+
+
+def _topic_raw_sql() -> str:
+    parts = []
+    for i, t in enumerate(TOPIC_NAMES):
+        ki = f"(c_custkey + {i})"
+        x = f"((c_custkey * 7 + {i}) % 13)"
+        sent = "CASE " + ki + " % 4 " + " ".join(f"WHEN {j} THEN '{s}'" for j, s in enumerate(_SENT4)) + " END"
+        score = (f"CASE WHEN {ki} % 11 = 0 THEN '\"high\"' ELSE CAST(CAST(floor({x} / 2) AS BIGINT) AS VARCHAR) || "
+                 f"CASE WHEN {x} % 2 = 1 THEN '.5' ELSE '.0' END END")
+        ment = f"CASE WHEN {ki} % 7 = 0 THEN '2.0' ELSE CAST((c_custkey * 3 + {i}) % 9 - 2 AS VARCHAR) END"
+        kws = f"CASE WHEN {ki} % 6 = 0 THEN '\"tasty\"' ELSE '[\"' || lower(c_mktsegment) || '\", \"ok\", \"the\"]' END"
+        summ = f"CASE WHEN {ki} % 8 = 0 THEN '\" \"' ELSE '\"' || c_mktsegment || ' note\"' END"
+        body = (f"'\"{t}\": {{\"sentiment\": \"' || ({sent}) || '\", \"score\": ' || ({score}) || "
+                f"(CASE WHEN c_custkey % 23 = 0 THEN '' ELSE ', \"mentions\": ' || ({ment}) END) || "
+                f"', \"keywords\": ' || ({kws}) || ', \"summary\": ' || ({summ}) || '}}'")
+        if t == "service":
+            body = f"CASE WHEN c_custkey % 29 = 0 THEN '\"service\": \"good\"' ELSE {body} END"
+        parts.append(f"CASE WHEN {ki} % 5 <> 0 THEN {body} END")
+    return ("fx_topic_raw AS (\n  SELECT c_custkey AS batch_id, c_nationkey AS scope,\n"
+            "         CASE WHEN c_custkey % 31 = 0 THEN 'sorry, no answer' ELSE\n"
+            "           '```json' || chr(10) || '{' || concat_ws(', ', " + ", ".join(parts) + ") || '}' || chr(10) || '```'"
+            " END AS raw\n  FROM customer)")
+
+
+FX_TOPIC_RAW_SQL = _topic_raw_sql()
+
+
+# --- the reviews a batch's answer is checked against: the document with the batch's id ---
+def fx_batch_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("batch_id"), F.col("doc_id").alias("seq"), "text")
+
+
+FX_BATCH_CORPUS_SQL = """fx_batch_corpus AS (
+  SELECT doc_id AS batch_id, lower(text) AS corpus FROM documents)"""
