@@ -212,3 +212,61 @@ def fx_batch_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FX_BATCH_CORPUS_SQL = """fx_batch_corpus AS (
   SELECT doc_id AS batch_id, lower(text) AS corpus FROM documents)"""
+
+
+# --- checked per-batch results with highlights, summaries, topics ----------------------
+def fx_batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_batches as checked sentiment results: every 17th batch failed; every 50th batch
+    is the only batch of its own scope (single-result pass-through)."""
+    b = fx_batches(spark, sf_dir)
+    k = F.col("batch_id")
+    return b.select(
+        F.when(k % 50 == 0, F.lit(100) + k).otherwise(F.col("scope")).alias("scope"),
+        "batch_id", "batch_size", (k % 17 != 0).alias("ok"),
+        F.col("positive").cast("double").alias("positive"), F.col("negative").cast("double").alias("negative"),
+        F.col("neutral").cast("double").alias("neutral"),
+        F.concat(F.col("topic_word"), F.lit("#"), k.cast("string")).alias("summary"),
+        F.array(F.lower("topic_word"), F.concat(F.lit("h"), (k % 7).cast("string"))).alias("positive_highlights"),
+        F.array(F.concat(F.lit("late"), (k % 3).cast("string"))).alias("negative_highlights"),
+        "topic_word")
+
+
+FX_BATCH_RESULTS_SQL = FX_BATCHES_SQL + """,
+fx_batch_results AS (
+  SELECT CASE WHEN batch_id % 50 = 0 THEN 100 + batch_id ELSE scope END AS scope, batch_id, batch_size,
+         batch_id % 17 <> 0 AS ok, CAST(positive AS DOUBLE) AS positive, CAST(negative AS DOUBLE) AS negative,
+         CAST(neutral AS DOUBLE) AS neutral, topic_word || '#' || CAST(batch_id AS VARCHAR) AS summary,
+         [lower(topic_word), 'h' || CAST(batch_id % 7 AS VARCHAR)] AS positive_highlights,
+         ['late' || CAST(batch_id % 3 AS VARCHAR)] AS negative_highlights, topic_word
+  FROM fx_batches)"""
+
+_SENT_VOTES = ["positive", "negative", "neutral", "mixed"]
+
+
+def fx_topic_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic rows of the successful batches of ``fx_batch_results``: each batch speaks
+    about topic ``batch_id % 4`` and, every third batch, also about ``(batch_id + 2) % 4``."""
+    r = fx_batch_results(spark, sf_dir).filter("ok")
+    k = F.col("batch_id")
+    topics = F.array(*[F.lit(t) for t in TOPIC_NAMES])
+    first = F.element_at(topics, (k % 4 + 1).cast("int"))
+    second = F.element_at(topics, ((k + 2) % 4 + 1).cast("int"))
+    t = F.when(k % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+    sent = F.element_at(F.array(*[F.lit(s) for s in _SENT_VOTES]), (F.floor(k / 4) % 4 + 1).cast("int"))
+    return r.select("scope", "batch_id", "batch_size", F.explode(t).alias("topic"),
+                    sent.alias("sentiment"),
+                    (F.lit(1.0) + (F.col("positive").cast("long") % 17).cast("double") / 4).alias("score"),
+                    F.col("negative").cast("long").alias("mentions"),
+                    F.array(F.lower("topic_word"), F.concat(F.lit("kw"), (k % 5).cast("string"))).alias("keywords"),
+                    "summary")
+
+
+FX_TOPIC_RESULTS_SQL = """fx_topic_results AS (
+  SELECT scope, batch_id, batch_size, unnest(CASE WHEN batch_id % 3 = 0
+           THEN [['food_quality', 'service', 'price', 'ambiance'][batch_id % 4 + 1],
+                 ['food_quality', 'service', 'price', 'ambiance'][(batch_id + 2) % 4 + 1]]
+           ELSE [['food_quality', 'service', 'price', 'ambiance'][batch_id % 4 + 1]] END) AS topic,
+         ['positive', 'negative', 'neutral', 'mixed'][CAST(floor(batch_id / 4) AS BIGINT) % 4 + 1] AS sentiment,
+         1.0 + CAST(CAST(positive AS BIGINT) % 17 AS DOUBLE) / 4 AS score, CAST(negative AS BIGINT) AS mentions,
+         [lower(topic_word), 'kw' || CAST(batch_id % 5 AS VARCHAR)] AS keywords, summary
+  FROM fx_batch_results WHERE ok)"""
