@@ -91,3 +91,37 @@ def q_sentiment_classifier(spark, sf_dir):
     lab = _labelled(spark, sf_dir)
     model = S.train_classifier(lab, max_iter=20)
     return S.apply_classifier(model, lab).select("review_id", "business_id", "label", "predicted")
+
+
+@query("business_overview", with_ctes(FX_REVIEWS_SQL, TAGGED_SQL, body=f"""
+, b AS (SELECT business_id, count(*) AS total_before, avg(stars) AS avg_stars_before FROM fx_reviews GROUP BY ALL),
+a AS (SELECT business_id, count(*) AS total_after, avg(stars) AS avg_stars_after,
+             avg(CAST(length(text) AS DOUBLE)) AS avg_text_length,
+             round_even(count(*) FILTER (WHERE {LBL} = 'positive') * {D} / count(*), 0) AS positive,
+             round_even(count(*) FILTER (WHERE {LBL} = 'negative') * {D} / count(*), 0) AS negative
+      FROM clean GROUP BY ALL)
+SELECT business_id, total_before, coalesce(total_after, 0) AS total_after, total_before - coalesce(total_after, 0) AS removed,
+       round_even(coalesce(total_after, 0) * {D} / total_before, 1) AS kept_ratio,
+       round_even(avg_stars_before, 2) AS avg_stars_before, round_even(avg_stars_after, 2) AS avg_stars_after,
+       round_even(coalesce(avg_text_length, 0), 1) AS avg_text_length,
+       CASE WHEN total_before >= 100 THEN 'High' WHEN total_before >= 50 THEN 'Medium' WHEN total_before >= 10 THEN 'Low'
+            ELSE 'Very low' END AS reliability,
+       positive, negative, 100 - positive - negative AS neutral
+FROM b LEFT JOIN a USING (business_id)"""))
+def q_business_overview(spark, sf_dir):
+    """The flagship (``entry``): validation statistics, tier and sentiment per business."""
+    from .flagship import business_overview
+    return business_overview(spark, sf_dir)
+
+
+@query("analysis_report")
+def q_analysis_report(spark, sf_dir):
+    """The whole per-business analysis (collect -> validate -> retrieve -> score -> report)
+    for every business at once; the component marts have their own oracles."""
+    from .flagship import analyze_all
+    marts = analyze_all(spark, fx_reviews(spark, sf_dir), topics=DRIVER_TOPICS)
+    r = marts["report"]
+    return r.select("business_id", "overall_score", "positive", "negative", "neutral",
+                    F.array_join("strengths", "|").alias("strengths"),
+                    F.array_join("weaknesses", "|").alias("weaknesses"),
+                    F.array_join("recommendations", "|").alias("recommendations"), "priority_action")
