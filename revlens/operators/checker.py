@@ -64,7 +64,9 @@ def check_sentiment(df: DataFrame, v: str = "v", corpus: str = "corpus") -> Data
     ``ok`` is false)."""
     V = F.col(v)
     C = F.coalesce(F.col(corpus), F.lit(""))
-    g = {k: vget(V, f"$.{k}") for k in SENTIMENT_KEYS}
+    # extract each field once into a column; the rules below only reference them
+    df = df.select("*", *[vget(V, f"$.{k}").alias(f"_g_{k}") for k in SENTIMENT_KEYS])
+    g = {k: F.col(f"_g_{k}") for k in SENTIMENT_KEYS}
     pres = {k: g[k].isNotNull() for k in SENTIMENT_KEYS}
     pct = ["positive", "negative", "neutral"]
     val = {k: F.when(pres[k], v_num(g[k])).otherwise(F.lit(0.0)) for k in pct}
@@ -114,14 +116,16 @@ def check_sentiment(df: DataFrame, v: str = "v", corpus: str = "corpus") -> Data
     out = df.withColumn("ok", F.coalesce(ok, F.lit(False)))
     for k, e in res.items():
         out = out.withColumn(k, F.when(F.col("ok"), e))
-    return out
+    return out.drop(*[f"_g_{k}" for k in SENTIMENT_KEYS])
+
+
+_TOPIC_FIELDS = ["score", "sentiment", "mentions", "keywords", "summary"]
 
 
 def _topic_struct(V: Column, C: Column, t: str):
-    tv = vget(V, f"$.{t}")
+    tv = F.col(f"_t_{t}")
     present = tv.isNotNull()
-    score_v, sent_v, ment_v = vget(tv, "$.score"), vget(tv, "$.sentiment"), vget(tv, "$.mentions")
-    kw_v, summ_v = vget(tv, "$.keywords"), vget(tv, "$.summary")
+    score_v, sent_v, ment_v, kw_v, summ_v = (F.col(f"_t_{t}_{f}") for f in _TOPIC_FIELDS)
 
     kw_elems = v_list(kw_v)
     kw_bad = F.exists(kw_elems, lambda e: (vtype(e) != "STRING") & ~(
@@ -177,6 +181,10 @@ def check_topics(df: DataFrame, v: str = "v", corpus: str = "corpus") -> DataFra
     (present, sentiment, score, mentions, keywords, summary), ``errors`` and ``warnings``."""
     V = F.col(v)
     C = F.coalesce(F.col(corpus), F.lit(""))
+    # extract each topic object, then each of its fields, once into columns
+    df = df.select("*", *[vget(V, f"$.{t}").alias(f"_t_{t}") for t in TOPICS])
+    df = df.select("*", *[vget(F.col(f"_t_{t}"), f"$.{f}").alias(f"_t_{t}_{f}") for t in TOPICS for f in _TOPIC_FIELDS])
+    helper_cols = [f"_t_{t}" for t in TOPICS] + [f"_t_{t}_{f}" for t in TOPICS for f in _TOPIC_FIELDS]
     parts = {t: _topic_struct(V, C, t) for t in TOPICS}
     fail = V.isNull() | ~v_is_object(V) | (vtype(V) == "OBJECT<>")
     for t in TOPICS:
@@ -187,7 +195,8 @@ def check_topics(df: DataFrame, v: str = "v", corpus: str = "corpus") -> DataFra
     out = df.withColumn("ok", F.coalesce(~fail, F.lit(False)))
     for t in TOPICS:
         out = out.withColumn(t, F.when(F.col("ok"), parts[t][0]))
-    return out.withColumn("errors", F.when(F.col("ok"), errors)).withColumn("warnings", F.when(F.col("ok"), warnings))
+    out = out.withColumn("errors", F.when(F.col("ok"), errors)).withColumn("warnings", F.when(F.col("ok"), warnings))
+    return out.drop(*helper_cols)
 
 
 def topics_long(checked: DataFrame, keys: list[str]) -> DataFrame:

@@ -81,7 +81,7 @@ def v_present(v: Column) -> Column:
 def v_is_number(v: Column) -> Column:
     """Python ``isinstance(x, (int, float))`` (bool included)."""
     t = vtype(v)
-    return t.isin("BIGINT", "DOUBLE", "BOOLEAN", "FLOAT") | t.startswith("DECIMAL")
+    return F.coalesce(t.isin("BIGINT", "DOUBLE", "BOOLEAN", "FLOAT") | t.startswith("DECIMAL"), F.lit(False))
 
 
 def v_is_int(v: Column) -> Column:
@@ -89,19 +89,20 @@ def v_is_int(v: Column) -> Column:
     DECIMAL(1,0) and is a float, integers beyond 64 bits as DECIMAL(p,0) with p >= 19."""
     t = vtype(v)
     big_int = t.rlike("^DECIMAL\\((19|[2-9][0-9]),0\\)$")
-    return t.isin("BIGINT", "BOOLEAN") | big_int
+    return F.coalesce(t.isin("BIGINT", "BOOLEAN") | big_int, F.lit(False))
 
 
 def v_is_string(v: Column) -> Column:
-    return vtype(v) == "STRING"
+    return F.coalesce(vtype(v) == "STRING", F.lit(False))
 
 
 def v_is_list(v: Column) -> Column:
-    return vtype(v).startswith("ARRAY")
+    """False for an absent value (type tests are null-safe: absent = not that type)."""
+    return F.coalesce(vtype(v).startswith("ARRAY"), F.lit(False))
 
 
 def v_is_object(v: Column) -> Column:
-    return vtype(v).startswith("OBJECT")
+    return F.coalesce(vtype(v).startswith("OBJECT"), F.lit(False))
 
 
 def v_num(v: Column) -> Column:

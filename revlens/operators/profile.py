@@ -28,12 +28,13 @@ LABELS = ["positive", "negative", "neutral"]
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row of ``df``.
 
-    The right side is a global aggregate, so it holds exactly one row: a broadcast of
-    one row on a constant key, no pairs are formed.
+    The aggregate is evaluated once as a scalar subquery (``DataFrame.scalar``) and its
+    value is attached to each row: no join, no pairs.
     """
-    k = "_one"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k))
+    cols = one_row.columns
+    s = one_row.select(F.struct(*cols).alias("_one")).scalar()
+    out = df.withColumn("_one", s)
+    return out.select(*df.columns, *[F.col("_one")[c].alias(c) for c in cols])
 
 
 def first_rows(df: DataFrame, n: int = PROFILE_SAMPLE_ROWS, order: str = "seq") -> DataFrame:

@@ -75,8 +75,12 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, sco
 
 
 def top_k(scored: DataFrame, keys: Sequence[str], k: int, id_col: str, score: str = "score") -> DataFrame:
-    """Top ``k`` per key by score desc, id asc (planned as a WindowGroupLimit)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(id_col))
+    """Top ``k`` per key by score desc, id asc (planned as a WindowGroupLimit).
+
+    Scores are compared at 12 decimal places so that mathematically equal scores (e.g.
+    copies of one text) tie exactly whatever order the floating-point sums ran in, and
+    the id decides."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round(score, 12)), F.asc(id_col))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

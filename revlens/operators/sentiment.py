@@ -78,9 +78,10 @@ def _tokens(c) -> F.Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 0)
 
 
-def _bigrams(c) -> F.Column:
-    t = _tokens(c)
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))),
+def _bigrams(tokens: str) -> F.Column:
+    """Consecutive token pairs of an (already materialised) token-array column."""
+    t = F.col(tokens)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))),
                        lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))
 
 
@@ -90,8 +91,10 @@ def highlight_phrases(labelled: DataFrame, scope: Sequence[str] = ("business_id"
     contrast ``df_in_class / n_in_class - df_elsewhere / n_elsewhere`` (> 0), ties by
     phrase.  Document frequencies are aggregates; each review contributes a phrase once."""
     scope = _cols(scope)
-    bi = (labelled.filter(F.size(_tokens(F.col(text))) >= 2)
-          .select(*scope, id_col, label, F.explode(F.array_distinct(_bigrams(F.col(text)))).alias("phrase")))
+    # tokens are materialised once per review; the bigram lambda only indexes into them
+    tok = labelled.select(*scope, id_col, label, _tokens(F.col(text)).alias("_t"))
+    bi = (tok.filter(F.size("_t") >= 2)
+          .select(*scope, id_col, label, F.explode(F.array_distinct(_bigrams("_t"))).alias("phrase")))
     dfc = bi.groupBy(*scope, label, "phrase").agg(F.count(F.lit(1)).alias("df"))
     sizes = labelled.groupBy(*scope, label).agg(F.count(F.lit(1)).alias("n_class"))
     tot = labelled.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_all"))

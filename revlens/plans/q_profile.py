@@ -152,8 +152,8 @@ def q_useful_by_stars(spark, sf_dir):
 @query("short_reviews", with_ctes(FX_REVIEWS_SQL, body=f"""
 SELECT count(*) FILTER (WHERE length(text) < 10) AS n_short,
        count(*) FILTER (WHERE length(text) < 10) * {D} / count(*) AS pct_short,
-       (SELECT string_agg(text, ' | ' ORDER BY seq) FROM
-          (SELECT seq, text FROM fx_reviews WHERE length(text) < 10 ORDER BY seq LIMIT 5)) AS examples
+       coalesce((SELECT string_agg(text, ' | ' ORDER BY seq) FROM
+          (SELECT seq, text FROM fx_reviews WHERE length(text) < 10 ORDER BY seq LIMIT 5)), '') AS examples
 FROM fx_reviews"""))
 def q_short_reviews(spark, sf_dir):
     out = P.short_reviews(fx_reviews(spark, sf_dir))

@@ -28,7 +28,7 @@ c AS (SELECT label AS query, list(m ORDER BY i) AS qv FROM (
         SELECT label, i, avg(x) AS m FROM x GROUP BY label, i) GROUP BY label),
 s AS (SELECT c.query, e.vec_id, e.label, {_cos_sql('e.v', 'c.qv')} AS score FROM e, c)
 SELECT query, rank, vec_id, label, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 15""")
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s) WHERE rank <= 15""")
 def q_embedding_topk(spark, sf_dir):
     """D2-D4 on precomputed vectors: the 15 vectors nearest to each label centroid, with
     the document's own metadata (label) carried on the row."""
@@ -60,7 +60,7 @@ hits AS (SELECT business_id, review_id, topic, dot / (norm * qnorm) AS score
 base AS (SELECT business_id, review_id, topic FROM src, q),
 scored AS (SELECT b.business_id, b.review_id, b.topic, coalesce(h.score, 0.0) AS score
            FROM base b LEFT JOIN hits h USING (business_id, review_id, topic)),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY business_id, topic ORDER BY score DESC, review_id) AS rank
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY business_id, topic ORDER BY round(score, 12) DESC, review_id) AS rank
                        FROM scored) WHERE rank <= 15)"""
 
 
