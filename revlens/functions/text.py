@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 # Characters Python's str.isspace() accepts: ASCII controls \t \n \v \f \r, the
 # separators \x1c-\x1f, space, \x85 and the Unicode separator category Z.
 PY_WS_CLASS = "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\p{Z}]"
+# The characters themselves, by rule: every code point for which str.isspace() is true.
+PY_WS_CHARS = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
 # Python's `^[\d\s\W]+$` = text made only of characters that are not letters, letter-like
 # numbers, other numbers or underscore.
 NON_WORDISH_ONLY = "^[^\\p{L}\\p{Nl}\\p{No}_]+$"
 # Letter range used by the spam rule: a-z, A-Z and U+00C0..U+1EF9.
 LETTER_CLASS_NEG = "[^a-zA-Z\\x{00C0}-\\x{1EF9}]"
+# at least five such letters (possessive: one linear pass, stops at the fifth letter)
+FIVE_LETTERS = "^(?:[^a-zA-Z\\x{00C0}-\\x{1EF9}]*+[a-zA-Z\\x{00C0}-\\x{1EF9}]){5}"
 # pandas' default tokens that read_csv turns into a missing value.
 PANDAS_NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -36,9 +40,10 @@ def col_(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: trims every Unicode whitespace character at both ends."""
-    ws = PY_WS_CLASS
-    return F.regexp_replace(col_(c), f"^{ws}+|{ws}+$", "")
+    """Python ``str.strip()``: trims every Unicode whitespace character at both ends.
+
+    ``trim(BOTH chars FROM s)`` only touches the ends (a regex would scan the whole text)."""
+    return F.trim(col_(c), F.lit(PY_WS_CHARS))
 
 
 def py_word_count(c) -> Column:
@@ -87,13 +92,16 @@ def spam_symbols_only(c) -> Column:
 
 
 def spam_repeated_char(c) -> Column:
-    """Spam rule 2: one character repeated at least five times and nothing else."""
-    t = py_strip(c)
-    return (F.length(t) >= 5) & (t == F.repeat(F.substring(t, 1, 1), F.length(t)))
+    """Spam rule 2: one character repeated at least five times and nothing else (fails
+    at the second character for ordinary text).  The first character of a stripped text
+    is never a line terminator, so Java's ``.`` agrees with Python's here."""
+    return py_strip(c).rlike("^(.)\\1{4,}$")
 
 
 def spam_few_letters(c, min_letters: int = 5) -> Column:
     """Spam rule 3: fewer than five letters in the Latin/Vietnamese range."""
+    if min_letters == 5:
+        return ~col_(c).rlike(FIVE_LETTERS)
     return letter_count(c) < min_letters
 
 

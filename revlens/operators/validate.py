@@ -73,8 +73,10 @@ def tag_row_rejects(df: DataFrame) -> DataFrame:
 
 def _dedup_and_spam(tagged: DataFrame, scope: list[str], order: str) -> DataFrame:
     survivors = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    firsts = keep_first(survivors, [*scope, "text"], order, count_col="_copies")
-    return firsts.withColumn("_spam", is_spam(F.col("text")))
+    # a 64-bit hash of the text leads the key: sort/compare on it first, text breaks ties
+    survivors = survivors.withColumn("_text_hash", F.xxhash64("text"))
+    firsts = keep_first(survivors, [*scope, "_text_hash", "text"], order, count_col="_copies")
+    return firsts.drop("_text_hash").withColumn("_spam", is_spam(F.col("text")))
 
 
 def validate_reviews(df: DataFrame, scope: Sequence[str] = ("business_id",), order: str = "seq") -> DataFrame:

@@ -15,13 +15,22 @@ from pyspark.sql import functions as F
 from ..session import table_path
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read a driver table.  ``spread``: when the scan yields fewer splits than the
+    cluster has cores (e.g. one large row group), spread the rows round-robin so the
+    CPU-heavy text work that follows runs on every core.  Large inputs have many
+    splits already and are left as they are."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if spread:
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            df = df.repartition(par)
+    return df
 
 
 # --- reviews: one business per document source ---------------------------------------
 def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents", spread=True)
     return d.select(
         F.col("doc_id").alias("seq"),
         F.col("doc_id").cast("string").alias("review_id"),
@@ -206,7 +215,7 @@ FX_TOPIC_RAW_SQL = _topic_raw_sql()
 
 # --- the reviews a batch's answer is checked against: the document with the batch's id ---
 def fx_batch_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents", spread=True)
     return d.select(F.col("doc_id").alias("batch_id"), F.col("doc_id").alias("seq"), "text")
 
 
