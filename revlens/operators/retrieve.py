@@ -119,12 +119,13 @@ def tfidf_topk(reviews: DataFrame, queries: DataFrame, k: int = MANAGER_TOP_K,
 
     qterms = (queries.select(F.col(qid_col).alias("q"), F.explode(_tokens(F.col(qtext_col))).alias("term"))
               .groupBy("q", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    qb = _bounded_array(qterms, ["q", "term", "qtf"])
-    # each review term meets the query terms equal to it (a bounded array filter, no join)
-    hits = attach_one_row(w, qb).select(
-        *scope, id_col, "w", "idf", F.explode(F.filter("_queries", lambda x: x["term"] == F.col("term"))).alias("h"))
-    dots = (hits.select(*scope, id_col, F.col("h.q").alias(qid_col),
-                        (F.col("w") * F.col("h.qtf") * F.col("idf")).alias("dot"))
+    n_qterms = qterms.limit(MAX_QUERIES + 1).count()
+    if n_qterms > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} distinct query terms")
+    # review terms meet the (size-checked, broadcast) query terms: an equi-join on term
+    hits = w.join(F.broadcast(qterms), "term")
+    dots = (hits.select(*scope, id_col, F.col("q").alias(qid_col),
+                        (F.col("w") * F.col("qtf") * F.col("idf")).alias("dot"))
             .groupBy(*scope, id_col, qid_col).agg(F.sum("dot").alias("dot")))
     # query norm per scope over the query terms present in the scope's vocabulary
     qn = (idf.select(*scope, "term", "idf").join(F.broadcast(qterms), "term")   # qterms: bounded above

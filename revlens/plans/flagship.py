@@ -16,6 +16,7 @@ from ..operators import retrieve as D
 from ..operators import sentiment as S
 from ..operators import validate as V
 from ..operators.profile import stars_to_label
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import fx_reviews
 
 
@@ -43,7 +44,10 @@ def analyze_all(spark: SparkSession, reviews: DataFrame, topics: dict[str, str]
     reference's manager does).
     """
     sc = [scope]
-    clean = V.validate_reviews(reviews, scope=sc)
+    # the clean table feeds every mart: write it once to the shared checkpoint folder
+    # (reliable checkpoint, cuts the lineage; a lost executor re-reads instead of re-validating)
+    ensure_checkpoint_dir(spark)
+    clean = V.validate_reviews(reviews, scope=sc).checkpoint(eager=True)
     stats = V.validation_stats(reviews, clean, scope=sc)
     labelled = clean.withColumn("label", stars_to_label("stars"))
 
