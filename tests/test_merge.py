@@ -65,3 +65,25 @@ def test_split_batches(spark):
     b = G.split_batches(df, ["business_id"], "seq", batch_size=100)
     sizes = sorted((r.batch_id, r.batch_size) for r in b.select("batch_id", "batch_size").distinct().collect())
     assert sizes == [(0, 100), (1, 100), (2, 50)]
+
+
+def test_merged_percentages_sum_to_100(spark):
+    from pyspark.sql import functions as F
+    from revlens.sources.fixtures import fx_batch_results
+    m = G.merge_sentiment(fx_batch_results(spark, "/root/testdata/sf0.001"), ["scope"])
+    multi = m.filter(F.col("batches_processed").isNotNull())
+    bad = multi.filter(F.col("positive") + F.col("negative") + F.col("neutral") != 100).count()
+    assert multi.count() > 0 and bad == 0
+
+
+def test_split_then_merge_mentions_equal_unsplit(spark):
+    from revlens.operators import sentiment as S
+    from revlens.sources.fixtures import fx_reviews
+    from revlens.plans.q_retrieve import DRIVER_TOPICS
+    rev = fx_reviews(spark, "/root/testdata/sf0.001")
+    lex = S.lexicon_table(spark, DRIVER_TOPICS)
+    whole = {(r.business_id, r.topic): r.mentions for r in S.topic_stats(rev, lex).collect()}
+    b = G.split_batches(rev, ["business_id"], "seq", batch_size=7)
+    per_batch = S.topic_stats(b, lex, scope=["business_id", "batch_id"])
+    summed = per_batch.groupBy("business_id", "topic").agg(F.sum("mentions").alias("m")).collect()
+    assert {(r.business_id, r.topic): r.m for r in summed} == whole
