@@ -125,3 +125,46 @@ def q_analysis_report(spark, sf_dir):
                     F.array_join("strengths", "|").alias("strengths"),
                     F.array_join("weaknesses", "|").alias("weaknesses"),
                     F.array_join("recommendations", "|").alias("recommendations"), "priority_action")
+
+
+def keyword_scorer(blocks):
+    """A tiny stand-in for a user's text model (E7): for each prompt block it answers in
+    the model's JSON shape, from word cues in the block's lines.  Real deployments pass
+    their own scorer to ``modelio.score_batches``."""
+    import json
+
+    import pandas as pd
+    out = []
+    for b in blocks:
+        lines = [x for x in (b or "").split("\n") if x.strip()]
+        n = max(len(lines), 1)
+        pos = sum(1 for x in lines if " with " in x.lower())
+        neg = sum(1 for x in lines if " from " in x.lower() and " with " not in x.lower())
+        p, q = round(pos * 100 / n), round(neg * 100 / n)
+        out.append("Here you go: " + json.dumps({
+            "positive": p, "negative": q, "neutral": 100 - p - q, "summary": (lines[0][2:40] if lines else ""),
+            "positive_highlights": ["with"], "negative_highlights": ["from"]}))
+    return pd.Series(out)
+
+
+@query("model_hook_merge")
+def q_model_hook_merge(spark, sf_dir):
+    """E1 -> E7 -> E2 -> F -> G: batches of 20 validated reviews per business become prompt
+    blocks, a user scorer answers each batch inside ``mapInPandas``, answers are parsed,
+    checked against the batch corpus and merged per business (rows-only: the scorer is
+    user code)."""
+    from ..operators import checker as K
+    from ..operators import merge as G
+    from ..operators import modelio as M
+    clean = V.validate_reviews(fx_reviews(spark, sf_dir), ["business_id"])
+    b = G.split_batches(clean, ["business_id"], "seq", batch_size=20)
+    blocks = M.review_block(b, ["business_id", "batch_id"])
+    sizes = b.groupBy("business_id", "batch_id").agg(F.first("batch_size").alias("batch_size"))
+    raw = M.score_batches(blocks, keyword_scorer, keys=["business_id", "batch_id"])
+    parsed = (raw.join(blocks.select("business_id", "batch_id", "corpus"), ["business_id", "batch_id"])
+              .withColumn("v", M.extract_json("raw")))
+    checked = K.check_sentiment(parsed).join(sizes, ["business_id", "batch_id"])
+    merged = G.merge_sentiment(checked, scope=["business_id"])
+    return merged.select("business_id", "positive", "negative", "neutral", "summary",
+                         F.array_join("positive_highlights", "|").alias("positive_highlights"),
+                         "total_reviews_analyzed", "batches_processed")
