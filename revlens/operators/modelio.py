@@ -164,3 +164,18 @@ def score_batches(batches: DataFrame, scorer: Callable[[pd.Series], pd.Series],
             yield out
 
     return batches.select(*keys, block).mapInPandas(run, schema)
+
+
+# --- E6: report answer --------------------------------------------------------------
+REPORT_TYPE = ("struct<business_name: string, total_reviews: bigint, overall_score: double, "
+               "sentiment_overview: struct<positive: double, negative: double, neutral: double>, "
+               "strengths: array<string>, weaknesses: array<string>, recommendations: array<string>, "
+               "executive_summary: string, priority_action: string>")
+
+
+def parse_report(v) -> Column:
+    """The report answer as a typed struct (fields absent or of another type are NULL;
+    the reference keeps whatever the model returned, so no repair happens here).  NULL
+    when the answer had no JSON object (a failed report, H7)."""
+    v = F.col(v) if isinstance(v, str) else v
+    return F.when(v_is_object(v), F.try_variant_get(v, "$", REPORT_TYPE))

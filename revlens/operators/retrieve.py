@@ -182,3 +182,48 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec_col: str = "em
 
 def keep_first_text(df: DataFrame, scope: Sequence[str], order: str = "seq") -> DataFrame:
     return keep_first(df, [*_cols(scope), "text"], order)
+
+
+def embed_texts(df: DataFrame, load_model, text_col: str = "text", out_col: str = "embedding",
+                dim: int | None = None) -> DataFrame:
+    """D1(c): embed a text column with a user model inside an iterator ``pandas_udf``.
+
+    ``load_model()`` runs once per Python worker and returns ``f(list[str]) ->
+    list[list[float]]``; Arrow batches of texts stream through it.  Use the vectors with
+    ``cosine_topk``."""
+    import warnings
+
+    import pandas as pd
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    def _embed_iter(batches):
+        model = load_model()
+        for s in batches:
+            yield pd.Series(list(model(s.fillna("").tolist())))
+
+    with warnings.catch_warnings():   # iterator-of-Series UDF declared without type hints
+        warnings.simplefilter("ignore")
+        _embed = pandas_udf(_embed_iter, "array<float>", PandasUDFType.SCALAR_ITER)
+
+    return df.withColumn(out_col, _embed(F.col(text_col)))
+
+
+def hashing_embedder(dim: int = 256, n: int = 3):
+    """A small stand-in model for ``embed_texts``: L2-normalised counts of hashed character
+    n-grams.  Loads nothing; replace with a real sentence encoder."""
+    def load():
+        import numpy as np
+        import xxhash
+
+        def model(texts):
+            out = []
+            for t in texts:
+                v = np.zeros(dim, dtype=np.float32)
+                s = f" {t.lower()} "
+                for i in range(len(s) - n + 1):
+                    v[xxhash.xxh32_intdigest(s[i:i + n]) % dim] += 1.0
+                norm = float(np.linalg.norm(v))
+                out.append((v / norm if norm else v).tolist())
+            return out
+        return model
+    return load

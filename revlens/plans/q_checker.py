@@ -204,3 +204,35 @@ def q_review_blocks(spark, sf_dir):
     blk = M.review_block(b, ["business_id", "batch_id"])
     return blk.select("business_id", "batch_id", "n_reviews", F.md5("block").alias("block_md5"),
                       F.md5("corpus").alias("corpus_md5"))
+
+
+# ---------------------------------------------------------------- E6 report answers
+from ..sources.fixtures import FX_REPORT_RAW_SQL, fx_report_raw  # noqa: E402
+
+
+@query("report_answers", with_ctes(FX_REPORT_RAW_SQL, body="""
+, p AS (SELECT batch_id, regexp_extract(raw, '(?s)\\{.*\\}', 0) AS j0 FROM fx_report_raw),
+q AS (SELECT batch_id, CASE WHEN j0 <> '' AND json_valid(j0) THEN j0 END AS j FROM p)
+SELECT batch_id, j IS NOT NULL AS ok,
+       json_extract_string(j, '$.business_name') AS business_name,
+       CAST(json_extract(j, '$.total_reviews') AS BIGINT) AS total_reviews,
+       CAST(json_extract(j, '$.overall_score') AS DOUBLE) AS overall_score,
+       CAST(json_extract(j, '$.sentiment_overview.positive') AS DOUBLE) AS positive,
+       CAST(json_extract(j, '$.sentiment_overview.negative') AS DOUBLE) AS negative,
+       CAST(json_extract(j, '$.sentiment_overview.neutral') AS DOUBLE) AS neutral,
+       CASE WHEN json_type(j, '$.strengths') = 'ARRAY'
+            THEN array_to_string(CAST(json_extract(j, '$.strengths') AS VARCHAR[]), '|') END AS strengths,
+       CASE WHEN json_type(j, '$.weaknesses') = 'ARRAY'
+            THEN array_to_string(CAST(json_extract(j, '$.weaknesses') AS VARCHAR[]), '|') END AS weaknesses,
+       json_extract_string(j, '$.priority_action') AS priority_action
+FROM q"""))
+def q_report_answers(spark, sf_dir):
+    """Report answers parsed into the typed report struct; a wrong type (weaknesses as
+    a string) or an absent field reads as NULL, no JSON at all -> not ok."""
+    r = fx_report_raw(spark, sf_dir).withColumn("rep", M.parse_report(M.extract_json("raw")))
+    return r.select("batch_id", F.col("rep").isNotNull().alias("ok"), "rep.business_name", "rep.total_reviews",
+                    "rep.overall_score", F.col("rep.sentiment_overview.positive").alias("positive"),
+                    F.col("rep.sentiment_overview.negative").alias("negative"),
+                    F.col("rep.sentiment_overview.neutral").alias("neutral"),
+                    F.array_join("rep.strengths", "|").alias("strengths"),
+                    F.array_join("rep.weaknesses", "|").alias("weaknesses"), "rep.priority_action")

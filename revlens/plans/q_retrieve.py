@@ -115,3 +115,17 @@ SELECT business_id, 'reviews_' || regexp_replace(lower(replace(name, ' ', '_')),
 def q_collection_keys(spark, sf_dir):
     """The per-business collection name."""
     return fx_business(spark, sf_dir).select("business_id", D.collection_key("name").alias("collection"))
+
+
+@query("embedded_topic_topk")
+def q_embedded_topic_topk(spark, sf_dir):
+    """D1(c) + D3/D4: reviews and topic queries embedded by a user model in an iterator
+    ``pandas_udf`` (here the small hashing stand-in), then exact cosine top 15 per
+    business and topic (rows-only: the model is user code)."""
+    r = fx_reviews(spark, sf_dir)
+    emb = D.embed_texts(r.select("business_id", "review_id", "text"), D.hashing_embedder())
+    q = D.embed_texts(D.topic_query_table(spark, DRIVER_TOPICS).withColumnRenamed("query", "text"),
+                      D.hashing_embedder(), out_col="qvec").select(F.col("topic").alias("query"), "qvec")
+    hits = D.cosine_topk(emb, q, k=15, scope=["business_id"], id_col="review_id")
+    return hits.select("business_id", F.col("query").alias("topic"), "rank", "review_id",
+                       F.round("score", 6).alias("score"))

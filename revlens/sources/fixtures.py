@@ -279,3 +279,41 @@ FX_TOPIC_RESULTS_SQL = """fx_topic_results AS (
          1.0 + CAST(CAST(positive AS BIGINT) % 17 AS DOUBLE) / 4 AS score, CAST(negative AS BIGINT) AS mentions,
          [lower(topic_word), 'kw' || CAST(batch_id % 5 AS VARCHAR)] AS keywords, summary
   FROM fx_batch_results WHERE ok)"""
+
+
+# --- raw report answers, one per batch -------------------------------------------------
+def fx_report_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    seg = F.lower(F.col("c_mktsegment"))
+    score = F.concat((F.lit(1) + k % 4).cast("string"), F.lit("."), (k % 10).cast("string"))
+    body = F.concat(
+        F.lit('{"business_name": "'), F.col("c_name"), F.lit('", "total_reviews": '), (k % 500).cast("string"),
+        F.lit(', "overall_score": '), score,
+        F.lit(', "sentiment_overview": {"positive": '), (k % 61).cast("string"), F.lit(', "negative": '),
+        (k % 23).cast("string"), F.lit(', "neutral": '), (100 - k % 61 - k % 23).cast("string"),
+        F.lit('}, "strengths": ["'), seg, F.lit(' service"'),
+        F.when(k % 3 == 0, F.lit(', "fast"')).otherwise(F.lit("")),
+        F.lit('], "weaknesses": '), F.when(k % 4 == 0, F.lit('"none"')).otherwise(F.lit('["price"]')),
+        F.lit(', "recommendations": ["train staff", "cut waiting time"], "executive_summary": "'), seg,
+        F.lit(' customers"'), F.when(k % 5 == 0, F.lit("")).otherwise(F.lit(', "priority_action": "hire"')),
+        F.lit("}"))
+    return c.select(k.alias("batch_id"), F.when(k % 13 == 0, F.lit("I cannot help with that."))
+                    .otherwise(F.concat(F.lit("Report:\n"), body)).alias("raw"))
+
+
+FX_REPORT_RAW_SQL = """fx_report_raw AS (
+  SELECT c_custkey AS batch_id,
+         CASE WHEN c_custkey % 13 = 0 THEN 'I cannot help with that.' ELSE
+           'Report:' || chr(10) || '{"business_name": "' || c_name || '", "total_reviews": '
+           || CAST(c_custkey % 500 AS VARCHAR) || ', "overall_score": '
+           || CAST(1 + c_custkey % 4 AS VARCHAR) || '.' || CAST(c_custkey % 10 AS VARCHAR)
+           || ', "sentiment_overview": {"positive": ' || CAST(c_custkey % 61 AS VARCHAR) || ', "negative": '
+           || CAST(c_custkey % 23 AS VARCHAR) || ', "neutral": ' || CAST(100 - c_custkey % 61 - c_custkey % 23 AS VARCHAR)
+           || '}, "strengths": ["' || lower(c_mktsegment) || ' service"'
+           || CASE WHEN c_custkey % 3 = 0 THEN ', "fast"' ELSE '' END
+           || '], "weaknesses": ' || CASE WHEN c_custkey % 4 = 0 THEN '"none"' ELSE '["price"]' END
+           || ', "recommendations": ["train staff", "cut waiting time"], "executive_summary": "'
+           || lower(c_mktsegment) || ' customers"'
+           || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ', "priority_action": "hire"' END || '}' END AS raw
+  FROM customer)"""

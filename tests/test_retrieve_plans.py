@@ -73,3 +73,12 @@ def test_near_duplicates_against_bruteforce(spark):
                 want.add((i, j))
     # every reported pair is a true near-copy; every row with a true earlier near-copy is reported
     assert got <= want and {i for i, _ in got} == {i for i, _ in want}
+
+
+def test_embed_texts_matches_direct_model(spark):
+    texts = ["good food here", "slow service", "", "price is fair"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.embedding for r in D.embed_texts(df, D.hashing_embedder(dim=32)).collect()}
+    model = D.hashing_embedder(dim=32)()
+    for i, v in enumerate(model(texts)):
+        assert np.allclose(got[i], v, atol=1e-6)
