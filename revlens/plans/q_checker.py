@@ -71,11 +71,11 @@ SELECT batch_id, NOT failed AS ok,
        CASE WHEN NOT failed THEN CASE WHEN blank THEN '{K.DEFAULT_SENTIMENT_SUMMARY}' ELSE summ END END AS summary,
        CASE WHEN NOT failed THEN array_to_string(ph, '|') END AS positive_highlights,
        CASE WHEN NOT failed THEN array_to_string(nh, '|') END AS negative_highlights,
-       CASE WHEN NOT failed THEN e_missing + e_list
+       CAST(CASE WHEN NOT failed THEN e_missing + e_list
             + CAST(vp < 0 OR vp > 100 AS INTEGER) + CAST(vn < 0 OR vn > 100 AS INTEGER)
-            + CAST(vu < 0 OR vu > 100 AS INTEGER) END AS n_errors,
-       CASE WHEN NOT failed THEN CAST(total <> 100 AS INTEGER) + CAST(blank AS INTEGER)
-            + {_unsupported_sql('ph')} + {_unsupported_sql('nh')} END AS n_warnings
+            + CAST(vu < 0 OR vu > 100 AS INTEGER) END AS DOUBLE) AS n_errors,
+       CAST(CASE WHEN NOT failed THEN CAST(total <> 100 AS INTEGER) + CAST(blank AS INTEGER)
+            + {_unsupported_sql('ph')} + {_unsupported_sql('nh')} END AS DOUBLE) AS n_warnings
 FROM h"""
 
 
@@ -93,14 +93,14 @@ def q_check_sentiment(spark, sf_dir):
                     F.array_join("positive_highlights", "|").alias("positive_highlights"),
                     F.array_join("negative_highlights", "|").alias("negative_highlights"),
                     F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings")) \
-        .withColumn("n_errors", F.when(F.col("ok"), F.col("n_errors"))) \
-        .withColumn("n_warnings", F.when(F.col("ok"), F.col("n_warnings")))
+        .withColumn("n_errors", F.when(F.col("ok"), F.col("n_errors")).cast("double")) \
+        .withColumn("n_warnings", F.when(F.col("ok"), F.col("n_warnings")).cast("double"))
 
 
 STATUS_SQL = """
 SELECT status, count(*) AS n FROM (
   SELECT CASE WHEN NOT ok THEN 'FAILED' WHEN n_errors = 0 AND n_warnings = 0 THEN 'OK'
-              WHEN n_errors > 0 THEN printf('%d errors', n_errors) ELSE printf('%d warnings', n_warnings) END AS status
+              WHEN n_errors > 0 THEN printf('%d errors', CAST(n_errors AS BIGINT)) ELSE printf('%d warnings', CAST(n_warnings AS BIGINT)) END AS status
   FROM checked) GROUP BY status"""
 
 
@@ -171,13 +171,14 @@ def checked_topics(spark, sf_dir):
 
 
 @query("check_topics", with_ctes(FX_TOPIC_RAW_SQL, FX_BATCH_CORPUS_SQL, body=_topic_sql() + """
-SELECT batch_id, ok, CASE WHEN ok THEN n_errors END AS n_errors, CASE WHEN ok THEN n_warnings END AS n_warnings
+SELECT batch_id, ok, CAST(CASE WHEN ok THEN n_errors END AS DOUBLE) AS n_errors,
+       CAST(CASE WHEN ok THEN n_warnings END AS DOUBLE) AS n_warnings
 FROM e"""))
 def q_check_topics(spark, sf_dir):
     c = checked_topics(spark, sf_dir)
     return c.select("batch_id", "ok", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings")) \
-        .withColumn("n_errors", F.when(F.col("ok"), F.col("n_errors"))) \
-        .withColumn("n_warnings", F.when(F.col("ok"), F.col("n_warnings")))
+        .withColumn("n_errors", F.when(F.col("ok"), F.col("n_errors")).cast("double")) \
+        .withColumn("n_warnings", F.when(F.col("ok"), F.col("n_warnings")).cast("double"))
 
 
 @query("topic_rows", with_ctes(FX_TOPIC_RAW_SQL, FX_BATCH_CORPUS_SQL, body=_topic_sql() + """
@@ -215,7 +216,7 @@ from ..sources.fixtures import FX_REPORT_RAW_SQL, fx_report_raw  # noqa: E402
 q AS (SELECT batch_id, CASE WHEN j0 <> '' AND json_valid(j0) THEN j0 END AS j FROM p)
 SELECT batch_id, j IS NOT NULL AS ok,
        json_extract_string(j, '$.business_name') AS business_name,
-       CAST(json_extract(j, '$.total_reviews') AS BIGINT) AS total_reviews,
+       CAST(CAST(json_extract(j, '$.total_reviews') AS BIGINT) AS DOUBLE) AS total_reviews,
        CAST(json_extract(j, '$.overall_score') AS DOUBLE) AS overall_score,
        CAST(json_extract(j, '$.sentiment_overview.positive') AS DOUBLE) AS positive,
        CAST(json_extract(j, '$.sentiment_overview.negative') AS DOUBLE) AS negative,
@@ -230,7 +231,8 @@ def q_report_answers(spark, sf_dir):
     """Report answers parsed into the typed report struct; a wrong type (weaknesses as
     a string) or an absent field reads as NULL, no JSON at all -> not ok."""
     r = fx_report_raw(spark, sf_dir).withColumn("rep", M.parse_report(M.extract_json("raw")))
-    return r.select("batch_id", F.col("rep").isNotNull().alias("ok"), "rep.business_name", "rep.total_reviews",
+    return r.select("batch_id", F.col("rep").isNotNull().alias("ok"), "rep.business_name",
+                    F.col("rep.total_reviews").cast("double").alias("total_reviews"),
                     "rep.overall_score", F.col("rep.sentiment_overview.positive").alias("positive"),
                     F.col("rep.sentiment_overview.negative").alias("negative"),
                     F.col("rep.sentiment_overview.neutral").alias("neutral"),

@@ -84,11 +84,11 @@ m AS (SELECT label, support, tp,
         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM per),
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
       FROM m)
-SELECT label, precision, recall, f1, support FROM f
-UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), sum(support) FROM f
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
+SELECT label, precision, recall, f1, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                 sum(f1 * support) / sum(support), sum(support) FROM f"""))
+                 sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM f"""))
 def q_eval_report(spark, sf_dir):
     """J5 + J6: per-class precision/recall/F1/support, accuracy, macro and weighted F1."""
     return J.class_report(fx_truth(spark, sf_dir))
@@ -161,7 +161,7 @@ def q_eval_retrieval_mae(spark, sf_dir):
                                           body=_sentiment_sql().replace("\nSELECT batch_id, NOT failed AS ok",
                                                                         ", checked AS (\nSELECT batch_id, NOT failed AS ok")
                                           + f""")
-SELECT count(*) AS cases, sum(n_errors) AS errors, sum(n_warnings) AS warnings,
+SELECT count(*) AS cases, CAST(sum(n_errors) AS BIGINT) AS errors, CAST(sum(n_warnings) AS BIGINT) AS warnings,
        count(*) FILTER (WHERE n_errors > 0) AS fixed, count(*) FILTER (WHERE n_errors > 0) * {D} / count(*) AS pct_fixed
 FROM checked WHERE ok"""))
 def q_eval_checker_coverage(spark, sf_dir):

@@ -48,8 +48,9 @@ SELECT m2.scope,
        CASE WHEN nb = 1 THEN u1 WHEN tot > 0 THEN 100 - p - n ELSE wu END AS neutral, summary,
        CASE WHEN nb = 1 THEN ph1 ELSE coalesce(ph.positive_highlights, '') END AS positive_highlights,
        CASE WHEN nb = 1 THEN nh1 ELSE coalesce(nh.negative_highlights, '') END AS negative_highlights,
-       CASE WHEN nb > 1 THEN tn END AS total_reviews_analyzed, CASE WHEN nb > 1 THEN nb END AS batches_processed,
-       CASE WHEN nb = 1 THEN tn END AS single_batch_size
+       CAST(CASE WHEN nb > 1 THEN tn END AS DOUBLE) AS total_reviews_analyzed,
+       CAST(CASE WHEN nb > 1 THEN nb END AS DOUBLE) AS batches_processed,
+       CAST(CASE WHEN nb = 1 THEN tn END AS DOUBLE) AS single_batch_size
 FROM m2 LEFT JOIN {_first_seen_sql('r', 'positive_highlights', 5)} ph USING (scope)
         LEFT JOIN {_first_seen_sql('r', 'negative_highlights', 5)} nh USING (scope)""")
 
@@ -60,7 +61,8 @@ def q_merge_sentiment(spark, sf_dir):
     return m.select("scope", "positive", "negative", "neutral", "summary",
                     F.array_join("positive_highlights", "|").alias("positive_highlights"),
                     F.array_join("negative_highlights", "|").alias("negative_highlights"),
-                    "total_reviews_analyzed", "batches_processed", "single_batch_size")
+                    *[F.col(c).cast("double").alias(c) for c in
+                      ["total_reviews_analyzed", "batches_processed", "single_batch_size"]])
 
 
 def _merge_topics_sql(denominator: str) -> str:
@@ -84,9 +86,10 @@ SELECT a.scope, a.topic,
        CASE WHEN nb = 1 THEN s1 WHEN sp >= sn AND sp >= su THEN 'positive' WHEN sn >= su THEN 'negative'
             ELSE 'neutral' END AS sentiment,
        CASE WHEN nb = 1 THEN score1 ELSE round_even(ws / {den}, 1) END AS score,
-       CASE WHEN nb = 1 THEN m1 ELSE mentions END AS mentions,
+       CAST(CASE WHEN nb = 1 THEN m1 ELSE mentions END AS BIGINT) AS mentions,
        CASE WHEN nb = 1 THEN k1 ELSE coalesce(kw.keywords, '') END AS keywords, summary,
-       CASE WHEN nb > 1 THEN tn END AS total_reviews_analyzed, CASE WHEN nb > 1 THEN nb END AS batches_processed
+       CAST(CASE WHEN nb > 1 THEN tn END AS DOUBLE) AS total_reviews_analyzed,
+       CAST(CASE WHEN nb > 1 THEN nb END AS DOUBLE) AS batches_processed
 FROM a JOIN t USING (scope) LEFT JOIN kw USING (scope, topic)""")
 
 
@@ -95,7 +98,8 @@ def _merged_topics(spark, sf_dir, denominator):
     m = G.merge_topics(fx_topic_results(spark, sf_dir), br, scope=["scope"], denominator=denominator)
     return m.select("scope", "topic", "sentiment", "score", "mentions",
                     F.array_join("keywords", "|").alias("keywords"), "summary",
-                    "total_reviews_analyzed", "batches_processed")
+                    F.col("total_reviews_analyzed").cast("double").alias("total_reviews_analyzed"),
+                    F.col("batches_processed").cast("double").alias("batches_processed"))
 
 
 @query("merge_topics", _merge_topics_sql("all"))

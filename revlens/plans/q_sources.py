@@ -87,8 +87,9 @@ def _cards(spark, sf_dir):
                CASE WHEN seq % 13 = 0 THEN '' ELSE text END AS text, seq FROM fx_reviews),
 k AS (SELECT business_name, CASE WHEN seq % 4 = 1 THEN CAST(split_part(aria_label, ' ', 1) AS INTEGER) END AS stars,
              text, seq FROM c WHERE seq % 4 <> 2 AND text <> '')
-SELECT business_name, stars, text FROM (
+SELECT business_name, CAST(stars AS DOUBLE) AS stars, text FROM (
   SELECT *, row_number() OVER (PARTITION BY business_name ORDER BY seq) AS rn FROM k) WHERE rn <= 100"""))
 def q_cards(spark, sf_dir):
     """Captured cards -> reviews, capped at 100 per business (the scraper's limit)."""
-    return R.normalise_cards(_cards(spark, sf_dir), limit=100).select("business_name", "stars", "text")
+    return R.normalise_cards(_cards(spark, sf_dir), limit=100).select(
+        "business_name", F.col("stars").cast("double").alias("stars"), "text")

@@ -67,7 +67,7 @@ SELECT * FROM (
   SELECT business_id, 'truncated', count(*) FROM tagged
   WHERE (reason IS NULL OR reason <> 'text') AND len_raw > 5000 GROUP BY ALL
   UNION ALL
-  SELECT business_id, 'duplicate', sum(copies - 1) FROM kept GROUP BY ALL
+  SELECT business_id, 'duplicate', CAST(sum(copies - 1) AS BIGINT) FROM kept GROUP BY ALL
   UNION ALL
   SELECT business_id, 'spam', count(*) FILTER (WHERE spam) FROM kept GROUP BY ALL)
 WHERE removed > 0"""))
