@@ -15,6 +15,7 @@ from .collect import rank_matches, reviews_of, search_businesses
 from .modelio import SENTIMENTS
 from .ordering import _cols
 from .profile import attach_one_row, stars_to_label
+from ..sources.literal import literal_table
 
 # --- fixed values -------------------------------------------------------------------
 EVAL_TEST_LIMIT = 100
@@ -44,7 +45,7 @@ def confusion(df: DataFrame, y: str = "y", p: str = "p", labels: Sequence[str] =
     Long form ``(y, p, n)``; ``pivot`` it for the 3 x 3 matrix."""
     counts = df.groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], "y string, p string")
+    grid = literal_table(spark, [(a, b) for a in labels for b in labels], "y string, p string")
     extra = counts.join(grid, ["y", "p"], "left_anti")   # labels outside the fixed set
     return (grid.join(counts, ["y", "p"], "left").select("y", "p", F.coalesce("n", F.lit(0)).alias("n"))
             .unionByName(extra))

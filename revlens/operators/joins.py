@@ -25,3 +25,12 @@ def join_checked(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how:
     n = known_rows if known_rows is not None else small.limit(max_rows + 1).count()
     right = F.broadcast(small) if n <= max_rows else small
     return big.join(right, on, how)
+
+
+def join_large(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Join two sides that both grow with the data (e.g. model answers with the per-batch
+    review corpus) as a sort-merge join on the key: never broadcast on an estimate, spills
+    instead of holding a hot key in memory, and AQE splits skewed key partitions.  When a
+    side is already hash-partitioned on the key (an aggregate by it) only the other side is
+    shuffled."""
+    return left.join(right.hint("merge"), on, how)

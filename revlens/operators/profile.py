@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import equal_width_bin
 from ..functions.text import py_strip, py_word_count
+from ..sources.literal import literal_table
 
 # --- fixed values -------------------------------------------------------------------
 FOOD_KEYWORDS = ["Restaurant", "Food", "Fast Food", "Burgers", "Pizza", "Sushi"]
@@ -225,7 +226,7 @@ def word_weights(rev: DataFrame, top: int = 80, stop_words: Sequence[str] | None
         from ..functions.text import spark_stop_words
         stop_words = spark_stop_words("english")
     spark = rev.sparkSession
-    sw = spark.createDataFrame([(w,) for w in sorted(set(stop_words))], "word string")
+    sw = literal_table(spark, [(w,) for w in sorted(set(stop_words))], "word string")
     src = rev.withColumn("label", stars_to_label("stars")) if by == "label" and "label" not in rev.columns else rev
     toks = src.select(by, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_][\\p{L}\\p{N}_']+"), 0))
                       .alias("word"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .modelio import SENTIMENTS, TOPICS
 from .ordering import _cols
+from ..sources.literal import literal_table
 
 # --- fixed values -------------------------------------------------------------------
 MAX_STRENGTHS = 3
@@ -34,7 +35,7 @@ ERROR_STAGES = ["no_reviews", "no_valid_reviews", "sentiment_failed", "topic_fai
 
 
 def action_catalogue(spark, rows=ACTION_CATALOGUE) -> DataFrame:
-    return spark.createDataFrame(rows, "topic string, max_score double, priority int, action string")
+    return literal_table(spark, rows, "topic string, max_score double, priority int, action string")
 
 
 def _ranked_list(df: DataFrame, scope: list[str], order, n: int, item: str, out: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .modelio import TOPIC_QUERIES, TOPICS
 from .ordering import _cols, keep_first
 from .profile import attach_one_row
+from ..sources.literal import literal_table
 
 # --- fixed values -------------------------------------------------------------------
 DEFAULT_TOP_K = 10
@@ -89,7 +90,7 @@ def topic_query_table(spark, topics: dict[str, str] | None = None) -> DataFrame:
     topics = topics or TOPIC_QUERIES
     rows = [(t, i, topics[t]) for i, t in enumerate(TOPICS) if t in topics] + \
         [(t, len(TOPICS) + i, q) for i, (t, q) in enumerate(topics.items()) if t not in TOPICS]
-    return spark.createDataFrame(rows, "topic string, topic_ord int, query string")
+    return literal_table(spark, rows, "topic string, topic_ord int, query string")
 
 
 def _tokens(text: Column) -> Column:
@@ -101,35 +102,45 @@ def tfidf_topk(reviews: DataFrame, queries: DataFrame, k: int = MANAGER_TOP_K,
                qid_col: str = "topic", qtext_col: str = "query") -> DataFrame:
     """D1 built-in path + D3/D4: TF-IDF cosine between each review and each query text.
 
-    Relational throughout: tokens are exploded, term frequencies and document
-    frequencies are aggregates, the review norm an aggregate per review, and the dot
-    product only needs the (few) query terms, which are attached as a bounded map.
-    IDF is computed per scope (the reference builds one index per business).
+    Relational throughout.  The text is tokenized once into an index of distinct
+    (scope, review, term) pairs with their counts (map-side combined before the shuffle),
+    written once (``materialize``) because three branches read it; the reference likewise
+    builds one index per business and then queries it.  Document frequency is a
+    partial-aggregated count per (scope, term) joined back on that key (AQE splits a hot
+    key, e.g. a common word of a huge business), the per-scope review count is attached
+    behind a row-count check.  The query branch first cuts the index down to the (bounded,
+    broadcast) query terms with a semi-join, so only the review norms touch every pair.
     Reviews that share no term with a query score 0 and still rank (by id) when fewer
     than k reviews match, as an index returns k neighbours regardless.
     """
+    from .joins import join_checked
+    from .lineage import materialize
     scope = _cols(scope)
-    toks = reviews.select(*scope, id_col, F.explode(_tokens(F.col(text_col))).alias("term"))
-    tf = toks.groupBy(*scope, id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = reviews.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"))
-    df_ = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_.join(n_docs, scope).withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)
-    w = tf.join(idf.select(*scope, "term", "idf"), [*scope, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy(*scope, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
     qterms = (queries.select(F.col(qid_col).alias("q"), F.explode(_tokens(F.col(qtext_col))).alias("term"))
               .groupBy("q", "term").agg(F.count(F.lit(1)).alias("qtf")))
     n_qterms = qterms.limit(MAX_QUERIES + 1).count()
     if n_qterms > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} distinct query terms")
-    # review terms meet the (size-checked, broadcast) query terms: an equi-join on term
-    hits = w.join(F.broadcast(qterms), "term")
-    dots = (hits.select(*scope, id_col, F.col("q").alias(qid_col),
-                        (F.col("w") * F.col("qtf") * F.col("idf")).alias("dot"))
-            .groupBy(*scope, id_col, qid_col).agg(F.sum("dot").alias("dot")))
+
+    toks = reviews.select(*scope, id_col, F.explode(_tokens(F.col(text_col))).alias("term"))
+    tf = materialize(toks.groupBy(*scope, id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    n_docs = reviews.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"))
+    dfc = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = (join_checked(dfc, n_docs, scope) if scope else attach_one_row(dfc, n_docs)).select(
+        *scope, "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+    w = tf.join(idf, [*scope, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    norms = w.groupBy(*scope, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # the query branch: only index pairs whose term is a query term (size-checked, broadcast)
+    qt = F.broadcast(qterms)
+    q_pairs = tf.join(F.broadcast(qterms.select("term").distinct()), "term", "left_semi")
+    q_idf = idf.join(F.broadcast(qterms.select("term").distinct()), "term", "left_semi")
+    hits = q_pairs.join(q_idf, [*scope, "term"]).join(qt, "term").select(
+        *scope, id_col, F.col("q").alias(qid_col),
+        (F.col("tf") * F.col("idf") * F.col("qtf") * F.col("idf")).alias("dot"))
+    dots = hits.groupBy(*scope, id_col, qid_col).agg(F.sum("dot").alias("dot"))
     # query norm per scope over the query terms present in the scope's vocabulary
-    qn = (idf.select(*scope, "term", "idf").join(F.broadcast(qterms), "term")   # qterms: bounded above
-          .groupBy(*scope, F.col("q").alias(qid_col))
+    qn = (q_idf.join(qt, "term").groupBy(*scope, F.col("q").alias(qid_col))
           .agg(F.sqrt(F.sum((F.col("qtf") * F.col("idf")) ** 2)).alias("qnorm")))
     scored_hits = (dots.join(norms, [*scope, id_col]).join(qn, [*scope, qid_col])
                    .select(*scope, id_col, qid_col, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .modelio import SENTIMENTS, TOPIC_QUERIES, TOPICS
 from .ordering import _cols
 from .profile import attach_one_row, stars_to_label
+from ..sources.literal import literal_table
 
 # --- fixed values -------------------------------------------------------------------
 MAX_HIGHLIGHTS = 5
@@ -117,7 +118,7 @@ def lexicon_table(spark, topics: dict[str, str] | None = None) -> DataFrame:
     for j, (t, q) in enumerate(topics.items()):
         for w in dict.fromkeys(q.lower().split()):
             rows.append((t, order.get(t, len(TOPICS) + j), w))
-    return spark.createDataFrame(rows, "topic string, topic_ord int, word string")
+    return literal_table(spark, rows, "topic string, topic_ord int, word string")
 
 
 def topic_stats(reviews: DataFrame, lexicon: DataFrame, scope: Sequence[str] = ("business_id",),

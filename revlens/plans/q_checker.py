@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import checker as K
 from ..operators import merge as G
 from ..operators import modelio as M
+from ..operators.joins import join_large
 from ..sources.fixtures import (FX_BATCH_CORPUS_SQL, FX_MODEL_RAW_SQL, FX_REVIEWS_SQL, FX_TOPIC_RAW_SQL,
                                 TOPIC_NAMES, fx_batch_corpus, fx_model_raw, fx_reviews, fx_topic_raw, with_ctes)
 from .catalog import query
@@ -82,7 +83,7 @@ FROM h"""
 def checked_sentiment(spark, sf_dir):
     raw = fx_model_raw(spark, sf_dir)
     corpus = M.review_block(fx_batch_corpus(spark, sf_dir), ["batch_id"]).select("batch_id", "corpus")
-    parsed = raw.join(corpus, "batch_id", "left").withColumn("v", M.extract_json("raw"))
+    parsed = join_large(raw, corpus, "batch_id", "left").withColumn("v", M.extract_json("raw"))
     return K.check_sentiment(parsed)
 
 
@@ -166,7 +167,7 @@ e AS (SELECT batch_id,
 def checked_topics(spark, sf_dir):
     raw = fx_topic_raw(spark, sf_dir)
     corpus = M.review_block(fx_batch_corpus(spark, sf_dir), ["batch_id"]).select("batch_id", "corpus")
-    parsed = raw.join(corpus, "batch_id", "left").withColumn("v", M.extract_json(M.strip_fence("raw")))
+    parsed = join_large(raw, corpus, "batch_id", "left").withColumn("v", M.extract_json(M.strip_fence("raw")))
     return K.check_topics(parsed)
 
 

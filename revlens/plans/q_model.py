@@ -156,14 +156,15 @@ def q_model_hook_merge(spark, sf_dir):
     from ..operators import checker as K
     from ..operators import merge as G
     from ..operators import modelio as M
+    from ..operators.joins import join_large
     clean = V.validate_reviews(fx_reviews(spark, sf_dir), ["business_id"])
     b = G.split_batches(clean, ["business_id"], "seq", batch_size=20)
     blocks = M.review_block(b, ["business_id", "batch_id"])
     sizes = b.groupBy("business_id", "batch_id").agg(F.first("batch_size").alias("batch_size"))
     raw = M.score_batches(blocks, keyword_scorer, keys=["business_id", "batch_id"])
-    parsed = (raw.join(blocks.select("business_id", "batch_id", "corpus"), ["business_id", "batch_id"])
+    parsed = (join_large(raw, blocks.select("business_id", "batch_id", "corpus"), ["business_id", "batch_id"])
               .withColumn("v", M.extract_json("raw")))
-    checked = K.check_sentiment(parsed).join(sizes, ["business_id", "batch_id"])
+    checked = join_large(K.check_sentiment(parsed), sizes, ["business_id", "batch_id"])
     merged = G.merge_sentiment(checked, scope=["business_id"])
     return merged.select("business_id", "positive", "negative", "neutral", "summary",
                          F.array_join("positive_highlights", "|").alias("positive_highlights"),

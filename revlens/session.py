@@ -49,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a shared folder for checkpoints")
         d = tempfile.mkdtemp(prefix="revlens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
