@@ -107,13 +107,12 @@ def tfidf_topk(reviews: DataFrame, queries: DataFrame, k: int = MANAGER_TOP_K,
     written once (``materialize``) because three branches read it; the reference likewise
     builds one index per business and then queries it.  Document frequency is a
     partial-aggregated count per (scope, term) joined back on that key (AQE splits a hot
-    key, e.g. a common word of a huge business), the per-scope review count is attached
-    behind a row-count check.  The query branch first cuts the index down to the (bounded,
+    key, e.g. a common word of a huge business), the per-scope review count is joined on
+    the scope (broadcast by AQE only when its measured size is small).  The query branch first cuts the index down to the (bounded,
     broadcast) query terms with a semi-join, so only the review norms touch every pair.
     Reviews that share no term with a query score 0 and still rank (by id) when fewer
     than k reviews match, as an index returns k neighbours regardless.
     """
-    from .joins import join_checked
     from .lineage import materialize
     scope = _cols(scope)
     qterms = (queries.select(F.col(qid_col).alias("q"), F.explode(_tokens(F.col(qtext_col))).alias("term"))
@@ -126,7 +125,8 @@ def tfidf_topk(reviews: DataFrame, queries: DataFrame, k: int = MANAGER_TOP_K,
     tf = materialize(toks.groupBy(*scope, id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = reviews.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"))
     dfc = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = (join_checked(dfc, n_docs, scope) if scope else attach_one_row(dfc, n_docs)).select(
+    # per-scope review counts: AQE broadcasts them only when their measured shuffle output is small
+    idf = (dfc.join(n_docs, scope) if scope else attach_one_row(dfc, n_docs)).select(
         *scope, "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
     w = tf.join(idf, [*scope, "term"]).withColumn("w", F.col("tf") * F.col("idf"))

@@ -90,21 +90,35 @@ def highlight_phrases(labelled: DataFrame, scope: Sequence[str] = ("business_id"
                       id_col: str = "review_id", text: str = "text", n: int = MAX_HIGHLIGHTS) -> DataFrame:
     """Per scope and class (positive / negative), the ``n`` bigrams with the largest
     contrast ``df_in_class / n_in_class - df_elsewhere / n_elsewhere`` (> 0), ties by
-    phrase.  Document frequencies are aggregates; each review contributes a phrase once."""
+    phrase.  Each review contributes a phrase once.
+
+    One aggregate per (scope, phrase) counts the reviews of each class and of all classes
+    (map-side combined), one aggregate per scope gives the class sizes; the two meet in a
+    join on the scope (broadcast by AQE only when measured small), then each phrase row becomes one row per class and a partial top-n
+    keeps the best per (scope, class)."""
     scope = _cols(scope)
+    classes = ["positive", "negative"]
+    lab = F.col(label)
     # tokens are materialised once per review; the bigram lambda only indexes into them
-    tok = labelled.select(*scope, id_col, label, _tokens(F.col(text)).alias("_t"))
+    tok = labelled.select(*scope, label, _tokens(F.col(text)).alias("_t"))
     bi = (tok.filter(F.size("_t") >= 2)
-          .select(*scope, id_col, label, F.explode(F.array_distinct(_bigrams("_t"))).alias("phrase")))
-    dfc = bi.groupBy(*scope, label, "phrase").agg(F.count(F.lit(1)).alias("df"))
-    sizes = labelled.groupBy(*scope, label).agg(F.count(F.lit(1)).alias("n_class"))
-    tot = labelled.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_all"))
-    alldf = dfc.groupBy(*scope, "phrase").agg(F.sum("df").alias("df_all"))
-    s = (dfc.join(sizes, [*scope, label]).join(tot, scope).join(alldf, [*scope, "phrase"])
+          .select(*scope, label, F.explode(F.array_distinct(_bigrams("_t"))).alias("phrase")))
+    per_phrase = bi.groupBy(*scope, "phrase").agg(
+        *[F.count_if(lab == c).alias(f"_df_{c}") for c in classes], F.count(F.lit(1)).alias("df_all"))
+    sizes = labelled.groupBy(*scope).agg(
+        *[F.count_if(lab == c).alias(f"_n_{c}") for c in classes], F.count(F.lit(1)).alias("n_all"))
+    # per-scope sizes: AQE broadcasts them only when their measured shuffle output is small
+    j = per_phrase.join(sizes, scope) if scope else attach_one_row(per_phrase, sizes)
+    per_class = F.explode(F.array(*[
+        F.struct(F.lit(c).alias(label), F.col(f"_df_{c}").alias("df"), F.col(f"_n_{c}").alias("n_class"))
+        for c in classes])).alias("_c")
+    s = (j.select(*scope, "phrase", "df_all", "n_all", per_class)
+         .select(*scope, "phrase", "_c.*", "df_all", "n_all")
+         .filter(F.col("df") > 0)
          .withColumn("contrast", F.col("df") / F.col("n_class")
                      - F.when(F.col("n_all") > F.col("n_class"),
                               (F.col("df_all") - F.col("df")) / (F.col("n_all") - F.col("n_class"))).otherwise(0.0))
-         .filter(F.col(label).isin("positive", "negative") & (F.col("contrast") > 0)))
+         .filter(F.col("contrast") > 0))
     w = Window.partitionBy(*scope, label).orderBy(F.desc("contrast"), F.desc("df"), F.asc("phrase"))
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(
         *scope, label, "rank", "phrase", "df", "contrast")
