@@ -142,8 +142,10 @@ def q_eval_retrieval_mae(spark, sf_dir):
     """J10 + J11: predicted sentiment shares over all clean reviews vs over the distinct
     retrieval set, each compared with the star-derived truth by 3-class MAE.  (The
     predictor here is a fixed rule on the ``useful`` column, standing in for a model.)"""
+    from ..operators.lineage import materialize
     from ..operators.sentiment import sentiment_percentages
-    clean = V.validate_reviews(fx_reviews(spark, sf_dir), ["business_id"])
+    # the clean table feeds the index, the candidates and three marts: validate it once
+    clean = materialize(V.validate_reviews(fx_reviews(spark, sf_dir), ["business_id"]))
     hits = _topic_hits(spark, sf_dir, clean)
     ragset = (hits.join(clean.select("review_id", "text", "useful"), "review_id")
               .select("business_id", "text", "useful").distinct())
