@@ -114,9 +114,9 @@ def check_sentiment(df: DataFrame, v: str = "v", corpus: str = "corpus") -> Data
         "errors": errors, "warnings": warnings,
     }
     out = df.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    for k, e in res.items():
-        out = out.withColumn(k, F.when(F.col("ok"), e))
-    return out.drop(*[f"_g_{k}" for k in SENTIMENT_KEYS])
+    helper = [f"_g_{k}" for k in SENTIMENT_KEYS]
+    keep = [c for c in df.columns if c not in helper and c not in res]
+    return out.select(*keep, "ok", *[F.when(F.col("ok"), e).alias(k) for k, e in res.items()])
 
 
 _TOPIC_FIELDS = ["score", "sentiment", "mentions", "keywords", "summary"]
@@ -193,10 +193,9 @@ def check_topics(df: DataFrame, v: str = "v", corpus: str = "corpus") -> DataFra
     errors = F.concat(missing, *[parts[t][2] for t in TOPICS])
     warnings = F.concat(*[parts[t][3] for t in TOPICS])
     out = df.withColumn("ok", F.coalesce(~fail, F.lit(False)))
-    for t in TOPICS:
-        out = out.withColumn(t, F.when(F.col("ok"), parts[t][0]))
-    out = out.withColumn("errors", F.when(F.col("ok"), errors)).withColumn("warnings", F.when(F.col("ok"), warnings))
-    return out.drop(*helper_cols)
+    res = {**{t: parts[t][0] for t in TOPICS}, "errors": errors, "warnings": warnings}
+    keep = [c for c in df.columns if c not in helper_cols and c not in res]
+    return out.select(*keep, "ok", *[F.when(F.col("ok"), e).alias(k) for k, e in res.items()])
 
 
 def topics_long(checked: DataFrame, keys: list[str]) -> DataFrame:
