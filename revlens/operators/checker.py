@@ -199,10 +199,14 @@ def check_topics(df: DataFrame, v: str = "v", corpus: str = "corpus") -> DataFra
 
 
 def topics_long(checked: DataFrame, keys: list[str]) -> DataFrame:
-    """E5 long form: one row per (answer, topic) for successful answers."""
+    """E5 long form: one row per (answer, topic) for successful answers.
+
+    A topic struct is NULL exactly when the answer failed, so the exploded struct is
+    tested instead of ``ok``: a filter on ``ok`` would be pushed below the checker's
+    projection and re-evaluate the whole parsed answer for every reference to it."""
     arr = F.array(*[F.struct(F.lit(i).alias("topic_ord"), F.lit(t).alias("topic"), F.col(t).alias("r"))
                     for i, t in enumerate(TOPICS)])
-    return (checked.filter("ok").select(*keys, F.explode(arr).alias("x"))
+    return (checked.select(*keys, F.explode(arr).alias("x")).filter(F.col("x.r").isNotNull())
             .select(*keys, "x.topic_ord", "x.topic", "x.r.present", "x.r.sentiment", "x.r.score",
                     "x.r.mentions", "x.r.keywords", "x.r.summary"))
 

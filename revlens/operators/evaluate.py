@@ -113,11 +113,13 @@ def mae3(a: Sequence[Column], b: Sequence[Column]) -> Column:
 def checker_coverage(checked: DataFrame) -> DataFrame:
     """Over checked answers: cases, total errors and warnings, answers fixed
     (errors > 0) and their share."""
-    ok = checked.filter("ok")
-    return ok.agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("errors")).alias("errors"),
-                  F.sum(F.size("warnings")).alias("warnings"),
-                  F.count_if(F.size("errors") > 0).alias("fixed"),
-                  (F.count_if(F.size("errors") > 0) * 100.0 / F.count(F.lit(1))).alias("pct_fixed"))
+    # conditional aggregates rather than a filter on ``ok``: the filter would be pushed
+    # below the checker's projection and re-evaluate the parsed answer per reference
+    ok = F.col("ok")
+    fixed = F.count_if(ok & (F.size("errors") > 0))
+    return checked.agg(F.count_if(ok).alias("cases"), F.sum(F.when(ok, F.size("errors"))).alias("errors"),
+                       F.sum(F.when(ok, F.size("warnings"))).alias("warnings"), fixed.alias("fixed"),
+                       (fixed * 100.0 / F.count_if(ok)).alias("pct_fixed"))
 
 
 __all__ = ["test_set", "predicted_label", "confusion", "class_report", "accuracy", "count_alignment",
