@@ -91,8 +91,14 @@ def histogram(df: DataFrame, col: str, bins: int = 50, clip: tuple[float, float]
         x = F.least(F.greatest(x, F.lit(float(clip[0]))), F.lit(float(clip[1])))
     vals = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
     bounds = vals.groupBy(*by).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    # one row per group (one row in all without groups)
-    joined = vals.join(bounds, by) if by else attach_one_row(vals, bounds)
+    # one row per group (one row in all without groups).  Groups are often a handful of
+    # labels: a shuffle join on such a key would send every row to a few tasks, so the
+    # bounds are broadcast once their row count is checked (shuffle join above the bound)
+    if by:
+        from .joins import join_checked
+        joined = join_checked(vals, bounds, by)
+    else:
+        joined = attach_one_row(vals, bounds)
     counts = (joined.withColumn("bin", equal_width_bin("_x", "lo", "hi", bins))
               .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n")))
     grid = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
