@@ -80,10 +80,23 @@ def search_businesses(biz: DataFrame, requests: Sequence[str] | str, city: str |
 
 def rank_matches(matches: DataFrame) -> DataFrame:
     """Per request, order by review_count descending, ties in file order; adds the
-    1-based ``match_rank``."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("request").orderBy(F.desc("review_count"), F.asc("seq"))
-    return matches.withColumn("match_rank", F.row_number().over(w))
+    1-based ``match_rank``.
+
+    A short search string can match a large share of all businesses, so the rank is a
+    skew-free dense position (``ordering.dense_index``: range-partitioned slices plus
+    running offsets), not a window that would hold a whole request in one task.  For the
+    best match only, use ``best_matches`` (a partial top-1)."""
+    from .ordering import dense_index
+    keyed = matches.withColumn("_ord", F.struct((-F.col("review_count")).alias("neg_count"), F.col("seq").alias("seq")))
+    ranked = dense_index(keyed, ["request"], "_ord", name="match_rank")
+    return ranked.select(*matches.columns, (F.col("match_rank") + 1).alias("match_rank"))
+
+
+def best_matches(matches: DataFrame, n: int = 1) -> DataFrame:
+    """The first ``n`` matches of each request in B3 order (WindowGroupLimit: each input
+    partition forwards at most ``n`` rows per request)."""
+    from .ordering import first_n
+    return first_n(matches, ["request"], [F.desc("review_count"), F.asc("seq")], n, rank_col="match_rank")
 
 
 def resolve(matches: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .collect import rank_matches, reviews_of, search_businesses
+from .collect import best_matches, reviews_of, search_businesses
 from .modelio import SENTIMENTS
 from .ordering import _cols
 from .profile import attach_one_row, stars_to_label
@@ -26,7 +26,7 @@ EVAL_SAMPLE = 30
 def test_set(biz: DataFrame, reviews: DataFrame, request: str, limit: int = EVAL_TEST_LIMIT) -> DataFrame:
     """Best match of a name search (most reviews, file order on ties), its first
     ``limit`` reviews, labelled from stars."""
-    best = rank_matches(search_businesses(biz, [request])).filter("match_rank = 1")
+    best = best_matches(search_businesses(biz, [request]), 1)
     rows = reviews_of(reviews, best, limit=limit)
     return rows.withColumn("ground_truth", stars_to_label("stars"))
 

@@ -81,3 +81,19 @@ def test_highlight_phrases_matches_bruteforce(spark):
                 if con > 0:
                     want[(b, c, p)] = round(con, 9)
     assert got == want
+
+
+def test_rank_matches_of_a_hot_request_equal_a_stable_sort(spark):
+    import random
+    from revlens.operators.collect import best_matches, rank_matches
+    rnd = random.Random(3)
+    rows = [("hot" if i % 10 else "cold", f"b{i}", rnd.randint(0, 20), i) for i in range(600)]
+    m = spark.createDataFrame(rows, "request string, business_id string, review_count long, seq long")
+    got = {(r.request, r.business_id): r.match_rank for r in rank_matches(m.repartition(7)).collect()}
+    want = {}
+    for req in ("hot", "cold"):
+        ordered = sorted((r for r in rows if r[0] == req), key=lambda r: (-r[2], r[3]))
+        want.update({(req, r[1]): i + 1 for i, r in enumerate(ordered)})
+    assert got == want
+    best = {r.request: r.business_id for r in best_matches(m, 1).collect()}
+    assert best == {req: b for (req, b), rank in want.items() if rank == 1}
