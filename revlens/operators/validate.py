@@ -157,6 +157,14 @@ def reject_counts(df: DataFrame, scope: Sequence[str] = ("business_id",), order:
     return out.filter(F.col("removed") > 0).select(*scope, "step", F.col("removed").cast("long"))
 
 
+def _shingle_set(text, shingle: int):
+    """Distinct overlapping ``shingle``-character substrings (the whole text when shorter):
+    a zero-width lookahead lets the regex report every window, no per-position lambda."""
+    t = F.col(text) if isinstance(text, str) else text
+    windows = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{shingle}}}))"), 1)
+    return F.when(F.length(t) < shingle, F.array(t)).otherwise(F.array_distinct(windows))
+
+
 def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), order: str = "seq",
                     threshold: float = NEAR_DUPLICATE_SIMILARITY, shingle: int = 5,
                     bands: int = 8, rows_per_band: int = 4) -> DataFrame:
@@ -166,33 +174,32 @@ def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), orde
     set has Jaccard similarity >= threshold with an earlier row of the same scope that
     shares a MinHash band bucket with it.
 
-    Linear, never all pairs: each (scope, band, bucket) elects its earliest member
-    (``min_by``, map-side combined) and every other member is compared with that one
-    representative only, then the exact Jaccard of the two shingle sets confirms.
+    Linear, never all pairs: MinHash values are per-document ``min`` aggregates over the
+    exploded shingle hashes (map-side combined); each (scope, band, bucket) elects its
+    earliest member and every other member is compared with that representative only; the
+    exact Jaccard of the two shingle sets, rebuilt from the two texts, confirms.
     """
     scope = _cols(scope)
-    sh = F.expr(f"array_distinct(transform(sequence(1, greatest(length(text) - {shingle} + 1, 1)), "
-                f"i -> substring(text, i, {shingle})))")
-    base = df.select(*scope, order, sh.alias("sh"))
     nh = bands * rows_per_band
-    # hash each shingle once, then derive the nh MinHash rows by re-hashing the 64-bit value
-    base = base.withColumn("hs", F.transform("sh", lambda s: F.xxhash64(s)))
-    sig = [F.array_min(F.transform("hs", lambda x, k=k: F.xxhash64(x, F.lit(k)))).alias(f"h{k}")
-           for k in range(nh)]
-    signed = base.select(*scope, order, "sh", *sig)
+    base = df.select(*scope, order, "text")
+    hashed = base.select(*scope, order, F.explode(_shingle_set("text", shingle)).alias("_s")) \
+        .select(*scope, order, F.xxhash64("_s").alias("_h"))
+    signed = hashed.groupBy(*scope, order).agg(
+        *[F.min(F.xxhash64(F.col("_h"), F.lit(k))).alias(f"h{k}") for k in range(nh)])
     band_keys = F.array(*[
         F.struct(F.lit(b).alias("band"),
                  F.xxhash64(*[F.col(f"h{b * rows_per_band + r}") for r in range(rows_per_band)]).alias("bucket"))
         for b in range(bands)])
-    exploded = signed.select(*scope, order, "sh", F.explode(band_keys).alias("bk")).select(
-        *scope, order, "sh", "bk.band", "bk.bucket")
-    reps = (exploded.groupBy(*scope, "band", "bucket")
-            .agg(F.min_by(F.struct(F.col(order).alias("rep"), F.col("sh").alias("rep_sh")), F.col(order)).alias("r"))
-            .select(*scope, "band", "bucket", "r.rep", "r.rep_sh"))
-    cand = (exploded.join(reps, [*scope, "band", "bucket"])
-            .filter(F.col(order) > F.col("rep"))
-            .withColumn("jaccard", F.size(F.array_intersect("sh", "rep_sh")) / F.size(F.array_union("sh", "rep_sh")))
-            .filter(F.col("jaccard") >= threshold))
-    best = cand.groupBy(*scope, order).agg(
+    exploded = signed.select(*scope, order, F.explode(band_keys).alias("bk")).select(
+        *scope, order, "bk.band", "bk.bucket")
+    reps = exploded.groupBy(*scope, "band", "bucket").agg(F.min(order).alias("rep"))
+    cand = (exploded.join(reps, [*scope, "band", "bucket"]).filter(F.col(order) > F.col("rep"))
+            .select(*scope, order, "rep").distinct())
+    texts = base.select(*scope, order, _shingle_set("text", shingle).alias("sh"))
+    rep_texts = texts.select(*scope, F.col(order).alias("rep"), F.col("sh").alias("rep_sh"))
+    scored = (cand.join(texts, [*scope, order]).join(rep_texts, [*scope, "rep"])
+              .withColumn("jaccard", F.size(F.array_intersect("sh", "rep_sh")) / F.size(F.array_union("sh", "rep_sh")))
+              .filter(F.col("jaccard") >= threshold))
+    best = scored.groupBy(*scope, order).agg(
         F.min_by(F.struct("rep", "jaccard"), F.col("rep")).alias("m"))
     return best.select(*scope, order, F.col("m.rep").alias("earlier_" + order), F.col("m.jaccard").alias("jaccard"))

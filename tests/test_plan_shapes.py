@@ -97,3 +97,25 @@ def test_rank_matches_of_a_hot_request_equal_a_stable_sort(spark):
     assert got == want
     best = {r.request: r.business_id for r in best_matches(m, 1).collect()}
     assert best == {req: b for (req, b), rank in want.items() if rank == 1}
+
+
+def test_near_duplicates_find_every_bruteforce_pair_on_driver_reviews(spark):
+    from collections import defaultdict
+
+    from revlens.operators.validate import near_duplicates
+    from revlens.sources.fixtures import fx_reviews
+    r = fx_reviews(spark, SF)
+    got = {(x.business_id, x.seq, x.earlier_seq) for x in near_duplicates(r, ["business_id"]).collect()}
+    by = defaultdict(list)
+    for x in r.select("business_id", "seq", "text").collect():
+        by[x.business_id].append((x.seq, {x.text[i:i + 5] for i in range(max(len(x.text) - 4, 1))}))
+    want = {}
+    for b, rows in by.items():
+        rows.sort(key=lambda t: t[0])
+        for i, (s, a) in enumerate(rows):
+            for e, c in rows[:i]:
+                if len(a & c) / len(a | c) >= 0.8:
+                    want.setdefault((b, s), set()).add(e)
+    # a reported pair is a true near-copy, and every row with an earlier near-copy is found
+    assert all(e in want.get((b, s), set()) for b, s, e in got)
+    assert {(b, s) for b, s, _ in got} == set(want)
