@@ -62,17 +62,21 @@ def merge_sentiment(results: DataFrame, scope: Sequence[str] = ("scope",), batch
     largest batch (first on ties).  Scopes whose batches all failed produce no row.
     """
     scope = _cols(scope)
-    r = results.filter(F.col(ok)) if ok else results
-    r = r.withColumnRenamed(batch, "batch_id").withColumnRenamed(size, "batch_size")
+    r = results.withColumnRenamed(batch, "batch_id").withColumnRenamed(size, "batch_size")
+    # failed batches are skipped inside the aggregates (conditional sums, NULL orderings for
+    # max_by/min_by) rather than by a filter on ``ok``: such a filter is pushed below a
+    # checker's projection and re-evaluates the parsed answer for every reference
+    good = F.col(ok) if ok else F.lit(True)
     n = F.col("batch_size")
     agg = r.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("n_batches"), F.sum(n).alias("total_n"),
-        *[F.sum(F.col(k) * n).alias(f"_w_{k}") for k in SENTIMENTS],
+        F.count_if(good).alias("n_batches"), F.sum(F.when(good, n)).alias("total_n"),
+        *[F.sum(F.when(good, F.col(k) * n)).alias(f"_w_{k}") for k in SENTIMENTS],
         # largest batch, first (smallest batch_id) on ties
         F.max_by(F.struct(*[F.col(k).alias(k) for k in
                             ["summary", "positive", "negative", "neutral", "batch_size"]]),
-                 F.struct(n, -F.col("batch_id"))).alias("_best"),
-        F.min_by(F.struct("positive_highlights", "negative_highlights"), F.col("batch_id")).alias("_only"))
+                 F.when(good, F.struct(n, -F.col("batch_id")))).alias("_best"),
+        F.min_by(F.struct("positive_highlights", "negative_highlights"),
+                 F.when(good, F.col("batch_id"))).alias("_only")).filter(F.col("n_batches") > 0)
     w = {k: F.col(f"_w_{k}") / F.col("total_n") for k in SENTIMENTS}
     tot = w["positive"] + w["negative"] + w["neutral"]
     p = F.when(tot > 0, F.rint(w["positive"] / tot * 100)).otherwise(w["positive"])
@@ -92,7 +96,8 @@ def merge_sentiment(results: DataFrame, scope: Sequence[str] = ("scope",), batch
 
     items = []
     for k in ["positive_highlights", "negative_highlights"]:
-        ex = r.select(*scope, "batch_id", F.posexplode(k).alias("pos", "item")).withColumn("kind", F.lit(k))
+        ex = (r.select(*scope, "batch_id", F.posexplode(F.when(good, F.col(k))).alias("pos", "item"))
+              .withColumn("kind", F.lit(k)))
         items.append(ex)
     hl = _first_seen(items[0].unionByName(items[1]), scope, ["kind"], "item", MAX_HIGHLIGHTS, "items")
     hl_wide = hl.groupBy(*scope).pivot("kind", ["positive_highlights", "negative_highlights"]).agg(F.first("items"))

@@ -131,7 +131,8 @@ def v_all_strings(v: Column) -> Column:
 
 # --- E7: user scorer hook ----------------------------------------------------------
 def score_batches(batches: DataFrame, scorer: Callable[[pd.Series], pd.Series],
-                  keys: Sequence[str] = ("scope", "batch_id"), block: str = "block") -> DataFrame:
+                  keys: Sequence[str] = ("scope", "batch_id"), block: str = "block",
+                  write_once: bool = True) -> DataFrame:
     """Call a user-supplied text model on every batch's input block.
 
     ``scorer`` maps a pandas Series of prompt blocks to a Series of raw answers.  It runs
@@ -139,6 +140,11 @@ def score_batches(batches: DataFrame, scorer: Callable[[pd.Series], pd.Series],
     scores many blocks).  Any exception for a batch gives an empty answer and the error
     text, as the reference turns every call error into an empty result.  Output:
     ``(keys..., raw, error)``.
+
+    ``write_once``: the answers are written once (reliable checkpoint) before they are
+    returned.  Checking and merging read them in several branches; without it every
+    branch would call the model again - the most expensive step, and a model need not
+    answer the same way twice.
     """
     keys = list(keys)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in batches.select(*keys).schema.fields]
@@ -163,7 +169,11 @@ def score_batches(batches: DataFrame, scorer: Callable[[pd.Series], pd.Series],
             out["error"] = list(err)
             yield out
 
-    return batches.select(*keys, block).mapInPandas(run, schema)
+    answers = batches.select(*keys, block).mapInPandas(run, schema)
+    if write_once:
+        from .lineage import materialize
+        answers = materialize(answers)
+    return answers
 
 
 # --- E6: report answer --------------------------------------------------------------
