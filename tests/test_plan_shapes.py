@@ -119,3 +119,23 @@ def test_near_duplicates_find_every_bruteforce_pair_on_driver_reviews(spark):
     # a reported pair is a true near-copy, and every row with an earlier near-copy is found
     assert all(e in want.get((b, s), set()) for b, s, e in got)
     assert {(b, s) for b, s, _ in got} == set(want)
+
+
+def test_model_is_called_once_per_batch_however_often_answers_are_read(spark):
+    import pandas as pd
+
+    from revlens.operators import modelio as M
+    calls = spark.sparkContext.accumulator(0)
+    answer = ('{"positive": 100, "negative": 0, "neutral": 0, "summary": "x", '
+              '"positive_highlights": [], "negative_highlights": []}')
+
+    def scorer(blocks: pd.Series) -> pd.Series:
+        calls.add(len(blocks))
+        return blocks.map(lambda b: answer)
+    batches = spark.createDataFrame([(i % 3, i, f"- review {i}") for i in range(12)],
+                                    "scope long, batch_id long, block string")
+    raw = M.score_batches(batches, scorer, keys=["scope", "batch_id"])
+    per_scope = raw.groupBy("scope").count().collect()
+    both = raw.join(raw.select("batch_id", F.col("raw").alias("again")), "batch_id").count()
+    assert sum(r["count"] for r in per_scope) == 12 and both == 12
+    assert calls.value == 12
