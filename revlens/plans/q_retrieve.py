@@ -86,7 +86,7 @@ SELECT business_id, md5(text) AS text_md5, CAST(o // 1000 AS INTEGER) AS topic_o
 def q_topic_union(spark, sf_dir):
     """Distinct texts of the four topic lists, in topic then rank order."""
     r = fx_reviews(spark, sf_dir)
-    h = _topic_hits(spark, sf_dir).join(D.topic_query_table(spark, DRIVER_TOPICS).select("topic", "topic_ord"), "topic")
+    h = _topic_hits(spark, sf_dir, r).join(D.topic_query_table(spark, DRIVER_TOPICS).select("topic", "topic_ord"), "topic")
     h = h.join(r.select("review_id", "text"), "review_id")
     u = D.union_topic_hits(h, ["business_id"])
     return u.select("business_id", F.md5("text").alias("text_md5"), "topic_ord", F.col("rank").cast("long"),
