@@ -139,3 +139,16 @@ def test_model_is_called_once_per_batch_however_often_answers_are_read(spark):
     both = raw.join(raw.select("batch_id", F.col("raw").alias("again")), "batch_id").count()
     assert sum(r["count"] for r in per_scope) == 12 and both == 12
     assert calls.value == 12
+
+
+def test_join_checked_broadcasts_only_within_rows_and_bytes(spark):
+    from revlens.operators.joins import join_checked
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k").withColumn("s", F.lit("x"))
+    def hinted(df):
+        return "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(join_checked(big, small, "k"))
+    wide = small.withColumn("s", F.repeat(F.col("s"), 1000))
+    assert not hinted(join_checked(big, wide, "k", max_bytes=5000))
+    assert not hinted(join_checked(big, small, "k", max_rows=5))
+    assert join_checked(big, wide, "k", max_bytes=5000).count() == 10
