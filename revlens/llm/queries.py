@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, radix_dedup, sharding, simhash
+from . import decontam, langid, lattice, mixing, preference, radix_dedup, secrets, sharding, simhash
 
 SP = r"[\x20\x09-\x0D]"
 WD = r"[^\x20\x09-\x0D]+"
@@ -56,6 +56,20 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_mixing, op5_exact_dedup, op6_sharding, op8_simhash)}
+def op7_preference_format(spark, sf_dir: str) -> DataFrame:
+    return preference.format_preferences(*preference.swapped_answers(table(spark, sf_dir, "conversations")))
+
+
+def op9_lattice_score(spark, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
+def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(secrets.scan(docs, secrets.train(secrets.samples_of(docs))))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_mixing, op5_exact_dedup, op6_sharding,
+                                   op7_preference_format, op8_simhash, op9_lattice_score, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
