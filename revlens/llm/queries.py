@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lattice, mixing, preference, radix_dedup, secrets, sharding, simhash
+from . import decontam, langid, lattice, mixing, pfp_dedup, preference, radix_dedup, secrets, sharding, simhash
 
 SP = r"[\x20\x09-\x0D]"
 WD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,10 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_repeat_removal(spark, sf_dir: str) -> DataFrame:
+    return pfp_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -69,7 +73,7 @@ def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(docs, secrets.train(secrets.samples_of(docs))))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_mixing, op5_exact_dedup, op6_sharding,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_repeat_removal, op4_mixing, op5_exact_dedup, op6_sharding,
                                    op7_preference_format, op8_simhash, op9_lattice_score, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
