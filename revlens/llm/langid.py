@@ -77,7 +77,7 @@ def _sample(labelled: DataFrame, max_rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2048,
-        dim: int = 16, buckets: int = BUCKETS, epochs: int = 40, rate: float = 20.0, max_reject: float = 0.001, seed: int = 5) -> Model | None:
+        dim: int = 16, buckets: int = BUCKETS, steps: int = 600, rate: float = 20.0, max_reject: float = 0.001, seed: int = 5) -> Model | None:
     """Train on a sample of ``max_rows`` labelled rows at most, shared equally among the languages.
 
     Rows without a label or without a letter are passed over.  None if there is no labelled row.
@@ -114,21 +114,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     e = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     w = rng.normal(0, 0.1, (dim, len(labels))).astype(np.float32)
     b = np.zeros(len(labels), np.float32)
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        rng.shuffle(train)
-        for i in range(0, len(train), 32):
-            xb, yb = x[train[i:i + 32]], y[train[i:i + 32]]
-            v = xb @ e
-            z = v @ w + b
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(yb)), yb] -= 1
-            p /= len(yb)
-            dv = p @ w.T
-            w -= step * 0.1 * (v.T @ p)
-            b -= step * 0.01 * p.sum(axis=0)
-            e -= step * (xb.T @ dv)
+    for k in range(steps):
+        step, own = rate * (1 - k / steps), rng.choice(train, 32)
+        xb, yb = x[own], y[own]
+        v = xb @ e
+        z = v @ w + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(yb)), yb] -= 1
+        p /= len(yb)
+        dv = p @ w.T
+        w -= step * 0.1 * (v.T @ p)
+        b -= step * 0.01 * p.sum(axis=0)
+        e -= step * (xb.T @ dv)
     use = held if held.any() else ~held
     z = ((x[use] @ e) @ w + b).astype(np.float64)
 
