@@ -38,7 +38,8 @@ def radix_groups(rows: DataFrame, first: int = 64, grow: int = 4) -> DataFrame:
                             F.expr(f"substring(body, {width + 1})").alias("rest"))
         groups = written(cut.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"))
                          .where("n > 1").withColumn("next", F.monotonically_increasing_id()), "radix-groups")
-        step = written(cut.join(groups, key, "left").select(
+        # sort-merge at every size: AQE splits the rows of a hot group, and the cost follows the rows
+        step = written(cut.join(groups.hint("merge"), key, "left").select(
             *others, F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("low"),
             F.col("next").alias("gid"), F.lit(level).alias("level"),
             F.when(F.col("n").isNotNull() & ~F.col("ended"), F.col("rest")).alias("body")), "radix-round")
