@@ -294,7 +294,7 @@ def _look_up(batches):
             size = lists[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             own = np.repeat(np.arange(j - i), size)
             at = np.searchsorted(words, h)
-            sums = [np.bincount(own, weights=x[at] * n, minlength=j - i) for x in (known, base, lp)]
+            sums = [np.bincount(own, weights=x[at] * n, minlength=j - i).astype(np.float64) for x in (known, base, lp)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(2), part.column(3), part.column(4), part.column(5), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
                 names=["rid", "doc_id", "held_out", "tokens", "known", "base", "lp"])

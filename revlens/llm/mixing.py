@@ -68,10 +68,12 @@ def _running(sums: DataFrame, key: str, bucket: str, value: str) -> DataFrame:
     return sums.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))).drop(value)
 
 
-def stream(docs: DataFrame, per_bucket: int = 20_000, seed: int = 7) -> DataFrame:
-    """``docs(rank, size, doc_id, h)`` -> with ``start``: words of the source's documents before it in shuffled order."""
-    rows = docs.count()
-    buckets = rows // per_bucket + 1
+def stream(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """``docs(rank, size, doc_id, h)`` -> with ``start``: words of the source's documents before it in shuffled order.
+
+    The root of ``rows`` buckets, so that rows in a bucket and sums over buckets grow alike.
+    """
+    buckets = isqrt(rows) + 1
     order = F.xxhash64(F.lit(seed), "doc_id", "h")
     d = docs.withColumn("o", order).withColumn("bucket", F.pmod(F.shiftright("o", 20), F.lit(buckets)))
     sums = d.groupBy("rank", "bucket").agg(F.sum("size").alias("size"))
@@ -118,7 +120,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
                                F.xxhash64(col(text)).alias("h")).withColumn("tag", F.monotonically_increasing_id()), "mix")
     plan = targets(weigh(base.groupBy("source").agg(F.sum("size").alias("source_size"))), most)
     # equal blocks, and each source's share of the points
-    total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     slots = density * (isqrt(total) + 1) if total else 0
     block = -(-total // slots) if total else 1
     slots = -(-total // block) if total else 0
@@ -132,7 +134,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     ranked = base.select("tag", "doc_id", "h", "size", "source").join(
         plan.select(F.col("source").alias("of"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))) \
         .drop("source", "of")
-    ranked = written(stream(ranked), "mix-stream")
+    ranked = written(stream(ranked, rows), "mix-stream")
     # the stream's blocks: pass e of the source starts at e * source_size
     passes = int(-(-most // 1))
     part = (ranked.where("size > 0").withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))

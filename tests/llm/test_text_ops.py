@@ -7,6 +7,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,12 +133,15 @@ def tokens(t):
 
 
 def recursed(p, s):
-    """Sum over all segmentations, by plain recursion over ends."""
-    at = [1.0] + [0.0] * len(s)
+    """Sum over all segmentations, every piece length tried at every end."""
+    longest = max(map(len, p.plain))
+    at = [0.0] + [-math.inf] * len(s)
     for j in range(1, len(s) + 1):
-        at[j] = at[j - 1] * math.exp(p.spelled(s[j - 1])) + sum(
-            at[i] * math.exp(p.plain[s[i:j]]) for i in range(max(0, j - 24), j) if s[i:j] in p.plain)
-    return math.log(at[-1])
+        at[j] = at[j - 1] + p.spelled(s[j - 1])
+        for i in range(max(0, j - longest), j):
+            if s[i:j] in p.plain:
+                at[j] = float(np.logaddexp(at[j], at[i] + p.plain[s[i:j]]))
+    return at[-1]
 
 
 def scores_want(rows):
