@@ -74,8 +74,9 @@ def stream(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     The root of ``rows`` buckets, so that rows in a bucket and sums over buckets grow alike.
     """
     buckets = isqrt(rows) + 1
-    order = F.xxhash64(F.lit(seed), "doc_id", "h")
-    d = docs.withColumn("o", order).withColumn("bucket", F.pmod(F.shiftright("o", 20), F.lit(buckets)))
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "h")
+    order = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+    d = docs.withColumn("o", order).withColumn("bucket", F.shiftright("o", 20) % F.lit(buckets))
     sums = d.groupBy("rank", "bucket").agg(F.sum("size").alias("size"))
     inside = Window.partitionBy("rank", "bucket").orderBy("o", "doc_id", "h", "size", "tag") \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +118,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     spark = docs.sparkSession
     base = written(docs.select(packed(docs.select(*[col(c) for c in carry]), "row"), col(doc_id).alias("doc_id"),
                                col(source).alias("source"), word_count(col(text)).alias("size"),
-                               F.xxhash64(col(text)).alias("h")).withColumn("tag", F.monotonically_increasing_id()), "mix")
+                               F.md5(F.coalesce(col(text).cast("string"), F.lit("")).cast("binary")).alias("h")).withColumn("tag", F.monotonically_increasing_id()), "mix")
     plan = targets(weigh(base.groupBy("source").agg(F.sum("size").alias("source_size"))), most)
     # equal blocks, and each source's share of the points
     total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lattice, mixing, pfp_dedup, preference, radix_dedup, secrets, sharding, simhash
-
-SP = r"[\x20\x09-\x0D]"
-WD = r"[^\x20\x09-\x0D]+"
-
+from . import decontam, langid, lattice, mixing, oracles, pfp_dedup, preference, radix_dedup, secrets, sharding, simhash
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,4 +72,11 @@ def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_repeat_removal, op4_mixing, op5_exact_dedup, op6_sharding,
                                    op7_preference_format, op8_simhash, op9_lattice_score, op10_secret_scan)}
 
-ORACLES: dict[str, str] = {}
+# the others learn a model, hash by a function that SQL lacks, or search all byte strings: tests hold them against plain Python
+ORACLES: dict[str, str] = {
+    "op2_decontamination": oracles.decontamination(decontam.MASKS, decontam.SPAN),
+    "op4_mixing": oracles.MIXING,
+    "op5_exact_dedup": oracles.EXACT_DEDUP,
+    "op6_sharding": oracles.SHARDING,
+    "op7_preference_format": oracles.PREFERENCE,
+}

@@ -91,7 +91,7 @@ def assign(docs: DataFrame, shards: int = 40, slots: int = SLOTS, text: str = "t
     crc = F.crc32(F.coalesce(col(text).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(packed(docs.select(*[col(c) for c in carry]), "row"), col(doc_id).alias("doc_id"),
                        size.alias("size"), crc.alias("text_crc32"), virtual_slot(col(doc_id), slots).alias("virtual_slot"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(64)))
+    rows = rows.withColumn("part", hash32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))) % 64)
     if carry == [doc_id]:
         rows = written(rows, "shard-rows")
     sums = written(rows.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "shard-parts")
