@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_checked
+from .joins import join_on
 from .ordering import first_n, keep_first
 
 # --- fixed values -------------------------------------------------------------------
@@ -117,11 +117,11 @@ def reviews_of(reviews: DataFrame, selected: DataFrame, limit: int | None = None
     selection; ``limit`` keeps the first N per business in file order (``limit`` 0 or
     None = all, as the reference's truthiness test).
 
-    The selection is broadcast only when counted small; otherwise a shuffle join.
+    A plain equi-join: Spark broadcasts the selection when its size allows, AQE splits a hot business.
     """
     sel = selected.select("business_id", F.col("name").alias("business_name")).dropDuplicates(["business_id"])
     base = reviews.drop("business_name") if "business_name" in reviews.columns else reviews
-    out = join_checked(base, sel, "business_id", "inner")
+    out = base.join(sel, "business_id")
     if limit:
         out = first_n(out, ["business_id"], F.col(order), limit)
     return out
@@ -144,7 +144,7 @@ def source_fallback(sources: dict[str, DataFrame], scope: str = "business_id") -
         t = df.withColumn("source", F.lit(name)).withColumn("source_rank", F.lit(SOURCE_RANK.get(name, 99)))
         tagged = t if tagged is None else tagged.unionByName(t, allowMissingColumns=True)
     best = tagged.groupBy(scope).agg(F.min("source_rank").alias("source_rank"))
-    return tagged.join(best, [scope, "source_rank"], "left_semi")
+    return join_on(tagged, best, [scope, "source_rank"], "left_semi")
 
 
 def combine_sources(sources: dict[str, DataFrame], scope: Sequence[str] = ("business_id",),

@@ -1,45 +1,30 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join helpers.
+
+Which side is broadcast is left to Spark's size statistics (static and, under AQE, measured);
+nothing here counts rows while a plan is built.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows and bytes up to which a side measured at run time is broadcast.  Beyond either
-# bound the join is left to a shuffle join (AQE may still pick a broadcast from runtime
-# statistics, and splits skewed partitions).
-BROADCAST_MAX_ROWS = 200_000
-BROADCAST_MAX_BYTES = 64 << 20
-
-
-def _row_bytes(df: DataFrame):
-    """Approximate encoded width of a row: string/binary bytes plus 8 per other field."""
-    parts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
-             if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema.fields]
-    return sum(parts[1:], parts[0]) if parts else F.lit(0)
-
-
-def join_checked(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner",
-                 max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None,
-                 max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Join ``big`` with ``small``, broadcasting ``small`` only when it is proven to hold
-    at most ``max_rows`` rows and ``max_bytes`` bytes.
-
-    ``known_rows`` is a static bound the caller guarantees for a fixed narrow table (e.g.
-    the 4-row topic table); without it one action on the first ``max_rows + 1`` rows of the
-    (already filtered/aggregated) small side measures both.  Above either bound no
-    broadcast is requested: Spark plans a shuffle join unless its own size statistics
-    prove the side small.
-    """
-    if known_rows is not None:
-        fits = known_rows <= max_rows
-    else:
-        probe = small.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                              F.sum(_row_bytes(small)).alias("b")).first()
-        fits = probe["n"] <= max_rows and (probe["b"] or 0) <= max_bytes
-    return big.join(F.broadcast(small) if fits else small, on, how)
+
+def join_on(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Equi-join on equally named columns where NULL equals NULL: a NULL scope is a scope of
+    its own, as it is in the aggregates on either side.  Each key comes back once."""
+    on = [on] if isinstance(on, str) else list(on)
+    other = right.select(*[F.col(f"`{c}`").alias(f"__right_{c}" if c in on else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(other[f"`__right_{k}`"]) for k in on])
+    out = left.join(other, same, how)
+    if how in ("left_semi", "left_anti"):
+        return out
+    if how in ("full", "outer", "full_outer"):
+        out = out.withColumns({k: F.coalesce(F.col(f"`{k}`"), F.col(f"`__right_{k}`")) for k in on})
+    return out.drop(*[f"__right_{k}" for k in on])
 
 
 def join_large(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .modelio import SENTIMENTS, TOPICS
+from .joins import join_on
 from .ordering import _cols, dense_index
 
 # --- fixed values -------------------------------------------------------------------
@@ -34,7 +35,7 @@ def split_batches(reviews: DataFrame, scope: Sequence[str] = ("business_id",), o
     idx = dense_index(reviews, scope, order, name="_pos")
     with_b = idx.withColumn("batch_id", F.floor(F.col("_pos") / batch_size).cast("long")).drop("_pos")
     sizes = with_b.groupBy(*scope, "batch_id").agg(F.count(F.lit(1)).alias("batch_size"))
-    return with_b.join(sizes, [*scope, "batch_id"])
+    return join_on(with_b, sizes, [*scope, "batch_id"])
 
 
 def _first_seen(items: DataFrame, scope: list[str], group: list[str], item: str, n: int,
@@ -102,7 +103,7 @@ def merge_sentiment(results: DataFrame, scope: Sequence[str] = ("scope",), batch
     hl = _first_seen(items[0].unionByName(items[1]), scope, ["kind"], "item", MAX_HIGHLIGHTS, "items")
     hl_wide = hl.groupBy(*scope).pivot("kind", ["positive_highlights", "negative_highlights"]).agg(F.first("items"))
     empty = F.array().cast("array<string>")
-    out = merged.join(hl_wide, scope, "left")
+    out = join_on(merged, hl_wide, scope, "left")
     return out.select(
         *scope, "positive", "negative", "neutral", "summary",
         F.when(F.col("n_batches") == 1, F.col("_pos_one"))
@@ -129,7 +130,7 @@ def merge_topics(topics: DataFrame, batches: DataFrame, scope: Sequence[str] = (
     t = topics.withColumnRenamed(batch, "batch_id").withColumnRenamed(size, "batch_size")
     b = batches.withColumnRenamed(batch, "batch_id").withColumnRenamed(size, "batch_size")
     totals = b.groupBy(*scope).agg(F.sum("batch_size").alias("total_n"), F.count(F.lit(1)).alias("n_batches"))
-    tw = t.join(b.select(*scope, "batch_id", "batch_size"), [*scope, "batch_id"]) if "batch_size" not in t.columns \
+    tw = join_on(t, b.select(*scope, "batch_id", "batch_size"), [*scope, "batch_id"]) if "batch_size" not in t.columns \
         else t
     n = F.col("batch_size")
     score = F.coalesce(F.col("score"), F.lit(DEFAULT_TOPIC_SCORE))
@@ -140,7 +141,7 @@ def merge_topics(topics: DataFrame, batches: DataFrame, scope: Sequence[str] = (
         F.max_by(F.col("summary"), F.struct(n, -F.col("batch_id"))).alias("summary"),
         F.min_by(F.struct(F.col("sentiment"), score.alias("score"), F.col("mentions"), F.col("keywords")),
                  F.col("batch_id")).alias("_one"))
-    j = agg.join(totals, scope)
+    j = join_on(agg, totals, scope)
     den = F.col("total_n") if denominator == "all" else F.col("_present_n")
     sp, sn, su = (F.col(f"_s_{s}") for s in SENTIMENTS)
     dom = F.when((sp >= sn) & (sp >= su), "positive").when(sn >= su, "negative").otherwise("neutral")
@@ -153,7 +154,7 @@ def merge_topics(topics: DataFrame, batches: DataFrame, scope: Sequence[str] = (
         F.col("summary"), F.col("_one.keywords").alias("_kw_one"), "n_batches", "total_n")
     kw = _first_seen(tw.select(*scope, "topic", "batch_id", F.posexplode("keywords").alias("pos", "kw")),
                      scope, ["topic"], "kw", MAX_KEYWORDS, "keywords")
-    out = merged.join(kw, [*scope, "topic"], "left")
+    out = join_on(merged, kw, [*scope, "topic"], "left")
     empty = F.array().cast("array<string>")
     order = F.array_position(F.array(*[F.lit(x) for x in TOPICS]), F.col("topic")).cast("int") - 1
     return out.select(

@@ -19,10 +19,10 @@ from ..functions.text import py_strip
 # --- fixed values -------------------------------------------------------------------
 TOPICS = ["food_quality", "service", "price", "ambiance"]
 TOPIC_QUERIES = {
-    "food_quality": "food taste quality delicious fresh",
-    "service": "service staff friendly waiter attentive",
-    "price": "price value expensive cheap worth",
-    "ambiance": "atmosphere ambiance decor music clean",
+    "food_quality": "food quality taste delicious menu dish meal",
+    "service": "service staff waiter attitude speed helpful",
+    "price": "price cost expensive cheap value worth money",
+    "ambiance": "ambiance atmosphere decor noise clean location",
 }
 SENTIMENTS = ["positive", "negative", "neutral"]
 SENTIMENT_KEYS = ["positive", "negative", "neutral", "summary", "positive_highlights", "negative_highlights"]
@@ -132,12 +132,12 @@ def v_all_strings(v: Column) -> Column:
 # --- E7: user scorer hook ----------------------------------------------------------
 def score_batches(batches: DataFrame, scorer: Callable[[pd.Series], pd.Series],
                   keys: Sequence[str] = ("scope", "batch_id"), block: str = "block",
-                  write_once: bool = True) -> DataFrame:
+                  write_once: bool = True, chunk: int = 16) -> DataFrame:
     """Call a user-supplied text model on every batch's input block.
 
     ``scorer`` maps a pandas Series of prompt blocks to a Series of raw answers.  It runs
     inside ``mapInPandas`` (Arrow batches; a model is loaded once per Python worker and
-    scores many blocks).  Any exception for a batch gives an empty answer and the error
+    scores ``chunk`` blocks per call).  Any exception for a block gives an empty answer and the error
     text, as the reference turns every call error into an empty result.  Output:
     ``(keys..., raw, error)``.
 
@@ -150,24 +150,22 @@ def score_batches(batches: DataFrame, scorer: Callable[[pd.Series], pd.Series],
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in batches.select(*keys).schema.fields]
                        + ["raw string", "error string"])
 
+    def answers_of(blocks: pd.Series) -> tuple[list, list]:
+        try:
+            return list(scorer(blocks)), [None] * len(blocks)
+        except Exception as e:  # noqa: BLE001
+            if len(blocks) == 1:
+                return [""], [f"{type(e).__name__}: {e}"]
+        # only this chunk is asked again, one block at a time, to find the one that fails
+        got = [answers_of(blocks.iloc[i:i + 1]) for i in range(len(blocks))]
+        return [r[0] for r, _ in got], [e[0] for _, e in got]
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            try:
-                raw = pd.Series(scorer(pdf[block]), index=pdf.index).astype(object)
-                err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            except Exception:  # noqa: BLE001
-                raw, err = [], []
-                for b in pdf[block]:
-                    try:
-                        raw.append(scorer(pd.Series([b])).iloc[0])
-                        err.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        raw.append("")
-                        err.append(f"{type(e).__name__}: {e}")
-            out = pdf[keys].copy()
-            out["raw"] = list(raw)
-            out["error"] = list(err)
-            yield out
+            for at in range(0, len(pdf), chunk):
+                part = pdf.iloc[at:at + chunk]
+                raw, err = answers_of(part[block])
+                yield part[keys].assign(raw=raw, error=err)
 
     answers = batches.select(*keys, block).mapInPandas(run, schema)
     if write_once:

@@ -65,26 +65,30 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: str = "seq",
     puts a whole key into one task:
 
     1. range-partition on ``(keys, order)`` and sort inside each slice: a hot key is cut
-       into several slices, each slice holds consecutive rows of a key,
-    2. the in-slice position comes from ``monotonically_increasing_id`` (slice id in the
-       high bits, row position in the low bits),
+       into several slices, each slice holds consecutive rows of a key; each row gets its
+       slice number and its place in the slice (``monotonically_increasing_id``),
+    2. this frame is written once (``materialize``): the bounds of a range exchange are
+       sampled anew in every exchange, so both steps below must read one written copy,
     3. per (key, slice) count the rows and take the first id - a table of at most
        keys + slices rows - and turn the counts into running offsets per key,
     4. position = offset of the slice + id - first id of the slice.
-    ``order`` must be unique within ``keys`` for the result to be deterministic.
+
+    NULL keys are a key of their own.  Rows equal in ``order`` are numbered in some order.
     """
+    from .joins import join_on
+    from .lineage import materialize
     keys = _cols(keys)
     n = num_slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order))
-              .sortWithinPartitions(*keys, order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_slice", F.spark_partition_id()))
+    ranged = materialize(df.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order))
+                         .sortWithinPartitions(*keys, order)
+                         .withColumn("_mid", F.monotonically_increasing_id())
+                         .withColumn("_slice", F.spark_partition_id()))
     counts = ranged.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"),
                                                 F.min("_mid").alias("_mid0"))
     wk = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_slice")
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).drop("_n")
-    return (ranged.join(offsets, [*keys, "_slice"], "inner")
+    return (join_on(ranged, offsets, [*keys, "_slice"])
             .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_mid0")).cast("long"))
             .drop("_slice", "_mid", "_mid0", "_off"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import equal_width_bin
 from ..functions.text import py_strip, py_word_count
 from ..sources.literal import literal_table
+from .joins import join_on
 
 # --- fixed values -------------------------------------------------------------------
 FOOD_KEYWORDS = ["Restaurant", "Food", "Fast Food", "Burgers", "Pizza", "Sushi"]
@@ -91,19 +92,17 @@ def histogram(df: DataFrame, col: str, bins: int = 50, clip: tuple[float, float]
         x = F.least(F.greatest(x, F.lit(float(clip[0]))), F.lit(float(clip[1])))
     vals = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
     bounds = vals.groupBy(*by).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    # one row per group (one row in all without groups).  Groups are often a handful of
-    # labels: a shuffle join on such a key would send every row to a few tasks, so the
-    # bounds are broadcast once their row count is checked (shuffle join above the bound)
+    # one row per group (one row in all without groups), broadcast by Spark when that is
+    # small; beyond, AQE splits the rows of a hot group
     if by:
-        from .joins import join_checked
-        joined = join_checked(vals, bounds, by)
+        joined = join_on(vals, bounds, by)
     else:
         joined = attach_one_row(vals, bounds)
     counts = (joined.withColumn("bin", equal_width_bin("_x", "lo", "hi", bins))
               .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n")))
     grid = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("hi") - F.col("lo")) / bins
-    return (grid.join(counts, [*by, "bin"], "left")
+    return (join_on(grid, counts, [*by, "bin"], "left")
             .select(*by, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
                     (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
                     F.coalesce("n", F.lit(0)).alias("n")))
@@ -210,8 +209,9 @@ def length_by_label(rev: DataFrame, bins: int = 40, clip: float = 2000) -> DataF
 
 # I20
 def sample_key(id_col: str, seed: int = 42) -> "F.Column":
-    """Deterministic pseudo-random rank key from an integer id (same value in any engine)."""
-    return F.pmod(F.col(id_col) * F.lit(2654435761) + F.lit(seed), F.lit(4294967291))
+    """Deterministic pseudo-random rank key from any id: md5 of seed and id as text (same value
+    in any engine, no overflow; a struct id as Spark casts it to text)."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
 
 
 def sample_per_label(rev: DataFrame, n: int = 500, id_col: str = "seq", seed: int = 42) -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .modelio import SENTIMENTS, TOPICS
+from .joins import join_on
 from .ordering import _cols
 from ..sources.literal import literal_table
 
@@ -38,11 +39,10 @@ def action_catalogue(spark, rows=ACTION_CATALOGUE) -> DataFrame:
     return literal_table(spark, rows, "topic string, max_score double, priority int, action string")
 
 
-def _ranked_list(df: DataFrame, scope: list[str], order, n: int, item: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*scope).orderBy(*order)
-    top = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    return (top.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("_r", item))).alias("_l"))
-            .select(*scope, F.transform("_l", lambda x: x[item]).alias(out)))
+def _first_names(items, keep, order, n: int, name: str):
+    """Names of the first ``n`` of an array of structs that pass ``keep``, by the fields of ``order``."""
+    ranked = F.array_sort(F.transform(F.filter(items, keep), lambda x: F.struct(*order(x), x[name].alias("name"))))
+    return F.slice(F.transform(ranked, lambda x: x["name"]), 1, n)
 
 
 def build_report(sentiment: DataFrame, topics: DataFrame, catalogue: DataFrame,
@@ -54,31 +54,33 @@ def build_report(sentiment: DataFrame, topics: DataFrame, catalogue: DataFrame,
       topics by score asc (ties in topic order);
     * recommendations: up to 4 catalogue actions whose topic scored at most
       ``max_score``, by priority, then score, then topic order; priority_action = first.
-    Checker keys are not part of the report (H5)."""
+    Checker keys are not part of the report (H5).
+
+    The topics of a scope are gathered once into an array (one row per topic); the catalogue
+    is grouped by topic and joined plainly, so its size decides how it is joined."""
     scope = _cols(scope)
-    t = topics.select(*scope, "topic", "sentiment", "score", "mentions")
-    order = F.array_position(F.array(*[F.lit(x) for x in TOPICS]), F.col("topic"))
-    t = t.withColumn("topic_ord", order)
-    overall = t.groupBy(*scope).agg(
-        F.bround(F.avg(F.when(F.col("mentions") > 0, F.col("score"))), 1).alias("overall_score"))
-    strengths = _ranked_list(t.filter(F.col("sentiment") == "positive"), scope,
-                             [F.desc("score"), F.asc("topic_ord")], MAX_STRENGTHS, "topic", "strengths")
-    weaknesses = _ranked_list(t.filter(F.col("sentiment") == "negative"), scope,
-                              [F.asc("score"), F.asc("topic_ord")], MAX_WEAKNESSES, "topic", "weaknesses")
-    recs = (t.join(F.broadcast(catalogue), "topic")          # catalogue: small, user supplied
-            .filter(F.col("score") <= F.col("max_score")))
-    recs = _ranked_list(recs, scope, [F.asc("priority"), F.asc("score"), F.asc("topic_ord"), F.asc("action")],
-                        MAX_RECOMMENDATIONS, "action", "recommendations")
-    empty = F.array().cast("array<string>")
-    s = sentiment.select(*scope, *SENTIMENTS, *[c for c in ["summary", "total_reviews_analyzed"]
-                                                if c in sentiment.columns])
-    out = (s.join(overall, scope)                            # H4: both parts required
-           .join(strengths, scope, "left").join(weaknesses, scope, "left").join(recs, scope, "left"))
-    return out.select(
-        *scope, "overall_score", *SENTIMENTS,
-        F.coalesce("strengths", empty).alias("strengths"), F.coalesce("weaknesses", empty).alias("weaknesses"),
-        F.coalesce("recommendations", empty).alias("recommendations"),
-        F.try_element_at(F.coalesce("recommendations", empty), F.lit(1)).alias("priority_action"))
+    order = F.array_position(F.array(*[F.lit(x) for x in TOPICS]), F.col("topic")).alias("topic_ord")
+    actions = catalogue.groupBy("topic").agg(F.collect_list(F.struct("max_score", "priority", "action")).alias("actions"))
+    t = topics.select(*scope, "topic", "sentiment", "score", "mentions", order).join(actions, "topic", "left")
+    g = t.groupBy(*scope).agg(
+        F.bround(F.avg(F.when(F.col("mentions") > 0, F.col("score"))), 1).alias("overall_score"),
+        F.collect_list(F.struct("topic", "sentiment", "score", "topic_ord", "actions")).alias("_t"))
+    advice = F.flatten(F.transform("_t", lambda x: F.transform(
+        F.filter(F.coalesce(x["actions"], F.array().cast("array<struct<max_score:double,priority:int,action:string>>")),
+                 lambda a: x["score"] <= a["max_score"]),
+        lambda a: F.struct(a["priority"].alias("priority"), x["score"].alias("score"), x["topic_ord"].alias("topic_ord"),
+                           a["action"].alias("action")))))
+    g = g.select(
+        *scope, "overall_score",
+        _first_names("_t", lambda x: x["sentiment"] == "positive", lambda x: [-x["score"], x["topic_ord"]],
+                     MAX_STRENGTHS, "topic").alias("strengths"),
+        _first_names("_t", lambda x: x["sentiment"] == "negative", lambda x: [x["score"], x["topic_ord"]],
+                     MAX_WEAKNESSES, "topic").alias("weaknesses"),
+        F.slice(F.transform(F.array_sort(advice), lambda x: x["action"]), 1, MAX_RECOMMENDATIONS).alias("recommendations"))
+    s = sentiment.select(*scope, *SENTIMENTS)
+    return join_on(s, g, scope).select(                      # H4: both parts required
+        *scope, "overall_score", *SENTIMENTS, "strengths", "weaknesses", "recommendations",
+        F.try_element_at("recommendations", F.lit(1)).alias("priority_action"))
 
 
 def envelope(report: DataFrame, stats: DataFrame, sentiment: DataFrame, topics: DataFrame,
@@ -91,7 +93,7 @@ def envelope(report: DataFrame, stats: DataFrame, sentiment: DataFrame, topics:
     sd = sentiment.select(*scope, F.struct(*[c for c in sentiment.columns if c not in scope]).alias("sentiment_detail"))
     td = topics.groupBy(*scope).agg(F.array_sort(F.collect_list(
         F.struct(*["topic_ord", *[c for c in topics.columns if c not in scope and c != "topic_ord"]]))).alias("topic_detail"))
-    j = report.join(st, scope, "left").join(sd, scope, "left").join(td, scope, "left")
+    j = join_on(join_on(join_on(report, st, scope, "left"), sd, scope, "left"), td, scope, "left")
     meta = F.struct(F.lit(data_source).alias("data_source"), F.lit(use_rag).alias("use_rag"),
                     "validation_stats", "sentiment_detail", "topic_detail")
     return j.select(*[c for c in report.columns], meta.alias("metadata"))
@@ -107,7 +109,7 @@ def error_rows(requested: DataFrame, raw_counts: DataFrame, clean_counts: DataFr
     j = requested.select(*scope).distinct()
     for df, name in [(raw_counts, "_raw"), (clean_counts, "_clean"), (sentiment, "_sent"), (topics, "_top"),
                      (report, "_rep")]:
-        j = j.join(flag(df, name), scope, "left")
+        j = join_on(j, flag(df, name), scope, "left")
     reason = (F.when(F.col("_raw").isNull(), "no_reviews").when(F.col("_clean").isNull(), "no_valid_reviews")
               .when(F.col("_sent").isNull(), "sentiment_failed").when(F.col("_top").isNull(), "topic_failed")
               .when(F.col("_rep").isNull(), "report_failed"))
@@ -124,7 +126,7 @@ def chart_data(sentiment: DataFrame, topics: DataFrame, scope: Sequence[str] = (
         for i, x in enumerate(SENTIMENTS)])).alias("r")).select(*scope, "r.*")
     keys = sentiment.select(*scope).distinct()
     grid = keys.withColumn("topic", F.explode(F.array(*[F.lit(x) for x in TOPICS])))
-    tj = grid.join(topics.select(*scope, "topic", "score", "mentions"), [*scope, "topic"], "left")
+    tj = join_on(grid, topics.select(*scope, "topic", "score", "mentions"), [*scope, "topic"], "left")
     order = F.array_position(F.array(*[F.lit(x) for x in TOPICS]), F.col("topic")).cast("int") - 1
     t = tj.select(*scope, F.explode(F.array(
         F.struct(F.lit("topic_score").alias("chart"), order.alias("ord"), F.col("topic").alias("item"),

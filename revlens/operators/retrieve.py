@@ -13,8 +13,8 @@ Two embeddings are supported:
   scored with cosine similarity (``cosine_topk``);
 * the built-in text path (``tfidf_topk``): relational TF-IDF over tokens, no UDF.
 
-The query set is bounded (4 topics by default) and is attached to every row as one
-literal-sized array after a size check - there is no join of documents x queries.
+The stated query set (4 topics by default) meets every document: as one array row for
+vectors, by an equi-join on the terms for texts.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .modelio import TOPIC_QUERIES, TOPICS
-from .ordering import _cols, keep_first
+from .joins import join_on
+from .ordering import _cols
 from .profile import attach_one_row
 from ..sources.literal import literal_table
 
 # --- fixed values -------------------------------------------------------------------
 DEFAULT_TOP_K = 10
 MANAGER_TOP_K = 15
-MAX_QUERIES = 10_000          # queries are attached to every row: keep them bounded
 TOKEN_PATTERN = "[\\p{L}\\p{N}_]+"
 # ------------------------------------------------------------------------------------
 
@@ -50,11 +50,7 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / (_norm(a) * _norm(b))
 
 
-def _bounded_array(queries: DataFrame, cols: Sequence[str], max_rows: int = MAX_QUERIES) -> DataFrame:
-    n = queries.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"{n}+ queries: retrieval attaches the query set to every row; "
-                         f"keep it at most {max_rows} rows")
+def _as_array(queries: DataFrame, cols: Sequence[str]) -> DataFrame:
     return queries.agg(F.collect_list(F.struct(*cols)).alias("_queries"))
 
 
@@ -63,15 +59,18 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, sco
                 qvec_col: str = "qvec") -> DataFrame:
     """For every query and scope, the ``k`` documents with the highest cosine
     similarity (``k = min(k, n)``), most similar first, ties by id.  Output
-    ``(scope..., query, rank, id, score)``.  Exact (the reference's index is approximate)."""
+    ``(scope..., query, rank, id, score)``.  Exact (the reference's index is approximate).
+
+    Norms are taken once per vector; each partition keeps its own top k per query and scope
+    before anything is shuffled."""
     scope = _cols(scope)
-    q = _bounded_array(queries.select(F.col(qid_col).alias("q"),
-                                      F.transform(qvec_col, lambda x: x.cast("double")).alias("v")), ["q", "v"])
-    d = docs.select(*scope, id_col, F.transform(vec_col, lambda x: x.cast("double")).alias("_v"))
-    d = attach_one_row(d, q)
-    scored = d.select(*scope, id_col, F.explode(F.transform(
-        "_queries", lambda qq: F.struct(qq["q"].alias(qid_col), cosine(F.col("_v"), qq["v"]).alias("score"))))
-        .alias("_s")).select(*scope, id_col, f"_s.{qid_col}", "_s.score")
+    q = _as_array(queries.select(F.col(qid_col).alias("q"), F.transform(qvec_col, lambda x: x.cast("double")).alias("d"))
+                  .select("q", "d", _norm(F.col("d")).alias("n"))
+                  .select("q", F.transform("d", lambda x: x / F.col("n")).alias("v")), ["q", "v"])
+    d = docs.select(*scope, id_col, F.transform(vec_col, lambda x: x.cast("double")).alias("_d")) \
+        .withColumn("_n", _norm(F.col("_d"))).select(*scope, id_col, F.transform("_d", lambda x: x / F.col("_n")).alias("_v"))
+    scored = attach_one_row(d, q).select(*scope, id_col, "_v", F.explode("_queries").alias("_q")).select(
+        *scope, id_col, F.col("_q.q").alias(qid_col), _dot(F.col("_v"), F.col("_q.v")).alias("score"))
     return top_k(scored, [*scope, qid_col], k, id_col)
 
 
@@ -104,53 +103,49 @@ def tfidf_topk(reviews: DataFrame, queries: DataFrame, k: int = MANAGER_TOP_K,
 
     Relational throughout.  The text is tokenized once into an index of distinct
     (scope, review, term) pairs with their counts (map-side combined before the shuffle),
-    written once (``materialize``) because three branches read it; the reference likewise
-    builds one index per business and then queries it.  Document frequency is a
-    partial-aggregated count per (scope, term) joined back on that key (AQE splits a hot
-    key, e.g. a common word of a huge business), the per-scope review count is joined on
-    the scope (broadcast by AQE only when its measured size is small).  The query branch first cuts the index down to the (bounded,
-    broadcast) query terms with a semi-join, so only the review norms touch every pair.
-    Reviews that share no term with a query score 0 and still rank (by id) when fewer
-    than k reviews match, as an index returns k neighbours regardless.
+    written once (``materialize``) because several branches read it; the reference likewise
+    builds one index per business and then queries it.  Hits come first: the index joined
+    with the query terms.  Only the reviews that hit need a norm, so only their terms meet
+    the document frequencies.  Reviews that share no term with a query score 0 and still
+    rank (by id) where fewer than k reviews match, as an index returns k neighbours
+    regardless: only scopes that are short of k are filled, from their first 2k ids.
+    Joins are plain equi-joins (NULL scopes are scopes): Spark sizes them, AQE splits a hot
+    (business, common word) key.
     """
     from .lineage import materialize
     scope = _cols(scope)
-    qterms = (queries.select(F.col(qid_col).alias("q"), F.explode(_tokens(F.col(qtext_col))).alias("term"))
-              .groupBy("q", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    n_qterms = qterms.limit(MAX_QUERIES + 1).count()
-    if n_qterms > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} distinct query terms")
-
+    qt = (queries.select(F.col(qid_col).alias(qid_col), F.explode(_tokens(F.col(qtext_col))).alias("term"))
+          .groupBy(qid_col, "term").agg(F.count(F.lit(1)).alias("qtf")))
     toks = reviews.select(*scope, id_col, F.explode(_tokens(F.col(text_col))).alias("term"))
     tf = materialize(toks.groupBy(*scope, id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = reviews.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"))
     dfc = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    # per-scope review counts: AQE broadcasts them only when their measured shuffle output is small
-    idf = (dfc.join(n_docs, scope) if scope else attach_one_row(dfc, n_docs)).select(
+    idf = (join_on(dfc, n_docs, scope) if scope else attach_one_row(dfc, n_docs)).select(
         *scope, "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
-    w = tf.join(idf, [*scope, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    q_idf = idf.join(qt, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
+    hits = join_on(tf, q_idf, [*scope, "term"])
+    dots = materialize(hits.groupBy(*scope, id_col, qid_col).agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot")))
+    hit_ids = dots.select(*scope, id_col).distinct()
+    w = join_on(join_on(tf, hit_ids, [*scope, id_col], "left_semi"), idf, [*scope, "term"]) \
+        .select(*scope, id_col, (F.col("tf") * F.col("idf")).alias("w"))
     norms = w.groupBy(*scope, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    # the query branch: only index pairs whose term is a query term (size-checked, broadcast)
-    qt = F.broadcast(qterms)
-    q_pairs = tf.join(F.broadcast(qterms.select("term").distinct()), "term", "left_semi")
-    q_idf = idf.join(F.broadcast(qterms.select("term").distinct()), "term", "left_semi")
-    hits = q_pairs.join(q_idf, [*scope, "term"]).join(qt, "term").select(
-        *scope, id_col, F.col("q").alias(qid_col),
-        (F.col("tf") * F.col("idf") * F.col("qtf") * F.col("idf")).alias("dot"))
-    dots = hits.groupBy(*scope, id_col, qid_col).agg(F.sum("dot").alias("dot"))
     # query norm per scope over the query terms present in the scope's vocabulary
-    qn = (q_idf.join(qt, "term").groupBy(*scope, F.col("q").alias(qid_col))
-          .agg(F.sqrt(F.sum((F.col("qtf") * F.col("idf")) ** 2)).alias("qnorm")))
-    scored_hits = (dots.join(norms, [*scope, id_col]).join(qn, [*scope, qid_col])
-                   .select(*scope, id_col, qid_col, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")))
-    # every review x query gets a row (score 0 when no shared term): a bounded explode
-    qids = _bounded_array(queries.select(F.col(qid_col).alias("q")), ["q"])
-    base = attach_one_row(reviews.select(*scope, id_col), qids).select(
-        *scope, id_col, F.explode(F.transform("_queries", lambda x: x["q"])).alias(qid_col))
-    full = (base.join(scored_hits, [*scope, id_col, qid_col], "left")
-            .withColumn("score", F.coalesce("score", F.lit(0.0))))
-    return top_k(full, [*scope, qid_col], k, id_col)
+    qn = q_idf.groupBy(*scope, qid_col).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    scored = (join_on(join_on(dots, norms, [*scope, id_col]), qn, [*scope, qid_col])
+              .select(*scope, id_col, qid_col, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")))
+
+    have = dots.groupBy(*scope, qid_col).agg(F.count(F.lit(1)).alias("have"))
+    wanted = attach_one_row(n_docs, _as_array(queries.select(F.col(qid_col).alias("q")), ["q"])).select(
+        *scope, F.explode(F.transform("_queries", lambda x: x["q"])).alias(qid_col))
+    short = join_on(wanted, have, [*scope, qid_col], "left").filter(F.coalesce("have", F.lit(0)) < k).select(*scope, qid_col)
+    first = Window.partitionBy(*scope).orderBy(id_col)
+    spare = (reviews.select(*scope, id_col).withColumn("_r", F.row_number().over(first))
+             .filter(F.col("_r") <= 2 * k).drop("_r"))
+    fill = join_on(spare, short, scope) if scope else spare.join(short)
+    fill = join_on(fill, dots, [*scope, id_col, qid_col], "left_anti").select(
+        *scope, id_col, qid_col, F.lit(0.0).alias("score"))
+    return top_k(scored.unionByName(fill), [*scope, qid_col], k, id_col)
 
 
 def union_topic_hits(hits: DataFrame, scope: Sequence[str] = ("business_id",), topic_ord: str = "topic_ord",
@@ -169,7 +164,7 @@ def with_fallback(selected: DataFrame, all_reviews: DataFrame, scope: Sequence[s
     empty) use all their clean reviews.  ``source`` tells which."""
     scope = _cols(scope)
     have = selected.select(*scope).distinct()
-    rest = all_reviews.join(have, scope, "left_anti").withColumn("source", F.lit("all_reviews"))
+    rest = join_on(all_reviews, have, scope, "left_anti").withColumn("source", F.lit("all_reviews"))
     return selected.withColumn("source", F.lit("retrieval")).unionByName(rest, allowMissingColumns=True)
 
 
@@ -191,10 +186,6 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec_col: str = "em
             .select(F.col(label).alias("query"), F.transform("_l", lambda s: s["m"]).alias("qvec")))
 
 
-def keep_first_text(df: DataFrame, scope: Sequence[str], order: str = "seq") -> DataFrame:
-    return keep_first(df, [*_cols(scope), "text"], order)
-
-
 def embed_texts(df: DataFrame, load_model, text_col: str = "text", out_col: str = "embedding",
                 dim: int | None = None) -> DataFrame:
     """D1(c): embed a text column with a user model inside an iterator ``pandas_udf``.

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_star
 from ..functions.text import is_spam, nan_to_null, py_strip, to_numeric
+from .joins import join_on
 from .ordering import _cols, dense_index, keep_first
 
 # --- fixed values -------------------------------------------------------------------
@@ -109,7 +110,7 @@ def validation_stats(before: DataFrame, after: DataFrame, scope: Sequence[str] =
         F.avg(nan_to_null(F.col("stars").cast("double"))).alias("avg_stars_after"),
         F.avg(F.length("text").cast("double")).alias("avg_text_length"))
     if scope:
-        j = b.join(a, scope, "full_outer")
+        j = join_on(b, a, scope, "full_outer")
     else:  # global: two one-row aggregates
         from .profile import attach_one_row
         j = attach_one_row(b, a)
@@ -167,39 +168,47 @@ def _shingle_set(text, shingle: int):
 
 def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), order: str = "seq",
                     threshold: float = NEAR_DUPLICATE_SIMILARITY, shingle: int = 5,
-                    bands: int = 8, rows_per_band: int = 4) -> DataFrame:
+                    bands: int = 24, rows_per_band: int = 4) -> DataFrame:
     """C17 (optional; the reference declares the 0.8 threshold but never applies it).
 
     Returns ``(scope..., order, earlier_<order>, jaccard)`` for rows whose character-shingle
-    set has Jaccard similarity >= threshold with an earlier row of the same scope that
-    shares a MinHash band bucket with it.
-
-    Linear, never all pairs: MinHash values are per-document ``min`` aggregates over the
-    exploded shingle hashes (map-side combined); each (scope, band, bucket) elects its
-    earliest member and every other member is compared with that representative only; the
-    exact Jaccard of the two shingle sets, rebuilt from the two texts, confirms.
+    set has Jaccard similarity >= threshold with an earlier row of the same scope; the
+    earliest of the rows it was compared with and found similar to is named.
+
+    Equal texts are one text (its earliest row; later copies name it with similarity 1).
+    Different texts meet in MinHash band buckets: at similarity 0.8 two texts share one of
+    the 24 bands of 4 with probability 1 - (1 - 0.8**4)**24 > 0.99999.  In a bucket each
+    text is compared with the bucket's earliest and with the text before it, so a chain of
+    copies of copies is followed link by link; never all pairs of a bucket.  The exact
+    Jaccard of the two shingle sets, rebuilt from the two texts, confirms.
     """
     scope = _cols(scope)
     nh = bands * rows_per_band
-    base = df.select(*scope, order, "text")
-    hashed = base.select(*scope, order, F.explode(_shingle_set("text", shingle)).alias("_s")) \
-        .select(*scope, order, F.xxhash64("_s").alias("_h"))
-    signed = hashed.groupBy(*scope, order).agg(
+    same = [*scope, "_th", "text"]
+    base = df.select(*scope, order, "text").filter(F.col("text").isNotNull()).withColumn("_th", F.xxhash64("text"))
+    texts = base.groupBy(*same).agg(F.min(order).alias("_first"))
+    hashed = texts.select(*scope, "_first", F.explode(_shingle_set("text", shingle)).alias("_s")) \
+        .select(*scope, "_first", F.xxhash64("_s").alias("_h"))
+    signed = hashed.groupBy(*scope, "_first").agg(
         *[F.min(F.xxhash64(F.col("_h"), F.lit(k))).alias(f"h{k}") for k in range(nh)])
     band_keys = F.array(*[
         F.struct(F.lit(b).alias("band"),
                  F.xxhash64(*[F.col(f"h{b * rows_per_band + r}") for r in range(rows_per_band)]).alias("bucket"))
         for b in range(bands)])
-    exploded = signed.select(*scope, order, F.explode(band_keys).alias("bk")).select(
-        *scope, order, "bk.band", "bk.bucket")
-    reps = exploded.groupBy(*scope, "band", "bucket").agg(F.min(order).alias("rep"))
-    cand = (exploded.join(reps, [*scope, "band", "bucket"]).filter(F.col(order) > F.col("rep"))
-            .select(*scope, order, "rep").distinct())
-    texts = base.select(*scope, order, _shingle_set("text", shingle).alias("sh"))
-    rep_texts = texts.select(*scope, F.col(order).alias("rep"), F.col("sh").alias("rep_sh"))
-    scored = (cand.join(texts, [*scope, order]).join(rep_texts, [*scope, "rep"])
+    member = signed.select(*scope, "_first", F.explode(band_keys).alias("bk")).select(
+        *scope, "_first", "bk.band", "bk.bucket")
+    w = Window.partitionBy(*scope, "band", "bucket").orderBy("_first")
+    other = F.array(F.first("_first").over(w), F.lag("_first").over(w))
+    cand = (member.withColumn("_others", F.array_distinct(other)).withColumn("rep", F.explode("_others"))
+            .filter(F.col("rep") < F.col("_first")).select(*scope, "_first", "rep").distinct())
+    sets = texts.select(*scope, "_first", _shingle_set("text", shingle).alias("sh"))
+    rep_sets = sets.select(*scope, F.col("_first").alias("rep"), F.col("sh").alias("rep_sh"))
+    scored = (join_on(join_on(cand, sets, [*scope, "_first"]), rep_sets, [*scope, "rep"])
               .withColumn("jaccard", F.size(F.array_intersect("sh", "rep_sh")) / F.size(F.array_union("sh", "rep_sh")))
               .filter(F.col("jaccard") >= threshold))
-    best = scored.groupBy(*scope, order).agg(
-        F.min_by(F.struct("rep", "jaccard"), F.col("rep")).alias("m"))
-    return best.select(*scope, order, F.col("m.rep").alias("earlier_" + order), F.col("m.jaccard").alias("jaccard"))
+    best = scored.groupBy(*scope, "_first").agg(F.min_by(F.struct("rep", "jaccard"), F.col("rep")).alias("m"))
+    near = best.select(*scope, F.col("_first").alias(order), F.col("m.rep").alias("earlier_" + order),
+                       F.col("m.jaccard").alias("jaccard"))
+    copies = join_on(base, texts, same).filter(F.col(order) > F.col("_first")).select(
+        *scope, order, F.col("_first").alias("earlier_" + order), F.lit(1.0).alias("jaccard"))
+    return near.unionByName(copies)

@@ -197,7 +197,7 @@ def q_length_by_label(spark, sf_dir):
 SELECT label, review_id FROM (
   SELECT {_label_sql()} AS label, review_id,
          row_number() OVER (PARTITION BY {_label_sql()}
-                            ORDER BY (seq * 2654435761 + 42) % 4294967291, seq) AS rn
+                            ORDER BY md5('42:' || seq), seq) AS rn
   FROM fx_reviews) WHERE rn <= 500"""))
 def q_sample_per_label(spark, sf_dir):
     return P.sample_per_label(fx_reviews(spark, sf_dir), 500).select("label", "review_id")

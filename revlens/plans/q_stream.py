@@ -1,4 +1,4 @@
-"""Query for the landing-folder stream (A12): rows-only check (stateful, arrival order)."""
+"""Queries for the landing-folder stream (A12): rows with their batch (arrival order, rows-only), and the kept texts."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..sources.fixtures import fx_reviews
+from ..sources.fixtures import FX_REVIEWS_SQL, fx_reviews, with_ctes
 from ..sources.readers import write_csv
 from ..streaming.landing import run_landing_once
 from .catalog import query
+from .q_validate import TAGGED_SQL
 
 
-@query("landing_stream")
-def q_landing_stream(spark, sf_dir):
+def _landed(spark, sf_dir):
     """Uploads land as CSV files (one folder per language here); the stream validates
     each micro-batch (one file per trigger) and drops texts already kept for the same
     business by an earlier batch."""
@@ -23,7 +23,20 @@ def q_landing_stream(spark, sf_dir):
     landing, sink, ckpt = (os.path.join(base, x) for x in ("landing", "sink", "checkpoint"))
     src = fx_reviews(spark, sf_dir).select("business_name", F.col("stars").cast("string").alias("stars"),
                                             "text", "lang")
-    for lang in ["en", "de", "fr", "es"]:
-        write_csv(src.filter(F.col("lang") == lang).drop("lang").orderBy("text"), os.path.join(landing, lang))
-    out = run_landing_once(spark, landing, sink, ckpt, max_files_per_trigger=2)
-    return out.select("business_name", "stars", "text", "epoch")
+    for lang in ["en", "de", "fr", "es", None]:
+        own = F.col("lang") == lang if lang else F.coalesce(~F.col("lang").isin("en", "de", "fr", "es"), F.lit(True))
+        write_csv(src.filter(own).drop("lang").orderBy("text"), os.path.join(landing, lang or "other"))
+    return run_landing_once(spark, landing, sink, ckpt, max_files_per_trigger=2)
+
+
+@query("landing_stream")
+def q_landing_stream(spark, sf_dir):
+    """What the stream keeps, with the batch that kept it (arrival order decides that)."""
+    return _landed(spark, sf_dir).select("business_name", "stars", "text", "epoch")
+
+
+@query("landing_kept_texts", with_ctes(FX_REVIEWS_SQL, TAGGED_SQL, body="""
+SELECT DISTINCT business_name, md5(text) AS text_md5 FROM clean"""))
+def q_landing_kept(spark, sf_dir):
+    """The kept texts, which do not depend on the batches they came in."""
+    return _landed(spark, sf_dir).select("business_name", F.md5("text").alias("text_md5"))

@@ -9,6 +9,7 @@ not by name.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,37 +53,45 @@ def _with_file_order(df: DataFrame) -> DataFrame:
         .drop("_file", "_row")
 
 
-def _csv_header(spark: SparkSession, paths: list[str], encoding: str) -> list[str]:
-    # header only: a one-row read of each file (bounded by the number of files)
-    hdr = spark.read.options(**{**_CSV_OPTS, "header": "false", "encoding": encoding}).csv(paths).limit(1)
-    row = hdr.first()
-    return [c for c in row] if row else []
+def _csv_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[tuple[str, ...], str], list[str]]:
+    """Files by (header, encoding).  A3 decides on a file's bytes: UTF-8 when they are valid UTF-8,
+    else Latin-1.  One pass over the bytes; the driver gets a path, a header line and a flag per
+    file, as many as Spark's own listing of the input holds."""
+    raw = spark.read.format("binaryFile").load(list(paths)).select("path", F.col("content").cast("string").alias("t"), "content")
+    valid = F.is_valid_utf8(F.col("t"))
+    head = F.split(F.when(valid, F.col("t")).otherwise(F.decode("content", "ISO-8859-1")), "\r\n|\r|\n", 2)[0]
+    groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
+    for r in raw.select("path", valid.alias("valid"), head.alias("head")).collect():
+        names = next(csv.reader([r["head"].removeprefix("\ufeff")]), [])
+        if names:
+            groups.setdefault((tuple(names), "UTF-8" if r["valid"] else "ISO-8859-1"), []).append(r["path"])
+    return groups
 
 
-def _read_csv_strings(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
-    paths = list(paths)
-    header = _csv_header(spark, paths, encoding)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    df = spark.read.options(**_CSV_OPTS, encoding=encoding).schema(schema).csv(paths)
-    return _with_file_order(df)
+def _csv_frames(spark: SparkSession, paths: Sequence[str] | str) -> list[DataFrame]:
+    """One all-string frame per (header, encoding): every file is read by its own header."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    frames = []
+    for (names, encoding), files in sorted(_csv_groups(spark, paths).items()):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        frames.append(_with_file_order(spark.read.options(**_CSV_OPTS, encoding=encoding).schema(schema).csv(files)))
+    if not frames:
+        raise ValueError(f"no CSV file with a header in {paths}")
+    return frames
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
 
 
 def read_csv_any_encoding(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """A3: each file is decoded as UTF-8; files whose decode produced replacement
-    characters are re-read as Latin-1 (the reference's whole-file fallback, decided per
-    file).  Only the list of bad file names reaches the driver."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    utf8 = _read_csv_strings(spark, paths, "UTF-8")
-    bad_expr = F.lit(False)
-    for c in utf8.columns:
-        if c != "seq":
-            bad_expr = bad_expr | F.coalesce(F.col(c).contains("�"), F.lit(False))
-    bad = [r[0] for r in utf8.filter(bad_expr).select(F.col("seq.file")).distinct().collect()]
-    if not bad:
-        return utf8
-    good = utf8.filter(~F.col("seq.file").isin(bad))
-    latin = _read_csv_strings(spark, bad, "ISO-8859-1")
-    return good.unionByName(latin, allowMissingColumns=True)
+    """A3: each file is decoded as UTF-8 when its bytes are valid UTF-8, else as Latin-1 (the
+    reference's whole-file fallback, decided per file) and read by its own header; columns that
+    a file lacks are NULL."""
+    return _union(_csv_frames(spark, paths))
 
 
 def check_required(df: DataFrame, required: Sequence[str] = CSV_REQUIRED) -> None:
@@ -100,6 +109,10 @@ def fill_csv_defaults(df: DataFrame) -> DataFrame:
     if "review_id" not in df.columns:
         df = (dense_index(df, [], "seq", name="_i")
               .withColumn("review_id", F.concat(F.lit(CSV_ID_PREFIX), F.col("_i").cast("string"))).drop("_i"))
+    return _fill_other_defaults(df)
+
+
+def _fill_other_defaults(df: DataFrame) -> DataFrame:
     if "business_name" not in df.columns:
         df = df.withColumn("business_name", F.lit(CSV_OPTIONAL_DEFAULTS["business_name"]))
     if "date" not in df.columns:
@@ -124,12 +137,21 @@ def load_review_csv(spark: SparkSession, paths: Sequence[str] | str, clean: bool
     All cells are read as strings, pandas' NA tokens become NULL, the required columns
     are checked; A1 additionally fills defaults and cleans.
     """
-    raw = read_csv_any_encoding(spark, paths)
-    raw = raw.select(*[na_to_null(F.col(c)).alias(c) if c != "seq" else F.col(c) for c in raw.columns])
-    check_required(raw)
+    frames = [f.select(*[na_to_null(F.col(c)).alias(c) if c != "seq" else F.col(c) for c in f.columns])
+              for f in _csv_frames(spark, paths)]
+    for f in frames:
+        check_required(f)
     if not clean:
-        return raw
-    return clean_csv(fill_csv_defaults(raw))
+        return _union(frames)
+    # defaults belong to the files that lack a column; ids number all rows of the load
+    named = ["review_id" in f.columns for f in frames]
+    raw = _union([_fill_other_defaults(f).withColumn("_named", F.lit(n)) for f, n in zip(frames, named)])
+    if not all(named):
+        own = F.when(F.col("_named"), F.col("review_id")) if any(named) else F.lit(None).cast("string")
+        number = F.concat(F.lit(CSV_ID_PREFIX), F.col("_i").cast("string"))
+        raw = dense_index(raw, [], "seq", name="_i").withColumn(
+            "review_id", F.when(F.col("_named"), own).otherwise(number)).drop("_i")
+    return clean_csv(raw.drop("_named"))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> str:

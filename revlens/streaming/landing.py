@@ -4,16 +4,17 @@ The reference copies each uploaded CSV into a folder and analyses it on request.
 folder is a Structured Streaming file source: new ``*.csv`` files are read with a fixed
 all-string schema, cleaned and validated per micro-batch in ``foreachBatch`` and appended
 to a Parquet sink.  Keep-first dedup spans micro-batches: a review whose (scope, text)
-is already in the sink is dropped (an anti-join on a 64-bit text hash plus the text).
+was kept by an earlier batch is dropped.  Beside the sink stands a key table, the scope and 128
+hashed bits of each kept text; a batch is anti-joined with it, so the sink's texts are never
+read again.
 
-Exactly-once: each micro-batch writes its own ``epoch=<id>`` folder with dynamic
-partition overwrite, so a retried batch replaces its own output instead of appending
-twice, and the dedup anti-join only looks at earlier epochs.
+Exactly-once: each micro-batch overwrites its own ``epoch=<id>`` folder of both tables, also
+when it keeps nothing, so a retried batch replaces its own output, and the dedup anti-join only
+looks at earlier epochs.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import na_to_null
-from ..operators.validate import reject_counts, validate_reviews  # noqa: F401  (reject_counts: per-batch metrics)
+from ..operators.joins import join_on
+from ..operators.lineage import materialize
+from ..operators.validate import validate_reviews
 from ..sources.readers import clean_csv
 
 # --- fixed values -------------------------------------------------------------------
@@ -33,7 +36,11 @@ def landing_schema(columns: Sequence[str] = LANDING_COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _sink_exists(spark: SparkSession, path: str) -> bool:
+def key_table(sink_dir: str) -> str:
+    return sink_dir.rstrip("/") + "-keys"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -64,17 +71,14 @@ def start_landing_stream(spark: SparkSession, landing_dir: str, sink_dir: str, c
         b = b.withColumn("seq", F.struct("_mtime", "_file", "_row")).drop("_mtime", "_file", "_row")
         b = clean_csv(b)
         clean = validate_reviews(b, scope=scope, order="seq")
-        clean = clean.withColumn("text_hash", F.xxhash64("text"))
+        clean = materialize(clean.withColumns({"text_hash": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), F.col("text"))}))
         spark_ = batch.sparkSession
-        if _sink_exists(spark_, sink_dir):
-            seen = (spark_.read.parquet(sink_dir).filter(F.col("epoch") < epoch_id)
-                    .select(*scope, "text_hash", F.col("text").alias("_seen_text")))
-            cond = [clean[c] == seen[c] for c in scope] + [clean["text_hash"] == seen["text_hash"],
-                                                           clean["text"] == seen["_seen_text"]]
-            clean = clean.join(seen, cond, "left_anti")
-        out = clean.withColumn("epoch", F.lit(epoch_id).cast("long"))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch").parquet(sink_dir))
+        keys, match = key_table(sink_dir), [*scope, "text_hash", "_h2"]
+        if _exists(spark_, keys):
+            seen = spark_.read.parquet(keys).filter(F.col("epoch") < epoch_id).select(*match)
+            clean = materialize(join_on(clean, seen, match, "left_anti"))
+        clean.select(*match).write.mode("overwrite").parquet(f"{keys}/epoch={epoch_id}")
+        clean.drop("_h2").write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
 
     w = src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -89,7 +93,3 @@ def run_landing_once(spark: SparkSession, landing_dir: str, sink_dir: str, check
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(sink_dir)
-
-
-def scratch_paths(base: str, name: str) -> dict[str, str]:
-    return {k: os.path.join(base, name, k) for k in ("landing", "sink", "checkpoint")}

@@ -141,14 +141,32 @@ def test_model_is_called_once_per_batch_however_often_answers_are_read(spark):
     assert calls.value == 12
 
 
-def test_join_checked_broadcasts_only_within_rows_and_bytes(spark):
-    from revlens.operators.joins import join_checked
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k").withColumn("s", F.lit("x"))
-    def hinted(df):
-        return "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
-    assert hinted(join_checked(big, small, "k"))
-    wide = small.withColumn("s", F.repeat(F.col("s"), 1000))
-    assert not hinted(join_checked(big, wide, "k", max_bytes=5000))
-    assert not hinted(join_checked(big, small, "k", max_rows=5))
-    assert join_checked(big, wide, "k", max_bytes=5000).count() == 10
+def test_a_failing_block_is_found_by_asking_its_chunk_only(spark):
+    import pandas as pd
+
+    from revlens.operators import modelio as M
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(blocks: pd.Series) -> pd.Series:
+        calls.add(len(blocks))
+        if blocks.str.contains("boom").any():
+            raise RuntimeError("no answer")
+        return blocks.str.upper()
+    batches = spark.createDataFrame([(1, i, "boom" if i == 5 else f"b{i}") for i in range(40)],
+                                    "scope long, batch_id long, block string").coalesce(1)
+    got = {r.batch_id: (r.raw, r.error) for r in M.score_batches(batches, scorer, keys=["scope", "batch_id"], chunk=8).collect()}
+    assert got == {i: ("", "RuntimeError: no answer") if i == 5 else (f"B{i}", None) for i in range(40)}
+    assert calls.value == 40 + 8
+
+
+def test_join_on_matches_null_keys_and_keeps_each_key_once(spark):
+    from revlens.operators.joins import join_on
+    a = spark.createDataFrame([("x", 1), (None, 2), ("y", 3)], "k string, a long")
+    b = spark.createDataFrame([("x", 10), (None, 20), ("z", 30)], "k string, b long")
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=str)
+    assert rows(join_on(a, b, "k")) == sorted([("x", 1, 10), (None, 2, 20)], key=str)
+    assert rows(join_on(a, b, ["k"], "left_semi")) == sorted([("x", 1), (None, 2)], key=str)
+    assert rows(join_on(a, b, "k", "left_anti")) == [("y", 3)]
+    assert rows(join_on(a, b, "k", "full_outer")) == sorted([("x", 1, 10), (None, 2, 20), ("y", 3, None), ("z", None, 30)], key=str)

@@ -82,3 +82,24 @@ def test_embed_texts_matches_direct_model(spark):
     model = D.hashing_embedder(dim=32)()
     for i, v in enumerate(model(texts)):
         assert np.allclose(got[i], v, atol=1e-6)
+
+
+def test_cosine_takes_twenty_thousand_queries(spark):
+    ddf = spark.range(5).select(F.col("id").alias("doc_id"), F.array(F.cos(F.col("id").cast("double")), F.sin(F.col("id").cast("double"))).alias("embedding"))
+    qdf = spark.range(20_000).select(F.col("id").alias("query"), F.array(F.cos((F.col("id") % 5).cast("double")), F.sin((F.col("id") % 5).cast("double"))).alias("qvec"))
+    got = D.cosine_topk(ddf, qdf, k=1)
+    assert got.count() == 20_000 and got.where("doc_id != query % 5").count() == 0
+
+
+def test_tfidf_fills_only_to_k_and_equals_bruteforce_ranks(spark):
+    rows = [("b", f"r{i}", "food was fine" if i % 4 == 0 else "nothing of note here") for i in range(30)] + [(None, "n1", "food"), (None, "n2", "none")]
+    df = spark.createDataFrame(rows, "business_id string, review_id string, text string")
+    q = spark.createDataFrame([("f", "food"), ("z", "absent word")], "topic string, query string")
+    got = {}
+    for r in D.tfidf_topk(df, q, k=10).collect():
+        got.setdefault((r.business_id, r.topic), []).append((r["rank"], r.review_id, r.score > 0))
+    ids = sorted(x[1] for x in rows if x[0])
+    hits = sorted(x[1] for x in rows if x[0] and "food" in x[2])
+    want = hits + [i for i in ids if i not in hits]
+    assert [x[1] for x in sorted(got["b", "f"])] == want[:10] and [x[2] for x in sorted(got["b", "f"])] == [True] * 8 + [False] * 2
+    assert [x[1] for x in sorted(got["b", "z"])] == ids[:10] and len(got[None, "f"]) == 2

@@ -83,3 +83,69 @@ def test_search_resolve(spark):
     res = sorted((r.request, r.business_id) for r in B.resolve(m).collect())
     assert res == [("100%", "1"), ("bun", "3")]
     assert B.blank_request_errors(["pho", "  "]) == ["  "]
+
+
+def test_csv_files_are_read_by_their_own_header(spark):
+    d = tempfile.mkdtemp(prefix="revlens-csv-")
+    _write(os.path.join(d, "a.csv"), "text,stars\ngood food here,5\n")
+    _write(os.path.join(d, "b.csv"), "stars,review_id,text\n4,own,slow service here\n")
+    _write(os.path.join(d, "c.csv"), "business_name,stars,text\nCafé,3,fair price here\n", "latin-1")
+    got = {(r.text, r.stars, r.business_name, r.review_id) for r in R.load_review_csv(spark, d + "/*.csv").collect()}
+    assert got == {("good food here", 5.0, "Unknown", "csv_0"), ("slow service here", 4.0, "Unknown", "own"),
+                   ("fair price here", 3.0, "Café", "csv_2")}
+
+
+def test_csv_with_replacement_character_stays_utf8(spark):
+    d = tempfile.mkdtemp(prefix="revlens-csv-")
+    _write(os.path.join(d, "u.csv"), "text,stars\ncafé \ufffd good,5\n")
+    assert [r.text for r in R.load_review_csv(spark, d + "/u.csv").collect()] == ["café \ufffd good"]
+
+
+def test_csv_one_file_without_a_required_column_is_an_error(spark):
+    d = tempfile.mkdtemp(prefix="revlens-csv-")
+    _write(os.path.join(d, "a.csv"), "text,stars\ngood food here,5\n")
+    _write(os.path.join(d, "b.csv"), "text,rating\ngood food here,5\n")
+    try:
+        R.load_review_csv(spark, d + "/*.csv", clean=False)
+        raise AssertionError("expected ValueError")
+    except ValueError as e:
+        assert "stars" in str(e)
+
+
+def test_null_scopes_are_one_scope(spark):
+    before = spark.createDataFrame([(1, None, "good food here", 4.0), (2, None, "nice staff there", 5.0), (3, "b", "fair price here", 3.0)],
+                                   "seq long, business_id string, text string, stars double")
+    stats = {r.business_id: (r.total_before, r.total_after) for r in V.validation_stats(before, V.validate_reviews(before)).collect()}
+    assert stats == {None: (2, 2), "b": (1, 1)}
+    src = B.source_fallback({"yelp": before, "csv": before.filter("seq = 1")})
+    assert sorted((r.seq, r.source) for r in src.collect()) == [(1, "csv"), (3, "yelp")]
+
+
+def test_default_topic_queries_are_the_originals(spark):
+    from revlens.operators.modelio import TOPIC_QUERIES
+    assert TOPIC_QUERIES == {"food_quality": "food quality taste delicious menu dish meal", "service": "service staff waiter attitude speed helpful",
+                             "price": "price cost expensive cheap value worth money", "ambiance": "ambiance atmosphere decor noise clean location"}
+
+
+def test_sample_key_takes_any_id(spark):
+    from revlens.operators.profile import sample_per_label
+    rev = spark.createDataFrame([(4_000_000_000 + i, float(i % 5 + 1)) for i in range(50)], "seq long, stars double")
+    assert sample_per_label(rev, 5).groupBy().count().first()[0] == 15
+
+
+def test_near_duplicates_follow_chains_of_copies(spark):
+    import random
+    rnd = random.Random(4)
+    rows = []
+    for g in range(100):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(40)]
+        for c in range(3):
+            rows.append((len(rows), "b", " ".join(words)))
+            words = words[:]
+            for _ in range(1):
+                words[rnd.randrange(40)] = f"x{rnd.randrange(5000)}"
+    df = spark.createDataFrame(rows, "seq long, business_id string, text string")
+    got = {r.seq for r in V.near_duplicates(df).collect()}
+    sets = [{t[i:i + 5] for i in range(len(t) - 4)} for _, _, t in rows]
+    want = {i for i in range(len(rows)) for j in range(i - i % 3, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 150 and len(want - got) == 0
