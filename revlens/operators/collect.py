@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
 from .joins import join_on
 from .ordering import first_n, keep_first
 
@@ -111,6 +112,11 @@ def blank_request_errors(requests: Sequence[str]) -> list[str]:
     return [r for r in requests if r is None or r.strip() == ""]
 
 
+def blank_request_rows(requests: DataFrame, name: str = "request") -> DataFrame:
+    """B9 for a table of requests: the rows whose name is missing or blank."""
+    return requests.filter(F.col(name).isNull() | (py_strip(name) == ""))
+
+
 def reviews_of(reviews: DataFrame, selected: DataFrame, limit: int | None = None,
                order: str = "seq") -> DataFrame:
     """B6 + B7: reviews of the selected businesses, ``business_name`` attached from the
