@@ -190,7 +190,8 @@ def _piece_counts(model: bytes):
     return run
 
 
-_ROWS = "bucket int, kind int, rid long, doc_id long, held_out boolean, tokens long, hs array<long>, n array<int>, base array<double>, lp array<double>"
+# arrays travel as their bytes, which Spark copies whole: hashes and scores of 8 bytes, counts of 4
+_ROWS = "bucket int, kind int, rid long, doc_id long, held_out boolean, tokens long, hs binary, n binary, base binary, lp binary"
 _NAMES = ["bucket", "kind", "rid", "doc_id", "held_out", "tokens", "hs", "n", "base", "lp"]
 
 
@@ -198,8 +199,17 @@ def _bucket(h, buckets: int):
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
 
 
-def _lists(offsets, values, kind):
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+def _packed(offsets, values):
+    """The values cut at ``offsets``, as a binary column."""
+    cuts = np.asarray(offsets, np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column, kind):
+    """-> (all values of a binary column in a row, number of values in each of its rows)."""
+    got = column.to_pylist()
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(x for x in got if x), kind), np.array([len(x) // width if x else 0 for x in got], np.int64)
 
 
 def _vocabulary_rows(model: bytes, counts: dict, end: float, tokens: int, distinct: int, buckets: int):
@@ -221,8 +231,8 @@ def _vocabulary_rows(model: bytes, counts: dict, end: float, tokens: int, distin
             none = pa.nulls(m, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own[at]), pa.array(np.zeros(m, np.int32)), none, none, pa.nulls(m, pa.bool_()), none,
-                 _lists(offsets, h[order].view(np.int64), pa.int64()), _lists(offsets, (c[order] > 0).astype(np.int32), pa.int32()),
-                 _lists(offsets, base[order], pa.float64()), _lists(offsets, lp[order], pa.float64())], names=_NAMES)
+                 _packed(offsets, h[order].view(np.int64)), _packed(offsets, (c[order] > 0).astype(np.int32)),
+                 _packed(offsets, base[order]), _packed(offsets, lp[order])], names=_NAMES)
     return run
 
 
@@ -249,16 +259,15 @@ def _text_rows(buckets: int):
                 own_bucket = _bucket(h, buckets)
                 at = np.flatnonzero(np.append(True, (own_bucket[1:] != own_bucket[:-1]) | (doc[1:] != doc[:-1])))
                 cuts, m = np.append(at, len(h)), len(at)
-                none, empty = pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.float64()))
+                none, empty = pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own_bucket[at]), pa.array(np.ones(m, np.int32)), pa.array(rids[doc[at]]), none, pa.nulls(m, pa.bool_()), none,
-                     _lists(cuts, h.view(np.int64), pa.int64()), _lists(cuts, n, pa.int32()), empty, empty], names=_NAMES)
+                     _packed(cuts, h.view(np.int64)), _packed(cuts, n), empty, empty], names=_NAMES)
             m = len(texts)
             if m:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((rids % buckets).astype(np.int32)), pa.array(np.ones(m, np.int32)), pa.array(rids), b.column(2), b.column(3), pa.array(sizes),
-                     pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.list_(pa.float64())), pa.nulls(m, pa.list_(pa.float64()))],
-                    names=_NAMES)
+                     *[pa.nulls(m, pa.binary())] * 4], names=_NAMES)
     return run
 
 
@@ -280,9 +289,8 @@ def _look_up(batches):
             if bucket[i] != now:
                 held, now, fresh = [], bucket[i], True
             part = b.slice(i, j - i)
-            lists = [part.column(k) for k in (6, 7, 8, 9)]
             if not kind[i]:
-                held.append([x.flatten().to_numpy() for x in lists])
+                held.append([_unpacked(part.column(k), t)[0] for k, t in ((6, np.int64), (7, np.int32), (8, np.float64), (9, np.float64))])
                 continue
             if fresh:
                 words, known, base, lp = ([np.concatenate(x) for x in zip(*held)] if held else
@@ -290,8 +298,7 @@ def _look_up(batches):
                 order = np.argsort(words, kind="stable")
                 words, known, base, lp = words[order], known[order], base[order], lp[order]
                 held, fresh = [], False
-            h, n = lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy()
-            size = lists[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            (h, size), (n, _) = _unpacked(part.column(6), np.int64), _unpacked(part.column(7), np.int32)
             own = np.repeat(np.arange(j - i), size)
             at = np.searchsorted(words, h)
             sums = [np.bincount(own, weights=x[at] * n, minlength=j - i).astype(np.float64) for x in (known, base, lp)]
@@ -325,7 +332,7 @@ def lattice_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id
     buckets = max(LEAST_BUCKETS, -(-seen[2] // BUCKET_WORDS))
     vocab = words.mapInArrow(_vocabulary_rows(model, counts, ends, tokens, distinct, buckets), _ROWS)
     texts = d.select("text", "rid", "doc_id", "held_out").mapInArrow(_text_rows(buckets), _ROWS)
-    met = vocab.union(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    met = vocab.union(texts).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     parts = met.mapInArrow(_look_up, _PARTS)
     scores = Pieces(model)
     scores.weigh(counts, ends)
