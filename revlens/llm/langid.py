@@ -70,7 +70,8 @@ def _sample(labelled: DataFrame, max_rows: int) -> DataFrame:
     langs = max(1, sizes.count())
     quota = max(1, max_rows // langs)
     # thinned by hash first, so that the ranking reads a little more than it keeps
-    part = labelled.join(sizes, "lang").withColumn("h", F.xxhash64(F.lit(11), "key", "lang")) \
+    # (one row per label: no more than the model itself holds, so it is broadcast)
+    part = labelled.join(F.broadcast(sizes), "lang").withColumn("h", F.xxhash64(F.lit(11), "key", "lang")) \
         .where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit(float(2 * quota * (1 << 20))))
     w = Window.partitionBy("lang").orderBy("h", "key")
     return part.withColumn("r", F.row_number().over(w)).where(F.col("r") <= quota).select("text", "lang", "h")
