@@ -2,7 +2,7 @@ import pytest
 
 # columns that operators use for themselves, and names that need quoting
 EXTRA = {"size": "int", "fp": "string", "row": "string", "tag": "string", "key": "int", "shard": "int", "slot": "string",
-         "taken": "int", "h": "int", "body": "string", "a.b": "int", "group_size": "int", "copies": "int"}
+         "taken": "int", "h": "int", "h1": "int", "h2": "int", "words": "int", "seed": "int", "n": "int", "body": "string", "a.b": "int", "group_size": "int", "copies": "int"}
 LONG = " ".join(f"wort{i % 977} und" for i in range(30_000))
 EDGE = [
     (1, "the cat sat on the mat and the dog ran away", "en", "a"),
