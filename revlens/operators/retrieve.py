@@ -212,18 +212,18 @@ def embed_texts(df: DataFrame, load_model, text_col: str = "text", out_col: str
 
 def hashing_embedder(dim: int = 256, n: int = 3):
     """A small stand-in model for ``embed_texts``: L2-normalised counts of hashed character
-    n-grams.  Loads nothing; replace with a real sentence encoder."""
+    n-grams, a few array operations per text.  Loads nothing; replace with a real sentence encoder."""
     def load():
         import numpy as np
-        import xxhash
 
         def model(texts):
             out = []
             for t in texts:
-                v = np.zeros(dim, dtype=np.float32)
-                s = f" {t.lower()} "
-                for i in range(len(s) - n + 1):
-                    v[xxhash.xxh32_intdigest(s[i:i + n]) % dim] += 1.0
+                c = np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                h = np.zeros(max(len(c) - n + 1, 0), np.uint64)
+                for i in range(n):
+                    h = (h ^ c[i:i + len(h)]) * np.uint64(0x100000001B3)
+                v = np.bincount(((h >> np.uint64(17)) % np.uint64(dim)).astype(np.int64), minlength=dim).astype(np.float32)
                 norm = float(np.linalg.norm(v))
                 out.append((v / norm if norm else v).tolist())
             return out

@@ -82,8 +82,8 @@ def _tokens(c) -> F.Column:
 def _bigrams(tokens: str) -> F.Column:
     """Consecutive token pairs of an (already materialised) token-array column."""
     t = F.col(tokens)
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))),
-                       lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def highlight_phrases(labelled: DataFrame, scope: Sequence[str] = ("business_id",), label: str = "label",

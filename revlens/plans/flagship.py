@@ -15,8 +15,9 @@ from ..operators import report as H
 from ..operators import retrieve as D
 from ..operators import sentiment as S
 from ..operators import validate as V
+from ..operators.joins import join_on
+from ..operators.lineage import materialize
 from ..operators.profile import stars_to_label
-from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import fx_reviews
 
 
@@ -46,17 +47,16 @@ def analyze_all(spark: SparkSession, reviews: DataFrame, topics: dict[str, str]
     sc = [scope]
     # the clean table feeds every mart: write it once to the shared checkpoint folder
     # (reliable checkpoint, cuts the lineage; a lost executor re-reads instead of re-validating)
-    ensure_checkpoint_dir(spark)
-    clean = V.validate_reviews(reviews, scope=sc).checkpoint(eager=True)
+    clean = materialize(V.validate_reviews(reviews, scope=sc))
     stats = V.validation_stats(reviews, clean, scope=sc)
     labelled = clean.withColumn("label", stars_to_label("stars"))
 
     qtab = D.topic_query_table(spark, topics)
     if use_rag:
         hits = D.tfidf_topk(clean, qtab, k=top_k, scope=sc)
-        hits = hits.filter(F.col("score") > 0)
+        hits = materialize(hits.filter(F.col("score") > 0))
         sel = hits.select(scope, "review_id").distinct()
-        topic_input = D.with_fallback(labelled.join(sel, [scope, "review_id"], "left_semi"), labelled, sc)
+        topic_input = D.with_fallback(join_on(labelled, sel, [scope, "review_id"], "left_semi"), labelled, sc)
     else:
         hits = None
         topic_input = labelled.withColumn("source", F.lit("all_reviews"))
@@ -74,8 +74,10 @@ def analyze_all(spark: SparkSession, reviews: DataFrame, topics: dict[str, str]
         F.coalesce(F.transform("_neg_l", lambda x: x["phrase"]), F.array().cast("array<string>"))
         .alias("negative_highlights"))
 
+    # report, envelope, errors and charts all read the two marts: a few rows per business, written once
+    sentiment = materialize(sentiment)
     lex = S.lexicon_table(spark, topics)
-    topic_mart = S.topic_stats(topic_input, lex, sc)
+    topic_mart = materialize(S.topic_stats(topic_input, lex, sc))
     report = H.build_report(sentiment, topic_mart, H.action_catalogue(spark), scope=sc)
     env = H.envelope(report, stats, sentiment, topic_mart, scope=sc, use_rag=use_rag)
     errors = H.error_rows(reviews.select(scope), reviews, clean, sentiment, topic_mart, report, scope=sc)
