@@ -7,7 +7,7 @@ sampled texts into bucket counts, so the driver holds ``max_rows`` x ``buckets``
 
 A part of the sample is kept from training to calibrate: a temperature is fitted to it by likelihood,
 and the rejection threshold is the score below which at most ``max_reject`` of its rightly labelled
-texts fall, 0.5 at most.  Prediction reads whole texts in blocks; embeddings times softmax weights are
+texts fall, ``ceiling`` at most: a text is rejected only where no language stands out.  Prediction reads whole texts in blocks; embeddings times softmax weights are
 multiplied out once, so a text costs its bucket counts and one small product.
 """
 
@@ -78,7 +78,7 @@ def _sample(labelled: DataFrame, max_rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2048,
-        dim: int = 16, buckets: int = BUCKETS, steps: int = 600, rate: float = 20.0, max_reject: float = 0.001, seed: int = 5) -> Model | None:
+        dim: int = 16, buckets: int = BUCKETS, steps: int = 600, rate: float = 20.0, max_reject: float = 0.001, ceiling: float = 0.4, seed: int = 5) -> Model | None:
     """Train on a sample of ``max_rows`` labelled rows at most, shared equally among the languages.
 
     Rows without a label or without a letter are passed over.  None if there is no labelled row.
@@ -101,9 +101,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     names = np.array(got.column("lang").to_pylist(), dtype=object)
     labels = sorted(set(names))
     x = np.zeros((got.num_rows, buckets), np.float32)
-    ids, cs = got.column("i").to_pylist(), got.column("c").to_pylist()
-    for r in range(got.num_rows):
-        x[r, ids[r]] = cs[r]
+    lists = [got.column(k).combine_chunks() for k in ("i", "c")]
+    cuts = lists[0].offsets.to_numpy()
+    bucket, n = (one.values.to_numpy()[cuts[0]:cuts[-1]] for one in lists)
+    x[np.repeat(np.arange(got.num_rows), np.diff(cuts)), bucket] = n
     x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
     y = np.array([labels.index(n) for n in names])
     x, y = x[order], y[order]
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     p = scores(t)
     ok = p.argmax(axis=1) == y[use]
     low = float(np.quantile(p.max(axis=1)[ok], max_reject)) if ok.any() else 0.0
-    return Model(labels, (e.astype(np.float64) @ w.astype(np.float64)) / t, b.astype(np.float64) / t, min(0.5, low))
+    return Model(labels, (e.astype(np.float64) @ w.astype(np.float64)) / t, b.astype(np.float64) / t, min(ceiling, low))
 
 
 def identify(c: Column, model: Model | None) -> Column:
