@@ -266,3 +266,54 @@ def test_secret_edges(edge, empty):
     assert collections.Counter(map(tuple, got)) == report_want([(r.doc_id, r.text) for r in edge.collect()], model)
     assert secrets.scan(empty, secrets.train(secrets.samples_of(empty))).count() == 0
     assert secrets.train(secrets.samples_of(empty)) == [0.0] * len(secrets.ALPHABET) ** 2
+
+
+# ---- decontamination misses nothing that its rule admits
+
+def rule_want(rows, items, window=20, similarity=0.8):
+    """The rule slid over every diagonal and window, without seeds."""
+    toks, out = {i: words_of(t) for i, t in items}, {}
+    for d, t in rows:
+        w = words_of(t)
+        for i, x in toks.items():
+            n = min(window, len(x))
+            for g in range(1 - len(x), len(w)) if x else ():
+                same = [0 <= q + g < len(w) and w[q + g] == x[q] for q in range(len(x))]
+                best = max(sum(same[s:s + n]) for s in range(len(x) - n + 1)) / n
+                if best >= similarity:
+                    o = out.setdefault((d, i), [0, len(x), 0.0, 10**9])
+                    o[0], o[2], o[3] = max(o[0], sum(same)), max(o[2], best), min(o[3], max(0, g))
+    return {(*k, v[0], v[1], round(v[2], 9), v[3]) for k, v in out.items()}
+
+
+def test_masks_miss_no_pattern_of_the_rule():
+    for words in range(1, 21):
+        differ = max(m for m in range(words + 1) if (words - m) / words >= 0.8)
+        assert decontam._fits(decontam.masks_for(words), words, differ), words
+    assert not decontam._fits(decontam.MASKS, 9, 1) and not decontam._fits(decontam.MASKS, 20, 4)
+    assert decontam.masks_for(100, 0.9) == ("1" * 9,) and decontam.masks_for(10, 1.1) == ()
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_every_admitted_substitution_is_found(spark, broadcast):
+    import itertools
+    items, rows = [], []
+    for n, differ in ((1, 0), (2, 0), (4, 0), (5, 1), (8, 1), (9, 1), (10, 2), (12, 2), (15, 3), (24, 4)):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        patterns = list(itertools.combinations(range(min(n, 20)), differ))
+        for bad in patterns if n <= 15 else random.Random(3).sample(patterns, 300):
+            own = ["other" if k in bad or k >= 20 else x for k, x in enumerate(item)]
+            rows.append((len(rows), " ".join(["before", *own, "after"])))
+        one_more = ["other" if k <= differ else x for k, x in enumerate(item[:20])]
+        rows.append((len(rows), " ".join(one_more)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = as_set(decontam.contaminated(d, spark.createDataFrame(items, "item_id long, text string"), broadcast=broadcast))
+    assert got == rule_want(rows, items) and len(got) == len(rows) - 10
+
+
+def test_leaks_equal_the_rule_without_seeds(spark, sf, docs):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").limit(12)
+    rows = docs.where(F.length("text") < 3000).orderBy("doc_id").limit(60)
+    got = as_set(decontam.contaminated(rows, items))
+    assert got == rule_want([(r.doc_id, r.text) for r in rows.collect()], [(r.item_id, r.text) for r in items.collect()])
