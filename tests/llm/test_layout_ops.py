@@ -108,6 +108,22 @@ def test_schedule_visits_shares_evenly(spark):
     assert abs(counts[0][0] - n / 10) < 8 and abs(counts[1][0] - n * 4 / 10) < 8 and abs(counts[3][0] - n / 2) < 8
 
 
+def test_small_sources_reach_their_targets_among_large_blocks(spark):
+    sizes = {"big": 90_000, **{f"s{k:02}": 3 + 7 * k for k in range(40)}}
+    rows = [(k, s, " ".join(["w"] * min(50, n - at))) for s, n in sizes.items() for k, at in enumerate(range(0, n, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out, segments = mixing.mix(docs, density=1, carry=["doc_id", "source"])
+    got = out.groupBy("row.source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    block = mixing.isqrt(sum(sizes.values()))
+    assert len(got) == 41 and sum(r.target < block / 2 for r in got) > 5           # whole slots would miss these or give them none
+    assert all(abs(r.taken - r.target) <= max(0.5, mixing.NEAR * r.target) for r in got)
+    assert sum(r.taken == round(r.target) for r in got) >= 40
+    assert segments.join(out, "tag").where("offset < 0 or words < 1 or offset + words > size").count() == 0
+    assert segments.groupBy("tag").agg(F.sum("words").alias("n")).join(out, "tag").where("n != taken").count() == 0
+    kept = mixing.mixed_documents(docs, density=1)
+    assert kept.select("source").distinct().count() >= 40
+
+
 # ---- sharding
 
 def md5_32(s):
