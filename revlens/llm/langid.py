@@ -7,13 +7,17 @@ sampled texts into bucket counts, so the driver holds ``max_rows`` x ``buckets``
 
 A part of the sample is kept from training to calibrate: a temperature is fitted to it by likelihood,
 and the rejection threshold is the score below which at most ``max_reject`` of its rightly labelled
-texts fall, ``ceiling`` at most: a text is rejected only where no language stands out.  Prediction reads whole texts in blocks; embeddings times softmax weights are
+texts fall.  A softmax is sure of some language on any text, so a text is rejected for its novelty too:
+the mean surprise of its buckets under those of the language's training texts, less what chance gives
+so few n-grams, beyond the novelty that ``max_reject`` of the calibration texts reach (half for each
+of the two thresholds).  Prediction reads whole texts in blocks; embeddings times softmax weights are
 multiplied out once, so a text costs its bucket counts and one small product.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 from typing import Any
 
 import numpy as np
@@ -55,13 +59,30 @@ class Model:
     weights: Any      # buckets x labels, embeddings times softmax weights over the temperature
     bias: Any         # labels, over the temperature
     threshold: float  # scores below it are rejected
+    surprise: Any     # buckets x labels, -log of the smoothed share in the label's training texts, less its mean there
+    spread: Any       # labels, deviation of the surprise of one n-gram
+    novel: float      # novelties above it are rejected
 
-    def predict(self, raw: bytes) -> tuple[str, float]:
+    def predict(self, raw: bytes) -> tuple[str, float, bool]:
         c = counts(raw, len(self.weights))
-        z = c @ self.weights / max(int(c.sum()), 1) + self.bias
+        n = max(int(c.sum()), 1)
+        z = c @ self.weights / n + self.bias
         p = np.exp(z - z.max())
         i = int(p.argmax())
-        return self.labels[i], float(p[i] / p.sum())
+        score = float(p[i] / p.sum())
+        novelty = float(c @ self.surprise[:, i]) / n - _chance(self.spread[i], n)
+        return self.labels[i], score, bool(score >= self.threshold and novelty <= self.novel)
+
+
+def _chance(spread, n):
+    """Surprise that chance adds to the mean of ``n`` n-grams, which overlap: three deviations."""
+    return 3 * spread * (len(NGRAMS) / n) ** 0.5
+
+
+def _lower_tail(v, share: float) -> float:
+    """The value that ``share`` of ``v`` fall below: the quantile, and where ``v`` are too few to show it, the normal tail."""
+    low = float(np.quantile(v, share))
+    return low if len(v) * share >= 1 else min(low, float(v.mean() + NormalDist().inv_cdf(share) * v.std()))
 
 
 def _sample(labelled: DataFrame, max_rows: int) -> DataFrame:
@@ -78,7 +99,7 @@ def _sample(labelled: DataFrame, max_rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2048,
-        dim: int = 16, buckets: int = BUCKETS, steps: int = 600, rate: float = 20.0, max_reject: float = 0.001, ceiling: float = 0.4, seed: int = 5) -> Model | None:
+        dim: int = 16, buckets: int = BUCKETS, steps: int = 600, rate: float = 20.0, max_reject: float = 0.001, seed: int = 5) -> Model | None:
     """Train on a sample of ``max_rows`` labelled rows at most, shared equally among the languages.
 
     Rows without a label or without a letter are passed over.  None if there is no labelled row.
@@ -105,9 +126,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     cuts = lists[0].offsets.to_numpy()
     bucket, n = (one.values.to_numpy()[cuts[0]:cuts[-1]] for one in lists)
     x[np.repeat(np.arange(got.num_rows), np.diff(cuts)), bucket] = n
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    total = np.maximum(x.sum(axis=1), 1)
+    x /= total[:, None]
     y = np.array([labels.index(n) for n in names])
-    x, y = x[order], y[order]
+    x, y, total = x[order], y[order], total[order]
     held = np.arange(len(y)) % 5 == 4
     if held.sum() < 2 or len(y) < 10:
         held[:] = False
@@ -140,8 +162,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     t = min(np.geomspace(0.25, 8, 41), key=lambda t: -np.log(scores(t)[right] + 1e-12).mean())
     p = scores(t)
     ok = p.argmax(axis=1) == y[use]
-    low = float(np.quantile(p.max(axis=1)[ok], max_reject)) if ok.any() else 0.0
-    return Model(labels, (e.astype(np.float64) @ w.astype(np.float64)) / t, b.astype(np.float64) / t, min(ceiling, low))
+    # each label's smoothed shares of the buckets in training
+    own = [train[y[train] == i] for i in range(len(labels))]
+    share = np.array([total[k] @ x[k] if len(k) else np.zeros(buckets) for k in own], np.float64).T + 0.5
+    share /= share.sum(axis=0)
+    usual = -(share * np.log(share)).sum(axis=0)
+    surprise = -np.log(share) - usual
+    spread = np.sqrt((share * surprise ** 2).sum(axis=0))
+    low, novel = 0.0, float("inf")
+    if held.any() and ok.any():  # else nothing to calibrate by: all is accepted
+        top = np.clip(p.max(axis=1)[ok], 1e-12, 1 - 1e-12)
+        low = float(1 / (1 + np.exp(-_lower_tail(np.log(top / (1 - top)), max_reject / 2))))
+        i = y[use][ok]
+        mean = (x[use] @ surprise)[ok][np.arange(len(i)), i]
+        novel = -_lower_tail(-(mean - _chance(spread[i], total[use][ok])), max_reject / 2)
+    return Model(labels, (e.astype(np.float64) @ w.astype(np.float64)) / t, b.astype(np.float64) / t, low, surprise, spread, novel)
 
 
 def identify(c: Column, model: Model | None) -> Column:
@@ -152,9 +187,9 @@ def identify(c: Column, model: Model | None) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double,accepted:boolean>")
     def predict(a: pa.Array) -> pa.Array:
-        got = [model.predict(raw) if raw else (UNKNOWN, 0.0) for raw in utf8(a)]
+        got = [model.predict(raw) if raw else (UNKNOWN, 0.0, False) for raw in utf8(a)]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
-                                           pa.array([g[1] >= model.threshold for g in got], pa.bool_())], names=["lang", "score", "accepted"])
+                                           pa.array([g[2] for g in got], pa.bool_())], names=["lang", "score", "accepted"])
 
     return F.when(c.rlike(LETTER), predict(c)).otherwise(none)
 

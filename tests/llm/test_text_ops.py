@@ -41,6 +41,23 @@ def test_language_edges(edge, empty):
     assert langid.fit(edge.withColumn("lang", F.lit(None).cast("string"))) is None
 
 
+FOREIGN = ["Helsingin rautatieasemalla odotti suuri joukko matkustajia, jotka olivat myöhästyneet junasta ja etsivät nyt lippuluukkua",
+           "İstanbul'da yağmurlu bir günde çocuklar okuldan eve yürürken küçük bir kedi buldular ve onu beslediler",
+           "Wczoraj wieczorem spacerowaliśmy długo nad brzegiem rzeki i rozmawialiśmy o przyszłości",
+           "Вчера вечером мы долго гуляли по берегу реки и говорили о будущем", "Χθες το βράδυ περπατήσαμε πολλή ώρα δίπλα στο ποτάμι",
+           "昨天晚上我们在河边散步了很久，谈论未来的计划"]
+
+
+@pytest.mark.parametrize("langs", [("de", "en", "es", "fr"), ("de", "en")])
+def test_unlearned_languages_and_noise_are_rejected(docs, langs):
+    model = langid.fit(docs.where(F.col("lang").isin(*langs)))
+    rnd = random.Random(1)
+    noise = ["".join(rnd.choices(pool, k=300)) for pool in ("abcdefghijklmnopqrstuvwxyz ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")]
+    assert model.labels == list(langs) and not any(model.predict(t.encode())[2] for t in FOREIGN + noise)
+    known = [model.predict(r.text.encode())[2] for r in docs.where(F.col("lang").isin(*langs)).collect()]
+    assert sum(known) >= 0.97 * len(known)
+
+
 def test_counts_do_not_depend_on_blocks():
     raw = ("Ärger und Überfluss " * 500).encode()
     assert (langid.counts(raw) == langid.counts(raw, block=777)).all()
