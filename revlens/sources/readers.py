@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,16 +56,27 @@ def _with_file_order(df: DataFrame) -> DataFrame:
 
 def _csv_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[tuple[str, ...], str], list[str]]:
     """Files by (header, encoding).  A3 decides on a file's bytes: UTF-8 when they are valid UTF-8,
-    else Latin-1.  One pass over the bytes; the driver gets a path, a header line and a flag per
-    file, as many as Spark's own listing of the input holds."""
-    raw = spark.read.format("binaryFile").load(list(paths)).select("path", F.col("content").cast("string").alias("t"), "content")
-    valid = F.is_valid_utf8(F.col("t"))
-    head = F.split(F.when(valid, F.col("t")).otherwise(F.decode("content", "ISO-8859-1")), "\r\n|\r|\n", 2)[0]
+    else Latin-1.  A splittable scan of lines tests the bytes (no UTF-8 sequence holds a line end), so
+    no file is held whole; the header is a one-row read of its file.  The driver gets a path, a header
+    line and a flag per file, as many as Spark's own listing of the input holds."""
+    listed = spark.read.format("binaryFile").load(list(paths)).select("path", F.col("_metadata.file_path").alias("uri")).collect()
+    # the text source hands on a line's bytes as they are
+    lines = spark.read.text([r["path"] for r in listed]) if listed else None
+    valid = {} if lines is None else {r["uri"]: r["valid"] for r in lines.groupBy(F.col("_metadata.file_path").alias("uri"))
+                                      .agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).collect()}
+
+    def head(row) -> bytes:
+        first = spark.read.text(row["path"]).select(F.col("value").cast("binary")).first() if row["uri"] in valid else None
+        return bytes(first[0]) if first else b""
+
+    with ThreadPoolExecutor(8) as pool:
+        heads = list(pool.map(head, listed))
     groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
-    for r in raw.select("path", valid.alias("valid"), head.alias("head")).collect():
-        names = next(csv.reader([r["head"].removeprefix("\ufeff")]), [])
+    for r, raw in zip(listed, heads):
+        encoding = "UTF-8" if valid.get(r["uri"], True) else "ISO-8859-1"
+        names = next(csv.reader([raw.decode(encoding).removeprefix("\ufeff")]), [])
         if names:
-            groups.setdefault((tuple(names), "UTF-8" if r["valid"] else "ISO-8859-1"), []).append(r["path"])
+            groups.setdefault((tuple(names), encoding), []).append(r["path"])
     return groups
 
 

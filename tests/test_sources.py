@@ -149,3 +149,27 @@ def test_near_duplicates_follow_chains_of_copies(spark):
     sets = [{t[i:i + 5] for i in range(len(t) - 4)} for _, _, t in rows]
     want = {i for i in range(len(rows)) for j in range(i - i % 3, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(want) > 150 and len(want - got) == 0
+
+
+def test_csv_files_are_never_read_whole_to_learn_header_and_encoding(spark, tmp_path):
+    from revlens.sources.readers import _csv_groups, load_review_csv
+    body = "".join(f'{k % 5 + 1},"café {k}\nsecond line"\n' for k in range(300))
+    (tmp_path / "a b+c%.csv").write_bytes(("text_id,stars,text\n" + "".join(f"t{k},4,naïve {k}\n" for k in range(300))).encode())
+    (tmp_path / "latin.csv").write_bytes(("stars,text\n" + body).encode("latin-1"))
+    (tmp_path / "late.csv").write_bytes(b"stars,text\n" + b"3,plain\n" * 300 + "2,été\n".encode("latin-1"))
+    (tmp_path / "bom.csv").write_bytes(("﻿stars,text\r\n" + body.replace("café", "Ω")).encode())
+    (tmp_path / "empty.csv").write_bytes(b"")
+    names = ("spark.sql.sources.binaryFile.maxLength", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "100")       # a file above the limit of whole values
+        spark.conf.set(names[1], "500")       # many splits a file
+        groups = _csv_groups(spark, [str(tmp_path)])
+        got = [r.text for r in load_review_csv(spark, str(tmp_path)).collect()]
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    found = {(k[0], k[1]): sorted(p.rsplit("/", 1)[1] for p in v) for k, v in groups.items()}
+    assert found == {(("text_id", "stars", "text"), "UTF-8"): ["a b+c%.csv"], (("stars", "text"), "ISO-8859-1"): ["late.csv", "latin.csv"],
+                     (("stars", "text"), "UTF-8"): ["bom.csv"]}
+    assert len(got) == 1201 and {"naïve 7", "café 7\nsecond line", "été", "Ω 7\nsecond line"} <= set(got)
