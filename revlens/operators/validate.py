@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_star
 from ..functions.text import is_spam, nan_to_null, py_strip, to_numeric
 from .joins import join_on
+from .lineage import materialize
 from .ordering import _cols, dense_index, keep_first
 
 # --- fixed values -------------------------------------------------------------------
@@ -25,6 +26,7 @@ MIN_TEXT_LENGTH = 10
 MAX_TEXT_LENGTH = 5000
 MIN_STAR_VALUE = 1
 MAX_STAR_VALUE = 5
+BUCKET_MEMBERS = 64               # members of a MinHash bucket that are compared without splitting it
 NEAR_DUPLICATE_SIMILARITY = 0.8   # declared by the reference, never applied there (C17)
 DEFAULT_STARS = 3
 DEFAULT_BUSINESS_NAME = "Unknown"
@@ -178,15 +180,19 @@ def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), orde
     Equal texts are one text (its earliest row; later copies name it with similarity 1).
     Different texts meet in MinHash band buckets: at similarity 0.8 two texts share one of
     the 24 bands of 4 with probability 1 - (1 - 0.8**4)**24 > 0.99999.  In a bucket each
-    text is compared with the bucket's earliest and with the text before it, so a chain of
-    copies of copies is followed link by link; never all pairs of a bucket.  The exact
-    Jaccard of the two shingle sets, rebuilt from the two texts, confirms.
+    text is compared with the bucket's earliest and with the text before it, which finds most
+    copies and chains of them.  A text that this leaves without a partner is compared with all
+    earlier texts of its buckets; a bucket of more than ``BUCKET_MEMBERS`` is split first, without
+    losing a pair, by the shingles that are rarest in it: two sets of that similarity share one among
+    the first ``size - ceil(threshold * size) + 1`` of each.  The exact Jaccard of the two
+    shingle sets, rebuilt from the two texts, confirms.
     """
     scope = _cols(scope)
     nh = bands * rows_per_band
     same = [*scope, "_th", "text"]
     base = df.select(*scope, order, "text").filter(F.col("text").isNotNull()).withColumn("_th", F.xxhash64("text"))
     texts = base.groupBy(*same).agg(F.min(order).alias("_first"))
+    texts = materialize(texts)
     hashed = texts.select(*scope, "_first", F.explode(_shingle_set("text", shingle)).alias("_s")) \
         .select(*scope, "_first", F.xxhash64("_s").alias("_h"))
     signed = hashed.groupBy(*scope, "_first").agg(
@@ -195,17 +201,37 @@ def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), orde
         F.struct(F.lit(b).alias("band"),
                  F.xxhash64(*[F.col(f"h{b * rows_per_band + r}") for r in range(rows_per_band)]).alias("bucket"))
         for b in range(bands)])
-    member = signed.select(*scope, "_first", F.explode(band_keys).alias("bk")).select(
-        *scope, "_first", "bk.band", "bk.bucket")
+    member = materialize(signed.select(*scope, "_first", F.explode(band_keys).alias("bk")).select(
+        *scope, "_first", "bk.band", "bk.bucket"))
     w = Window.partitionBy(*scope, "band", "bucket").orderBy("_first")
     other = F.array(F.first("_first").over(w), F.lag("_first").over(w))
     cand = (member.withColumn("_others", F.array_distinct(other)).withColumn("rep", F.explode("_others"))
             .filter(F.col("rep") < F.col("_first")).select(*scope, "_first", "rep").distinct())
     sets = texts.select(*scope, "_first", _shingle_set("text", shingle).alias("sh"))
     rep_sets = sets.select(*scope, F.col("_first").alias("rep"), F.col("sh").alias("rep_sh"))
-    scored = (join_on(join_on(cand, sets, [*scope, "_first"]), rep_sets, [*scope, "rep"])
-              .withColumn("jaccard", F.size(F.array_intersect("sh", "rep_sh")) / F.size(F.array_union("sh", "rep_sh")))
-              .filter(F.col("jaccard") >= threshold))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return (join_on(join_on(pairs, sets, [*scope, "_first"]), rep_sets, [*scope, "rep"])
+                .withColumn("jaccard", F.size(F.array_intersect("sh", "rep_sh")) / F.size(F.array_union("sh", "rep_sh")))
+                .filter(F.col("jaccard") >= threshold).select(*scope, "_first", "rep", "jaccard"))
+
+    quick = materialize(verified(cand))
+    # what found no partner meets all earlier members of its buckets, large ones split by their rarest shingles
+    at = member.select(*scope, "_first", F.xxhash64(*scope, "band", "bucket").alias("_k"))
+    crowd = at.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2)
+    at = at.join(crowd, "_k")
+    shared = join_on(at.filter(F.col("_n") > BUCKET_MEMBERS), hashed, [*scope, "_first"])
+    rarity = shared.groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("_df"))
+    own = Window.partitionBy(*scope, "_first", "_k")
+    prefix = (shared.join(rarity, ["_k", "_h"]).withColumn("_size", F.count(F.lit(1)).over(own))
+              .withColumn("_rn", F.row_number().over(own.orderBy("_df", "_h")))
+              .filter((F.col("_df") > 1) & (F.col("_rn") <= F.col("_size") - F.ceil(F.col("_size") * threshold - 1e-9) + 1)))
+    place = materialize(at.filter(F.col("_n") <= BUCKET_MEMBERS).select(*scope, "_first", F.col("_k").alias("_key"))
+                        .unionByName(prefix.select(*scope, "_first", F.xxhash64("_k", "_h").alias("_key"))))
+    left = join_on(place, quick.select(*scope, "_first").distinct(), [*scope, "_first"], "left_anti")
+    rest = (join_on(left, place.withColumnRenamed("_first", "rep"), [*scope, "_key"])
+            .filter(F.col("rep") < F.col("_first")).select(*scope, "_first", "rep").distinct())
+    scored = quick.unionByName(verified(rest))
     best = scored.groupBy(*scope, "_first").agg(F.min_by(F.struct("rep", "jaccard"), F.col("rep")).alias("m"))
     near = best.select(*scope, F.col("_first").alias(order), F.col("m.rep").alias("earlier_" + order),
                        F.col("m.jaccard").alias("jaccard"))

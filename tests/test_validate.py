@@ -68,3 +68,27 @@ def test_idempotent_and_partition_independent(spark):
     c = sorted(map(tuple, V.validate_reviews(V.validate_reviews(raw, ["business_id"]), ["business_id"])
                    .select("seq", "text").collect()))
     assert a == b == c
+
+
+def test_near_duplicates_in_a_crowded_bucket_are_found(spark):
+    """Texts of one template below the threshold, and late near copies of some that stand apart from them."""
+    import random
+    from revlens.operators.validate import near_duplicates
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    template = "".join(rnd.choices(letters, k=300))
+
+    def shingles(t):
+        return {t[i:i + 5] for i in range(len(t) - 4)}
+    texts = [template + "".join(rnd.choices(letters, k=150)) for _ in range(400)]
+    for k in range(0, 400, 8):
+        t = list(texts[k])
+        for at in rnd.sample(range(300), 6):
+            t[at] = rnd.choice("0123456789")
+        texts.append("".join(t))
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i for i, _ in pairs}
+    df = spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts)], "seq long, business_id string, text string")
+    got = {(r.seq, r.earlier_seq) for r in near_duplicates(df, bands=4, rows_per_band=1).collect()}   # crowded buckets
+    assert len(want) >= 45 and {i for i, _ in got} == want and got <= set(pairs)
