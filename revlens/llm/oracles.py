@@ -102,3 +102,24 @@ best AS (SELECT *, list_max(list_transform(range(greatest(0, least(j, j + {span}
                                             lambda a: list_sum(s[a + 1:a + n]))) / n AS overlap FROM same)
 SELECT doc_id, item_id, max(list_sum(s))::INTEGER AS words_matched, max(len(x))::INTEGER AS item_words, max(overlap)::DOUBLE AS overlap, min(greatest(0, g))::INTEGER AS first_word
 FROM best WHERE overlap >= {similarity} GROUP BY doc_id, item_id"""
+
+# a node is the list of its turns' digests; a subtree is summed over the prefixes of its nodes
+PREFIX_TRIE = """
+WITH RECURSIVE t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list({'d': substr(sha256(length(role) || ':' || role || text), 1, 32), 'n': length(text)}
+             ORDER BY turn NULLS FIRST, substr(sha256(length(role) || ':' || role || text), 1, 32)) AS x FROM t GROUP BY c),
+crc AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(0, 8)),
+             lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+h AS (SELECT c, x, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+             lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)]))) % 6 AS h FROM l, crc),
+r AS (SELECT h.c, list_concat(coalesce(b.x[:h.h], []), h.x[h.h + 1:]) AS x FROM h LEFT JOIN l b ON b.c = h.c - h.c % 100),
+m AS (SELECT c, list_transform(x[:d], lambda t: t.d) AS p, d, len(x) AS n, CASE WHEN d = 0 THEN 0 ELSE x[d].n END AS size
+      FROM (SELECT c, x, unnest(range(0, len(x) + 1)) AS d FROM r)),
+node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS own,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM m GROUP BY p, d),
+kids AS (SELECT p[:d - 1] AS p, d - 1 AS d, count(*) AS k FROM node WHERE d > 0 GROUP BY 1, 2),
+n AS (SELECT node.*, coalesce(k, 0) AS n_children FROM node LEFT JOIN kids USING (p, d)),
+s AS (SELECT p[:a] AS p, a AS d, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens
+      FROM (SELECT p, own, n_children, unnest(range(0, d + 1)) AS a FROM n) GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN s USING (p, d) LEFT JOIN node q ON q.d = n.d - 1 AND q.p = n.p[:n.d - 1]"""

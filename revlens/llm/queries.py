@@ -1,11 +1,11 @@
-"""Queries op1 .. op10 of the training-data operators, and their DuckDB SQL where SQL can state them."""
+"""Queries op1 .. op13 of the training-data operators, and their DuckDB SQL where SQL can state them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lattice, mixing, oracles, pfp_dedup, preference, radix_dedup, secrets, sharding, simhash
+from . import decontam, langid, lattice, mixing, oracles, pfp_dedup, preference, prefix_trie, radix_dedup, secrets, sharding, simhash
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,8 +69,12 @@ def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(docs, secrets.train(secrets.samples_of(docs))))
 
 
+def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_repeat_removal, op4_mixing, op5_exact_dedup, op6_sharding,
-                                   op7_preference_format, op8_simhash, op9_lattice_score, op10_secret_scan)}
+                                   op7_preference_format, op8_simhash, op9_lattice_score, op10_secret_scan, op12_prefix_trie)}
 
 # the others learn a model, hash by a function that SQL lacks, or search all byte strings: tests hold them against plain Python
 ORACLES: dict[str, str] = {
@@ -79,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": oracles.EXACT_DEDUP,
     "op6_sharding": oracles.SHARDING,
     "op7_preference_format": oracles.PREFERENCE,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
 }
