@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lattice, mixing, oracles, pfp_dedup, preference, prefix_trie, radix_dedup, secrets, sharding, simhash
+from . import decontam, gnat, langid, lattice, mixing, oracles, pfp_dedup, preference, prefix_trie, radix_dedup, secrets, sharding, simhash
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,8 +73,14 @@ def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))))
 
 
+def op13_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    rows = gnat.valid_rows(table(spark, sf_dir, "embeddings"))
+    return gnat.hard_negatives(rows, rows.where("id % 50 = 0"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_repeat_removal, op4_mixing, op5_exact_dedup, op6_sharding,
-                                   op7_preference_format, op8_simhash, op9_lattice_score, op10_secret_scan, op12_prefix_trie)}
+                                   op7_preference_format, op8_simhash, op9_lattice_score, op10_secret_scan, op12_prefix_trie,
+                                   op13_hard_negatives)}
 
 # the others learn a model, hash by a function that SQL lacks, or search all byte strings: tests hold them against plain Python
 ORACLES: dict[str, str] = {
@@ -84,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op6_sharding": oracles.SHARDING,
     "op7_preference_format": oracles.PREFERENCE,
     "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
