@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import decontam, gnat, langid, lattice, mixing, oracles, pfp_dedup, preference, prefix_trie, radix_dedup, secrets, sharding, simhash
+from . import decontam, gnat, jaccard_join, langid, lattice, mixing, oracles, pfp_dedup, preference, prefix_trie, radix_dedup, secrets, sharding, simhash
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,6 +69,10 @@ def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(docs, secrets.train(secrets.samples_of(docs))))
 
 
+def op11_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "links")
+
+
 def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))))
 
@@ -79,7 +83,7 @@ def op13_hard_negatives(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_repeat_removal, op4_mixing, op5_exact_dedup, op6_sharding,
-                                   op7_preference_format, op8_simhash, op9_lattice_score, op10_secret_scan, op12_prefix_trie,
+                                   op7_preference_format, op8_simhash, op9_lattice_score, op10_secret_scan, op11_jaccard_join, op12_prefix_trie,
                                    op13_hard_negatives)}
 
 # the others learn a model, hash by a function that SQL lacks, or search all byte strings: tests hold them against plain Python
