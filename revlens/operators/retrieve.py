@@ -61,14 +61,21 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, sco
     similarity (``k = min(k, n)``), most similar first, ties by id.  Output
     ``(scope..., query, rank, id, score)``.  Exact (the reference's index is approximate).
 
-    Norms are taken once per vector; each partition keeps its own top k per query and scope
-    before anything is shuffled."""
+    Each Arrow batch is scored against all queries as one matrix product and passes on its own
+    top k per query and scope.  Vectors without a direction (null, zero) have no score and no
+    rank.  A query set larger than a task should hold is scored by expressions instead, a row
+    per document and query."""
+    from .vector_index import held_queries, scored_batches
     scope = _cols(scope)
+    held = held_queries(queries, qid_col, qvec_col)
+    if held is not None:
+        found = scored_batches(docs, held, k, scope, id_col, vec_col, qid_col, dict(queries.dtypes)[qid_col])
+        return top_k(found, [*scope, qid_col], k, id_col)
     q = _as_array(queries.select(F.col(qid_col).alias("q"), F.transform(qvec_col, lambda x: x.cast("double")).alias("d"))
-                  .select("q", "d", _norm(F.col("d")).alias("n"))
+                  .select("q", "d", _norm(F.col("d")).alias("n")).where("n > 0")
                   .select("q", F.transform("d", lambda x: x / F.col("n")).alias("v")), ["q", "v"])
     d = docs.select(*scope, id_col, F.transform(vec_col, lambda x: x.cast("double")).alias("_d")) \
-        .withColumn("_n", _norm(F.col("_d"))).select(*scope, id_col, F.transform("_d", lambda x: x / F.col("_n")).alias("_v"))
+        .withColumn("_n", _norm(F.col("_d"))).where("_n > 0").select(*scope, id_col, F.transform("_d", lambda x: x / F.col("_n")).alias("_v"))
     scored = attach_one_row(d, q).select(*scope, id_col, "_v", F.explode("_queries").alias("_q")).select(
         *scope, id_col, F.col("_q.q").alias(qid_col), _dot(F.col("_v"), F.col("_q.v")).alias("score"))
     return top_k(scored, [*scope, qid_col], k, id_col)

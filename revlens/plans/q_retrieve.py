@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as D
+from ..operators import vector_index as VI
 from ..operators.modelio import TOPICS
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import FX_BUSINESS_SQL, FX_REVIEWS_SQL, fx_business, fx_reviews, read_table, with_ctes
 from .catalog import query
 
@@ -21,14 +26,17 @@ def _cos_sql(a: str, b: str) -> str:
     return f"({dot} / ({na} * {nb}))"
 
 
-@query("embedding_topk", f"""
+EMBEDDING_TOPK_SQL = f"""
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 x AS (SELECT label, unnest(v) AS x, unnest(generate_series(1, len(v))) AS i FROM e),
 c AS (SELECT label AS query, list(m ORDER BY i) AS qv FROM (
         SELECT label, i, avg(x) AS m FROM x GROUP BY label, i) GROUP BY label),
 s AS (SELECT c.query, e.vec_id, e.label, {_cos_sql('e.v', 'c.qv')} AS score FROM e, c)
 SELECT query, rank, vec_id, label, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s) WHERE rank <= 15""")
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s) WHERE rank <= 15"""
+
+
+@query("embedding_topk", EMBEDDING_TOPK_SQL)
 def q_embedding_topk(spark, sf_dir):
     """D2-D4 on precomputed vectors: the 15 vectors nearest to each label centroid, with
     the document's own metadata (label) carried on the row."""
@@ -38,6 +46,33 @@ def q_embedding_topk(spark, sf_dir):
             .select("query", "rank", "vec_id", "label", F.round("score", 6).alias("score")))
 
 
+def _embedding_index(spark, sf_dir):
+    """The written index of the table's embeddings, below the session's shared folder."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    path = os.path.join(ensure_checkpoint_dir(spark), "vector-index", uuid.uuid4().hex)
+    return emb, path, VI.build_index(emb, path, scope=["label"], id_col="vec_id")
+
+
+@query("indexed_topk", EMBEDDING_TOPK_SQL)
+def q_indexed_topk(spark, sf_dir):
+    """D3 through the written index with every cluster probed: equals the exact lists."""
+    emb, path, clusters = _embedding_index(spark, sf_dir)
+    hits = VI.index_topk(spark, path, D.label_centroids(emb), k=15, probes=clusters, id_col="vec_id")
+    return hits.join(emb.select("vec_id", "label"), "vec_id").select("query", "rank", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("index_recall", """
+SELECT vec_id AS query, least(10, (SELECT count(*) FROM embeddings)) AS n_exact, true AS enough FROM embeddings WHERE vec_id % 50 = 0""")
+def q_index_recall(spark, sf_dir):
+    """D3: every vector with an id divisible by 50 asks the index for its 10 nearest, with two thirds of the clusters
+    probed (the table's vectors lie in all directions); per query, whether 0.9 of its exact list is found."""
+    emb, path, clusters = _embedding_index(spark, sf_dir)
+    queries = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec"))
+    found = VI.index_topk(spark, path, queries, k=10, probes=-(-2 * clusters // 3), id_col="vec_id")
+    each = VI.recall(found, D.cosine_topk(emb, queries, k=10, id_col="vec_id"), ["query"], "vec_id")
+    return each.select("query", "n_exact", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _q_sql() -> str:
     rows = ", ".join(f"('{t}', {i}, '{DRIVER_TOPICS[t]}')" for i, t in enumerate(TOPICS))
     return f"q(topic, topic_ord, query) AS (VALUES {rows})"
