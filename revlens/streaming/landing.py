@@ -2,15 +2,17 @@
 
 The reference copies each uploaded CSV into a folder and analyses it on request.  Here the
 folder is a Structured Streaming file source: new ``*.csv`` files are read with a fixed
-all-string schema, cleaned and validated per micro-batch in ``foreachBatch`` and appended
-to a Parquet sink.  Keep-first dedup spans micro-batches: a review whose (scope, text)
-was kept by an earlier batch is dropped.  Beside the sink stands a key table, the scope and 128
-hashed bits of each kept text; a batch is anti-joined with it, so the sink's texts are never
-read again.
-
-Exactly-once: each micro-batch overwrites its own ``epoch=<id>`` folder of both tables, also
-when it keeps nothing, so a retried batch replaces its own output, and the dedup anti-join only
-looks at earlier epochs.
+all-string schema, cleaned and validated row by row, and appended to a Parquet sink.
+
+Keep-first dedup spans micro-batches through Spark's keyed state: a key is the scope and 128
+hashed bits of the text, and its state says that the text was kept.  A micro-batch touches the
+state of its own keys only, so its cost follows its rows and not what was kept before; the state
+lives in the query's checkpoint and is versioned with it.  On a cluster set
+``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider, which holds state on
+disk.  Within a batch the first copy by (file time, file, row) is kept.
+
+Exactly-once: a retried micro-batch starts from the state of its predecessor and overwrites its
+own ``epoch=<id>`` folder, also when it keeps nothing.
 """
 
 from __future__ import annotations
@@ -21,10 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import na_to_null
-from ..operators.joins import join_on
-from ..operators.lineage import materialize
-from ..operators.validate import validate_reviews
+from ..functions.text import is_spam, na_to_null
+from ..operators.validate import ensure_columns, tag_row_rejects
 from ..sources.readers import clean_csv
 
 # --- fixed values -------------------------------------------------------------------
@@ -36,24 +36,44 @@ def landing_schema(columns: Sequence[str] = LANDING_COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def key_table(sink_dir: str) -> str:
-    return sink_dir.rstrip("/") + "-keys"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+def _numbered(batches):
+    """Appends the row's position in its task; a file of quoted line breaks is read by one task, in order."""
+    import pyarrow as pa
+    n = 0
+    for b in batches:
+        at = pa.array(range(n, n + b.num_rows), pa.int64())
+        n += b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, at], names=[*b.schema.names, "_row"])
+
+
+def _keep_first(columns: list[str], ttl_ms: int | None):
+    """State function: the first row of a key that was not kept before (and not forgotten since)."""
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = None
+        for pdf in frames:
+            low = pdf.sort_values(["_mtime", "_file", "_row"]).head(1)
+            if first is None or tuple(low[["_mtime", "_file", "_row"]].iloc[0]) < tuple(first[["_mtime", "_file", "_row"]].iloc[0]):
+                first = low
+        known = state.exists
+        state.update((True,))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        if not known and first is not None:
+            yield first[columns]
+    return run
 
 
 def start_landing_stream(spark: SparkSession, landing_dir: str, sink_dir: str, checkpoint_dir: str,
                          columns: Sequence[str] = LANDING_COLUMNS, scope: Sequence[str] = ("business_name",),
-                         max_files_per_trigger: int | None = None, available_now: bool = True):
+                         max_files_per_trigger: int | None = None, available_now: bool = True, ttl_ms: int | None = None):
     """Start the landing-folder stream; returns the ``StreamingQuery``.
 
     ``available_now`` processes everything present and stops (batch-like runs, tests);
-    otherwise the query keeps watching the folder.
+    otherwise the query keeps watching the folder.  ``ttl_ms``: forget a text that did not come
+    again for so long (default: never), which bounds the state; a later copy is then kept anew.
     """
     scope = list(scope)
     reader = (spark.readStream.schema(landing_schema(columns))
@@ -64,23 +84,21 @@ def start_landing_stream(spark: SparkSession, landing_dir: str, sink_dir: str, c
     src = (reader.csv(landing_dir)
            .withColumn("_file", F.col("_metadata.file_path"))
            .withColumn("_mtime", F.col("_metadata.file_modification_time")))
-
-    def process(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.withColumn("_row", F.monotonically_increasing_id())
-        b = b.select(*[na_to_null(F.col(c)).alias(c) for c in columns], "_file", "_mtime", "_row")
-        b = b.withColumn("seq", F.struct("_mtime", "_file", "_row")).drop("_mtime", "_file", "_row")
-        b = clean_csv(b)
-        clean = validate_reviews(b, scope=scope, order="seq")
-        clean = materialize(clean.withColumns({"text_hash": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), F.col("text"))}))
-        spark_ = batch.sparkSession
-        keys, match = key_table(sink_dir), [*scope, "text_hash", "_h2"]
-        if _exists(spark_, keys):
-            seen = spark_.read.parquet(keys).filter(F.col("epoch") < epoch_id).select(*match)
-            clean = materialize(join_on(clean, seen, match, "left_anti"))
-        clean.select(*match).write.mode("overwrite").parquet(f"{keys}/epoch={epoch_id}")
-        clean.drop("_h2").write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
-
-    w = src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_dir)
+    src = src.mapInArrow(_numbered, T.StructType([*src.schema.fields, T.StructField("_row", T.LongType())]))
+    src = clean_csv(src.select(*[na_to_null(F.col(c)).alias(c) for c in columns], "_file", "_mtime", "_row"))
+    rows = tag_row_rejects(src).where("reject_reason is null").drop("reject_reason", "text_len_raw").where(~is_spam(F.col("text")))
+    keys = {**{f"_scope_{i}": F.col(c) for i, c in enumerate(scope)}, "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), F.col("text"))}
+    schema = rows.schema
+    kept = rows.withColumns(keys).groupBy(*keys).applyInPandasWithState(
+        _keep_first(schema.names, ttl_ms), schema, T.StructType([T.StructField("kept", T.BooleanType())]), "append",
+        "ProcessingTimeTimeout" if ttl_ms else "NoTimeout")
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        b = batch.withColumn("seq", F.struct("_mtime", "_file", "_row")).drop("_mtime", "_file", "_row")
+        b = ensure_columns(b, "seq").withColumn("text_hash", F.xxhash64("text"))
+        b.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
+
+    w = kept.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 

@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from revlens.streaming.landing import key_table, run_landing_once
+from revlens.streaming.landing import run_landing_once, start_landing_stream
 
 
 def _upload(path, rows):
@@ -26,7 +26,6 @@ def test_stream_lives_through_a_first_batch_without_a_valid_row(spark):
     got = run_landing_once(spark, landing, sink, ckpt)
     assert sorted((r.business_name, r.text, r.epoch) for r in got.collect()) == [
         ("b", "another valid review", 2), ("b", "good food and staff", 1), ("c", "good food and staff", 1)]
-    assert spark.read.parquet(key_table(sink)).count() == 3
 
 
 def test_a_retried_batch_replaces_its_output_even_when_empty(spark):
@@ -40,3 +39,54 @@ def test_a_retried_batch_replaces_its_output_even_when_empty(spark):
         os.remove(crc)
     _upload(os.path.join(landing, "a.csv"), [("b", "7", "good food and staff")])
     assert run_landing_once(spark, landing, sink, ckpt).count() == 0
+
+
+def _shift(path, seconds):
+    now = os.stat(path).st_mtime + seconds
+    os.utime(path, (now, now))
+
+
+def test_late_file_restart_and_first_copy(spark):
+    landing, sink, ckpt = _folders()
+    _upload(os.path.join(landing, "a.csv"), [("b", "5", "good food and staff"), ("b", "1", "good food and staff"), (None or "", "4", "good food and staff")])
+    first = run_landing_once(spark, landing, sink, ckpt)
+    assert [(r.business_name, r.stars) for r in first.orderBy("business_name").collect()] == [(None, 4.0), ("b", 5.0)]
+    # a file that is older than the first, uploaded late, after a restart of the query: its copies are known
+    _upload(os.path.join(landing, "late.csv"), [("b", "2", "good food and staff"), ("b", "3", "never seen before at all"), ("", "3", "good food and staff")])
+    _shift(os.path.join(landing, "late.csv"), -3600)
+    got = run_landing_once(spark, landing, sink, ckpt)
+    assert sorted((r.business_name or "", r.text, r.stars) for r in got.collect()) == [
+        ("", "good food and staff", 4.0), ("b", "good food and staff", 5.0), ("b", "never seen before at all", 3.0)]
+
+
+def test_batch_cost_does_not_grow_with_what_was_kept(spark):
+    landing, sink, ckpt = _folders()
+    for i in range(50):
+        path = os.path.join(landing, f"{i:03}.csv")
+        _upload(path, [("b", "5", f"review number {i} of text {j}") for j in range(30)] + [("b", "4", f"review number {i - 1} of text {j}") for j in range(5)])
+        _shift(path, i - 100)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        q = start_landing_stream(spark, landing, sink, ckpt, max_files_per_trigger=1)
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    done = [p for p in q.recentProgress if p["numInputRows"]]
+    assert len(done) == 50 and spark.read.parquet(sink).count() == 50 * 30 + 5
+    assert {p["numInputRows"] for p in done} == {35}  # a batch reads its own file, nothing of the sink or of a key table
+    assert [p["stateOperators"][0]["numRowsUpdated"] for p in done][1:] == [35] * 49
+    took = [p["durationMs"]["addBatch"] for p in done]
+    assert sorted(took[-20:])[10] < 2 * sorted(took[5:25])[10] + 200
+
+
+def test_forgotten_texts_are_kept_anew(spark):
+    import time
+    landing, sink, ckpt = _folders()
+    _upload(os.path.join(landing, "a.csv"), [("b", "5", "good food and staff")])
+    run_landing_once(spark, landing, sink, ckpt, ttl_ms=1000)
+    time.sleep(2)
+    _upload(os.path.join(landing, "b.csv"), [("b", "5", "another review text")])  # this batch forgets
+    run_landing_once(spark, landing, sink, ckpt, ttl_ms=1000)
+    _upload(os.path.join(landing, "c.csv"), [("b", "3", "good food and staff")])
+    assert run_landing_once(spark, landing, sink, ckpt, ttl_ms=1000).count() == 3
