@@ -69,8 +69,12 @@ def search_businesses(biz: DataFrame, requests: Sequence[str] | str, city: str |
     out = biz.withColumn("request", F.explode(hits))
     if city is not None:
         out = out.filter(F.lower(F.coalesce(F.col("city"), F.lit(""))).contains(city.lower()))
+    return _match_rows(out, biz.columns)
+
+
+def _match_rows(out: DataFrame, have: Sequence[str]) -> DataFrame:
     cols = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ["name", "city", "state"]]
-    if "address" in biz.columns:
+    if "address" in have:
         cols.append(F.coalesce(F.col("address"), F.lit("")).alias("address"))
     rc = F.coalesce(F.col("review_count"), F.lit(0))
     return out.select("request", "business_id", *cols,
@@ -79,6 +83,44 @@ def search_businesses(biz: DataFrame, requests: Sequence[str] | str, city: str |
                       reliability_tier(rc).alias("reliability"), "seq")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of ``n`` characters."""
+    last = F.length(text) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))))
+
+
+def gram_postings(biz: DataFrame) -> DataFrame:
+    """Posting table of the distinct lower-cased names: (gram, name_lc) for grams of one, two and three characters.
+
+    Names that many businesses share are one entry.  Write it once where many request tables meet it.
+    """
+    names = biz.select(F.lower(F.coalesce(F.col("name"), F.lit(""))).alias("name_lc")).distinct()
+    grams = F.concat(*[F.coalesce(_grams(F.col("name_lc"), n), F.array().cast("array<string>")) for n in (1, 2, 3)])
+    return names.select(F.explode(grams).alias("gram"), "name_lc")
+
+
+def search_request_table(biz: DataFrame, requests: DataFrame, request: str = "request", postings: DataFrame | None = None) -> DataFrame:
+    """B1 for a table of requests: the rows of :func:`search_businesses`, any number of requests.
+
+    A request is looked up by one gram, the rarest of its three-character pieces (one or two characters: the request
+    itself), in the posting table by an equi-join, and then verified literally; every name that holds the request holds
+    that gram, so none is lost.  Blank and null requests never match; equal requests are looked up once.
+    """
+    postings = gram_postings(biz) if postings is None else postings
+    asked = requests.select(F.col(request).alias("request")).where(F.col("request").isNotNull() & (py_strip("request") != "")) \
+        .distinct().withColumn("_lc", F.lower("request"))
+    pieces = asked.select("request", "_lc", F.explode(F.when(F.length("_lc") < 3, F.array("_lc")).otherwise(_grams(F.col("_lc"), 3))).alias("gram"))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a piece that no name holds has no count: the inner join drops it, and its request cannot match
+    held = pieces.join(counts, "gram").groupBy("request", "_lc").agg(
+        F.min(F.struct("_n", "gram")).alias("_best"), F.count(F.lit(1)).alias("_held"))
+    held = held.where(F.col("_held") == F.when(F.length("_lc") < 3, 1).otherwise(F.size(_grams(F.col("_lc"), 3))))
+    found = held.select("request", "_lc", F.col("_best.gram").alias("gram")).join(postings, "gram") \
+        .where(F.contains("name_lc", "_lc")).select("request", "name_lc")
+    out = biz.withColumn("name_lc", F.lower(F.coalesce(F.col("name"), F.lit("")))).join(found, "name_lc")
+    return _match_rows(out, biz.columns)
+
+
 def rank_matches(matches: DataFrame) -> DataFrame:
     """Per request, order by review_count descending, ties in file order; adds the
     1-based ``match_rank``.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import collect as C
-from ..sources.fixtures import FX_BUSINESS_SQL, FX_REVIEWS_SQL, fx_business, fx_reviews, with_ctes
+from ..sources.fixtures import FX_BUSINESS_SQL, FX_REVIEWS_SQL, fx_business, fx_reviews, read_table, with_ctes
+from ..sources.literal import literal_table
 from .catalog import query
 
 # bounded request list (user input), evaluated in one scan
@@ -48,6 +49,25 @@ def q_resolved(spark, sf_dir):
     return C.resolve(C.search_businesses(fx_business(spark, sf_dir), REQUESTS)).select("request", "business_id")
 
 
+# requests from a table: pieces of customer names (one to nine characters), nation names, and names nobody has
+REQUEST_TABLE_SQL = f"""rq AS (
+  SELECT DISTINCT request FROM (
+    SELECT substr(c_name, 18 - CAST(c_custkey % 9 AS INTEGER)) AS request FROM customer
+    UNION ALL SELECT n_name FROM nation UNION ALL SELECT ' ' UNION ALL SELECT 'SUPPLIER#0'))"""
+
+
+@query("search_request_table", with_ctes(FX_BUSINESS_SQL, REQUEST_TABLE_SQL, body=f"""
+SELECT request, business_id, coalesce(name, '') AS name, coalesce(review_count, 0) AS review_count,
+       {TIER_SQL.format(n='coalesce(review_count, 0)')} AS reliability
+FROM fx_business JOIN rq ON trim(request) <> '' AND contains(lower(coalesce(name, '')), lower(request))"""))
+def q_request_table(spark, sf_dir):
+    """B1 for a table of requests (one per customer and nation): gram look-up, then the literal test."""
+    c, n = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation")
+    requests = c.select(F.expr("substr(c_name, 18 - cast(c_custkey % 9 as int))").alias("request")) \
+        .unionByName(n.select(F.col("n_name").alias("request"))).unionByName(literal_table(spark, [(" ",), ("SUPPLIER#0",)], "request string"))
+    return C.search_request_table(fx_business(spark, sf_dir), requests).select("request", "business_id", "name", "review_count", "reliability")
+
+
 def _review_business(spark, sf_dir):
     """Businesses of the review fixture: one per document source."""
     r = fx_reviews(spark, sf_dir)
@@ -76,13 +96,13 @@ def q_load_metadata(spark, sf_dir):
 def _lang_sources(spark, sf_dir):
     r = fx_reviews(spark, sf_dir)
     return {"csv": r.filter(F.col("lang") == "de"), "yelp": r.filter(F.col("lang") == "en"),
-            "google": r.filter(F.col("lang").isin("fr", "es"))}
+            "google": r.filter(F.coalesce(~F.col("lang").isin("de", "en"), F.lit(True)))}
 
 
 @query("source_fallback", with_ctes(FX_REVIEWS_SQL, body="""
 , t AS (SELECT review_id, business_id, CASE lang WHEN 'de' THEN 'csv' WHEN 'en' THEN 'yelp' ELSE 'google' END AS source,
                CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 ELSE 3 END AS source_rank
-        FROM fx_reviews WHERE lang IN ('de', 'en', 'fr', 'es'))
+        FROM fx_reviews)
 SELECT review_id, business_id, source FROM t
 WHERE source_rank = (SELECT min(source_rank) FROM t t2 WHERE t2.business_id = t.business_id)"""))
 def q_source_fallback(spark, sf_dir):

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import collections as CO
 from ..operators import retrieve as D
 from ..operators import vector_index as VI
 from ..operators.modelio import TOPICS
@@ -152,6 +153,24 @@ def q_collection_keys(spark, sf_dir):
     return fx_business(spark, sf_dir).select("business_id", D.collection_key("name").alias("collection"))
 
 
+@query("refreshed_collections", with_ctes(FX_REVIEWS_SQL, body="""
+SELECT business_id, 'reviews_biz_' || regexp_replace(lower(business_id), '[^a-zA-Z0-9._-]', '', 'g') AS collection, review_id, md5(text) AS text_md5,
+       CASE WHEN bool_or(useful = 10) OVER (PARTITION BY business_id) THEN 2 ELSE 1 END AS rows_version
+FROM fx_reviews WHERE text IS NOT NULL"""))
+def q_refreshed_collections(spark, sf_dir):
+    """Collections built from a first load (all but the reviews of usefulness 10), then refreshed with the whole table:
+    the businesses that gained reviews are indexed anew."""
+    r = fx_reviews(spark, sf_dir)
+    path = os.path.join(ensure_checkpoint_dir(spark), "collections", uuid.uuid4().hex)
+
+    def index(rows):
+        return D.embed_texts(rows.select("business_id", "review_id", "text"), D.hashing_embedder(64))
+
+    CO.refresh_collections(r.where("useful != 10"), path, index)
+    CO.refresh_collections(r, path, index)
+    return CO.read_collections(spark, path).select("business_id", "collection", "review_id", F.md5("text").alias("text_md5"), "rows_version")
+
+
 @query("embedded_topic_topk")
 def q_embedded_topic_topk(spark, sf_dir):
     """D1(c) + D3/D4: reviews and topic queries embedded by a user model in an iterator
