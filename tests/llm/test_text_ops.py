@@ -231,10 +231,12 @@ def base_want(t):
 
 
 def markov_want(t, base, model, least=8.0):
-    n, out = len(secrets.ALPHABET), []
+    n, out, covered = len(secrets.ALPHABET), [], bytearray(len(t or ""))
+    for a, _, b in base:
+        covered[a:b] = b"\1" * (b - a)
     for m in re.finditer("[A-Za-z0-9+/_=-]+", t or ""):
         s = m[0]
-        if len(s) < 16 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(a < m.end() and m.start() < b for a, _, b in base):
+        if len(s) < 16 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(covered[m.start():m.end()]):
             continue
         k = [secrets.ALPHABET.index(c) for c in s]
         if sum(model[x * n + y] for x, y in zip(k, k[1:])) >= least:
@@ -267,6 +269,32 @@ def test_spans_equal_python_regexes(spark, docs):
     assert collections.Counter(map(tuple, got)) == report_want(rows, model)
 
 
+def test_running_folds_every_place(spark):
+    rows = [([],), ([5],), (list(range(64)),), (list(range(65)),), ([3, 1, 4, 1, 5] * 2000,)]
+    df = spark.createDataFrame(rows, "a array<int>")
+    got = secrets.with_running(df, {"s": (F.col("a"), 0, lambda x, y: x + y), "m": (F.col("a"), -1, lambda x, y: F.greatest(x, y))}, 8)
+    for r in got.collect():
+        assert r.s == [sum(r.a[:i]) for i in range(len(r.a))] and r.m == [max([-1, *r.a[:i]]) for i in range(len(r.a))]
+
+
+def test_long_tokens_and_many_spans_are_linear(spark, docs):
+    import time
+    rnd = random.Random(4)
+    model = secrets.train(secrets.samples_of(docs))
+    uri = "data:image/png;base64," + "".join(rnd.choices(secrets.ALPHABET[:62] + "+/", k=1_000_000))
+    many = " ".join(f"{rnd.getrandbits(100):025x}" for _ in range(100_000))
+    mixed = " ".join(rnd.choice(["token=abcdef12", "a1" * 20, "AKIA" + "B2" * 8, "Zx9" * 7, "plain"]) for _ in range(20_000))
+    rows = [(1, uri), (2, many), (3, mixed), (4, "token:abcdef:" * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id").cache()
+    df.count()
+    secrets.report(secrets.scan(df.where("doc_id = 0"), model)).collect()
+    took = time.time()
+    got = secrets.report(secrets.scan(df, model)).collect()
+    took = time.time() - took
+    assert collections.Counter(map(tuple, got)) == report_want(rows, model)
+    assert took < 30  # four texts on shared cores; with quadratic cost each would take many minutes
+
+
 def test_ratio_tells_random_strings_from_identifiers(spark, docs):
     rnd = random.Random(2)
     pool = secrets.ALPHABET[:62]
