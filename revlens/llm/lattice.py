@@ -10,7 +10,7 @@ its words' lattices.  The recursion thus runs once per distinct word of the corp
 words are scored in sorted order so that common prefixes are recursed once.
 
 Counts and scores meet the texts by hash range: each text's distinct words go, as arrays, to the bucket of
-their 64-bit hash, where the bucket's part of the vocabulary comes first in sort order and is held as
+their 64-bit hash (no two words of the corpus share one: clashes are found and hashed anew), where the bucket's part of the vocabulary comes first in sort order and is held as
 arrays (``BUCKET_WORDS`` words in the mean).  A frequent word costs each text one array entry, so no bucket is
 hot, and nothing of the vocabulary is broadcast or collected but the bounded table of pieces.
 """
@@ -34,43 +34,34 @@ LN10 = log(10.0)
 
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, tuple] = {}
-
-
-def _powers(n: int):
-    """Powers of the hash base and of its inverse modulo 2**64, for ``n`` bytes."""
-    size = max(BLOCK * 2, 1 << n.bit_length())
-    if size not in _POWERS:
-        with np.errstate(over="ignore"):
-            out = []
-            for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                out.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS.clear()
-        _POWERS[size] = tuple(out)
-    return _POWERS[size]
-
-
-def _mixed(h):
-    """Final mixing of the hash (the public 64-bit finalizer of MurmurHash3)."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def hashed_words(raw: bytes):
-    """-> (lower-cased bytes, starts, ends, 64-bit hashes) of the words of a block."""
+
+
+class Hasher(dict):
+    """Word -> 64-bit number (XXH3).  A number of ``clash``, which several words of the corpus share, is passed over for
+    the word's number under the next seed; words are thus told apart once no clash is left.  Bounded cache."""
+
+    def __init__(self, clash=frozenset(), bits: int = 64):
+        super().__init__()
+        self.clash, self.bits = clash, bits
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+        if len(self) > 1 << 20:
+            self.clear()
+        seed = 0
+        while (h := xxh3_64_intdigest(word, seed) >> (64 - self.bits)) in self.clash:
+            seed += 1
+        self[word] = h
+        return h
+
+
+def hashed_words(raw: bytes, hasher: Hasher):
+    """-> (lower-cased words, their starts, their hashes) of a block."""
     low = _TABLE[np.frombuffer(raw, np.uint8)]
     ink = (low != 32) & ((low < 9) | (low > 13))
-    edge = np.diff(ink.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return low, start, end, _mixed(h)
+    start = np.flatnonzero(np.diff(ink.view(np.int8), prepend=np.int8(0)) == 1)
+    words = low.tobytes().split()  # at exactly the same bytes
+    return words, start, np.fromiter(map(hasher.__getitem__, words), np.uint64, len(words))
 
 
 def _blocks(texts):
@@ -98,20 +89,37 @@ def _signed(h):
     return pa.array(h.view(np.int64))
 
 
-def _count_words(batches):
+def _count_words(clash, bits: int):
     """mapInArrow (text, learn) -> (h, word, c): words of a block with their count in the learning texts (0: only in others)."""
-    for b in batches:
-        texts, learn = utf8(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for raw, offsets, own in _blocks(texts):
-            low, start, end, h = hashed_words(raw)
-            if not len(h):
-                continue
-            counted = learn[own[np.searchsorted(offsets, start, side="right") - 1]]
-            _, first, place = np.unique(h, return_index=True, return_inverse=True)
-            n = np.bincount(place, weights=counted, minlength=len(first)).astype(np.int64)
-            line = low.tobytes()
-            words = [line[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())]
-            yield pa.RecordBatch.from_arrays([_signed(h[first]), pa.array(words, pa.binary()), pa.array(n)], names=["h", "word", "c"])
+    def run(batches):
+        hasher = Hasher(clash, bits)
+        for b in batches:
+            texts, learn = utf8(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for raw, offsets, own in _blocks(texts):
+                words, start, h = hashed_words(raw, hasher)
+                if not words:
+                    continue
+                counted = learn[own[np.searchsorted(offsets, start, side="right") - 1]]
+                at: dict[bytes, int] = {}
+                place = np.fromiter((at.setdefault(w, len(at)) for w in words), np.int64, len(words))  # by the word itself, not by its hash
+                first = np.zeros(len(at), np.int64)
+                first[place[::-1]] = np.arange(len(words))[::-1]
+                n = np.bincount(place, weights=counted, minlength=len(at)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([_signed(h[first]), pa.array(list(at), pa.binary()), pa.array(n)], names=["h", "word", "c"])
+    return run
+
+
+def _distinct_words(d: DataFrame, bits: int) -> tuple[DataFrame, frozenset]:
+    """All distinct words with their hash and count, and the numbers passed over so that no two words share a hash."""
+    clash: frozenset = frozenset()
+    while True:
+        words = d.select("text", (~F.col("held_out")).alias("learn")).mapInArrow(_count_words(clash, bits), "h long, word binary, c long")
+        words = written(words.groupBy("h", "word").agg(F.sum("c").alias("c")), "words")
+        # of n words n**2 / 2**65 pairs share 64 bits: none below billions of words, a handful beyond
+        more = words.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h").collect()
+        if not more:
+            return words, clash
+        clash |= {r.h & 0xFFFFFFFFFFFFFFFF for r in more}
 
 
 class Pieces:
@@ -236,17 +244,18 @@ def _vocabulary_rows(model: bytes, counts: dict, end: float, tokens: int, distin
     return run
 
 
-def _text_rows(buckets: int):
+def _text_rows(buckets: int, clash, bits: int):
     """mapInArrow (text, rid, doc_id, held_out) -> rows of kind 1: a text's distinct words and their counts, by bucket.
 
     Each text also has a row without words that carries its id.
     """
     def run(batches):
+        hasher = Hasher(clash, bits)
         for b in batches:
             texts, rids = utf8(b.column(0)), b.column(1).to_numpy()
             sizes = np.zeros(len(texts), np.int64)
             for raw, offsets, own in _blocks(texts):
-                _, start, _, h = hashed_words(raw)
+                _, start, h = hashed_words(raw, hasher)
                 if not len(h):
                     continue
                 doc = own[np.searchsorted(offsets, start, side="right") - 1]
@@ -307,22 +316,23 @@ def _look_up(batches):
                 names=["rid", "doc_id", "held_out", "tokens", "known", "base", "lp"])
 
 
-def lattice_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+def lattice_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY,
+                   hash_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` marks documents that are scored but not learnt from (null counts as true).  Tokens are ASCII
     lower-cased words and one end.  ``score`` is the log10 probability of the words under the lattice, the
     end included; ``base_score`` that of smoothed word counts.  Null and empty texts are the end alone;
     repeated rows come back each; with nothing to learn from, all counts are 0 and pieces are
-    alike; an empty table gives an empty result.  ``vocabulary`` is read on the driver and sent along.
+    alike; an empty table gives an empty result.  ``vocabulary`` is read on the driver and sent along.  Ids are whole
+    numbers (cast to long).  ``hash_bits`` settles cost only: words that share a hash are found and hashed anew.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         model = f.read()
     d = docs.select(col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"),
                     col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    words = d.select("text", (~F.col("held_out")).alias("learn")).mapInArrow(_count_words, "h long, word binary, c long")
-    words = written(words.groupBy("h", "word").agg(F.sum("c").alias("c")), "words")
+    words, clash = _distinct_words(d, hash_bits)
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count(F.lit(1))).first()
     ends = d.where("not held_out").count()
     tokens, distinct = seen[0] + ends, seen[1] + (ends > 0)
@@ -331,7 +341,7 @@ def lattice_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id
     counts = {r.id: r.n for r in rows}
     buckets = max(LEAST_BUCKETS, -(-seen[2] // BUCKET_WORDS))
     vocab = words.mapInArrow(_vocabulary_rows(model, counts, ends, tokens, distinct, buckets), _ROWS)
-    texts = d.select("text", "rid", "doc_id", "held_out").mapInArrow(_text_rows(buckets), _ROWS)
+    texts = d.select("text", "rid", "doc_id", "held_out").mapInArrow(_text_rows(buckets, clash, hash_bits), _ROWS)
     met = vocab.union(texts).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     parts = met.mapInArrow(_look_up, _PARTS)
     scores = Pieces(model)

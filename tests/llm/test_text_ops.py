@@ -218,6 +218,26 @@ def test_lattice_sums_all_segmentations_and_is_a_distribution():
         assert got == pytest.approx(math.log(sum(map(math.exp, every("▁" + w)))))
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("bits", [64, 12])
+def test_words_that_share_a_hash_are_told_apart(spark, bits):
+    """Words that collide under polynomial hashes, and hashes of few bits: counts follow each word's own."""
+    own = [f"w{i}" for i in range(60)]
+    rows = [(1, thue_morse(1024, "a", "b")), (2, thue_morse(1024, "b", "a")), (3, " ".join(own[:40])), (4, " ".join(own[20:]) + " " + own[59])]
+    learn = {1, 3}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice.lattice_scores(df, ~F.col("doc_id").isin(*learn), hash_bits=bits).collect()}
+    count = collections.Counter(w for i, t in rows if i in learn for w in t.split())
+    n, v = sum(count.values()) + len(learn), len(count) + 1
+    for i, t in rows:
+        c = [count[w] for w in t.split()] + [len(learn)]
+        assert got[i].n_known == sum(x > 0 for x in c) and got[i].n_tokens == len(c)
+        assert math.isclose(got[i].base_score, sum(math.log10((x + 1) / (n + v + 1)) for x in c), rel_tol=1e-9)
+
+
 # ---- secrets
 
 def base_want(t):
