@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, py_words
+from .joins import join_on
+from .lineage import materialize
 from .modelio import (SENTIMENT_KEYS, SENTIMENTS, TOPICS, v_is_int, v_is_list, v_is_number, v_is_object,
                       v_is_string, v_list, v_num, v_str, vget, vtype)
+from .ordering import dense_index
 
 # --- fixed values -------------------------------------------------------------------
 DEFAULT_SENTIMENT_SUMMARY = "No summary"
@@ -40,12 +43,20 @@ def _num_txt(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(x.cast("string"))
 
 
-def _unsupported_highlights(hl: Column, corpus: Column) -> Column:
+def _finder(df: DataFrame, corpus: str, supported: str | None):
+    """Whether a lower-cased phrase occurs in the reviews: in the corpus string, or in the array of phrases found there."""
+    if supported is not None:
+        return lambda w: F.coalesce(F.array_contains(F.col(supported), w), F.lit(False))
+    text = F.coalesce(F.col(corpus), F.lit(""))
+    return lambda w: text.contains(w)
+
+
+def _unsupported_highlights(hl: Column, has) -> Column:
     """highlights none of whose words longer than 3 characters occurs in the corpus
     (highlights without such words never warn)."""
     def bad(h):
         words = F.filter(py_words(F.lower(h)), lambda w: F.length(w) > MIN_WORD_LEN)
-        return (F.size(words) > 0) & ~F.exists(words, lambda w: corpus.contains(w))
+        return (F.size(words) > 0) & ~F.exists(words, has)
     return F.filter(hl, bad)
 
 
@@ -58,12 +69,13 @@ def _highlights_fail(x: Column) -> Column:
     return x.isNotNull() & (scalar_bad | list_bad)
 
 
-def check_sentiment(df: DataFrame, v: str = "v", corpus: str = "corpus") -> DataFrame:
+def check_sentiment(df: DataFrame, v: str = "v", corpus: str = "corpus", supported: str | None = None) -> DataFrame:
     """F0-F7 for sentiment answers; adds ``ok, positive, negative, neutral, summary,
     positive_highlights, negative_highlights, errors, warnings`` (result columns NULL when
-    ``ok`` is false)."""
+    ``ok`` is false).  ``supported`` names a column of :func:`supported_phrases` to test against
+    instead of a corpus string."""
     V = F.col(v)
-    C = F.coalesce(F.col(corpus), F.lit(""))
+    has = _finder(df, corpus, supported)
     # extract each field once into a column; the rules below only reference them
     df = df.select("*", *[vget(V, f"$.{k}").alias(f"_g_{k}") for k in SENTIMENT_KEYS])
     g = {k: F.col(f"_g_{k}") for k in SENTIMENT_KEYS}
@@ -102,7 +114,7 @@ def check_sentiment(df: DataFrame, v: str = "v", corpus: str = "corpus") -> Data
     warnings = F.concat(
         _nonnull(F.when(ne100, F.format_string("percentages sum to %s (must be 100) -> normalised", _num_txt(total))),
                  F.when(summ_blank, F.lit("summary is blank -> default used"))),
-        *[F.transform(_unsupported_highlights(hl[k], C),
+        *[F.transform(_unsupported_highlights(hl[k], has),
                       lambda h: F.format_string("highlight '%s' not found in the reviews", h))
           for k in ["positive_highlights", "negative_highlights"]])
 
@@ -122,7 +134,7 @@ def check_sentiment(df: DataFrame, v: str = "v", corpus: str = "corpus") -> Data
 _TOPIC_FIELDS = ["score", "sentiment", "mentions", "keywords", "summary"]
 
 
-def _topic_struct(V: Column, C: Column, t: str):
+def _topic_struct(V: Column, has, t: str):
     tv = F.col(f"_t_{t}")
     present = tv.isNotNull()
     score_v, sent_v, ment_v, kw_v, summ_v = (F.col(f"_t_{t}_{f}") for f in _TOPIC_FIELDS)
@@ -159,7 +171,7 @@ def _topic_struct(V: Column, C: Column, t: str):
         F.when(present & ~sent_ok, F.format_string(f"'{t}' sentiment='%s' is invalid -> neutral",
                                                    F.coalesce(sent, F.lit("")))),
         F.when(present & ~v_is_list(kw_v), F.lit(f"'{t}' keywords is not a list -> []")))
-    bad_kws = F.filter(kws, lambda k: (F.length(k) > MIN_WORD_LEN) & ~C.contains(F.lower(k)))
+    bad_kws = F.filter(kws, lambda k: (F.length(k) > MIN_WORD_LEN) & ~has(F.lower(k)))
     warns = F.concat(
         _nonnull(F.when(present & out_of_range, F.format_string(f"'{t}' score=%s outside 1-5 -> clamped", _num_txt(score))),
                  F.when(present & ~ment_ok, F.lit(f"'{t}' mentions is invalid -> 0"))),
@@ -176,16 +188,17 @@ def _topic_struct(V: Column, C: Column, t: str):
     return st, fail, errs, warns, present
 
 
-def check_topics(df: DataFrame, v: str = "v", corpus: str = "corpus") -> DataFrame:
+def check_topics(df: DataFrame, v: str = "v", corpus: str = "corpus", supported: str | None = None) -> DataFrame:
     """F8-F15 for topic answers; adds ``ok``, one struct column per topic
-    (present, sentiment, score, mentions, keywords, summary), ``errors`` and ``warnings``."""
+    (present, sentiment, score, mentions, keywords, summary), ``errors`` and ``warnings``.
+    ``supported`` as in :func:`check_sentiment`."""
     V = F.col(v)
-    C = F.coalesce(F.col(corpus), F.lit(""))
+    has = _finder(df, corpus, supported)
     # extract each topic object, then each of its fields, once into columns
     df = df.select("*", *[vget(V, f"$.{t}").alias(f"_t_{t}") for t in TOPICS])
     df = df.select("*", *[vget(F.col(f"_t_{t}"), f"$.{f}").alias(f"_t_{t}_{f}") for t in TOPICS for f in _TOPIC_FIELDS])
     helper_cols = [f"_t_{t}" for t in TOPICS] + [f"_t_{t}_{f}" for t in TOPICS for f in _TOPIC_FIELDS]
-    parts = {t: _topic_struct(V, C, t) for t in TOPICS}
+    parts = {t: _topic_struct(V, has, t) for t in TOPICS}
     fail = V.isNull() | ~v_is_object(V) | (vtype(V) == "OBJECT<>")
     for t in TOPICS:
         fail = fail | parts[t][1]
@@ -198,6 +211,48 @@ def check_topics(df: DataFrame, v: str = "v", corpus: str = "corpus") -> DataFra
     return out.select(*keep, "ok", *[F.when(F.col("ok"), e).alias(k) for k, e in res.items()])
 
 
+def sentiment_phrases(v: str = "v") -> Column:
+    """The words that F6 looks for in the reviews: those of the highlights, lower-cased, longer than 3 characters."""
+    def words(k):
+        g = vget(F.col(v), f"$.{k}")
+        hl = F.when(v_is_list(g), F.try_variant_get(g, "$", "array<string>")).otherwise(F.array().cast("array<string>"))
+        hl = F.filter(F.coalesce(hl, F.array().cast("array<string>")), lambda h: h.isNotNull())
+        return F.flatten(F.transform(hl, lambda h: F.filter(py_words(F.lower(h)), lambda w: F.length(w) > MIN_WORD_LEN)))
+    return F.array_distinct(F.concat(words("positive_highlights"), words("negative_highlights")))
+
+
+def topic_phrases(v: str = "v") -> Column:
+    """The phrases that F13 looks for in the reviews: keywords of all topics, lower-cased, longer than 3 characters."""
+    def keywords(t):
+        g = vget(F.col(v), f"$.{t}.keywords")
+        found = F.when(v_is_list(g), F.transform(v_list(g), lambda e: F.when(vtype(e) == "STRING", F.lower(v_str(e)))))
+        return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda w: w.isNotNull() & (F.length(w) > MIN_WORD_LEN))
+    return F.array_distinct(F.concat(*[keywords(t) for t in TOPICS]))
+
+
+def supported_phrases(answers: DataFrame, reviews: DataFrame, keys: list[str], phrases: str = "phrases", order: str = "seq",
+                      text: str = "text") -> DataFrame:
+    """F6 / F13 without a corpus string: ``(keys..., supported)``, the phrases of each answer that its reviews hold.
+
+    Every review row is tested against its answer's phrases (a few dozen, one array), and the hits are reduced to
+    distinct phrases before they are shuffled, so the reviews of one key are never gathered: a key may hold a third of
+    all rows.  Texts are compared lower-cased, as if joined by a space in input order: a phrase may also stand across
+    the seam of two reviews (not of three or more).  Null texts are passed over; answers without a hit do not appear.
+    """
+    asked = answers.select(*keys, F.col(phrases).alias("_p")).where(F.size("_p") > 0)
+    rows = reviews.where(F.col(text).isNotNull()).select(*keys, F.col(order).alias("_o"), F.lower(text).alias("_t"))
+    inside = join_on(rows.select(*keys, "_t"), asked, keys)
+    # neighbours of a key by dense position; only phrases with a space can stand on a seam
+    wide = asked.select(*keys, F.filter("_p", lambda p: p.contains(" ")).alias("_p")).where(F.size("_p") > 0)
+    placed = materialize(dense_index(join_on(rows, wide.select(*keys), keys, "left_semi"), keys, "_o", name="_i").select(*keys, "_i", "_t"))
+    nxt = placed.select(*keys, (F.col("_i") - 1).alias("_i"), F.col("_t").alias("_n"))
+    longest = F.array_max(F.transform("_p", lambda p: F.length(p)))
+    seams = join_on(join_on(placed, nxt, [*keys, "_i"]), wide, keys)
+    seams = seams.select(*keys, F.concat(F.right("_t", longest), F.lit(" "), F.left("_n", longest)).alias("_t"), "_p")
+    hits = inside.unionByName(seams).select(*keys, F.explode(F.filter("_p", lambda p: F.contains("_t", p))).alias("_hit"))
+    return hits.distinct().groupBy(*keys).agg(F.collect_set("_hit").alias("supported"))
+
+
 def topics_long(checked: DataFrame, keys: list[str]) -> DataFrame:
     """E5 long form: one row per (answer, topic) for successful answers.
 

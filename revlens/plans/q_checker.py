@@ -10,7 +10,7 @@ from ..operators import modelio as M
 from ..operators.joins import join_large
 from ..sources.fixtures import (FX_BATCH_CORPUS_SQL, FX_MODEL_RAW_SQL, FX_REVIEWS_SQL, FX_TOPIC_RAW_SQL,
                                 TOPIC_NAMES, fx_batch_corpus, fx_model_raw, fx_reviews, fx_topic_raw, with_ctes)
-from .catalog import query
+from .catalog import ORACLES, query
 from .q_validate import WS, strip_sql
 
 NUM_T = "('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN')"
@@ -193,6 +193,29 @@ def q_topic_rows(spark, sf_dir):
                        F.array_join("keywords", "|").alias("keywords"), "summary")
 
 
+# ---------------------------------------------------------------- F6 / F13 on review rows, without a corpus string
+def _by_rows(spark, sf_dir, raw, parse, phrases, check):
+    answers = raw.withColumn("v", parse).withColumn("phrases", phrases)
+    found = K.supported_phrases(answers, fx_batch_corpus(spark, sf_dir), ["batch_id"])
+    return check(join_large(answers, found, "batch_id", "left"), supported="supported")
+
+
+@query("check_sentiment_by_rows", ORACLES["check_sentiment"])
+def q_check_sentiment_by_rows(spark, sf_dir):
+    """F0-F7 with the highlights looked up in the review rows."""
+    c = _by_rows(spark, sf_dir, fx_model_raw(spark, sf_dir), M.extract_json("raw"), K.sentiment_phrases(), K.check_sentiment)
+    return c.select("batch_id", "ok", "positive", "negative", "neutral", "summary",
+                    *[F.array_join(k, "|").alias(k) for k in ("positive_highlights", "negative_highlights")],
+                    *[F.when(F.col("ok"), F.size(k)).cast("double").alias(f"n_{k}") for k in ("errors", "warnings")])
+
+
+@query("check_topics_by_rows", ORACLES["check_topics"])
+def q_check_topics_by_rows(spark, sf_dir):
+    """F8-F15 with the keywords looked up in the review rows."""
+    c = _by_rows(spark, sf_dir, fx_topic_raw(spark, sf_dir), M.extract_json(M.strip_fence("raw")), K.topic_phrases(), K.check_topics)
+    return c.select("batch_id", "ok", *[F.when(F.col("ok"), F.size(k)).cast("double").alias(f"n_{k}") for k in ("errors", "warnings")])
+
+
 # ---------------------------------------------------------------- E1 review blocks
 @query("review_blocks", with_ctes(FX_REVIEWS_SQL, body="""
 , b AS (SELECT *, floor((row_number() OVER (PARTITION BY business_id ORDER BY seq) - 1) / 20) AS batch_id
