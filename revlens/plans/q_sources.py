@@ -50,6 +50,36 @@ def q_csv_bare(spark, sf_dir):
     return R.load_review_csv(spark, path + "/*.csv", clean=False).select("business_name", "stars", "text")
 
 
+@query("csv_required_columns", with_ctes(FX_REVIEWS_SQL, body="""
+SELECT CASE seq % 3 WHEN 0 THEN 'text,stars' WHEN 1 THEN 'text,rating' ELSE 'business_name' END AS present,
+       CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN 'stars' ELSE 'stars,text' END AS missing, count(*) AS n_rows
+FROM fx_reviews GROUP BY ALL"""))
+def q_csv_required(spark, sf_dir):
+    """A4: files with three headers, the required columns that each lacks, and its rows."""
+    path = _scratch(spark, "csvrequired")
+    r = fx_reviews(spark, sf_dir)
+    stars = F.col("stars").cast("string")
+    R.write_csv(r.filter("seq % 3 = 0").select("text", stars.alias("stars")), os.path.join(path, "a"))
+    R.write_csv(r.filter("seq % 3 = 1").select("text", stars.alias("rating")), os.path.join(path, "b"))
+    R.write_csv(r.filter("seq % 3 = 2").select("business_name"), os.path.join(path, "c"))
+    said = R.header_report(spark, [os.path.join(path, x, "*.csv") for x in "abc"])
+    return said.select(F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"), "n_rows")
+
+
+@query("csv_quoted_headers", with_ctes(FX_REVIEWS_SQL, body=f"""
+SELECT md5(text) AS text_md5, stars, CASE WHEN seq % 2 = 0 THEN useful END AS votes FROM fx_reviews
+WHERE text IS NOT NULL AND text NOT IN ({NA_SQL}) AND {strip_sql('text')} <> '' AND stars BETWEEN 1 AND 5"""))
+def q_csv_quoted_headers(spark, sf_dir):
+    """A1, A3: half of the files with a header cell that holds a line break and a comma."""
+    path = _scratch(spark, "csvquoted")
+    r = fx_reviews(spark, sf_dir)
+    stars, votes = F.col("stars").cast("string").alias("stars"), "useful votes,\nall kinds"
+    R.write_csv(r.filter("seq % 2 = 0").select(F.col("useful").cast("string").alias(votes), "text", stars), os.path.join(path, "a"))
+    R.write_csv(r.filter("seq % 2 = 1").select("text", stars), os.path.join(path, "b"))
+    out = R.load_review_csv(spark, [os.path.join(path, x, "*.csv") for x in "ab"])
+    return out.select(F.md5("text").alias("text_md5"), "stars", F.col(f"`{votes}`").cast("long").alias("votes"))
+
+
 @query("review_json_roundtrip", with_ctes(FX_REVIEWS_SQL, body="""
 SELECT review_id, business_id, stars, text, useful FROM fx_reviews"""))
 def q_review_json(spark, sf_dir):

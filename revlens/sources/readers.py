@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import na_to_null, py_strip, to_numeric
+from ..operators.lineage import materialize
 from ..operators.ordering import dense_index
+from .literal import literal_table
 
 # --- fixed values -------------------------------------------------------------------
 BUSINESS_SCHEMA = T.StructType([
@@ -54,63 +55,156 @@ def _with_file_order(df: DataFrame) -> DataFrame:
         .drop("_file", "_row")
 
 
-def _csv_groups(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[tuple[str, ...], str], list[str]]:
-    """Files by (header, encoding).  A3 decides on a file's bytes: UTF-8 when they are valid UTF-8,
-    else Latin-1.  A splittable scan of lines tests the bytes (no UTF-8 sequence holds a line end), so
-    no file is held whole; the header is a one-row read of its file.  The driver gets a path, a header
-    line and a flag per file, as many as Spark's own listing of the input holds."""
-    listed = spark.read.format("binaryFile").load(list(paths)).select("path", F.col("_metadata.file_path").alias("uri")).collect()
-    # the text source hands on a line's bytes as they are
-    lines = spark.read.text([r["path"] for r in listed]) if listed else None
-    valid = {} if lines is None else {r["uri"]: r["valid"] for r in lines.groupBy(F.col("_metadata.file_path").alias("uri"))
-                                      .agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).collect()}
-
-    def head(row) -> bytes:
-        first = spark.read.text(row["path"]).select(F.col("value").cast("binary")).first() if row["uri"] in valid else None
-        return bytes(first[0]) if first else b""
-
-    with ThreadPoolExecutor(8) as pool:
-        heads = list(pool.map(head, listed))
-    groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
-    for r, raw in zip(listed, heads):
-        encoding = "UTF-8" if valid.get(r["uri"], True) else "ISO-8859-1"
-        names = next(csv.reader([raw.decode(encoding).removeprefix("\ufeff")]), [])
-        if names:
-            groups.setdefault((tuple(names), encoding), []).append(r["path"])
-    return groups
-
-
-def _csv_frames(spark: SparkSession, paths: Sequence[str] | str) -> list[DataFrame]:
-    """One all-string frame per (header, encoding): every file is read by its own header."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = []
-    for (names, encoding), files in sorted(_csv_groups(spark, paths).items()):
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        frames.append(_with_file_order(spark.read.options(**_CSV_OPTS, encoding=encoding).schema(schema).csv(files)))
-    if not frames:
-        raise ValueError(f"no CSV file with a header in {paths}")
-    return frames
+# A CSV line as the header's reader sees it: a cell, a line that leaves a quoted cell open, and a line
+# inside a quoted cell that does not end the record.  Possessive, so that no line needs a deep stack.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_CELLS = rf'(?:(?:{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+'
+_OPENS = rf'^{_CELLS}{_QUOTED}\z'
+_STAYS_OPEN = rf'^[^"]*+(?:""[^"]*+)*+(?:"[^,]*+,{_CELLS}{_QUOTED})?\z'
+
+
+def _csv_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(file, at, value)``: the lines of all files as raw bytes in a splittable scan; ``at`` orders a file's lines."""
+    return spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+
 
+def _csv_heads(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(file, head, utf8)`` of every file that has a header, in a number of jobs that does not depend on the files.
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    A3 decides on a file's bytes: UTF-8 when they are valid UTF-8 (no UTF-8 sequence holds a line end, so
+    lines are tested one by one), else Latin-1.  The head is the first line that is not empty, and the
+    lines after it as far as a quoted cell of the header reaches.  Only files whose first line leaves a
+    quote open are read for that a second time.  No file is held whole.
+    """
+    some = F.length("value") > 0
+    # the set of at most two flags has an object buffer, so the lines are aggregated by hash and never sorted
+    firsts = materialize(_csv_lines(spark, paths).groupBy("file").agg(
+        F.min_by(F.when(some, F.struct("at", "value")), F.when(some, F.col("at"))).alias("first"),
+        F.collect_set(F.is_valid_utf8("value")).alias("flags"))
+        .where("first is not null")
+        .select("file", "first.at", F.col("first.value").alias("value"), (~F.array_contains("flags", False)).alias("utf8"),
+                F.regexp_replace("first.value", "^\ufeff", "").rlike(_OPENS).alias("open")))
+    whole = firsts.where("not open").select("file", F.col("value").cast("binary").alias("head"), "utf8")
+    if firsts.where("open").isEmpty():
+        return whole
+    opened = firsts.where("open").select("file", F.col("at").alias("start"), "utf8")
+    rest = _csv_lines(spark, paths).join(opened, "file").where(F.col("at") >= F.col("start"))
+    ends = materialize(rest.where((F.col("at") > F.col("start")) & ~F.col("value").rlike(_STAYS_OPEN))
+                       .groupBy("file").agg(F.min("at").alias("end")))
+    unclosed = opened.join(ends, "file", "left_anti").first()
+    if unclosed:
+        raise ValueError(f"the header of {unclosed['file']} opens a quote that the file never closes")
+    lines = rest.join(ends, "file").where(F.col("at") <= F.col("end")) \
+        .groupBy("file", "utf8").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("value")))).alias("lines"))
+    joined = F.aggregate(F.slice("lines", F.lit(2), F.size("lines")), F.get(F.col("lines.value"), F.lit(0)),
+                         lambda acc, x: F.concat(acc, F.lit(bytearray(b"\n")), x["value"]))
+    return whole.unionByName(lines.select("file", joined.alias("head"), "utf8"))
+
+
+def header_names(head: str) -> list[str]:
+    """Column names of a header record as pandas gives them: a cell without text is ``Unnamed: i``, a repeated
+    name gets the next free suffix (``stars``, ``stars.1``); given names come before unnamed ones."""
+    cells = next(csv.reader([head.removeprefix("\ufeff")]), [])
+    given = [c or f"Unnamed: {i}" for i, c in enumerate(cells)]
+    names: dict[int, str] = {}
+    for i in sorted(range(len(cells)), key=lambda i: cells[i] == ""):
+        name, n = given[i], 0
+        while name in names.values() or (n and name in given):
+            n += 1
+            name = f"{given[i]}.{n}"
+        names[i] = name
+    return [names[i] for i in range(len(cells))]
+
+
+def _spark_names(headers: Sequence[Sequence[str]]) -> dict[str, str]:
+    """Column of each header name.  Spark compares names without case and ``seq`` is the row order, so a name that
+    clashes with one before it gets a suffix; the names of the loader come first and stay as they are."""
+    known = [*CSV_REQUIRED, "review_id", "business_name", "date", "useful"]
+    names = dict.fromkeys(n for h in headers for n in h)
+    out, taken = {}, {"seq"}
+    for name in sorted(names, key=lambda n: n not in known):
+        column, n = name, 0
+        while column.lower() in taken:
+            n += 1
+            column = f"{name}.{n}"
+        taken.add(column.lower())
+        out[name] = column
+    return {name: out[name] for name in names}
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _csv_frame(spark: SparkSession, paths: Sequence[str] | str) -> tuple[DataFrame, list[list[str]]]:
+    """All files in one all-string scan, and their distinct headers.
+
+    ``_kind`` is the number of a row's header.  Header and encoding are data: the files are scanned once by
+    cell position, joined with their header, and a column takes the position that its name has there.  The
+    driver gets the distinct (header, encoding) pairs only.  Where both encodings occur the scan keeps the
+    bytes (Latin-1 maps each byte to a character) and the cells of UTF-8 files are decoded from them.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    heads = materialize(_csv_heads(spark, paths))
+    kinds = sorted((bytes(r["head"]), r["utf8"]) for r in heads.select("head", "utf8").distinct().collect())
+    if not kinds:
+        raise ValueError(f"no CSV file with a header in {paths}")
+    headers = [header_names(raw.decode("UTF-8" if utf8 else "ISO-8859-1")) for raw, utf8 in kinds]
+    mixed = len({utf8 for _, utf8 in kinds}) > 1
+    encoding = "UTF-8" if kinds[0][1] and not mixed else "ISO-8859-1"
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max(map(len, headers)))])
+    scan = _with_file_order(spark.read.options(**_CSV_OPTS, encoding=encoding).schema(schema).csv(paths))
+    if len(kinds) == 1:
+        scan = scan.withColumn("_kind", F.lit(0))
+    else:
+        numbers = literal_table(spark, [(bytearray(raw), utf8, i) for i, (raw, utf8) in enumerate(kinds)], "head binary, utf8 boolean, _kind int")
+        of_file = heads.join(numbers, ["head", "utf8"]).select(F.col("file").alias("_file"), "_kind")
+        scan = scan.withColumn("_file", F.col("seq.file")).join(of_file, "_file").drop("_file")
+    decoded = [i for i, (_, utf8) in enumerate(kinds) if utf8] if mixed else []
+
+    def cell(position: int, used: list[int]):
+        c = F.col(f"_c{position}")
+        if set(used) & set(decoded):
+            c = F.when(F.col("_kind").isin(decoded), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+        return c if len(used) == len(kinds) else F.when(F.col("_kind").isin(used), c)
+
+    def column(name: str):
+        places: dict[int, list[int]] = {}
+        for i, h in enumerate(headers):
+            if name in h:
+                places.setdefault(h.index(name), []).append(i)
+        return F.coalesce(*[cell(p, used) for p, used in places.items()])
+
+    return scan.select(*[column(n).alias(c) for n, c in _spark_names(headers).items()], "seq", "_kind"), headers
+
+
+def header_report(spark: SparkSession, paths: Sequence[str] | str, required: Sequence[str] = CSV_REQUIRED) -> DataFrame:
+    """A4 as a report: one row per distinct header with its columns (``present``), the required ones it lacks
+    (``missing``, both arrays) and the files and rows that have it."""
+    frame, headers = _csv_frame(spark, paths)
+    counts = frame.groupBy("_kind", F.col("seq.file").alias("file")).agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("_kind").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_rows"))
+    said = literal_table(spark, [(i, h, sorted(set(required) - set(h))) for i, h in enumerate(headers)],
+                         "_kind int, present array<string>, missing array<string>")
+    return said.join(counts, "_kind", "left").groupBy("present", "missing").agg(
+        F.coalesce(F.sum("n_files"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
 
 
 def read_csv_any_encoding(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """A3: each file is decoded as UTF-8 when its bytes are valid UTF-8, else as Latin-1 (the
     reference's whole-file fallback, decided per file) and read by its own header; columns that
     a file lacks are NULL."""
-    return _union(_csv_frames(spark, paths))
+    return _csv_frame(spark, paths)[0].drop("_kind")
 
 
-def check_required(df: DataFrame, required: Sequence[str] = CSV_REQUIRED) -> None:
+def check_required(columns: DataFrame | Sequence[str], required: Sequence[str] = CSV_REQUIRED) -> None:
     """A4: raise when a required column is missing (lists missing / present / required)."""
-    missing = sorted(set(required) - set(df.columns))
+    present = list(getattr(columns, "columns", columns))
+    missing = sorted(set(required) - set(present))
     if missing:
-        raise ValueError(f"CSV is missing required columns {missing}; present {df.columns}; "
+        raise ValueError(f"CSV is missing required columns {missing}; present {present}; "
                          f"required {sorted(required)}")
 
 
@@ -149,21 +243,25 @@ def load_review_csv(spark: SparkSession, paths: Sequence[str] | str, clean: bool
     All cells are read as strings, pandas' NA tokens become NULL, the required columns
     are checked; A1 additionally fills defaults and cleans.
     """
-    frames = [f.select(*[na_to_null(F.col(c)).alias(c) if c != "seq" else F.col(c) for c in f.columns])
-              for f in _csv_frames(spark, paths)]
-    for f in frames:
-        check_required(f)
+    raw, headers = _csv_frame(spark, paths)
+    for h in headers:
+        check_required(h)
+    raw = raw.select(*[na_to_null(F.col(_quoted(c))).alias(c) if c not in ("seq", "_kind") else F.col(c) for c in raw.columns])
     if not clean:
-        return _union(frames)
+        return raw.drop("_kind")
     # defaults belong to the files that lack a column; ids number all rows of the load
-    named = ["review_id" in f.columns for f in frames]
-    raw = _union([_fill_other_defaults(f).withColumn("_named", F.lit(n)) for f, n in zip(frames, named)])
-    if not all(named):
-        own = F.when(F.col("_named"), F.col("review_id")) if any(named) else F.lit(None).cast("string")
+    defaults = {"business_name": F.lit(CSV_OPTIONAL_DEFAULTS["business_name"]), "useful": F.lit(str(CSV_OPTIONAL_DEFAULTS["useful"]))}
+    for name, value in defaults.items():
+        lacking = [i for i, h in enumerate(headers) if name not in h]
+        if lacking and len(lacking) < len(headers):
+            raw = raw.withColumn(name, F.when(F.col("_kind").isin(lacking), value).otherwise(F.col(name)))
+    unnamed = [i for i, h in enumerate(headers) if "review_id" not in h]
+    if unnamed:
+        own = F.col("review_id") if len(unnamed) < len(headers) else F.lit(None).cast("string")
         number = F.concat(F.lit(CSV_ID_PREFIX), F.col("_i").cast("string"))
         raw = dense_index(raw, [], "seq", name="_i").withColumn(
-            "review_id", F.when(F.col("_named"), own).otherwise(number)).drop("_i")
-    return clean_csv(raw.drop("_named"))
+            "review_id", F.when(F.col("_kind").isin(unnamed), number).otherwise(own)).drop("_i")
+    return clean_csv(_fill_other_defaults(raw.drop("_kind")))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> str:

@@ -152,7 +152,7 @@ def test_near_duplicates_follow_chains_of_copies(spark):
 
 
 def test_csv_files_are_never_read_whole_to_learn_header_and_encoding(spark, tmp_path):
-    from revlens.sources.readers import _csv_groups, load_review_csv
+    from revlens.sources.readers import _csv_heads, load_review_csv
     body = "".join(f'{k % 5 + 1},"café {k}\nsecond line"\n' for k in range(300))
     (tmp_path / "a b+c%.csv").write_bytes(("text_id,stars,text\n" + "".join(f"t{k},4,naïve {k}\n" for k in range(300))).encode())
     (tmp_path / "latin.csv").write_bytes(("stars,text\n" + body).encode("latin-1"))
@@ -164,12 +164,84 @@ def test_csv_files_are_never_read_whole_to_learn_header_and_encoding(spark, tmp_
     try:
         spark.conf.set(names[0], "100")       # a file above the limit of whole values
         spark.conf.set(names[1], "500")       # many splits a file
-        groups = _csv_groups(spark, [str(tmp_path)])
+        heads = _csv_heads(spark, [str(tmp_path)]).collect()
         got = [r.text for r in load_review_csv(spark, str(tmp_path)).collect()]
     finally:
         for n, v in zip(names, before):
             spark.conf.set(n, v)
-    found = {(k[0], k[1]): sorted(p.rsplit("/", 1)[1] for p in v) for k, v in groups.items()}
-    assert found == {(("text_id", "stars", "text"), "UTF-8"): ["a b+c%.csv"], (("stars", "text"), "ISO-8859-1"): ["late.csv", "latin.csv"],
-                     (("stars", "text"), "UTF-8"): ["bom.csv"]}
+    from urllib.parse import unquote
+    found = {unquote(r["file"]).rsplit("/", 1)[1]: (R.header_names(bytes(r["head"]).decode()), r["utf8"]) for r in heads}
+    assert found == {"a b+c%.csv": (["text_id", "stars", "text"], True), "late.csv": (["stars", "text"], False),
+                     "latin.csv": (["stars", "text"], False), "bom.csv": (["stars", "text"], True)}
     assert len(got) == 1201 and {"naïve 7", "café 7\nsecond line", "été", "Ω 7\nsecond line"} <= set(got)
+
+
+def test_csv_headers_as_pandas_has_them(spark, tmp_path):
+    import io
+    import pandas as pd
+    files = {"repeat": 'text,stars,stars,text\ngood food,5,1,other\n',
+             "lines": 'text,"stars","useful\nvotes, all"\n"one\ntwo",4,7\nthree,3,8\n',
+             "gaps": '\n\nstars,,text,\n2,x,slow,y\n',
+             "inch": 'a 5" cell,text,stars\nz,"a ""quote""",4\n',
+             "three": '"a\nb","c\n""d""\ne",text,stars\n1,2,long header,1\n',
+             "suffix": 'stars,stars,stars.1,text,stars\n1,2,3,fine,4\n',
+             "case": 'Stars,text,stars,seq\n9,mixed case,5,6\n'}
+    for name, body in files.items():
+        _write(tmp_path / f"{name}.csv", body)
+        want = pd.read_csv(io.StringIO(body), dtype=str)
+        heads = R._csv_heads(spark, [str(tmp_path / f"{name}.csv")]).collect()
+        assert R.header_names(bytes(heads[0]["head"]).decode()) == list(want.columns), name
+        got = R.load_review_csv(spark, str(tmp_path / f"{name}.csv"), clean=False).drop("seq").toPandas()
+        assert got.values.tolist() == want.where(want.notna(), None).values.tolist(), name
+    every = R.load_review_csv(spark, str(tmp_path))
+    assert every.count() == 8 and {r.text for r in every.collect()} >= {"good food", "one\ntwo", 'a "quote"', "long header"}
+    _write(tmp_path / "never.csv", 'text,"stars\n1,2\n')
+    try:
+        R.load_review_csv(spark, str(tmp_path / "never.csv"))
+        raise AssertionError("expected ValueError")
+    except ValueError as e:
+        assert "never closes" in str(e)
+
+
+def test_csv_header_names_follow_pandas(spark):
+    import io
+    import random
+    import pandas as pd
+    rnd = random.Random(7)
+    for _ in range(300):
+        cells = [rnd.choice(["a", "a.1", "b", "", "a.2", "Unnamed: 1"]) for _ in range(rnd.randrange(2, 7))]
+        if any(cells):
+            assert R.header_names(",".join(cells)) == list(pd.read_csv(io.StringIO(",".join(cells) + "\n")).columns), cells
+
+
+def test_csv_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    jobs = []
+    for n in (4, 80):
+        d = tmp_path / str(n)
+        d.mkdir()
+        for i in range(n):
+            _write(d / f"{i}.csv", ("text,stars\ncafé food,5\n", "stars,text\n4,fine food\n")[i % 2], ("utf-8", "latin-1")[i % 4 // 2])
+        spark.sparkContext.setJobGroup(f"csv-{n}", "jobs of a load")
+        assert R.load_review_csv(spark, str(d)).count() == n
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"csv-{n}")))
+        spark.sparkContext.setJobGroup("other", "")
+    # a listing of more than 32 paths would be a job of its own; here one folder is listed
+    assert jobs[1] <= jobs[0] + 1 and jobs[1] < 30
+
+
+def test_csv_header_scan_aggregates_by_hash(spark, tmp_path, capsys):
+    _write(tmp_path / "a.csv", "text,stars\ngood food here,5\n")
+    lines = R._csv_lines(spark, [str(tmp_path)])
+    some = F.length("value") > 0
+    lines.groupBy("file").agg(F.min_by(F.when(some, F.struct("at", "value")), F.when(some, F.col("at"))),
+                              F.collect_set(F.is_valid_utf8("value"))).explain()
+    plan = capsys.readouterr().out
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_header_report(spark, tmp_path):
+    _write(tmp_path / "a.csv", "text,stars\ngood food here,5\nfine,4\n")
+    _write(tmp_path / "b.csv", "rating,text\n1,café\n", "latin-1")
+    _write(tmp_path / "c.csv", "rating,text\n1,plain\n")
+    got = {(tuple(r.present), tuple(r.missing), r.n_files, r.n_rows) for r in R.header_report(spark, str(tmp_path)).collect()}
+    assert got == {(("text", "stars"), (), 1, 2), (("rating", "text"), ("stars",), 2, 2)}
