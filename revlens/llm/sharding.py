@@ -11,9 +11,12 @@ n + 1 shards differs only by slots that go to the new one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .common import col, packed, quoted, written
 
 SLOTS = 4096
@@ -47,13 +50,61 @@ def slot_sizes(records: DataFrame) -> DataFrame:
     return records.groupBy("slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
-def store_map(mapping: DataFrame, sizes: DataFrame, path: str) -> DataFrame:
-    """Append a version of the map, with the bytes and rows of its slots, to the map table at ``path``."""
-    full = mapping.join(sizes, "slot", "left").select(
-        "version", "slot", "shard", F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"),
-        F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
-    full.write.mode("append").parquet(path)
-    return mapping.sparkSession.read.schema(full.schema).parquet(path)
+def store_map(mapping: DataFrame, sizes: DataFrame, path: str, version: int) -> DataFrame:
+    """Write one version of the map, with the bytes and rows of its slots, and return the whole stored map.
+
+    A version is a folder of the map table at ``path``: storing it again after a failure replaces it.
+    """
+    full = mapping.select("slot", "shard").join(sizes.select("slot", "bytes", "rows"), "slot", "left").select(
+        F.col("slot").cast("long").alias("slot"), F.col("shard").cast("int").alias("shard"),
+        F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"), F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
+    full.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    return stored_map(mapping.sparkSession, path)
+
+
+def stored_map(spark, path: str) -> DataFrame:
+    """The stored map at ``path`` in all its versions: slot, shard, bytes, rows, version."""
+    return spark.read.schema("slot long, shard int, bytes long, rows long, version int").parquet(path)
+
+
+def grown(stored: DataFrame, version: int, shards: int) -> DataFrame:
+    """The stored ``version`` of ``shards`` shards edited for one shard more (law ``key``).
+
+    Slot and shard count decide which slots the new shard takes; every other row stays as it is stored, edits by
+    hand or by ``rebalanced`` included.
+    """
+    takes = hash32(F.concat(F.col("slot").cast("string"), F.lit(f":{shards}"))) % (shards + 1) == 0
+    return stored.where(F.col("version") == version).withColumn("shard", F.when(takes, F.lit(shards)).otherwise(F.col("shard")))
+
+
+def balanced(stored: DataFrame, version: int, spread: float = 0.02) -> DataFrame:
+    """The stored ``version`` edited until the fullest and the emptiest shard differ by at most ``spread`` of the mean,
+    or until no slot can move without making the difference larger.
+
+    Each round pairs the fullest shard with the emptiest, the second with the second last and so on; a pair
+    moves the largest slots that together fit into half of its gap, and if the largest exceeds it, those that
+    fit after it.  The map has a fixed number of rows, so a round is a few small jobs at any corpus size.
+    """
+    m = written(stored.where(F.col("version") == version), "slot-map-round")
+    one = Window.partitionBy(F.lit(0))
+    while True:
+        load = m.groupBy("shard").agg(F.sum("bytes").alias("load"))
+        ranked = load.select("shard", "load", F.row_number().over(one.orderBy(F.col("load").desc(), "shard")).alias("place"),
+                             F.count(F.lit(1)).over(one).alias("n"))
+        low = ranked.select((F.col("n") + 1 - F.col("place")).alias("place"), F.col("shard").alias("to"), F.col("load").alias("low"))
+        pairs = ranked.join(low, "place").where("load > low").select("shard", "to", F.expr("(load - low) div 2").alias("gap"))
+        most, least, mean = load.agg(F.max("load"), F.min("load"), F.avg("load")).first()
+        if most is None or most - least <= spread * mean:
+            return m
+        w = Window.partitionBy("shard").orderBy(F.col("bytes").desc(), "slot").rowsBetween(Window.unboundedPreceding, 0)
+        moves = m.join(pairs, "shard").where("bytes > 0 AND bytes <= gap").withColumn("upto", F.sum("bytes").over(w)) \
+            .where("upto <= gap").select("slot", "to")
+        after = written(m.join(moves, "slot", "left").select(
+            "slot", F.coalesce("to", "shard").alias("shard"), "bytes", "rows", "version"), "slot-map-round")
+        worst = after.groupBy("shard").agg(F.sum("bytes").alias("load")).agg(F.max("load") - F.min("load")).first()[0]
+        if worst >= most - least:
+            return m
+        m = after
 
 
 def rebalanced(stored: DataFrame, version: int, new_version: int) -> DataFrame:
@@ -79,8 +130,9 @@ def assign(docs: DataFrame, shards: int = 40, slots: int = SLOTS, text: str = "t
     """Documents with their shard: ``row`` (carried columns), doc_id, size, text_crc32, virtual_slot, shard,
     grown_shard (with one shard more), ``slot`` (place in the shard, from 0 without a gap), slot_bytes.
 
-    Size: UTF-8 bytes of the text (null: none) plus 16.  The map in its two versions (``shards`` and one
-    more) is stored at ``map_path`` if given.  Places are numbered by virtual slot and inside it by hashed
+    Size: UTF-8 bytes of the text (null: none) plus 16.  The map is stored at ``map_path`` (a new folder below
+    ``spark.checkpoint.dir`` if None) as version ``shards``; the version of one shard more is an edit of the
+    stored rows, stored beside it; shard and grown_shard are read from these two versions.  Places are numbered by virtual slot and inside it by hashed
     part, so no task holds a shard: a count per part gives the offsets.  A null id is the key of an
     empty text.  Repeated rows get a place each.  Null texts have crc32 0.  An empty table gives an
     empty result.
@@ -96,12 +148,12 @@ def assign(docs: DataFrame, shards: int = 40, slots: int = SLOTS, text: str = "t
         rows = written(rows, "shard-rows")
     sums = written(rows.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "shard-parts")
     sizes = sums.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("rows"))
-    now, grown = base_map(spark, shards, slots), base_map(spark, shards + 1, slots)
-    if map_path:
-        store_map(now.union(grown), sizes, map_path)
-    mapping = now.select(F.col("slot").alias("virtual_slot"), "shard").join(
-        grown.select(F.col("slot").alias("virtual_slot"), F.col("shard").alias("grown_shard")), "virtual_slot")
-    mapping = mapping.join(sizes.select(F.col("slot").alias("virtual_slot"), F.col("bytes").alias("slot_bytes")), "virtual_slot")
+    path = map_path or f"{ensure_checkpoint_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    stored = store_map(base_map(spark, shards, slots), sizes, path, shards)
+    stored = store_map(grown(stored, shards, shards), sizes, path, shards + 1)
+    at = F.col("slot").alias("virtual_slot")
+    mapping = stored.where(F.col("version") == shards).select(at, "shard", F.col("bytes").alias("slot_bytes")).join(
+        stored.where(F.col("version") == shards + 1).select(at, F.col("shard").alias("grown_shard")), "virtual_slot")
     # one row per (slot, part): bounded by slots * 64
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("virtual_slot", "part", "n").join(mapping, "virtual_slot") \

@@ -176,6 +176,36 @@ def test_map_versions_and_rebalancing(spark, docs, tmp_path):
     assert all(after[s] == before[s] for s in before if s not in (full, least))
 
 
+def test_shards_are_read_from_the_stored_map(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    rows = sharding.assign(docs, 8, map_path=path).collect()
+    stored = {(r.version, r.slot): r.shard for r in sharding.stored_map(spark, path).collect()}
+    assert all((r.shard, r.grown_shard) == (stored[8, r.virtual_slot], stored[9, r.virtual_slot]) for r in rows)
+    again = sharding.assign(docs, 8, map_path=path).collect()      # a rerun replaces its versions
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+    assert sharding.stored_map(spark, path).count() == 2 * sharding.SLOTS
+
+
+def test_a_balanced_map_grows_by_editing(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    sharding.assign(docs, 8, map_path=path)
+    stored = sharding.stored_map(spark, path)
+    sizes = stored.where("version = 8").select("slot", "bytes", "rows")
+
+    def load(m):
+        got = {r.shard: r.b for r in m.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}
+        return max(got.values()) - min(got.values()), sum(got.values())
+    even = sharding.balanced(stored, 8, 0.02)
+    before, after = load(stored.where("version = 8")), load(even)
+    assert after[1] == before[1] and even.count() == sharding.SLOTS and after[0] < before[0]
+    assert after[0] <= max(0.02 * after[1] / 8, max(r.bytes for r in even.collect()))
+    stored = sharding.store_map(even, sizes, path, 100)
+    stored = sharding.store_map(sharding.grown(stored, 100, 8), sizes, path, 101)
+    maps = {v: {r.slot: r.shard for r in stored.where(F.col("version") == v).collect()} for v in (8, 100, 101)}
+    assert maps[100] != maps[8] and any(maps[101][v] == 8 for v in maps[101])
+    assert all(maps[101][v] in (maps[100][v], 8) for v in maps[101])
+
+
 def test_grown_map_moves_slots_to_the_new_shard_only(spark):
     maps = [{r.slot: r.shard for r in sharding.base_map(spark, n).collect()} for n in (1, 2, 39, 40, 41)]
     assert set(maps[0].values()) == {0}
