@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -17,3 +19,17 @@ def materialize(df: DataFrame) -> DataFrame:
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the session's shared checkpoint folder and read it back.
+
+    Like ``materialize``, but compressed, pruned to the columns that a reader needs, and of known
+    size, so that Spark broadcasts it only when the written bytes allow.  The table lives as long
+    as the checkpoint folder.
+    """
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

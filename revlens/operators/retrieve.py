@@ -103,39 +103,54 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, not in every place (and element) that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _term_counts(text: Column) -> Column:
+    """Distinct tokens of a text and their counts, ``array<struct<term, tf>>``, from the runs of its sorted tokens."""
+    def runs(tokens: Column) -> Column:
+        n = F.size(tokens)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))
+        return F.when(n > 0, _bound(starts, lambda s: F.transform(s, lambda i, j: F.struct(
+            F.get(tokens, i).alias("term"), (F.coalesce(F.get(s, j + 1), n) - i).cast("long").alias("tf")))))
+    return _bound(F.array_sort(_tokens(text)), runs)
+
+
 def tfidf_topk(reviews: DataFrame, queries: DataFrame, k: int = MANAGER_TOP_K,
                scope: Sequence[str] = ("business_id",), id_col: str = "review_id", text_col: str = "text",
                qid_col: str = "topic", qtext_col: str = "query") -> DataFrame:
     """D1 built-in path + D3/D4: TF-IDF cosine between each review and each query text.
 
-    Relational throughout.  The text is tokenized once into an index of distinct
-    (scope, review, term) pairs with their counts (map-side combined before the shuffle),
-    written once (``materialize``) because several branches read it; the reference likewise
-    builds one index per business and then queries it.  Hits come first: the index joined
-    with the query terms.  Only the reviews that hit need a norm, so only their terms meet
-    the document frequencies.  Reviews that share no term with a query score 0 and still
-    rank (by id) where fewer than k reviews match, as an index returns k neighbours
+    A review is one row, so its terms are counted inside the row and stay there: one narrow pass
+    over the texts writes (scope, review, terms with counts, whether a query term is among them).
+    Only document frequencies are summed over the cluster, as partial counts per (scope, term)
+    without a review in the key.  They are written with their inverse frequency, so that Spark knows
+    their size: it broadcasts them when they are small, and else shuffles the terms of the reviews that
+    hit.  Only those need a dot product and a norm.  Reviews that share no term with a query score 0
+    and still rank (by id) where fewer than k reviews match, as an index returns k neighbours
     regardless: only scopes that are short of k are filled, from their first 2k ids.
     Joins are plain equi-joins (NULL scopes are scopes): Spark sizes them, AQE splits a hot
-    (business, common word) key.
+    (business, common word) key.  Review ids are unique within a scope.
     """
-    from .lineage import materialize
+    from .lineage import write_table
     scope = _cols(scope)
     qt = (queries.select(F.col(qid_col).alias(qid_col), F.explode(_tokens(F.col(qtext_col))).alias("term"))
           .groupBy(qid_col, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    toks = reviews.select(*scope, id_col, F.explode(_tokens(F.col(text_col))).alias("term"))
-    tf = materialize(toks.groupBy(*scope, id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    asked = qt.agg(F.collect_set("term").alias("asked")).select("asked").scalar()
+    bags = write_table(reviews.select(*scope, id_col, _term_counts(F.col(text_col)).alias("_terms"))
+                       .withColumn("_hit", F.arrays_overlap(F.col("_terms.term"), asked)), "tfidf-terms")
     n_docs = reviews.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"))
-    dfc = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = (join_on(dfc, n_docs, scope) if scope else attach_one_row(dfc, n_docs)).select(
-        *scope, "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    dfc = bags.select(*scope, F.explode("_terms.term").alias("term")).groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = write_table((join_on(dfc, n_docs, scope) if scope else attach_one_row(dfc, n_docs)).select(
+        *scope, "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "tfidf-idf")
 
+    tf = bags.filter("_hit").select(*scope, id_col, F.inline("_terms"))
     q_idf = idf.join(qt, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
     hits = join_on(tf, q_idf, [*scope, "term"])
-    dots = materialize(hits.groupBy(*scope, id_col, qid_col).agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot")))
-    hit_ids = dots.select(*scope, id_col).distinct()
-    w = join_on(join_on(tf, hit_ids, [*scope, id_col], "left_semi"), idf, [*scope, "term"]) \
-        .select(*scope, id_col, (F.col("tf") * F.col("idf")).alias("w"))
+    dots = write_table(hits.groupBy(*scope, id_col, qid_col).agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot")), "tfidf-dots")
+    w = join_on(tf, idf, [*scope, "term"]).select(*scope, id_col, (F.col("tf") * F.col("idf")).alias("w"))
     norms = w.groupBy(*scope, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # query norm per scope over the query terms present in the scope's vocabulary
     qn = q_idf.groupBy(*scope, qid_col).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
