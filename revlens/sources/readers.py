@@ -237,6 +237,19 @@ def clean_csv(df: DataFrame) -> DataFrame:
             .filter(F.col("stars").isNotNull() & F.col("stars").between(1, 5)))
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """``_i``, the 0-based position of a row in the load, files in the order of their paths.
+
+    One task reads a file from its first row to its last and counts on, so a row's place in its file is its
+    number less the file's first; only the rows per file are counted and no row is moved.
+    """
+    file, row = F.col("seq.file").alias("_file"), F.col("seq.row")
+    files = materialize(raw.groupBy(file).agg(F.count(F.lit(1)).alias("_n"), F.min(row).alias("_first")))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return raw.withColumn("_file", file).join(starts, "_file").withColumn("_i", F.col("_shift") + row).drop("_file", "_shift")
+
+
 def load_review_csv(spark: SparkSession, paths: Sequence[str] | str, clean: bool = True) -> DataFrame:
     """A1 (clean=True) / A2 (clean=False): read review CSV files.
 
@@ -259,7 +272,7 @@ def load_review_csv(spark: SparkSession, paths: Sequence[str] | str, clean: bool
     if unnamed:
         own = F.col("review_id") if len(unnamed) < len(headers) else F.lit(None).cast("string")
         number = F.concat(F.lit(CSV_ID_PREFIX), F.col("_i").cast("string"))
-        raw = dense_index(raw, [], "seq", name="_i").withColumn(
+        raw = _numbered(raw).withColumn(
             "review_id", F.when(F.col("_kind").isin(unnamed), number).otherwise(own)).drop("_i")
     return clean_csv(_fill_other_defaults(raw.drop("_kind")))
 
