@@ -5,9 +5,9 @@ is mapped through the cumulative target shares to a source, and the slots of a s
 Each source's documents, shuffled by a seeded hash, are laid end to end (and repeated while the
 source's target asks for it) and cut into blocks of equal words; the k-th slot of a source takes its
 k-th block by an equality join.  Any stretch of the schedule thus holds the sources close to their
-shares.  Whole slots stand where they come within ``NEAR`` of a source's target; blocks grow with the
-corpus, so a small source can miss it by far or get no slot: such a source takes its target exactly,
-its last block cut at the remainder and missing blocks added at even distances of the schedule.
+shares.  Blocks grow with the corpus, so whole slots can miss a source's target, a small source's by
+far: every source takes its target to the word, its last block cut at the remainder, slots beyond it
+left empty, and missing blocks added at even distances of the schedule.
 
 Nothing is ordered by one task: documents and slots are numbered inside buckets of hashed or
 consecutive keys, and running totals are taken over the bucket sums.  Only the table of sources, one
@@ -27,7 +27,6 @@ GOLDEN = 2654435769   # 2**32 divided by the golden ratio, odd: i * GOLDEN mod 2
 POINTS = 1 << 32
 CELLS = 4096          # equal cells of the points, through which points meet the shares by equality
 CHUNK = 1 << 16       # consecutive slots that are ranked together
-NEAR = 0.01           # part of its target by which a source's whole slots may miss it
 
 
 def word_count(c):
@@ -136,12 +135,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     plan = plan.withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0).cast("long")))
     plan = written(plan.select("source", "rank", "source_size", "target", "low", "high"), "mix-plan")
     slot = schedule(spark, plan.select("rank", "low", "high"), slots)
-    # where a source's whole slots are not near its target, it takes the target to the word
+    # each source takes its target to the word: blocks that its slots lack are added, slots beyond it find no block
     plan = plan.join(slot.groupBy("rank").agg(F.count(F.lit(1)).alias("n")), "rank", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     cap = F.floor(F.col("source_size") * F.lit(float(most)))
-    near = F.abs(F.least(F.col("n") * block, cap) - F.col("target")) <= F.col("target") * NEAR
-    plan = written(plan.withColumn("limit", F.when(near, cap).otherwise(F.least(cap, F.round("target").cast("long"))))
-                   .withColumn("more", F.when(near, 0).otherwise(F.greatest(F.lit(0).cast("long"), F.ceil(F.col("limit") / block) - F.col("n"))))
+    plan = written(plan.withColumn("limit", F.least(cap, F.round("target").cast("long")))
+                   .withColumn("more", F.greatest(F.lit(0).cast("long"), F.ceil(F.col("limit") / block) - F.col("n")))
                    .select("source", "rank", "source_size", "target", "limit", "n", "more"), "mix-quota")
     added = plan.where("more > 0").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("more") - 1))).select(
         F.floor((F.col("j") * 2 + 1) * slots / (F.col("more") * 2)).alias("slot"), "rank", (F.col("n") + F.col("j")).alias("k"))

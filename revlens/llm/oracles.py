@@ -11,12 +11,12 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM d"""
 
-# The mix takes a source's stream from its start: K slots of it are K * block words, repeated passes included.
+# The mix takes a source's stream from its start to the source's target, rounded to a word, repeated passes included.
 MIXING = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WD}'))::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
 o AS (SELECT *, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || h), 1, 15))::BIGINT AS o FROM d),
-n AS (SELECT sum(size)::BIGINT AS total, count(*) AS docs FROM d),
+n AS (SELECT count(*) AS docs FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, (rank % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
 -- if exactly the sources up to this one in order of cap per weight are capped, the others share the rest by weight
@@ -25,19 +25,13 @@ l AS (SELECT *, cap / weight AS ratio,
              sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights FROM w),
 f AS (SELECT min_by(rest / weights, ratio) AS level FROM l WHERE rest / weights * weight < cap),
 t AS (SELECT l.*, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM l, f),
-b AS (SELECT total, docs, CASE WHEN total = 0 THEN 1 ELSE (total + 32 * (floor(sqrt(total))::BIGINT + 1) - 1) // (32 * (floor(sqrt(total))::BIGINT + 1)) END AS block FROM n),
-e AS (SELECT t.*, CASE WHEN rank = max(rank) OVER () THEN 4294967296 ELSE least(4294967296, round(sum(target) OVER (ORDER BY rank) * (4294967296 / greatest(total, 1)))::BIGINT) END AS high
-      FROM t, b),
-r AS (SELECT *, coalesce(lag(high) OVER (ORDER BY rank), 0) AS low FROM e),
-p AS (SELECT (i % 2147483648) * 2654435769 % 4294967296 AS point FROM b, unnest(range(0, (total + block - 1) // block)) AS u(i)),
-k AS (SELECT r.rank, count(point) AS slots FROM r LEFT JOIN p ON point >= low AND point < high GROUP BY r.rank),
-a AS (SELECT doc_id, size, source_size, target, floor(3.0 * source_size)::BIGINT AS most, slots * block AS got,
-             coalesce(sum(size) OVER (PARTITION BY r.rank ORDER BY (o >> 20) % (floor(sqrt(docs))::BIGINT + 1), o, doc_id, h, size
+a AS (SELECT doc_id, size, source_size, target, least(floor(3.0 * source_size), round(target))::BIGINT AS stop,
+             coalesce(sum(size) OVER (PARTITION BY t.rank ORDER BY (o >> 20) % (floor(sqrt(docs))::BIGINT + 1), o, doc_id, h, size
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM o JOIN r ON o.source IS NOT DISTINCT FROM r.source JOIN k ON k.rank = r.rank, b)
+      FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source, n)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(start + size, most, got) - start) + greatest(0, least(start + source_size + size, most, got) - start - source_size)
-        + greatest(0, least(start + 2 * source_size + size, most, got) - start - 2 * source_size))::BIGINT AS taken
+       (greatest(0, least(start + size, stop) - start) + greatest(0, least(start + source_size + size, stop) - start - source_size)
+        + greatest(0, least(start + 2 * source_size + size, stop) - start - 2 * source_size))::BIGINT AS taken
 FROM a"""
 
 
