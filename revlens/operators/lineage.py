@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -33,3 +33,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def complete_folders(spark: SparkSession, top: str) -> list[str]:
+    """The folders directly below ``top`` whose write was committed (they hold ``_SUCCESS``), by name; none without ``top``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(top)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted(f.getPath().toString() for f in fs.listStatus(path) if fs.exists(hadoop.Path(f.getPath(), "_SUCCESS")))

@@ -38,4 +38,4 @@ def load_all() -> None:
 
 
 MODULES = ["q_validate", "q_profile", "q_collect", "q_sources", "q_checker", "q_merge",
-           "q_retrieve", "q_evaluate", "q_report", "q_model", "q_stream", "q_more"]
+           "q_retrieve", "q_evaluate", "q_report", "q_model", "q_stream", "q_more", "q_stores"]
