@@ -1,7 +1,9 @@
 """Language-model scores by subword lattice likelihood.
 
-The vocabulary is that of an existing tokenizer; its unigram scores are the pieces' counts in the training
-texts.  A text's probability is the sum over all its segmentations into pieces, found by a forward
+The vocabulary is that of an existing tokenizer.  Its model holds merge ranks, no unigram scores, so these are
+estimated from all training texts: counts of the tokenizer's own segmentation, then re-estimated by ``PASSES``
+forward-backward passes over the distinct words, each piece by its expected count over all segmentations.
+A text's probability is the sum over all its segmentations into pieces, found by a forward
 recursion in log space: ``alpha[j] = logsumexp(alpha[i] + log p(piece i..j))``.  Byte pieces spell any
 character, so every text has a segmentation, and pieces and the end mark share one distribution.
 
@@ -30,6 +32,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BUCKET_WORDS = 250_000
 LEAST_BUCKETS = 40
 BLOCK = 1 << 20
+PASSES = 2            # forward-backward passes over the training words
 LN10 = log(10.0)
 
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -55,13 +58,18 @@ class Hasher(dict):
         return h
 
 
-def hashed_words(raw: bytes, hasher: Hasher):
-    """-> (lower-cased words, their starts, their hashes) of a block."""
+def placed_words(raw: bytes):
+    """-> (distinct lower-cased words of a block, for each token its start and the place of its word among them)."""
     low = _TABLE[np.frombuffer(raw, np.uint8)]
     ink = (low != 32) & ((low < 9) | (low > 13))
     start = np.flatnonzero(np.diff(ink.view(np.int8), prepend=np.int8(0)) == 1)
     words = low.tobytes().split()  # at exactly the same bytes
-    return words, start, np.fromiter(map(hasher.__getitem__, words), np.uint64, len(words))
+    at = {w: k for k, w in enumerate(dict.fromkeys(words))}  # by the word itself, not by its hash
+    return list(at), start, np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+
+
+def _hashes(words: list[bytes], hasher: Hasher):
+    return np.fromiter(map(hasher.__getitem__, words), np.uint64, len(words))
 
 
 def _blocks(texts):
@@ -96,16 +104,12 @@ def _count_words(clash, bits: int):
         for b in batches:
             texts, learn = utf8(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for raw, offsets, own in _blocks(texts):
-                words, start, h = hashed_words(raw, hasher)
+                words, start, place = placed_words(raw)
                 if not words:
                     continue
                 counted = learn[own[np.searchsorted(offsets, start, side="right") - 1]]
-                at: dict[bytes, int] = {}
-                place = np.fromiter((at.setdefault(w, len(at)) for w in words), np.int64, len(words))  # by the word itself, not by its hash
-                first = np.zeros(len(at), np.int64)
-                first[place[::-1]] = np.arange(len(words))[::-1]
-                n = np.bincount(place, weights=counted, minlength=len(at)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([_signed(h[first]), pa.array(list(at), pa.binary()), pa.array(n)], names=["h", "word", "c"])
+                n = np.bincount(place, weights=counted, minlength=len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([_signed(_hashes(words, hasher)), pa.array(words, pa.binary()), pa.array(n)], names=["h", "word", "c"])
     return run
 
 
@@ -160,31 +164,81 @@ class Pieces:
     def spelled(self, c: str) -> float:
         return sum(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
 
-    def marginals(self, words: list[str]) -> list[float]:
-        """Natural log of the summed probability of all segmentations of each word."""
-        out, before, alpha = [0.0] * len(words), "", [0.0]
-        plain, lengths, spelled = self.plain, self.lengths, {}
+    def _sorted_prefixes(self, words: list[str]):
+        """The words in sorted order, each as (its place, its marked text, characters shared with the one before)."""
+        before = ""
         for k in sorted(range(len(words)), key=words.__getitem__):
             s = "▁" + words[k]
             same, most = 0, min(len(s), len(before))
             while same < most and s[same] == before[same]:
                 same += 1
-            del alpha[same + 1:]
-            for j in range(same, len(s)):
-                c = s[j]
-                if c not in spelled:
-                    spelled[c] = self.spelled(c)
-                terms = [alpha[j] + spelled[c]]
+            yield k, s, same
+            before = s
+
+    def _extend(self, alpha: list[float], s: str, same: int, spelled: dict[str, float]) -> None:
+        """The forward recursion: ``alpha`` of the first ``same`` characters of ``s`` is kept, the rest is found."""
+        plain, lengths = self.plain, self.lengths
+        del alpha[same + 1:]
+        for j in range(same, len(s)):
+            c = s[j]
+            if c not in spelled:
+                spelled[c] = self.spelled(c)
+            terms = [alpha[j] + spelled[c]]
+            for n in lengths.get(c, ()):
+                if n > j + 1:
+                    break
+                p = plain.get(s[j + 1 - n:j + 1])
+                if p is not None:
+                    terms.append(alpha[j + 1 - n] + p)
+            m = max(terms)
+            alpha.append(m + log(sum([exp(t - m) for t in terms])) if len(terms) > 1 else m)
+
+    def marginals(self, words: list[str]) -> list[float]:
+        """Natural log of the summed probability of all segmentations of each word."""
+        out, alpha, spelled = [0.0] * len(words), [0.0], {}
+        for k, s, same in self._sorted_prefixes(words):
+            self._extend(alpha, s, same, spelled)
+            out[k] = alpha[-1]
+        return out
+
+    def expected(self, words: list[str], weights) -> dict[str, float]:
+        """Expected count of each piece over all segmentations of the words, a word counted ``weights`` times.
+
+        Forward as in ``marginals``; backward, the share of segmentations that pass a place is handed to the places
+        before it along the pieces that end there.  Both run once for a prefix that neighbours in sort order share.
+        """
+        plain, lengths, spelled = self.plain, self.lengths, {}
+        got: dict[str, float] = {}
+        chars: dict[str, float] = {}
+        alpha, share, before = [0.0], [0.0], ""
+
+        def leave(down: int) -> None:
+            for j in range(len(before), down, -1):
+                whole, end, c = share.pop(), alpha[j], before[j - 1]
+                part = whole * exp(alpha[j - 1] + spelled[c] - end)
+                chars[c] = chars.get(c, 0.0) + part
+                share[j - 1] += part
                 for n in lengths.get(c, ()):
-                    if n > j + 1:
+                    if n > j:
                         break
-                    p = plain.get(s[j + 1 - n:j + 1])
+                    piece = before[j - n:j]
+                    p = plain.get(piece)
                     if p is not None:
-                        terms.append(alpha[j + 1 - n] + p)
-                m = max(terms)
-                alpha.append(m + log(sum([exp(t - m) for t in terms])) if len(terms) > 1 else m)
-            out[k], before = alpha[-1], s
-        return out
+                        part = whole * exp(alpha[j - n] + p - end)
+                        got[piece] = got.get(piece, 0.0) + part
+                        share[j - n] += part
+
+        for k, s, same in self._sorted_prefixes(words):
+            leave(same)
+            self._extend(alpha, s, same, spelled)
+            share.extend([0.0] * (len(s) - same))
+            share[-1] += float(weights[k])
+            before = s
+        leave(0)
+        for c, n in chars.items():
+            for b in c.encode("utf-8", "surrogatepass"):
+                got[f"<0x{b:02X}>"] = got.get(f"<0x{b:02X}>", 0.0) + n
+        return got
 
 
 def _piece_counts(model: bytes):
@@ -198,6 +252,34 @@ def _piece_counts(model: bytes):
     return run
 
 
+def _expected_counts(model: bytes, counts: dict, end: float):
+    """mapInArrow (word, c) -> (id, n): expected piece counts under the scores of ``counts``."""
+    def run(batches):
+        pieces, n = Pieces(model), {}
+        pieces.weigh(counts, end)
+        for b in batches:
+            for piece, x in pieces.expected([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], b.column(1).to_numpy()).items():
+                n[piece] = n.get(piece, 0.0) + x
+        ids = {name: i for i, name in pieces.names.items()}
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([ids[p] for p in n], pa.int64()), pa.array(list(n.values()), pa.float64())], names=["id", "n"])
+    return run
+
+
+def _piece_scores(words: DataFrame, model: bytes, end: float, passes: int) -> dict[int, float]:
+    """Counts of the pieces in the training words: the tokenizer's own, then re-estimated ``passes`` times."""
+    learnt = words.where("c > 0").select("word", "c")
+
+    def summed(run):
+        rows = learnt.mapInArrow(run, "id long, n double").groupBy("id").agg(F.sum("n").alias("n"))
+        return {r.id: r.n for r in rows.collect()}  # the pieces of the vocabulary at most
+
+    counts = summed(_piece_counts(model))
+    for _ in range(passes):
+        counts = summed(_expected_counts(model, counts, end))
+    return counts
+
+
 # arrays travel as their bytes, which Spark copies whole: hashes and scores of 8 bytes, counts of 4
 _ROWS = "bucket int, kind int, rid long, doc_id long, held_out boolean, tokens long, hs binary, n binary, base binary, lp binary"
 _NAMES = ["bucket", "kind", "rid", "doc_id", "held_out", "tokens", "hs", "n", "base", "lp"]
@@ -255,16 +337,18 @@ def _text_rows(buckets: int, clash, bits: int):
             texts, rids = utf8(b.column(0)), b.column(1).to_numpy()
             sizes = np.zeros(len(texts), np.int64)
             for raw, offsets, own in _blocks(texts):
-                _, start, h = hashed_words(raw, hasher)
-                if not len(h):
+                words, start, place = placed_words(raw)
+                if not words:
                     continue
                 doc = own[np.searchsorted(offsets, start, side="right") - 1]
                 sizes += np.bincount(doc, minlength=len(texts))
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-                n = np.diff(np.append(new, len(h))).astype(np.int32)
-                h, doc = h[new], doc[new]
+                # the words numbered in the order of their hashes: one sort of (text, word) brings a text's buckets together
+                h = _hashes(words, hasher)
+                order = np.argsort(h, kind="stable")
+                rank = np.empty(len(h), np.int64)
+                rank[order] = np.arange(len(h))
+                pair, n = np.unique(doc * len(h) + rank[place], return_counts=True)
+                h, doc, n = h[order][pair % len(h)], pair // len(h), n.astype(np.int32)
                 own_bucket = _bucket(h, buckets)
                 at = np.flatnonzero(np.append(True, (own_bucket[1:] != own_bucket[:-1]) | (doc[1:] != doc[:-1])))
                 cuts, m = np.append(at, len(h)), len(at)
@@ -317,7 +401,7 @@ def _look_up(batches):
 
 
 def lattice_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY,
-                   hash_bits: int = 64) -> DataFrame:
+                   hash_bits: int = 64, passes: int = PASSES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` marks documents that are scored but not learnt from (null counts as true).  Tokens are ASCII
@@ -325,7 +409,7 @@ def lattice_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id
     end included; ``base_score`` that of smoothed word counts.  Null and empty texts are the end alone;
     repeated rows come back each; with nothing to learn from, all counts are 0 and pieces are
     alike; an empty table gives an empty result.  ``vocabulary`` is read on the driver and sent along.  Ids are whole
-    numbers (cast to long).  ``hash_bits`` settles cost only: words that share a hash are found and hashed anew.
+    numbers (cast to long).  ``passes``: forward-backward passes that re-estimate the pieces' scores.  ``hash_bits`` settles cost only: words that share a hash are found and hashed anew.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
@@ -336,9 +420,7 @@ def lattice_scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count(F.lit(1))).first()
     ends = d.where("not held_out").count()
     tokens, distinct = seen[0] + ends, seen[1] + (ends > 0)
-    rows = words.where("c > 0").select("word", "c").mapInArrow(_piece_counts(model), "id long, n double") \
-        .groupBy("id").agg(F.sum("n").alias("n")).collect()  # the pieces of the vocabulary at most
-    counts = {r.id: r.n for r in rows}
+    counts = _piece_scores(words, model, ends, passes)
     buckets = max(LEAST_BUCKETS, -(-seen[2] // BUCKET_WORDS))
     vocab = words.mapInArrow(_vocabulary_rows(model, counts, ends, tokens, distinct, buckets), _ROWS)
     texts = d.select("text", "rid", "doc_id", "held_out").mapInArrow(_text_rows(buckets, clash, hash_bits), _ROWS)

@@ -142,9 +142,34 @@ def pieces_of(rows, held):
     c = collections.Counter(w for t, h in zip(rows, held) if not h for w in tokens(t))
     n = p.counts([w.decode("utf-8", "replace") for w in c], list(c.values())) if c else []
     p.weigh({i: x for i, x in enumerate(n) if x}, sum(not h for h in held))
+    ids = {name: i for i, name in p.names.items()}
+    for _ in range(lattice.PASSES):
+        n = collections.Counter()
+        for w, k in c.items():
+            for piece, x in expected_of(p, "▁" + w.decode("utf-8", "replace")).items():
+                n[ids[piece]] += k * x
+        p.weigh(n, sum(not h for h in held))
     return p, c
 
 
+def expected_of(p, s):
+    """Expected piece counts of a word: forward and backward sums over all segmentations."""
+    longest = max(map(len, p.plain))
+    edges = [(j - 1, j, p.spelled(s[j - 1]), [f"<0x{b:02X}>" for b in s[j - 1].encode()]) for j in range(1, len(s) + 1)]
+    edges += [(i, j, p.plain[s[i:j]], [s[i:j]]) for j in range(1, len(s) + 1) for i in range(max(0, j - longest), j) if s[i:j] in p.plain]
+    edges.sort(key=lambda e: e[1])
+    fore, back = [0.0] + [-math.inf] * len(s), [-math.inf] * len(s) + [0.0]
+    for i, j, x, _ in edges:
+        fore[j] = float(np.logaddexp(fore[j], fore[i] + x))
+    for i, j, x, _ in sorted(edges, key=lambda e: -e[0]):
+        back[i] = float(np.logaddexp(back[i], x + back[j]))
+    out = collections.Counter()
+    for i, j, x, names in edges:
+        for name in names:
+            out[name] += math.exp(fore[i] + x + back[j] - fore[-1])
+    return out
+
+
 def tokens(t):
     return (t or "").encode().lower().split()
 
@@ -218,6 +243,30 @@ def test_lattice_sums_all_segmentations_and_is_a_distribution():
         assert got == pytest.approx(math.log(sum(map(math.exp, every("▁" + w)))))
 
 
+def test_expected_counts_and_likelihood_grows():
+    p = lattice.Pieces(open(lattice.VOCABULARY, "rb").read())
+    words = ["the", "thesis", "theses", "the", "", "ÿß", "an", "ant", "antelope", "\U0001F600x", "a" * 40]
+    weights = [5, 1, 2, 3, 4, 1, 7, 2, 1, 1, 2]
+    start = p.counts(words, weights)
+    p.weigh({i: x for i, x in enumerate(start) if x}, 10.0, smoothing=1e-3)
+    ids = {name: i for i, name in p.names.items()}
+    likelihood = []
+    for _ in range(5):
+        got, want = p.expected(words, weights), collections.Counter()
+        for w, k in zip(words, weights):
+            for piece, x in expected_of(p, "▁" + w).items():
+                want[piece] += k * x
+        assert set(got) == set(want) and all(got[x] == pytest.approx(want[x], rel=1e-9) for x in want)
+        likelihood.append(sum(k * x for k, x in zip(weights, p.marginals(words))) + 10 * p.end)
+        p.weigh({ids[x]: n for x, n in got.items()}, 10.0, smoothing=1e-3)
+    assert all(b > a - 0.01 for a, b in zip(likelihood, likelihood[1:])) and likelihood[-1] > likelihood[0]
+    long = "ab" * 50_000                                   # a very long word: every character is spelled or covered
+    got = p.expected([long], [1])
+    first = {f"<0x{b:02X}>" for b in [*range(128), 0xE2]}   # the first bytes of the characters spelled
+    covered = sum(n * (x in first if x in p.names.values() and x.startswith("<0x") else len(x)) for x, n in got.items())
+    assert covered == pytest.approx(len(long) + 1, rel=1e-6)
+
+
 def thue_morse(n, a, b):
     return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
 
