@@ -9,7 +9,8 @@ character, so every text has a segmentation, and pieces and the end mark share o
 
 Pieces never cross white space (a word starts with its mark), so the lattice of a text is the product of
 its words' lattices.  The recursion thus runs once per distinct word of the corpus, not per token, and the
-words are scored in sorted order so that common prefixes are recursed once.
+words of about one length are recursed side by side as arrays (very long ones by themselves, sharing the
+recursion of common prefixes).
 
 Counts and scores meet the texts by hash range: each text's distinct words go, as arrays, to the bucket of
 their 64-bit hash (no two words of the corpus share one: clashes are found and hashed anew), where the bucket's part of the vocabulary comes first in sort order and is held as
@@ -33,6 +34,9 @@ BUCKET_WORDS = 250_000
 LEAST_BUCKETS = 40
 BLOCK = 1 << 20
 PASSES = 2            # forward-backward passes over the training words
+SHORT = 64            # characters up to which words are recursed side by side
+CELLS = 1 << 17       # characters of words that are recursed side by side
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 LN10 = log(10.0)
 
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -160,14 +164,79 @@ class Pieces:
         for own in self.lengths.values():
             own.sort()
         self.end = log((end + smoothing) / total)
+        self.tables = {n: self._table([i for i in self.use if self.names[i] in self.plain and len(self.names[i]) == n])
+                       for n in sorted({len(p) for p in self.plain})}
+
+    def _table(self, ids: list[int]):
+        """Pieces of one length for look-ups of many places at once: (hashes ascending, characters, scores, ids, hash prefixes in use)."""
+        chars = np.array([list(map(ord, self.names[i])) for i in ids], np.uint32)
+        h = np.zeros(len(ids), np.uint64)
+        for k in range(chars.shape[1]):
+            h = h * _MIX + chars[:, k]
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        if (h[1:] == h[:-1]).any():
+            raise ValueError("two pieces share a hash")
+        used = np.zeros(1 << 18, bool)
+        used[h * _MIX >> np.uint64(46)] = True
+        return h, chars[order], np.array([self.plain[self.names[i]] for i in ids])[order], np.array(ids)[order], used
+
+    def _pieces_at(self, c):
+        """Characters of words (words x places) -> {length: (scores of the pieces that start there, -inf for none; rows of the table)}."""
+        found, h = {}, np.zeros(c.shape, np.uint64)
+        for n in range(1, min(max(self.tables), c.shape[1]) + 1):
+            h = h[:, :c.shape[1] - n + 1] * _MIX + c[:, n - 1:]
+            if n not in self.tables:
+                continue
+            hashes, chars, scores, _, used = self.tables[n]
+            row, place = np.nonzero(used[h * _MIX >> np.uint64(46)])
+            near = h[row, place]
+            own = np.minimum(np.searchsorted(hashes, near), len(hashes) - 1)
+            hit = hashes[own] == near
+            row, place, own = row[hit], place[hit], own[hit]
+            same = (np.lib.stride_tricks.sliding_window_view(c, n, axis=1)[row, place] == chars[own]).all(axis=1)  # the piece, not its hash alone
+            row, place, own = row[same], place[same], own[same]
+            if len(row):
+                x = np.full(h.shape, -np.inf)
+                x[row, place] = scores[own]
+                found[n] = x, row, place, own
+        return found
+
+    def _side_by_side(self, words: list[str], most: int = SHORT):
+        """Blocks of the words of up to ``most`` characters, of about one length: (their places, lengths, characters padded with 0)."""
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] <= most]
+        at = 0
+        while at < len(order):
+            least = int(size[order[at]])
+            end = int(np.searchsorted(size[order], least + max(1, least // 4), side="right"))
+            end = min(end, at + max(1, CELLS // (least + least // 4 + 1)))
+            own = order[at:end]
+            wide = int(size[own[-1]])
+            text = "".join([("▁" + words[k]).ljust(wide, "\0") for k in own])
+            yield own, size[own], np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(own), wide)
+            at = end
+
+    def _forward(self, c):
+        """-> (alpha by word and place, scores of the characters spelled, the pieces found)."""
+        kinds, which = np.unique(c, return_inverse=True)
+        spelled = np.array([self.spelled(chr(x)) for x in kinds])[which].reshape(c.shape)
+        found = self._pieces_at(c)
+        alpha = np.zeros((len(c), c.shape[1] + 1))
+        for j in range(1, c.shape[1] + 1):
+            terms = np.stack([alpha[:, j - 1] + spelled[:, j - 1], *[alpha[:, j - n] + x[0][:, j - n] for n, x in found.items() if n <= j]])
+            top = terms.max(axis=0)
+            alpha[:, j] = top + np.log(np.exp(terms - top).sum(axis=0))
+        return alpha, spelled, found
 
     def spelled(self, c: str) -> float:
         return sum(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
 
     def _sorted_prefixes(self, words: list[str]):
-        """The words in sorted order, each as (its place, its marked text, characters shared with the one before)."""
+        """The words too long for ``_side_by_side`` in sorted order: (place, marked text, characters shared with the one before)."""
         before = ""
-        for k in sorted(range(len(words)), key=words.__getitem__):
+        for k in sorted([k for k, w in enumerate(words) if len(w) >= SHORT], key=words.__getitem__):
             s = "▁" + words[k]
             same, most = 0, min(len(s), len(before))
             while same < most and s[same] == before[same]:
@@ -196,6 +265,9 @@ class Pieces:
     def marginals(self, words: list[str]) -> list[float]:
         """Natural log of the summed probability of all segmentations of each word."""
         out, alpha, spelled = [0.0] * len(words), [0.0], {}
+        for own, size, c in self._side_by_side(words):
+            for k, x in zip(own.tolist(), self._forward(c)[0][np.arange(len(own)), size].tolist()):
+                out[k] = x
         for k, s, same in self._sorted_prefixes(words):
             self._extend(alpha, s, same, spelled)
             out[k] = alpha[-1]
@@ -205,7 +277,7 @@ class Pieces:
         """Expected count of each piece over all segmentations of the words, a word counted ``weights`` times.
 
         Forward as in ``marginals``; backward, the share of segmentations that pass a place is handed to the places
-        before it along the pieces that end there.  Both run once for a prefix that neighbours in sort order share.
+        before it along the pieces that end there.
         """
         plain, lengths, spelled = self.plain, self.lengths, {}
         got: dict[str, float] = {}
@@ -228,6 +300,29 @@ class Pieces:
                         got[piece] = got.get(piece, 0.0) + part
                         share[j - n] += part
 
+        weights = np.asarray(weights, np.float64)
+        n_of = np.zeros(self.encoder.get_piece_size())
+        for own, size, c in self._side_by_side(words):
+            fore, spell, found = self._forward(c)
+            passing = np.zeros(fore.shape)
+            passing[np.arange(len(own)), size] = weights[own]
+            alone, parts = np.zeros(c.shape), {n: np.zeros(x[0].shape) for n, x in found.items()}
+            for j in range(c.shape[1], 0, -1):
+                whole, end = passing[:, j], fore[:, j]
+                alone[:, j - 1] = whole * np.exp(fore[:, j - 1] + spell[:, j - 1] - end)
+                passing[:, j - 1] += alone[:, j - 1]
+                for n, x in found.items():
+                    if n <= j:
+                        parts[n][:, j - n] = whole * np.exp(fore[:, j - n] + x[0][:, j - n] - end)
+                        passing[:, j - n] += parts[n][:, j - n]
+            for n, (_, row, place, at) in found.items():
+                n_of += np.bincount(self.tables[n][3][at], weights=parts[n][row, place], minlength=len(n_of))
+            kinds, which = np.unique(c, return_inverse=True)
+            for x, n in zip(kinds.tolist(), np.bincount(which.ravel(), weights=alone.ravel()).tolist()):
+                if n:
+                    chars[chr(x)] = chars.get(chr(x), 0.0) + n
+        for i in np.flatnonzero(n_of).tolist():
+            got[self.names[i]] = float(n_of[i])
         for k, s, same in self._sorted_prefixes(words):
             leave(same)
             self._extend(alpha, s, same, spelled)
