@@ -20,6 +20,8 @@ hot, and nothing of the vocabulary is broadcast or collected but the bounded tab
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
 from math import exp, log
 
 import numpy as np
@@ -68,8 +70,9 @@ def placed_words(raw: bytes):
     ink = (low != 32) & ((low < 9) | (low > 13))
     start = np.flatnonzero(np.diff(ink.view(np.int8), prepend=np.int8(0)) == 1)
     words = low.tobytes().split()  # at exactly the same bytes
-    at = {w: k for k, w in enumerate(dict.fromkeys(words))}  # by the word itself, not by its hash
-    return list(at), start, np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+    at: dict[bytes, int] = defaultdict(count().__next__)  # by the word itself, not by its hash; a new word takes the next place
+    place = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+    return list(at), start, place
 
 
 def _hashes(words: list[bytes], hasher: Hasher):
