@@ -134,35 +134,45 @@ def check_sentiment(df: DataFrame, v: str = "v", corpus: str = "corpus", support
 _TOPIC_FIELDS = ["score", "sentiment", "mentions", "keywords", "summary"]
 
 
-def _topic_struct(V: Column, has, t: str):
+def _topic_facts(t: str) -> list[dict[str, Column]]:
+    """What several rules of a topic ask, as columns ``_t_<topic>_<fact>``, in two steps: each is computed once a row,
+    and no rule repeats another's expression (nested they grow into a plan that takes longer to make than to run)."""
+    present = F.col(f"_t_{t}").isNotNull()
+    score_v, sent_v, ment_v, kw_v, summ_v = (F.col(f"_t_{t}_{f}") for f in _TOPIC_FIELDS)
+    sent = F.when(v_is_string(sent_v), v_str(sent_v))
+    first = {"is_num": v_is_number(score_v), "num": v_num(score_v), "sent": sent, "is_list": v_is_list(kw_v), "elems": v_list(kw_v),
+             "ment_ok": v_is_int(ment_v) & (v_num(ment_v) >= 0), "ment": v_num(ment_v).cast("long"),
+             "text": v_str(summ_v)}
+    is_num, score, sent, is_list, elems, text = (F.col(f"_t_{t}_{f}") for f in ("is_num", "num", "sent", "is_list", "elems", "text"))
+    lo, hi = SCORE_RANGE
+    out = is_num & ((score < lo) | (score > hi))
+    sent_ok = F.coalesce(sent.isin(*SENTIMENTS), F.lit(False))
+    second = {
+        "out": out, "sent_ok": sent_ok, "blank": summ_v.isNull() | (py_strip(text) == ""),
+        "fixed": (F.when(~present, F.lit(DEFAULT_TOPIC_SCORE)).when(~is_num, F.lit(DEFAULT_TOPIC_SCORE))
+                  .when(out, F.bround(F.greatest(F.lit(lo), F.least(F.lit(hi), score)), 1)).otherwise(score)),
+        "fixed_sent": F.when(present & sent_ok, sent).otherwise(F.lit("neutral")),
+        "kws": F.when(present & is_list, F.filter(F.transform(elems, lambda e: F.when(vtype(e) == "STRING", v_str(e))),
+                                                  lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))}
+    return [{f"_t_{t}_{k}": c for k, c in step.items()} for step in (first, second)]
+
+
+def _topic_struct(has, t: str):
     tv = F.col(f"_t_{t}")
     present = tv.isNotNull()
-    score_v, sent_v, ment_v, kw_v, summ_v = (F.col(f"_t_{t}_{f}") for f in _TOPIC_FIELDS)
+    score_v, ment_v, summ_v = (F.col(f"_t_{t}_{f}") for f in ("score", "mentions", "summary"))
+    score_num, score, sent, is_list, kw_elems, ment_ok, summ = (
+        F.col(f"_t_{t}_{f}") for f in ("is_num", "num", "sent", "is_list", "elems", "ment_ok", "text"))
+    out_of_range, sent_ok, summ_blank, fixed_score, fixed_sent, kws = (
+        F.col(f"_t_{t}_{f}") for f in ("out", "sent_ok", "blank", "fixed", "fixed_sent", "kws"))
 
-    kw_elems = v_list(kw_v)
     kw_bad = F.exists(kw_elems, lambda e: (vtype(e) != "STRING") & ~(
         v_is_list(e) & (F.size(F.try_variant_get(e, "$", "array<variant>")) <= MIN_WORD_LEN)))
     fail = present & (~v_is_object(tv) | score_v.isNull() | ment_v.isNull()
                       | (summ_v.isNotNull() & ~v_is_string(summ_v))
-                      | (v_is_list(kw_v) & F.coalesce(kw_bad, F.lit(False))))
+                      | (is_list & F.coalesce(kw_bad, F.lit(False))))
 
-    score_num = v_is_number(score_v)
-    score = v_num(score_v)
-    lo, hi = SCORE_RANGE
-    out_of_range = score_num & ((score < lo) | (score > hi))
-    fixed_score = (F.when(~present, F.lit(DEFAULT_TOPIC_SCORE)).when(~score_num, F.lit(DEFAULT_TOPIC_SCORE))
-                   .when(out_of_range, F.bround(F.greatest(F.lit(lo), F.least(F.lit(hi), score)), 1))
-                   .otherwise(score))
-    sent = F.when(v_is_string(sent_v), v_str(sent_v))
-    sent_ok = F.coalesce(sent.isin(*SENTIMENTS), F.lit(False))
-    fixed_sent = F.when(present & sent_ok, sent).otherwise(F.lit("neutral"))
-    ment_ok = v_is_int(ment_v) & (v_num(ment_v) >= 0)
-    fixed_ment = F.when(present & ment_ok, v_num(ment_v).cast("long")).otherwise(F.lit(0).cast("long"))
-    kws = F.when(present & v_is_list(kw_v),
-                 F.filter(F.transform(kw_elems, lambda e: F.when(vtype(e) == "STRING", v_str(e))),
-                          lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
-    summ = v_str(summ_v)
-    summ_blank = summ_v.isNull() | (py_strip(summ) == "")
+    fixed_ment = F.when(present & ment_ok, F.col(f"_t_{t}_ment")).otherwise(F.lit(0).cast("long"))
     fixed_summ = (F.when(~present, F.lit(DEFAULT_TOPIC_SUMMARY_MISSING))
                   .when(summ_blank, F.lit(DEFAULT_TOPIC_SUMMARY_BLANK)).otherwise(summ))
 
@@ -170,7 +180,7 @@ def _topic_struct(V: Column, has, t: str):
         F.when(present & ~score_num, F.lit(f"'{t}' score is not a number -> 3.0")),
         F.when(present & ~sent_ok, F.format_string(f"'{t}' sentiment='%s' is invalid -> neutral",
                                                    F.coalesce(sent, F.lit("")))),
-        F.when(present & ~v_is_list(kw_v), F.lit(f"'{t}' keywords is not a list -> []")))
+        F.when(present & ~is_list, F.lit(f"'{t}' keywords is not a list -> []")))
     bad_kws = F.filter(kws, lambda k: (F.length(k) > MIN_WORD_LEN) & ~has(F.lower(k)))
     warns = F.concat(
         _nonnull(F.when(present & out_of_range, F.format_string(f"'{t}' score=%s outside 1-5 -> clamped", _num_txt(score))),
@@ -198,7 +208,12 @@ def check_topics(df: DataFrame, v: str = "v", corpus: str = "corpus", supported:
     df = df.select("*", *[vget(V, f"$.{t}").alias(f"_t_{t}") for t in TOPICS])
     df = df.select("*", *[vget(F.col(f"_t_{t}"), f"$.{f}").alias(f"_t_{t}_{f}") for t in TOPICS for f in _TOPIC_FIELDS])
     helper_cols = [f"_t_{t}" for t in TOPICS] + [f"_t_{t}_{f}" for t in TOPICS for f in _TOPIC_FIELDS]
-    parts = {t: _topic_struct(V, has, t) for t in TOPICS}
+    facts = [_topic_facts(t) for t in TOPICS]
+    for step in range(2):
+        named = {k: c for f in facts for k, c in f[step].items()}
+        helper_cols += named
+        df = df.withColumns(named)
+    parts = {t: _topic_struct(has, t) for t in TOPICS}
     fail = V.isNull() | ~v_is_object(V) | (vtype(V) == "OBJECT<>")
     for t in TOPICS:
         fail = fail | parts[t][1]

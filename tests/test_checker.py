@@ -102,3 +102,18 @@ def test_topic_failures(spark):
     assert r.ok and r.price.mentions == 0
     # mentions warning + negative-but-high-score warning
     assert len(r.warnings) == 2
+
+
+def test_topic_rules_do_not_repeat_each_others_expressions(spark):
+    """Each fact of a topic is one column: nested, the score's test stood 60 times and more in the plan of four topics."""
+    from pyspark.sql import functions as F
+
+    from revlens.operators import checker as K
+    from revlens.operators import modelio as M
+    rows = [(1, '{"service": {"sentiment": "positive", "score": 2.0, "mentions": 1, "keywords": ["Tasty food", "ok"], "summary": "x"}}', "very tasty food")]
+    got = K.check_topics(spark.createDataFrame(rows, "id int, raw string, corpus string").withColumn("v", M.extract_json("raw")))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("schema_of_variant(_t_food_quality_score") <= 3
+    r = got.select("service.*", F.size("errors").alias("e"), "warnings").first()
+    assert (r.sentiment, r.score, r.mentions, r.keywords, r.e) == ("positive", 2.0, 1, ["Tasty food", "ok"], 3)
+    assert r.warnings == ["'service' sentiment=positive but score=2 < 3.0 -> inconsistent"]
