@@ -10,6 +10,7 @@ each by hash.  With ``o`` shingles in common at least, the first ``|x| - o + l``
 * Documents of one set are one class from the start.  Within a posting list the member with the fewest rare shingles is
   the hub: every member is first verified against it, and what links is one component.  Only pairs of different
   components go on, by the size and position of their matches, until all lists are done: no list is turned into all pairs.
+* Links are counted in full afterwards: in a component that the verified pairs do not fill, all pairs, block by block.
 * The order and the hubs settle cost only; any order and any hub give the same links.
 
 Sets are hashed to 64 bits (words by XXH3, mixed one after the other); classes are told apart by 128 bits.
@@ -32,6 +33,8 @@ MOST = 16         # largest l
 VERIFY = 256      # cost of a verification in postings: two sets travel for it
 PACK_MB = 16      # prefixes in a bucket of posting lists, about
 FREQUENT = 1 << 17  # shingles that are ordered last, at most (1 MB to every task); cost only
+BLOCK = 512       # sets of a block whose pairs one task counts, about
+BLOCK_MB = 4      # their size, about
 SMALL = 16        # members of a list that is never called frequent
 
 
@@ -208,8 +211,68 @@ def _bodies(docs: DataFrame, classes: DataFrame, need: DataFrame, words: int) ->
     return texts.select("cid", body("t").alias("body")).groupBy("cid").agg(F.first("body").alias("body"))
 
 
+def _counted(threshold: int):
+    """mapInArrow over (root, a, b, part, cid, body) sorted by root, a, b -> (cid, links) of each pair of blocks."""
+    def out(key, part, cid, body):
+        part, cid = np.array(part), np.array(cid)
+        sets = [np.frombuffer(x, "<u8") for x in body]
+        n = np.array([len(x) for x in sets])
+        word, at = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(n)
+        starts, links, mark = ends - n, np.zeros(len(n), np.int64), np.zeros(len(word), np.int8)
+        cut = int((part == 0).sum())
+        alone = key[1] == key[2]  # a block with itself; of two blocks one may be empty
+        for i in range(cut):
+            j = i + 1 if alone else cut
+            if j == len(n):
+                break
+            own = at[starts[i]:ends[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[at[starts[j]:]], starts[j:] - starts[j], dtype=np.int64)
+            mark[own] = 0
+            linked = 100 * both >= threshold * (n[i] + n[j:] - both)
+            links[i] += linked.sum()
+            links[j:] += linked
+        return pa.RecordBatch.from_arrays([pa.array(cid[links > 0]), pa.array(links[links > 0])], names=["cid", "links"])
+
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if row[:3] != now and held:
+                    yield out(now, *zip(*held))
+                    held = []
+                now = row[:3]
+                held.append(row[3:])
+        if held:
+            yield out(now, *zip(*held))
+    return run
+
+
+def _degrees(links: DataFrame, comp: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(cid, links): with how many other classes each class links, all pairs of a component counted.
+
+    ``links`` hold enough pairs to connect the components.  In a component that they fill every class links with all
+    others.  The classes of another one are dealt to blocks of at most about ``BLOCK`` sets and ``BLOCK_MB``, and every
+    two blocks are compared in one task: a set is copied once a block, not once a pair.
+    """
+    comp = written(comp, "members")
+    edges = links.join(comp, links.u == comp.cid).groupBy("root").agg(F.count(F.lit(1)).alias("e"))
+    size = written(comp.groupBy("root").agg(F.count(F.lit(1)).alias("k")).join(edges, "root"), "sizes")
+    full = comp.join(size.where("2 * e = k * (k - 1)"), "root").select("cid", (F.col("k") - 1).alias("links"))
+    apart = written(comp.join(size.where("2 * e < k * (k - 1)").select("root", "k"), "root"), "open")
+    held = written(sets.join(apart, "cid"), "open-sets")
+    mb = held.groupBy("root").agg((F.sum(F.length("body")) / (BLOCK_MB << 20)).alias("mb"))
+    dealt = written(apart.join(mb, "root").select("cid", F.ceil(F.greatest(F.col("k") / BLOCK, "mb")).cast("int").alias("blocks")), "blocks")
+    held = held.join(dealt, "cid").withColumn("i", F.expr("cast(pmod(xxhash64(cid), blocks) as int)")) \
+        .withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+    two = held.select("root", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("i") > F.col("j")).cast("int").alias("part"), "cid", "body")
+    counted = two.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "part").mapInArrow(_counted(threshold), "cid long, links long")
+    return full.unionByName(counted.groupBy("cid").agg(F.sum("links").alias("links")))
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, threshold: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, links (classes linked with its class that were verified), component_id.
+    """One row per document: doc_id, n_shingles, class_id, links (other classes whose sets reach the threshold), component_id.
 
     ``class_id`` numbers the distinct sets; ``component_id`` is the smallest doc_id that links reach, the document's own
     included.  Documents without words (null, empty and blank texts) have an empty set and link with nothing, not even
@@ -277,7 +340,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     links = written(linked.unionByName(_verified(pairs, sets, threshold)), "links")
 
     named = components(links).withColumnRenamed("node", "cid")
-    degree = links.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("links"))
+    degree = _degrees(links, named, sets, threshold)
     named = written(classes.select("sig", "n", "cid", "doc_id").join(named, "cid", "left").join(degree, "cid", "left")
                     .select("sig", "n", "cid", "doc_id", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "components")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

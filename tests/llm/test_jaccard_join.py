@@ -89,6 +89,25 @@ def test_crowded_lists_lose_no_link(spark, words, threshold, monkeypatch):
     assert got(df, words=words, threshold=threshold) == want(rows, words, threshold)
 
 
+@pytest.mark.parametrize("block", [1, 7, 512])  # 1: some blocks are empty
+def test_links_count_every_pair_at_the_threshold(spark, monkeypatch, block):
+    """Copies of one template link with each other, not only with the hub; a chain links with its neighbours; blocks of few sets."""
+    monkeypatch.setattr(jj, "BLOCK", block)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(edited(rnd, base, rnd.randrange(0, 5))) for _ in range(40)]
+    texts += [" ".join(f"c{j}" for j in range(i, i + 100)) for i in range(0, 60, 2)]
+    texts += ["one two three", "One two three", "four five", "", None] + [" ".join(["x", "y", "z", "u", "v", "w"] * 3)] * 2
+    rows = list(enumerate(texts))
+    sets = [plain_set(t) for t in texts]
+    kinds = {s for s in sets if s}
+    count = {s: sum(s != o and 100 * len(s & o) >= 80 * len(s | o) for o in kinds) for s in kinds}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    links = {r.doc_id: r.links for r in jj.jaccard_components(df).collect()}
+    assert links == {i: count.get(s, 0) for i, s in enumerate(sets)}
+    assert max(links.values()) > 20
+
+
 def test_a_set_does_not_depend_on_blocks(monkeypatch):
     raw = " ".join(f"w{i % 700}" for i in range(5000)).encode()
     whole = jj.shingle_set(raw, 5)
