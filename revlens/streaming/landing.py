@@ -52,11 +52,13 @@ def _keep_first(columns: list[str], ttl_ms: int | None):
         if state.hasTimedOut:
             state.remove()
             return
-        first = None
+        first = at = None
         for pdf in frames:
-            low = pdf.sort_values(["_mtime", "_file", "_row"]).head(1)
-            if first is None or tuple(low[["_mtime", "_file", "_row"]].iloc[0]) < tuple(first[["_mtime", "_file", "_row"]].iloc[0]):
-                first = low
+            # nearly every key has one row: sorting a frame costs more than all else that a key needs
+            low = pdf if len(pdf) == 1 else pdf.sort_values(["_mtime", "_file", "_row"]).head(1)
+            place = low["_mtime"].iat[0], low["_file"].iat[0], low["_row"].iat[0]
+            if first is None or place < at:
+                first, at = low, place
         known = state.exists
         state.update((True,))
         if ttl_ms:
@@ -85,6 +87,8 @@ def start_landing_stream(spark: SparkSession, landing_dir: str, sink_dir: str, c
            .withColumn("_file", F.col("_metadata.file_path"))
            .withColumn("_mtime", F.col("_metadata.file_modification_time")))
     src = src.mapInArrow(_numbered, T.StructType([*src.schema.fields, T.StructField("_row", T.LongType())]))
+    # a file is read by one task, as its rows are numbered; its rows are validated by all
+    src = src.repartition("_file", "_row")
     src = clean_csv(src.select(*[na_to_null(F.col(c)).alias(c) for c in columns], "_file", "_mtime", "_row"))
     rows = tag_row_rejects(src).where("reject_reason is null").drop("reject_reason", "text_len_raw").where(~is_spam(F.col("text")))
     keys = {**{f"_scope_{i}": F.col(c) for i, c in enumerate(scope)}, "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), F.col("text"))}
@@ -94,9 +98,13 @@ def start_landing_stream(spark: SparkSession, landing_dir: str, sink_dir: str, c
         "ProcessingTimeTimeout" if ttl_ms else "NoTimeout")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
+        # numbering the rows samples, sorts and joins the batch: without a kept copy each of these would run the whole
+        # micro-batch anew, its files, its validation and its state
+        batch = batch.persist()
         b = batch.withColumn("seq", F.struct("_mtime", "_file", "_row")).drop("_mtime", "_file", "_row")
         b = ensure_columns(b, "seq").withColumn("text_hash", F.xxhash64("text"))
         b.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
+        batch.unpersist()
 
     w = kept.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -90,3 +90,25 @@ def test_forgotten_texts_are_kept_anew(spark):
     run_landing_once(spark, landing, sink, ckpt, ttl_ms=1000)
     _upload(os.path.join(landing, "c.csv"), [("b", "3", "good food and staff")])
     assert run_landing_once(spark, landing, sink, ckpt, ttl_ms=1000).count() == 3
+
+
+def test_a_batch_is_computed_once(spark, monkeypatch, tmp_path):
+    """Numbering and writing a batch run several jobs; files, validation and state are run by the first alone."""
+    from revlens.streaming import landing as L
+    log, keep_first = str(tmp_path / "calls"), L._keep_first
+
+    def counted(columns, ttl_ms):
+        run = keep_first(columns, ttl_ms)
+
+        def go(key, frames, state):
+            with open(log, "a") as f:
+                f.write("x")
+            yield from run(key, frames, state)
+        return go
+
+    monkeypatch.setattr(L, "_keep_first", counted)
+    landing, sink, ckpt = _folders()
+    _upload(os.path.join(landing, "a.csv"), [("b", s, f"review of the text {t}") for t in "abc" for s in (5, 4)])
+    got = run_landing_once(spark, landing, sink, ckpt)
+    assert sorted((r.text[-1], r.stars, r.review_id) for r in got.collect()) == [("a", 5.0, "r_0"), ("b", 5.0, "r_1"), ("c", 5.0, "r_2")]
+    assert os.path.getsize(log) == 3
