@@ -108,7 +108,17 @@ def start_landing_stream(spark: SparkSession, landing_dir: str, sink_dir: str, c
 
     w = kept.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    if not (available_now and ttl_ms):
+        return w.start()
+    # a processing-time timeout always asks for one more batch without data, so that a run over what is there now never
+    # ended; here its batches of data forget.  A query copies the session's settings as it starts.
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    old = spark.conf.get(idle, None)
+    spark.conf.set(idle, "false")
+    try:
+        return w.start()
+    finally:
+        spark.conf.unset(idle) if old is None else spark.conf.set(idle, old)
 
 
 def run_landing_once(spark: SparkSession, landing_dir: str, sink_dir: str, checkpoint_dir: str,
