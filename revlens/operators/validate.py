@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_star
 from ..functions.text import is_spam, nan_to_null, py_strip, to_numeric
 from .joins import join_on
-from .lineage import materialize
+from .lineage import write_table
 from .ordering import _cols, dense_index, keep_first
 
 # --- fixed values -------------------------------------------------------------------
@@ -168,6 +168,27 @@ def _shingle_set(text, shingle: int):
     return F.when(F.length(t) < shingle, F.array(t)).otherwise(F.array_distinct(windows))
 
 
+def _similarities(keep: Sequence[str], shingle: int):
+    """For ``mapInArrow``: the exact Jaccard of the shingle sets of ``text`` and ``rep_text``."""
+    def shingles(t: str) -> set:
+        return {t[i:i + shingle] for i in range(len(t) - shingle + 1)} if len(t) >= shingle else {t}
+
+    def run(batches):
+        import pyarrow as pa
+        rep, b = None, set()
+        for batch in batches:
+            got = []
+            for text, other in zip(batch.column("text"), batch.column("rep_text")):
+                other = other.as_py()
+                if other != rep:
+                    rep, b = other, shingles(other)
+                a = shingles(text.as_py())
+                common = len(a & b)
+                got.append(common / (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(got, pa.float64())], names=[*keep, "jaccard"])
+    return run
+
+
 def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), order: str = "seq",
                     threshold: float = NEAR_DUPLICATE_SIMILARITY, shingle: int = 5,
                     bands: int = 24, rows_per_band: int = 4) -> DataFrame:
@@ -186,55 +207,81 @@ def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), orde
     losing a pair, by the shingles that are rarest in it: two sets of that similarity share one among
     the first ``size - ceil(threshold * size) + 1`` of each.  The exact Jaccard of the two
     shingle sets, rebuilt from the two texts, confirms.
+
+    The texts are written once, named by their SHA-256.  Signatures, buckets and pairs hold names and numbers only;
+    only the texts of pairs whose set sizes allow the similarity are fetched, and become shingle sets in the task that compares them.
     """
     scope = _cols(scope)
     nh = bands * rows_per_band
-    same = [*scope, "_th", "text"]
-    base = df.select(*scope, order, "text").filter(F.col("text").isNotNull()).withColumn("_th", F.xxhash64("text"))
-    texts = base.groupBy(*same).agg(F.min(order).alias("_first"))
-    texts = materialize(texts)
-    hashed = texts.select(*scope, "_first", F.explode(_shingle_set("text", shingle)).alias("_s")) \
-        .select(*scope, "_first", F.xxhash64("_s").alias("_h"))
-    signed = hashed.groupBy(*scope, "_first").agg(
-        *[F.min(F.xxhash64(F.col("_h"), F.lit(k))).alias(f"h{k}") for k in range(nh)])
+    base = write_table(df.select(*scope, order, "text").filter(F.col("text").isNotNull())
+                       .withColumn("_th", F.unhex(F.sha2(F.col("text"), 256)))
+                       .withColumn("_plain", ~F.col("text").rlike("[\\x{10000}-\\x{10FFFF}]")), "near-texts")
+    mins = [F.min(F.xxhash64(F.col("_h"), F.lit(k))).alias(f"h{k}") for k in range(nh)]
+    # the size of a set bounds its similarity; texts beyond the basic plane have no size and are left to the comparison
+    of_text = (base.select(*scope, order, "_th", "_plain", F.posexplode(_shingle_set("text", shingle)).alias("_at", "_s"))
+               .select(*scope, order, "_th", F.when(F.col("_plain"), F.col("_at") + 1).alias("_size"), F.xxhash64("_s").alias("_h"))
+               .groupBy(*scope, "_th").agg(F.min(order).alias("_first"), F.max("_size").alias("_size"), *mins))
+    signed = write_table(of_text, "near-signatures")
+    texts = signed.select(*scope, "_th", "_first", "_size")
     band_keys = F.array(*[
         F.struct(F.lit(b).alias("band"),
                  F.xxhash64(*[F.col(f"h{b * rows_per_band + r}") for r in range(rows_per_band)]).alias("bucket"))
         for b in range(bands)])
-    member = materialize(signed.select(*scope, "_first", F.explode(band_keys).alias("bk")).select(
-        *scope, "_first", "bk.band", "bk.bucket"))
+    member = write_table(
+        signed.groupBy(*scope, "_first").agg(*[F.min(f"h{k}").alias(f"h{k}") for k in range(nh)])
+        .select(*scope, "_first", F.explode(band_keys).alias("bk")).select(*scope, "_first", "bk.band", "bk.bucket"), "near-buckets")
+
+    def texts_of(names: DataFrame) -> DataFrame:
+        """``(scope..., _th, text)`` of the texts with those names, a few bytes each: no other text is shuffled to find them."""
+        named = write_table(names.select(*scope, "_th").distinct(), "near-names")
+        return join_on(base, named, [*scope, "_th"], "left_semi").select(*scope, "_th", "text")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        reps = texts.select(*scope, F.col("_th").alias("rep_th"), F.col("_first").alias("rep"), F.col("_size").alias("rep_size"))
+        named = join_on(join_on(pairs, texts, [*scope, "_first"]), reps, [*scope, "rep"])
+        may = F.least("_size", "rep_size") >= threshold * F.greatest("_size", "rep_size") - 1e-9
+        known = F.col("_size").isNotNull() & F.col("rep_size").isNotNull()
+        named = write_table(named.filter(may | ~known).select(*scope, "_first", "rep", "_th", "rep_th"), "near-pairs")
+        held = texts_of(named.select(*scope, "_th").unionByName(named.select(*scope, F.col("rep_th").alias("_th"))))
+        both = join_on(join_on(named, held, [*scope, "_th"]),
+                       held.select(*scope, F.col("_th").alias("rep_th"), F.col("text").alias("rep_text")), [*scope, "rep_th"])
+        types = ", ".join(f"`{c}` {dict(named.dtypes)[c]}" for c in [*scope, "_first", "rep"])
+        return both.select(*scope, "_first", "rep", "text", "rep_text") \
+            .mapInArrow(_similarities([*scope, "_first", "rep"], shingle), f"{types}, jaccard double").filter(F.col("jaccard") >= threshold)
+
     w = Window.partitionBy(*scope, "band", "bucket").orderBy("_first")
     other = F.array(F.first("_first").over(w), F.lag("_first").over(w))
     cand = (member.withColumn("_others", F.array_distinct(other)).withColumn("rep", F.explode("_others"))
             .filter(F.col("rep") < F.col("_first")).select(*scope, "_first", "rep").distinct())
-    sets = texts.select(*scope, "_first", _shingle_set("text", shingle).alias("sh"))
-    rep_sets = sets.select(*scope, F.col("_first").alias("rep"), F.col("sh").alias("rep_sh"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return (join_on(join_on(pairs, sets, [*scope, "_first"]), rep_sets, [*scope, "rep"])
-                .withColumn("jaccard", F.size(F.array_intersect("sh", "rep_sh")) / F.size(F.array_union("sh", "rep_sh")))
-                .filter(F.col("jaccard") >= threshold).select(*scope, "_first", "rep", "jaccard"))
-
-    quick = materialize(verified(cand))
-    # what found no partner meets all earlier members of its buckets, large ones split by their rarest shingles
-    at = member.select(*scope, "_first", F.xxhash64(*scope, "band", "bucket").alias("_k"))
-    crowd = at.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2)
-    at = at.join(crowd, "_k")
-    shared = join_on(at.filter(F.col("_n") > BUCKET_MEMBERS), hashed, [*scope, "_first"])
+    quick = write_table(verified(cand), "near-quick")
+    # what found no partner meets all earlier members of its buckets, large ones split by their rarest shingles;
+    # a bucket whose members but the earliest all have partners has nothing to find
+    found = quick.select(*scope, "_first").distinct().withColumn("_found", F.lit(True))
+    at = join_on(member, found, [*scope, "_first"], "left").select(*scope, "_first", "_found", F.xxhash64(*scope, "band", "bucket").alias("_k"))
+    crowd = at.groupBy("_k").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_lo"),
+        F.max(F.when(F.col("_found").isNull(), F.col("_first"))).alias("_open"))
+    crowd = crowd.filter((F.col("_n") > 2) & (F.col("_open") > F.col("_lo"))).select("_k", "_n")
+    at = write_table(at.join(crowd, "_k").select(*scope, "_first", "_found", "_k", "_n"), "near-crowded")
+    large = at.filter(F.col("_n") > BUCKET_MEMBERS).select(*scope, "_first", "_k")
+    large_texts = write_table(join_on(texts, large.select(*scope, "_first").distinct(), [*scope, "_first"], "left_semi"), "near-large")
+    hashed = join_on(large_texts, texts_of(large_texts), [*scope, "_th"]) \
+        .select(*scope, "_first", F.explode(_shingle_set("text", shingle)).alias("_s")).select(*scope, "_first", F.xxhash64("_s").alias("_h"))
+    shared = join_on(large, hashed, [*scope, "_first"])
     rarity = shared.groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("_df"))
     own = Window.partitionBy(*scope, "_first", "_k")
     prefix = (shared.join(rarity, ["_k", "_h"]).withColumn("_size", F.count(F.lit(1)).over(own))
               .withColumn("_rn", F.row_number().over(own.orderBy("_df", "_h")))
               .filter((F.col("_df") > 1) & (F.col("_rn") <= F.col("_size") - F.ceil(F.col("_size") * threshold - 1e-9) + 1)))
-    place = materialize(at.filter(F.col("_n") <= BUCKET_MEMBERS).select(*scope, "_first", F.col("_k").alias("_key"))
-                        .unionByName(prefix.select(*scope, "_first", F.xxhash64("_k", "_h").alias("_key"))))
-    left = join_on(place, quick.select(*scope, "_first").distinct(), [*scope, "_first"], "left_anti")
+    place = write_table(at.filter(F.col("_n") <= BUCKET_MEMBERS).select(*scope, "_first", F.col("_k").alias("_key"))
+                        .unionByName(prefix.select(*scope, "_first", F.xxhash64("_k", "_h").alias("_key"))), "near-places")
+    left = join_on(place, found, [*scope, "_first"], "left_anti")
     rest = (join_on(left, place.withColumnRenamed("_first", "rep"), [*scope, "_key"])
             .filter(F.col("rep") < F.col("_first")).select(*scope, "_first", "rep").distinct())
     scored = quick.unionByName(verified(rest))
     best = scored.groupBy(*scope, "_first").agg(F.min_by(F.struct("rep", "jaccard"), F.col("rep")).alias("m"))
     near = best.select(*scope, F.col("_first").alias(order), F.col("m.rep").alias("earlier_" + order),
                        F.col("m.jaccard").alias("jaccard"))
-    copies = join_on(base, texts, same).filter(F.col(order) > F.col("_first")).select(
+    copies = join_on(base.select(*scope, order, "_th"), texts, [*scope, "_th"]).filter(F.col(order) > F.col("_first")).select(
         *scope, order, F.col("_first").alias("earlier_" + order), F.lit(1.0).alias("jaccard"))
     return near.unionByName(copies)

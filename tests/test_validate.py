@@ -92,3 +92,35 @@ def test_near_duplicates_in_a_crowded_bucket_are_found(spark):
     df = spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts)], "seq long, business_id string, text string")
     got = {(r.seq, r.earlier_seq) for r in near_duplicates(df, bands=4, rows_per_band=1).collect()}   # crowded buckets
     assert len(want) >= 45 and {i for i, _ in got} == want and got <= set(pairs)
+
+
+def test_near_duplicates_shuffle_names_not_shingle_sets(spark, tmp_path):
+    """What the comparison of near copies shuffles and writes stays within a few times the texts; results as by brute force."""
+    import glob
+    import os
+    import random
+    from revlens.operators import lineage
+    from revlens.operators.validate import near_duplicates
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rnd.randrange(4000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(words[:-8] + ["\U0001f600" + str(rnd.randrange(9))]), " ".join(words[:100])]
+    df = spark.createDataFrame([(i, None if i % 2 else "b", t) for i, t in enumerate(t for p in range(2) for t in texts)], "seq long, business_id string, text string")
+    wrote, write = [], lineage.write_table
+    from revlens.operators import validate
+
+    def counted(frame, name):
+        out = write(frame, name)
+        wrote.extend(os.path.getsize(f.removeprefix("file:").removeprefix("//")) for f in out.inputFiles())
+        return out
+    validate.write_table = counted
+    try:
+        got = {(r.business_id, r.seq): r.earlier_seq for r in near_duplicates(df).collect()}
+    finally:
+        validate.write_table = write
+    sets = [{t[i:i + 5] for i in range(len(t) - 4)} for t in texts] * 2
+    for i in range(360):
+        like = {j for j in range(i % 2, i, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        assert (got.get((None if i % 2 else "b", i)) in like) if like else (None if i % 2 else "b", i) not in got
+    assert wrote and sum(wrote) < 4 * sum(len(t) for t in texts) * 2
