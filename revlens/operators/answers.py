@@ -41,29 +41,37 @@ def stored_answers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED).parquet(*folders).groupBy("prompt_key").agg(F.min("raw").alias("raw"))
 
 
+def named_prompts(blocks: DataFrame, model: str = "", keys: Sequence[str] = ("scope", "batch_id"), block: str = "block") -> DataFrame:
+    """``(keys..., block, prompt_key)``, written once: what several runs of :func:`answer_batches` read."""
+    return write_table(blocks.select(*keys, block).withColumn("prompt_key", prompt_key(block, model)), "prompts")
+
+
 def answer_batches(blocks: DataFrame, scorer: Callable[[pd.Series], pd.Series], path: str, model: str = "",
                    keys: Sequence[str] = ("scope", "batch_id"), block: str = "block", attempts: int = 3,
                    per_task: int = 64, chunk: int = 16) -> DataFrame:
     """E7 through the store at ``path``: ``(keys..., raw, error)`` as :func:`modelio.score_batches` gives them.
 
+    ``blocks`` of :func:`named_prompts` (the same model) are taken as they are, others are written first.  The open
+    prompts are counted by their names; a prompt's text is shuffled once, to the task that asks it.
     Equal prompts are sent once.  Of a prompt that failed ``attempts`` times, ``raw`` is empty and ``error`` is the last one.
     """
     spark = blocks.sparkSession
-    named = write_table(blocks.select(*keys, block).withColumn("prompt_key", prompt_key(block, model)), "prompts")
-    todo = named.select("prompt_key", block).join(stored_answers(spark, path).select("prompt_key"), "prompt_key", "left_anti") \
-        .groupBy("prompt_key").agg(F.min(block).alias(block))
+    named = blocks if "prompt_key" in blocks.columns else named_prompts(blocks, model, keys, block)
+    prompts = named.select("prompt_key", block)
+    todo = write_table(named.select("prompt_key").distinct()
+                       .join(stored_answers(spark, path).select("prompt_key"), "prompt_key", "left_anti"), "open-prompts")
     failed = None
     for _ in range(attempts):
-        todo = write_table(todo, "open-prompts")
         n = todo.count()
         if not n:
             failed = None
             break
-        got = score_batches(todo.repartition(-(-n // per_task), "prompt_key"), scorer, ["prompt_key"], block, write_once=False, chunk=chunk)
-        got = write_table(got, "scored")
+        asked = prompts.join(todo, "prompt_key", "left_semi").repartition(-(-n // per_task), "prompt_key") \
+            .groupBy("prompt_key").agg(F.min(block).alias(block))
+        got = write_table(score_batches(asked, scorer, ["prompt_key"], block, write_once=False, chunk=chunk), "scored")
         got.where("error IS NULL").select("prompt_key", F.coalesce("raw", F.lit("")).alias("raw")).write.parquet(f"{path}/pass={uuid.uuid4().hex}")
         failed = got.where("error IS NOT NULL").select("prompt_key", "error")
-        todo = todo.join(failed.select("prompt_key"), "prompt_key", "left_semi")
+        todo = failed.select("prompt_key")
     out = join_large(named.select(*keys, "prompt_key"), stored_answers(spark, path), "prompt_key", "left")
     out = out.withColumn("error", F.lit(None).cast("string")) if failed is None else out.join(failed, "prompt_key", "left")
     return out.select(*keys, F.coalesce("raw", F.lit("")).alias("raw"), F.when(F.col("raw").isNull(), F.col("error")).alias("error"))

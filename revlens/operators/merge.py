@@ -30,12 +30,12 @@ def split_batches(reviews: DataFrame, scope: Sequence[str] = ("business_id",), o
                   batch_size: int = BATCH_SIZE) -> DataFrame:
     """G1: consecutive batches of ``batch_size`` rows per scope in input order; adds
     ``batch_id`` (0-based) and ``batch_size`` (rows in that batch).  The position comes
-    from the skew-free dense index, the batch size from a (scope, batch) count."""
+    from the skew-free dense index, the batch size from the scope's number of rows."""
     scope = _cols(scope)
-    idx = dense_index(reviews, scope, order, name="_pos")
-    with_b = idx.withColumn("batch_id", F.floor(F.col("_pos") / batch_size).cast("long")).drop("_pos")
-    sizes = with_b.groupBy(*scope, "batch_id").agg(F.count(F.lit(1)).alias("batch_size"))
-    return join_on(with_b, sizes, [*scope, "batch_id"])
+    idx = dense_index(reviews, scope, order, name="_pos", total="_rows")
+    with_b = idx.withColumn("batch_id", F.floor(F.col("_pos") / batch_size).cast("long"))
+    size = F.least(F.lit(batch_size).cast("long"), F.col("_rows") - F.col("batch_id") * batch_size)
+    return with_b.withColumn("batch_size", size).drop("_pos", "_rows")
 
 
 def _first_seen(items: DataFrame, scope: list[str], group: list[str], item: str, n: int,

@@ -58,7 +58,7 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | Column
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], order: str = "seq",
-                name: str = "idx", num_slices: int | None = None) -> DataFrame:
+                name: str = "idx", num_slices: int | None = None, total: str | None = None) -> DataFrame:
     """0-based dense position of each row within ``keys`` (whole frame when empty) by ``order``.
 
     Equivalent to ``row_number() OVER (PARTITION BY keys ORDER BY order) - 1`` but never
@@ -74,21 +74,24 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: str = "seq",
     4. position = offset of the slice + id - first id of the slice.
 
     NULL keys are a key of their own.  Rows equal in ``order`` are numbered in some order.
+    ``total`` names a column with the number of rows of the key.  The offsets are written too: their size is
+    known when the plan is made, so that the rows are not shuffled a second time to meet them.
     """
     from .joins import join_on
-    from .lineage import materialize
+    from .lineage import write_table
     keys = _cols(keys)
     n = num_slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order))
+    ranged = write_table(df.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order))
                          .sortWithinPartitions(*keys, order)
                          .withColumn("_mid", F.monotonically_increasing_id())
-                         .withColumn("_slice", F.spark_partition_id()))
+                         .withColumn("_slice", F.spark_partition_id()), "dense-index")
     counts = ranged.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"),
                                                 F.min("_mid").alias("_mid0"))
-    wk = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_slice")
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_n")
+    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.sum("_n").over(per_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = write_table(counts.select(
+        *keys, "_slice", "_mid0", F.coalesce(before, F.lit(0)).alias("_off"),
+        *([F.sum("_n").over(per_key).alias(total)] if total else [])), "dense-offsets")
     return (join_on(ranged, offsets, [*keys, "_slice"])
             .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_mid0")).cast("long"))
             .drop("_slice", "_mid", "_mid0", "_off"))

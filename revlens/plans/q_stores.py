@@ -50,6 +50,7 @@ def q_stored_model_answers(spark, sf_dir):
     batches = G.split_batches(fx_reviews(spark, sf_dir), ["business_id"], "seq", batch_size=20)
     blocks = M.review_block(batches, ["business_id", "batch_id"])
     path, keys = _scratch(spark, "answers"), ["business_id", "batch_id"]
+    blocks = A.named_prompts(blocks, "keywords", keys)   # both runs read it
     A.answer_batches(blocks, keyword_scorer, path, model="keywords", keys=keys)
     got = A.answer_batches(blocks, no_scorer, path, model="keywords", keys=keys).withColumn("v", M.extract_json("raw"))
     return got.select(*keys, F.try_variant_get("v", "$.positive", "bigint").alias("positive"), F.try_variant_get("v", "$.negative", "bigint").alias("negative"),

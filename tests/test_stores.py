@@ -151,3 +151,37 @@ def test_profile_of_loads_equals_the_whole(spark):
     assert part.n_reviews == rows.where("seq % 5 in (0, 2)").count()
     none = LP.merged_profile(spark, path, loads=["empty"]).first()
     assert none.n_reviews == 0 and none.mean_stars is None and none.length_q50 is None
+
+
+def test_prompts_named_once_serve_several_runs(spark, tmp_path):
+    """Two runs over the same named prompts: the texts are written once, null and empty prompts are one, equal ones are asked once."""
+    from revlens.operators import lineage
+    made = spark.sparkContext.accumulator(0)
+
+    def touch(t):
+        made.add(1)
+        return t
+    rows = [(k, None if k == 7 else "" if k == 8 else f"prompt {k % 50}") for k in range(120)]
+    blocks = spark.createDataFrame(rows, "batch_id long, block string").withColumn("block", F.udf(touch)("block"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def scorer(b):
+        asked.add(len(b))
+        return pd.Series([f"answer {x}" for x in b])
+    named = A.named_prompts(blocks, "m", ["batch_id"])
+    path = str(tmp_path / "answers")
+    for _ in range(2):
+        got = {r.batch_id: (r.raw, r.error) for r in A.answer_batches(named, scorer, path, model="m", keys=["batch_id"]).collect()}
+    assert made.value == 120 and asked.value == 51 and lineage.complete_folders(spark, path)
+    assert got == {k: (f"answer {t or ''}", None) for k, t in rows}
+
+
+def test_batches_are_numbered_without_shuffling_rows_again(spark):
+    from revlens.operators.merge import split_batches
+    rows = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("business_id"), F.lit("x" * 300).alias("text"))
+    out = split_batches(rows, batch_size=64)
+    plan = _plan(out)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "hashpartitioning" not in plan
+    sizes = {(r.business_id, r.batch_id): (r.n, r.s, r.t) for r in out.groupBy("business_id", "batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("batch_size").alias("s"), F.max("batch_size").alias("t")).collect()}
+    assert all(n == s == t for n, s, t in sizes.values()) and len(sizes) == -(-3333 // 64) + -(-1667 // 64)
