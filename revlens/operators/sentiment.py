@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import write_table
 from .modelio import SENTIMENTS, TOPIC_QUERIES, TOPICS
 from .ordering import _cols
 from .profile import attach_one_row, stars_to_label
@@ -37,20 +38,24 @@ def train_classifier(labelled: DataFrame, text: str = "text", label: str = "labe
                      num_features: int = 1 << 18, max_iter: int = 50):
     """Fit ``RegexTokenizer -> StopWordsRemover -> HashingTF -> IDF ->
     LogisticRegression`` on labelled reviews (labels from stars by default).  Training is
-    distributed (IDF and the optimiser are aggregates over the whole table)."""
-    from pyspark.ml import Pipeline
+    distributed (IDF and the optimiser are aggregates over the whole table).  Reviews are tokenised
+    and counted in one pass, whose term counts are written: the later stages are fitted on those."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StopWordsRemover, StringIndexer
 
-    stages = [
-        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip"),
+    rows = labelled.filter(F.col(text).isNotNull())
+    words = [
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True),
         StopWordsRemover(inputCol="_tok", outputCol="_tok2"),
         HashingTF(inputCol="_tok2", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_x"),
-        LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(labelled.filter(F.col(text).isNotNull()))
+    counted = write_table(PipelineModel(words).transform(rows).select(label, "_tf"), "classifier-terms")
+    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(counted)
+    counted = index.transform(counted)
+    idf = IDF(inputCol="_tf", outputCol="_x").fit(counted)
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=max_iter, regParam=0.01).fit(idf.transform(counted))
+    return PipelineModel([index, *words, idf, model])
 
 
 def apply_classifier(model, reviews: DataFrame, out: str = "predicted") -> DataFrame:
