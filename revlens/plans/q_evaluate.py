@@ -142,11 +142,12 @@ def q_eval_retrieval_mae(spark, sf_dir):
     """J10 + J11: predicted sentiment shares over all clean reviews vs over the distinct
     retrieval set, each compared with the star-derived truth by 3-class MAE.  (The
     predictor here is a fixed rule on the ``useful`` column, standing in for a model.)"""
-    from ..operators.lineage import materialize
+    from ..operators.lineage import write_table
     from ..operators.sentiment import sentiment_percentages
     # the clean table feeds the index, the candidates and three marts: validate it once
-    clean = materialize(V.validate_reviews(fx_reviews(spark, sf_dir), ["business_id"]))
-    hits = _topic_hits(spark, sf_dir, clean)
+    clean = write_table(V.validate_reviews(fx_reviews(spark, sf_dir), ["business_id"]), "clean-reviews")
+    hits = write_table(_topic_hits(spark, sf_dir, clean).select("business_id", "review_id"), "topic-hits")
+    # at most 15 rows per business and topic, written: of known size, so that no text is shuffled to meet them
     ragset = (hits.join(clean.select("review_id", "text", "useful"), "review_id")
               .select("business_id", "text", "useful").distinct())
     gt = sentiment_percentages(clean.withColumn("label", stars_to_label("stars")), ["business_id"])
