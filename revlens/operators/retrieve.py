@@ -115,7 +115,8 @@ def _term_counts(text: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))
         return F.when(n > 0, _bound(starts, lambda s: F.transform(s, lambda i, j: F.struct(
             F.get(tokens, i).alias("term"), (F.coalesce(F.get(s, j + 1), n) - i).cast("long").alias("tf")))))
-    return _bound(F.array_sort(_tokens(text)), runs)
+    # sort_array compares in compiled code, array_sort by a lambda; a token is never null
+    return _bound(F.sort_array(_tokens(text)), runs)
 
 
 def tfidf_topk(reviews: DataFrame, queries: DataFrame, k: int = MANAGER_TOP_K,
@@ -128,7 +129,7 @@ def tfidf_topk(reviews: DataFrame, queries: DataFrame, k: int = MANAGER_TOP_K,
     Only document frequencies are summed over the cluster, as partial counts per (scope, term)
     without a review in the key.  They are written with their inverse frequency, so that Spark knows
     their size: it broadcasts them when they are small, and else shuffles the terms of the reviews that
-    hit.  Only those need a dot product and a norm.  Reviews that share no term with a query score 0
+    hit, once.  Only those need a dot product and a norm.  Reviews that share no term with a query score 0
     and still rank (by id) where fewer than k reviews match, as an index returns k neighbours
     regardless: only scopes that are short of k are filled, from their first 2k ids.
     Joins are plain equi-joins (NULL scopes are scopes): Spark sizes them, AQE splits a hot
@@ -148,9 +149,11 @@ def tfidf_topk(reviews: DataFrame, queries: DataFrame, k: int = MANAGER_TOP_K,
 
     tf = bags.filter("_hit").select(*scope, id_col, F.inline("_terms"))
     q_idf = idf.join(qt, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
-    hits = join_on(tf, q_idf, [*scope, "term"])
+    # of a review only the few query terms go to the dot product; all its terms are shuffled once, to the norm
+    hits = join_on(tf.filter(F.array_contains(asked, F.col("term"))), q_idf, [*scope, "term"])
     dots = write_table(hits.groupBy(*scope, id_col, qid_col).agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot")), "tfidf-dots")
-    w = join_on(tf, idf, [*scope, "term"]).select(*scope, id_col, (F.col("tf") * F.col("idf")).alias("w"))
+    # each task holds its share of the frequencies, so that the terms of the reviews, many times more, are not sorted
+    w = join_on(tf, idf.hint("shuffle_hash"), [*scope, "term"]).select(*scope, id_col, (F.col("tf") * F.col("idf")).alias("w"))
     norms = w.groupBy(*scope, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # query norm per scope over the query terms present in the scope's vocabulary
     qn = q_idf.groupBy(*scope, qid_col).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))

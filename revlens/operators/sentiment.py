@@ -98,21 +98,24 @@ def highlight_phrases(labelled: DataFrame, scope: Sequence[str] = ("business_id"
     phrase.  Each review contributes a phrase once.
 
     One aggregate per (scope, phrase) counts the reviews of each class and of all classes
-    (map-side combined), one aggregate per scope gives the class sizes; the two meet in a
-    join on the scope (broadcast by AQE only when measured small), then each phrase row becomes one row per class and a partial top-n
-    keeps the best per (scope, class)."""
+    (map-side combined), one aggregate per scope gives the class sizes, which are written: the two meet in a
+    join on the scope that shuffles no phrase while the sizes are small enough to broadcast, then each phrase
+    row becomes one row per class and a partial top-n keeps the best per (scope, class)."""
     scope = _cols(scope)
     classes = ["positive", "negative"]
     lab = F.col(label)
     # tokens are materialised once per review; the bigram lambda only indexes into them
     tok = labelled.select(*scope, label, _tokens(F.col(text)).alias("_t"))
-    bi = (tok.filter(F.size("_t") >= 2)
-          .select(*scope, label, F.explode(F.array_distinct(_bigrams("_t"))).alias("phrase")))
+    # explode would first ask for the size of the array, and so compute tokens and bigrams of each review twice
+    bi = (tok.select(*scope, label, F.explode_outer(F.array_distinct(_bigrams("_t"))).alias("phrase"))
+          .filter(F.col("phrase").isNotNull()))
     per_phrase = bi.groupBy(*scope, "phrase").agg(
         *[F.count_if(lab == c).alias(f"_df_{c}") for c in classes], F.count(F.lit(1)).alias("df_all"))
     sizes = labelled.groupBy(*scope).agg(
         *[F.count_if(lab == c).alias(f"_n_{c}") for c in classes], F.count(F.lit(1)).alias("n_all"))
-    # per-scope sizes: AQE broadcasts them only when their measured shuffle output is small
+    # a shuffle by scope would bring all phrases of a large scope to one task: the sizes, of known bytes, are broadcast
+    if scope:
+        sizes = write_table(sizes, "highlight-sizes")
     j = per_phrase.join(sizes, scope) if scope else attach_one_row(per_phrase, sizes)
     per_class = F.explode(F.array(*[
         F.struct(F.lit(c).alias(label), F.col(f"_df_{c}").alias("df"), F.col(f"_n_{c}").alias("n_class"))

@@ -16,7 +16,7 @@ from ..operators import retrieve as D
 from ..operators import sentiment as S
 from ..operators import validate as V
 from ..operators.joins import join_on
-from ..operators.lineage import materialize
+from ..operators.lineage import materialize, write_table
 from ..operators.profile import stars_to_label
 from ..sources.fixtures import fx_reviews
 
@@ -47,16 +47,20 @@ def analyze_all(spark: SparkSession, reviews: DataFrame, topics: dict[str, str]
     sc = [scope]
     # the clean table feeds every mart: write it once to the shared checkpoint folder
     # (reliable checkpoint, cuts the lineage; a lost executor re-reads instead of re-validating)
-    clean = materialize(V.validate_reviews(reviews, scope=sc))
+    # dealt out by count: coalesced to a few large partitions, each task's bigram counts outgrow its memory
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    clean = materialize(V.validate_reviews(reviews, scope=sc).repartition(parts, "seq"))
     stats = V.validation_stats(reviews, clean, scope=sc)
     labelled = clean.withColumn("label", stars_to_label("stars"))
 
     qtab = D.topic_query_table(spark, topics)
     if use_rag:
         hits = D.tfidf_topk(clean, qtab, k=top_k, scope=sc)
-        hits = materialize(hits.filter(F.col("score") > 0))
+        # a few rows per business, of known size: no text is shuffled to meet them
+        hits = write_table(hits.filter(F.col("score") > 0), "topic-hits")
         sel = hits.select(scope, "review_id").distinct()
-        topic_input = D.with_fallback(join_on(labelled, sel, [scope, "review_id"], "left_semi"), labelled, sc)
+        found = write_table(join_on(labelled, sel, [scope, "review_id"], "left_semi"), "topic-reviews")
+        topic_input = D.with_fallback(found, labelled, sc)
     else:
         hits = None
         topic_input = labelled.withColumn("source", F.lit("all_reviews"))

@@ -83,6 +83,44 @@ def test_highlight_phrases_matches_bruteforce(spark):
     assert got == want
 
 
+def test_highlight_phrases_computes_bigrams_once_and_shuffles_no_phrase_by_scope(spark):
+    rows = [("b1", f"r{i}", "positive" if i % 2 else "negative", t) for i, t in enumerate(
+        ["good food here", "good food there", "bad food", "", None, "one", "slow slow slow", "bad food again"])]
+    rows += [(None, "n1", "positive", "good food"), ("b2", "e1", "neutral", None)]
+    df = spark.createDataFrame(rows, "business_id string, review_id string, label string, text string")
+    top = S.highlight_phrases(df, ["business_id"])
+    plan = _plan(top)
+    assert plan.count("zip_with(") == 1 and plan.count("regexp_extract_all(") == 1
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {(r.business_id, r.label, r.phrase, r.df) for r in top.collect()}
+    assert got == {("b1", "positive", "food there", 1), ("b1", "positive", "food again", 1),
+                   ("b1", "negative", "slow slow", 1), ("b1", "negative", "food here", 1)}
+
+
+def test_tfidf_shuffles_all_terms_once_to_meet_the_frequencies(spark):
+    df = spark.createDataFrame([("b1", f"r{i}", t) for i, t in enumerate(["good food good", "food", "nothing of it", "", None])]
+                               + [(None, "n1", "good service")], "business_id string, review_id string, text string")
+    queries = spark.createDataFrame([("food", "good food"), ("service", "service")], "topic string, query string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        top = D.tfidf_topk(df, queries, k=2)
+        plan = _plan(top)
+        assert "ShuffledHashJoin" in plan
+        got = {(r.business_id, r.topic, r["rank"]): (r.review_id, round(r.score, 6)) for r in top.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    import math
+    n, docs = 5, {"r0": {"good": 2, "food": 1}, "r1": {"food": 1}}
+    idf = {"good": math.log((n + 1) / 2) + 1, "food": math.log((n + 1) / 3) + 1}
+    qnorm = math.sqrt(sum(x * x for x in idf.values()))
+    want = {r: sum(tf * idf[t] ** 2 for t, tf in c.items()) / math.sqrt(sum((tf * idf[t]) ** 2 for t, tf in c.items())) / qnorm
+            for r, c in docs.items()}
+    ranked = sorted(want, key=lambda r: -want[r])
+    assert [got["b1", "food", i + 1] for i in range(2)] == [(r, round(want[r], 6)) for r in ranked]
+    assert got[None, "service", 1][0] == "n1" and got["b1", "service", 1] == ("r0", 0.0)
+
+
 def test_rank_matches_of_a_hot_request_equal_a_stable_sort(spark):
     import random
     from revlens.operators.collect import best_matches, rank_matches
