@@ -63,7 +63,8 @@ def build_report(sentiment: DataFrame, topics: DataFrame, catalogue: DataFrame,
     actions = catalogue.groupBy("topic").agg(F.collect_list(F.struct("max_score", "priority", "action")).alias("actions"))
     t = topics.select(*scope, "topic", "sentiment", "score", "mentions", order).join(actions, "topic", "left")
     g = t.groupBy(*scope).agg(
-        F.bround(F.avg(F.when(F.col("mentions") > 0, F.col("score"))), 1).alias("overall_score"),
+        # 12 decimals first: whether a mean ends in a 5 must not depend on the order in which the scores are added
+        F.bround(F.round(F.avg(F.when(F.col("mentions") > 0, F.col("score"))), 12), 1).alias("overall_score"),
         F.collect_list(F.struct("topic", "sentiment", "score", "topic_ord", "actions")).alias("_t"))
     advice = F.flatten(F.transform("_t", lambda x: F.transform(
         F.filter(F.coalesce(x["actions"], F.array().cast("array<struct<max_score:double,priority:int,action:string>>")),

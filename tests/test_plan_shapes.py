@@ -208,3 +208,13 @@ def test_join_on_matches_null_keys_and_keeps_each_key_once(spark):
     assert rows(join_on(a, b, ["k"], "left_semi")) == sorted([("x", 1), (None, 2)], key=str)
     assert rows(join_on(a, b, "k", "left_anti")) == [("y", 3)]
     assert rows(join_on(a, b, "k", "full_outer")) == sorted([("x", 1, 10), (None, 2, 20), ("y", 3, None), ("z", None, 30)], key=str)
+
+
+def test_overall_score_does_not_depend_on_the_order_of_the_topics(spark):
+    from revlens.operators import report as H
+    names = ["food_quality", "service", "price", "ambiance"]
+    sentiment = spark.createDataFrame([("b", 50.0, 30.0, 20.0)], "business_id string, positive double, negative double, neutral double")
+    for scores in ([1.0, 1.1, 1.2, 2.9], [1.0, 1.1, 2.9, 1.2]):  # their sums are 6.199999999999999 and 6.2
+        topics = spark.createDataFrame([("b", t, "neutral", s, 1) for t, s in zip(names, scores)],
+                                       "business_id string, topic string, sentiment string, score double, mentions long").coalesce(1)
+        assert [r.overall_score for r in H.build_report(sentiment, topics, H.action_catalogue(spark)).collect()] == [1.6]
