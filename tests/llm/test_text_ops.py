@@ -431,3 +431,32 @@ def test_leaks_equal_the_rule_without_seeds(spark, sf, docs):
     rows = docs.where(F.length("text") < 3000).orderBy("doc_id").limit(60)
     got = as_set(decontam.contaminated(rows, items))
     assert got == rule_want([(r.doc_id, r.text) for r in rows.collect()], [(r.item_id, r.text) for r in items.collect()])
+
+
+# ---- decontamination moves only what may be a hit
+
+def test_a_sieve_loses_no_hash_and_keeps_few_others(spark):
+    from pyspark.sql import functions as F
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("seed"))
+    df = spark.range(50_000).select("id", F.xxhash64("id").alias("seed"))
+    got = [r.id for r in decontam._sifted(df, "seed", hashes, 5000).collect()]
+    assert set(range(5000)) <= set(got) and len(got) == len(set(got)) < 5000 + 0.03 * 45_000
+    assert decontam._sifted(df, "seed", hashes.limit(0), 0).count() == 0
+
+
+def test_equal_items_are_seeded_once(spark, monkeypatch):
+    """A hundred ids of one text are as few seeds as one: the training texts stay where they are."""
+    rnd = random.Random(4)
+    t = " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(99)) for _ in range(30))
+    items = spark.createDataFrame([*((i, t if i % 2 else t.upper() + ".") for i in range(100)), (None, t), (7, "words of another text under an id that is taken by then")],
+                                  "item_id long, text string")
+    d = spark.createDataFrame([(1, "some words before " + t), (1, "some words before " + t), (None, t), (2, None), (3, "clean"),
+                               (4, "words of another text under an id that is taken by then")], "doc_id long, text string")
+    want = {(doc, i, 30, 30, 1.0, at) for doc, at in ((1, 3), (None, 0)) for i in range(100)} | {(4, 7, 12, 12, 1.0, 0)}
+    assert as_set(decontam.contaminated(d, items, broadcast=False)) == want
+
+    def never(*a):
+        raise AssertionError("shuffled")
+    monkeypatch.setattr(decontam, "_distant_hits", never)
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 200)
+    assert as_set(decontam.contaminated(d, items)) == want
