@@ -11,8 +11,10 @@ business, ``[]`` for one uploaded file treated as one frame.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import comb
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_star
@@ -28,6 +30,7 @@ MIN_STAR_VALUE = 1
 MAX_STAR_VALUE = 5
 BUCKET_MEMBERS = 64               # members of a MinHash bucket that are compared without splitting it
 NEAR_DUPLICATE_SIMILARITY = 0.8   # declared by the reference, never applied there (C17)
+LOST = 1e-12                      # chance at most that a similar pair's sketches disagree so much that it is not compared
 DEFAULT_STARS = 3
 DEFAULT_BUSINESS_NAME = "Unknown"
 # reject reasons, in pipeline order
@@ -168,6 +171,59 @@ def _shingle_set(text, shingle: int):
     return F.when(F.length(t) < shingle, F.array(t)).otherwise(F.array_distinct(windows))
 
 
+def _min_hashes(keep: Sequence[str], n: int):
+    """For ``mapInArrow``: the least ``xxhash64(h, k)`` over the long hashes ``h`` in ``_hs``, for each ``k`` below ``n``, bit for bit as Spark has it."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+        def turned(x, by):
+            return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+        def mixed(x):
+            x ^= x >> np.uint64(33)
+            x *= p2
+            x ^= x >> np.uint64(29)
+            x *= p3
+            x ^= x >> np.uint64(32)
+            return x
+
+        old = np.seterr(over="ignore")
+        ks = [np.uint64(k) * p1 for k in range(n)]
+        try:
+            for batch in batches:
+                hs = batch.column("_hs")
+                ends = hs.offsets.to_numpy()
+                flat, ends, got, at = hs.flatten().to_numpy().view(np.uint64), ends - ends[0], [], 0
+                while at < len(hs):  # whole texts, a bounded number of hashes at once
+                    upto = max(at + 1, int(np.searchsorted(ends, ends[at] + 65536, side="right")) - 1)
+                    h = turned(flat[ends[at]:ends[upto]] * p2, 31) * p1
+                    h ^= np.uint64(42 + 8) + p5
+                    seed = mixed(turned(h, 27) * p1 + p4) + (p5 + np.uint64(4))
+                    first = ends[at:upto] - ends[at]
+                    got.append(np.stack([np.minimum.reduceat(mixed(turned(seed ^ k, 23) * p2 + p3).view(np.int64), first) for k in ks], axis=1))
+                    at = upto
+                if got:
+                    mins = np.concatenate(got)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(np.ascontiguousarray(mins[:, k])) for k in range(n)]],
+                                                     names=[*keep, *[f"h{k}" for k in range(n)]])
+        finally:
+            np.seterr(**old)
+    return run
+
+
+def _agreeing(n: int, threshold: float) -> int:
+    """Of ``n`` hashes cut to 4 bits, how many agree at least for sets of that similarity, but for a chance of ``LOST``."""
+    p = threshold + (1 - threshold) / 16
+    below = 0.0
+    for m in range(n + 1):
+        below += comb(n, m) * p ** m * (1 - p) ** (n - m)
+        if below > LOST:
+            return m
+    return n
+
+
 def _similarities(keep: Sequence[str], shingle: int):
     """For ``mapInArrow``: the exact Jaccard of the shingle sets of ``text`` and ``rep_text``."""
     def shingles(t: str) -> set:
@@ -208,6 +264,9 @@ def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), orde
     the first ``size - ceil(threshold * size) + 1`` of each.  The exact Jaccard of the two
     shingle sets, rebuilt from the two texts, confirms.
 
+    Of each MinHash 4 bits go along with a pair, and a pair is compared if enough of them agree: one of
+    that similarity has fewer with a chance below ``LOST``, most others do.
+
     The texts are written once, named by their SHA-256.  Signatures, buckets and pairs hold names and numbers only;
     only the texts of pairs whose set sizes allow the similarity are fetched, and become shingle sets in the task that compares them.
     """
@@ -216,13 +275,17 @@ def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), orde
     base = write_table(df.select(*scope, order, "text").filter(F.col("text").isNotNull())
                        .withColumn("_th", F.unhex(F.sha2(F.col("text"), 256)))
                        .withColumn("_plain", ~F.col("text").rlike("[\\x{10000}-\\x{10FFFF}]")), "near-texts")
-    mins = [F.min(F.xxhash64(F.col("_h"), F.lit(k))).alias(f"h{k}") for k in range(nh)]
     # the size of a set bounds its similarity; texts beyond the basic plane have no size and are left to the comparison
-    of_text = (base.select(*scope, order, "_th", "_plain", F.posexplode(_shingle_set("text", shingle)).alias("_at", "_s"))
-               .select(*scope, order, "_th", F.when(F.col("_plain"), F.col("_at") + 1).alias("_size"), F.xxhash64("_s").alias("_h"))
-               .groupBy(*scope, "_th").agg(F.min(order).alias("_first"), F.max("_size").alias("_size"), *mins))
-    signed = write_table(of_text, "near-signatures")
-    texts = signed.select(*scope, "_th", "_first", "_size")
+    hashed = base.select(*scope, order, "_th", "_plain", F.transform(_shingle_set("text", shingle), lambda x: F.xxhash64(x)).alias("_hs")) \
+        .select(*scope, order, "_th", F.when(F.col("_plain"), F.size("_hs")).alias("_size"), "_hs")
+    keep, types = hashed.columns[:-1], dict(hashed.dtypes)
+    of_text = (hashed.mapInArrow(_min_hashes(keep, nh), ", ".join([*[f"`{c}` {types[c]}" for c in keep], *[f"h{k} bigint" for k in range(nh)]]))
+               .groupBy(*scope, "_th").agg(F.min(order).alias("_first"), F.max("_size").alias("_size"), *[F.min(f"h{k}").alias(f"h{k}") for k in range(nh)]))
+    nibble = lambda k: F.shiftleft(F.col(f"h{k}").bitwiseAND(15), 4 * (k % 16))
+    sketches = [reduce(Column.bitwiseOR, [nibble(k) for k in range(i, min(i + 16, nh))]).alias(f"_k{i // 16}") for i in range(0, nh, 16)]
+    signed = write_table(of_text.select("*", *sketches), "near-signatures")
+    sketch = [f"_k{i}" for i in range(len(sketches))]
+    texts = signed.select(*scope, "_th", "_first", "_size", *sketch)
     band_keys = F.array(*[
         F.struct(F.lit(b).alias("band"),
                  F.xxhash64(*[F.col(f"h{b * rows_per_band + r}") for r in range(rows_per_band)]).alias("bucket"))
@@ -237,11 +300,15 @@ def near_duplicates(df: DataFrame, scope: Sequence[str] = ("business_id",), orde
         return join_on(base, named, [*scope, "_th"], "left_semi").select(*scope, "_th", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        reps = texts.select(*scope, F.col("_th").alias("rep_th"), F.col("_first").alias("rep"), F.col("_size").alias("rep_size"))
+        reps = texts.select(*scope, F.col("_th").alias("rep_th"), F.col("_first").alias("rep"), F.col("_size").alias("rep_size"), *[F.col(c).alias(f"rep{c}") for c in sketch])
         named = join_on(join_on(pairs, texts, [*scope, "_first"]), reps, [*scope, "rep"])
         may = F.least("_size", "rep_size") >= threshold * F.greatest("_size", "rep_size") - 1e-9
         known = F.col("_size").isNotNull() & F.col("rep_size").isNotNull()
-        named = write_table(named.filter(may | ~known).select(*scope, "_first", "rep", "_th", "rep_th"), "near-pairs")
+        other = [F.col(c).bitwiseXOR(F.col(f"rep{c}")) for c in sketch]
+        other = [x.bitwiseOR(F.shiftrightunsigned(x, 1)) for x in other]
+        other = [F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(0x1111111111111111)) for x in other]
+        near = sum(other[1:], other[0]) <= nh - _agreeing(nh, threshold)
+        named = write_table(named.filter((may | ~known) & near).select(*scope, "_first", "rep", "_th", "rep_th"), "near-pairs")
         held = texts_of(named.select(*scope, "_th").unionByName(named.select(*scope, F.col("rep_th").alias("_th"))))
         both = join_on(join_on(named, held, [*scope, "_th"]),
                        held.select(*scope, F.col("_th").alias("rep_th"), F.col("text").alias("rep_text")), [*scope, "rep_th"])

@@ -124,3 +124,36 @@ def test_near_duplicates_shuffle_names_not_shingle_sets(spark, tmp_path):
         like = {j for j in range(i % 2, i, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
         assert (got.get((None if i % 2 else "b", i)) in like) if like else (None if i % 2 else "b", i) not in got
     assert wrote and sum(wrote) < 4 * sum(len(t) for t in texts) * 2
+
+
+def test_min_hashes_are_sparks(spark):
+    """Signatures keep their values bit for bit: the same texts meet as before."""
+    from pyspark.sql import functions as F
+    from revlens.operators.validate import _min_hashes
+    rows = [(i, [(-1) ** j * (i * 7919 + j) ** 5 % (2 ** 62) for j in range(n)]) for i, n in enumerate((1, 3, 2, 70_000, 1, 5))]
+    df = spark.createDataFrame(rows, "id long, _hs array<long>")
+    got = df.mapInArrow(_min_hashes(["id"], 3), "id long, h0 long, h1 long, h2 long")
+    want = df.select("id", F.explode("_hs").alias("h")).groupBy("id").agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"h{k}") for k in range(3)])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert df.limit(0).mapInArrow(_min_hashes(["id"], 3), "id long, h0 long, h1 long, h2 long").count() == 0
+
+
+def test_near_duplicates_fetch_few_texts_of_unlike_pairs(spark, monkeypatch):
+    """Texts that share a bucket but not their hashes are not compared; the pairs found are those of brute force."""
+    import random
+    from revlens.operators import validate as V
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcde", k=4)) for _ in range(40)]
+    rows = [("b", i, " ".join(rnd.choices(words, k=30))) for i in range(120)]
+    rows += [("b", 200 + i, rows[i][2] + " " + words[i % 40]) for i in range(20)] + [("b", 300, "x\U0001F600" * 20), ("b", 301, "x\U0001F600" * 20 + "y")]
+    seen, old = [], V.write_table
+    monkeypatch.setattr(V, "write_table", lambda df, name: seen.append((name, old(df, name))) or seen[-1][1])
+    got = {(r.seq, r.earlier_seq) for r in V.near_duplicates(spark.createDataFrame(rows, "business_id string, seq long, text string"), bands=32, rows_per_band=3).collect()}
+
+    def shingles(t):
+        return {t[i:i + 5] for i in range(len(t) - 4)}
+    sets = {s: shingles(t) for _, s, t in rows}
+    like = {(b, a) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {b for b, _ in like} == {b for b, _ in got} and got <= like and len(like) >= 20
+    assert sum(t.count() for name, t in seen if name == "near-pairs") <= len(like) + 5
+    assert V._agreeing(96, 0.8) == 47 and V._agreeing(4, 0.8) == 0 and V._agreeing(96, 1.0) == 96
