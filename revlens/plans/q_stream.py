@@ -15,6 +15,9 @@ from .catalog import query
 from .q_validate import TAGGED_SQL
 
 
+FILE_BYTES = 128_000_000   # text of an uploaded file; a file is read by one task, and two are a micro-batch
+
+
 def _landed(spark, sf_dir):
     """Uploads land as CSV files (one folder per language here); the stream validates
     each micro-batch (one file per trigger) and drops texts already kept for the same
@@ -23,9 +26,14 @@ def _landed(spark, sf_dir):
     landing, sink, ckpt = (os.path.join(base, x) for x in ("landing", "sink", "checkpoint"))
     src = fx_reviews(spark, sf_dir).select("business_name", F.col("stars").cast("string").alias("stars"),
                                             "text", "lang")
-    for lang in ["en", "de", "fr", "es", None]:
-        own = F.col("lang") == lang if lang else F.coalesce(~F.col("lang").isin("en", "de", "fr", "es"), F.lit(True))
-        write_csv(src.filter(own).drop("lang").orderBy("text"), os.path.join(landing, lang or "other"))
+    langs = ["en", "de", "fr", "es"]
+    known = F.when(F.col("lang").isin(*langs), F.col("lang"))
+    size = {r.lang: r.size or 0 for r in src.groupBy(known.alias("lang")).agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    for lang in [*langs, None]:
+        own = src.filter(F.col("lang") == lang if lang else F.coalesce(~F.col("lang").isin(*langs), F.lit(True))).drop("lang")
+        # as many files as the texts fill: the settings of the shuffle would make micro-batches of a few MB, each with its own jobs and state
+        files = -(-size.get(lang, 0) // FILE_BYTES) or 1
+        write_csv(own.repartitionByRange(files, "text").sortWithinPartitions("text"), os.path.join(landing, lang or "other"))
     return run_landing_once(spark, landing, sink, ckpt, max_files_per_trigger=2)
 
 

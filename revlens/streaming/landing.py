@@ -55,8 +55,8 @@ def _keep_first(columns: list[str], ttl_ms: int | None):
         first = at = None
         for pdf in frames:
             # nearly every key has one row: sorting a frame costs more than all else that a key needs
-            low = pdf if len(pdf) == 1 else pdf.sort_values(["_mtime", "_file", "_row"]).head(1)
-            place = low["_mtime"].iat[0], low["_file"].iat[0], low["_row"].iat[0]
+            low = pdf if len(pdf) == 1 else pdf.sort_values("_place").head(1)
+            place = low["_place"].iat[0]
             if first is None or place < at:
                 first, at = low, place
         known = state.exists
@@ -91,11 +91,16 @@ def start_landing_stream(spark: SparkSession, landing_dir: str, sink_dir: str, c
     src = src.repartition("_file", "_row")
     src = clean_csv(src.select(*[na_to_null(F.col(c)).alias(c) for c in columns], "_file", "_mtime", "_row"))
     rows = tag_row_rejects(src).where("reject_reason is null").drop("reject_reason", "text_len_raw").where(~is_spam(F.col("text")))
-    keys = {**{f"_scope_{i}": F.col(c) for i, c in enumerate(scope)}, "_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), F.col("text"))}
+    # a key costs what its frame has in columns, to Python and back: its scope and hashes, its place and its row are one text each
+    key = F.to_json(F.struct(*[F.col(c).alias(f"_scope_{i}") for i, c in enumerate(scope)], F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2")))
+    order = F.concat(F.lpad(F.unix_micros("_mtime").cast("string"), 20, "0"), "_file", F.lit(" "), F.lpad(F.col("_row").cast("string"), 20, "0"))
     schema = rows.schema
-    kept = rows.withColumns(keys).groupBy(*keys).applyInPandasWithState(
-        _keep_first(schema.names, ttl_ms), schema, T.StructType([T.StructField("kept", T.BooleanType())]), "append",
+    moved = T.StructType([T.StructField(f.name, T.LongType() if f.name == "_mtime" else f.dataType) for f in schema])
+    packed = F.to_json(F.struct(*[F.unix_micros(c).alias(c) if c == "_mtime" else F.col(c) for c in schema.names]))
+    kept = rows.select(key.alias("_key"), order.alias("_place"), packed.alias("_packed")).groupBy("_key").applyInPandasWithState(
+        _keep_first(["_packed"], ttl_ms), "_packed string", T.StructType([T.StructField("kept", T.BooleanType())]), "append",
         "ProcessingTimeTimeout" if ttl_ms else "NoTimeout")
+    kept = kept.select(F.from_json("_packed", moved).alias("r")).select("r.*").withColumn("_mtime", F.timestamp_micros("_mtime"))
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         # numbering the rows samples, sorts and joins the batch: without a kept copy each of these would run the whole

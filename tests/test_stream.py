@@ -112,3 +112,48 @@ def test_a_batch_is_computed_once(spark, monkeypatch, tmp_path):
     got = run_landing_once(spark, landing, sink, ckpt)
     assert sorted((r.text[-1], r.stars, r.review_id) for r in got.collect()) == [("a", 5.0, "r_0"), ("b", 5.0, "r_1"), ("c", 5.0, "r_2")]
     assert os.path.getsize(log) == 3
+
+
+def test_a_key_moves_three_texts_and_rows_come_back_whole(spark, monkeypatch):
+    """Each column of a key's frame costs; what stream and validation made of a row is what the sink holds."""
+    from revlens.streaming import landing as L
+    seen, keep_first = [], L._keep_first
+
+    def narrow(columns, ttl_ms):
+        run = keep_first(columns, ttl_ms)
+
+        def go(key, frames, state):
+            frames = list(frames)
+            assert len(key) == 1 and all(set(f.columns) == {"_key", "_place", "_packed"} for f in frames)
+            yield from run(key, iter(frames), state)
+        seen.append(columns)
+        return go
+
+    monkeypatch.setattr(L, "_keep_first", narrow)
+    landing, sink, ckpt = _folders()
+    with open(os.path.join(landing, "a.csv"), "w", encoding="utf-8") as f:
+        f.write('business_name,stars,text\n"a ""b"", c\\d",3.6,"a ""quoted"" text,\nof two lines \U0001F600 \\ é"\n,4,"a ""quoted"" text,\nof two lines \U0001F600 \\ é"\n')
+    got = run_landing_once(spark, landing, sink, ckpt)
+    text = 'a "quoted" text,\nof two lines \U0001F600 \\ é'
+    assert {(r.business_name, r.stars, r.text) for r in got.collect()} == {('a "b", c\\d', 3.5, text), (None, 4.0, text)}
+    assert seen == [["_packed"]]
+
+
+def test_landing_files_follow_the_texts_and_not_the_shuffle(spark, tmp_path):
+    """Micro-batches of a few MB ran each with all jobs and all state partitions."""
+    from pyspark.sql import functions as F
+    from revlens.plans import q_stream
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("review text "), F.sha2(F.col("id").cast("string"), 256)).alias("text"),
+                                   F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = q_stream.q_landing_stream(spark, str(tmp_path))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got.select("epoch").distinct().count() == 1
+    assert got.count() == spark.read.parquet(str(tmp_path / "documents.parquet")).where("(doc_id * 7) % 25 between 4 and 20").count()
